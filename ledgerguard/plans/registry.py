@@ -31,6 +31,15 @@ for _name, _fn in [
     QUERIES[_name] = _fn
 
 
+from ledgerguard.plans import detect_queries as DQ  # noqa: E402
+
+QUERIES.update(DQ.ENTRIES)
+
+from ledgerguard.plans import semantic_queries as SQ  # noqa: E402
+
+QUERIES.update(SQ.ENTRIES)
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
         return lambda spark, sf_dir: fn(RiskContext(spark, sf_dir))

@@ -92,3 +92,204 @@ SELECT position_date, tenor_bucket,
   nsfr_breach
 FROM positions WHERE lcr_breach
 ORDER BY position_date DESC, lcr_ratio ASC, position_id LIMIT 50""", "positions")
+
+
+# ---- detection layer --------------------------------------------------------
+register("velocity", """
+SELECT txn_id, account_id, txn_ts, velocity_count, velocity_count >= 5 AS is_velocity
+FROM tx_rules""", "tx_rules")
+
+register("velocity_burst", """
+SELECT txn_id, account_id, velocity_count, velocity_count >= 5 AS is_velocity,
+  MAX(velocity_count) OVER (PARTITION BY account_id ORDER BY txn_ts
+      RANGE BETWEEN CURRENT ROW AND INTERVAL 24 HOURS FOLLOWING) >= 5 AS is_velocity_burst
+FROM tx_rules""", "tx_rules")
+
+for _name, _col in [("structuring", "is_structuring"), ("cross_border", "high_risk_country"),
+                    ("round_number", "is_round_number")]:
+    register(_name, f"""
+SELECT txn_id, account_id, amount, country_code, {_col} AS hit
+FROM transactions WHERE {_col}""", "transactions")
+
+register("classify_fraud", """
+SELECT txn_id, fraud_pattern, pattern_list, is_flagged, flag_score, review_status, reviewed_by
+FROM transactions""", "transactions")
+
+register("classify_summary", """
+SELECT fraud_pattern, review_status, COUNT(*) AS n, CAST(SUM(amount) AS DECIMAL(18,2)) AS amount
+FROM transactions GROUP BY fraud_pattern, review_status""", "transactions")
+
+register("fraud_flags", """
+SELECT flag_id, flag_type, severity, flag_status, customer_id, account_id, txn_id,
+  threshold_field, threshold_value, threshold_limit, flag_score
+FROM fraud_flags""", "fraud_flags")
+
+register("credit_derive", """
+SELECT exposure_id, expected_loss, rwa, watch_list_flag, utilisation_pct,
+  coalesce(utilisation_pct > 90, false) AS utilisation_breach
+FROM exposures""", "exposures")
+
+register("credit_flags", """
+SELECT flag_id, flag_type, severity, customer_id, account_id, threshold_field, threshold_value,
+  threshold_limit, flag_score
+FROM credit_flags""", "credit_flags")
+
+register("liquidity_ratios", """
+SELECT position_id, position_date, tenor_bucket, net_position, hqla_total, lcr_numerator, lcr_ratio,
+  lcr_breach, nsfr_ratio, nsfr_breach
+FROM positions""", "positions")
+
+register("liquidity_flags", """
+SELECT flag_id, flag_type, severity, threshold_field, threshold_value, threshold_limit, flag_score
+FROM liquidity_flags""", "liquidity_flags")
+
+SCORE_BAND = ("CASE WHEN flag_score IS NULL THEN NULL WHEN flag_score <= 40 THEN 'low' "
+              "WHEN flag_score <= 65 THEN 'medium' ELSE 'high' END")
+
+register("risk_flags", f"""
+SELECT flag_id, flag_domain, flag_type, severity, flag_status, customer_id, account_id, txn_id,
+  threshold_field, threshold_value, threshold_limit, flag_score, {SCORE_BAND} AS score_band,
+  true AS has_rationale
+FROM risk_flags""", "risk_flags")
+
+register("flag_payload_fields", """
+SELECT flag_id, flag_domain, n_keys, p_amount, p_channel, p_txn_ts, p_review_status,
+  CAST(NULL AS BIGINT) AS p_exposure_id, CAST(NULL AS DECIMAL(18,2)) AS p_expected_loss,
+  CAST(NULL AS DECIMAL(18,2)) AS p_rwa, CAST(NULL AS BOOLEAN) AS p_npa_flag,
+  CAST(NULL AS VARCHAR) AS p_tenor_bucket, CAST(NULL AS DATE) AS p_position_date,
+  CAST(NULL AS DECIMAL(18,4)) AS p_lcr_ratio
+FROM fraud_flags
+UNION ALL
+SELECT flag_id, flag_domain, n_keys, NULL, NULL, NULL, NULL, p_exposure_id, p_expected_loss, p_rwa,
+  p_npa_flag, NULL, NULL, NULL
+FROM credit_flags
+UNION ALL
+SELECT flag_id, flag_domain, n_keys, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  p_tenor_bucket, p_position_date, p_lcr_ratio
+FROM liquidity_flags""", "fraud_flags", "credit_flags", "liquidity_flags")
+
+register("score_band", f"""
+SELECT flag_domain, {SCORE_BAND} AS score_band, COUNT(*) AS n
+FROM risk_flags GROUP BY 1, 2""", "risk_flags")
+
+
+# ---- metric layer and named filters ----------------------------------------
+def cnt(pred: str) -> str:
+    return f"CAST(SUM(CASE WHEN {pred} THEN 1 ELSE 0 END) AS BIGINT)"
+
+
+def dsum(expr: str, scale: int = 2) -> str:
+    return f"CAST(SUM({expr}) AS DECIMAL(18,{scale}))"
+
+
+def davg(expr: str, in_scale: int, out_scale: int) -> str:
+    return f"CAST({avg_dec(expr, in_scale + 4)} AS DECIMAL(18,{out_scale}))"
+
+
+RATE = ("CAST(((2 * SUM(CASE WHEN is_flagged THEN 1 ELSE 0 END) * 10000 + COUNT(txn_id)) "
+        "// (2 * COUNT(txn_id))) * 0.01 AS DECIMAL(18,2))")
+TXN_METRICS = (f"{cnt('is_flagged')} AS total_flagged_transactions, "
+               f"{dsum('CASE WHEN is_flagged THEN amount ELSE 0 END')} AS total_flagged_amount, "
+               f"{RATE} AS flagged_transaction_rate")
+FLAG_METRICS = (f"{cnt(chr(39).join(['flag_status = ', 'OPEN', '']))} AS open_flag_count, "
+                f"{cnt(chr(39).join(['severity = ', 'CRITICAL', '']))} AS critical_flag_count")
+CREDIT_METRICS2 = f"{cnt('watch_list_flag')} AS watch_list_count, {dsum('rwa')} AS total_rwa"
+
+register("metrics_risk_flags", f"""
+SELECT {FLAG_METRICS},
+  {davg("CASE WHEN flag_domain = 'FRAUD' THEN flag_score END", 2, 6)} AS avg_fraud_score
+FROM risk_flags""", "risk_flags")
+register("metrics_transactions", f"SELECT {TXN_METRICS} FROM transactions", "transactions")
+register("metrics_accounts", f"""
+SELECT {cnt('npa_flag')} AS npa_account_count, {dsum('balance')} AS total_balance,
+  {davg('CASE WHEN credit_limit IS NOT NULL THEN utilisation_pct END', 2, 6)} AS avg_utilisation
+FROM accounts""", "accounts")
+register("metrics_customers", f"""
+SELECT {cnt("risk_rating = 'HIGH'")} AS high_risk_customer_count, {cnt('pep_flag')} AS pep_customer_count,
+  {cnt('sanction_flag')} AS sanctioned_customer_count
+FROM customers""", "customers")
+register("metrics_credit_exposures", f"""
+SELECT {CREDIT_METRICS2}, {dsum('expected_loss')} AS total_expected_loss,
+  {davg('pd_score', 4, 8)} AS avg_pd,
+  {dsum("CASE WHEN sector = 'REAL_ESTATE' THEN outstanding ELSE 0 END")} AS real_estate_outstanding
+FROM exposures""", "exposures")
+register("metrics_liquidity_positions", f"""
+SELECT {cnt('lcr_breach')} AS lcr_breach_day_count, {davg('lcr_ratio', 4, 8)} AS avg_lcr_ratio,
+  {davg(f"CASE WHEN position_date >= CAST({AS_OF} AS DATE) - 30 THEN lcr_ratio END", 4, 8)}
+    AS avg_lcr_last_30_days
+FROM positions""", "positions")
+
+register("filters_risk_flags", f"""
+SELECT {cnt("flag_status = 'OPEN'")} AS open_flags, {cnt("flag_domain = 'FRAUD'")} AS fraud_flags,
+  {cnt("flag_domain = 'CREDIT'")} AS credit_flags, {cnt("flag_domain = 'LIQUIDITY'")} AS liquidity_flags,
+  {cnt("severity IN ('HIGH', 'CRITICAL')")} AS critical_and_high_flags
+FROM risk_flags""", "risk_flags")
+register("filters_transactions", f"""
+SELECT {cnt('is_flagged')} AS flagged_transactions, {cnt(f'txn_ts >= {AS_OF} - INTERVAL 7 DAYS')} AS this_week,
+  {cnt('high_risk_country')} AS high_risk_country_transactions,
+  {cnt("fraud_pattern = 'STRUCTURING'")} AS structuring_pattern
+FROM transactions""", "transactions")
+register("filters_accounts", f"""
+SELECT {cnt('npa_flag')} AS npa_accounts, {cnt("status = 'ACTIVE'")} AS active_accounts,
+  {cnt("status = 'FROZEN'")} AS frozen_accounts, {cnt('utilisation_pct > 90')} AS over_utilised_accounts
+FROM accounts""", "accounts")
+register("filters_customers", f"""
+SELECT {cnt("risk_rating = 'HIGH'")} AS high_risk_customers, {cnt('pep_flag')} AS pep_customers,
+  {cnt('sanction_flag')} AS sanctioned_customers, {cnt("kyc_status = 'EXPIRED'")} AS expired_kyc
+FROM customers""", "customers")
+register("filters_credit_exposures", f"""
+SELECT {cnt('watch_list_flag')} AS watch_list_exposures, {cnt("sector = 'REAL_ESTATE'")} AS real_estate_sector,
+  {cnt("collateral_type = 'UNSECURED'")} AS unsecured_exposures
+FROM exposures""", "exposures")
+register("filters_liquidity_positions", f"""
+SELECT {cnt('lcr_breach')} AS lcr_breach_days, {cnt("tenor_bucket IN ('0_7D', '8_30D')")} AS short_term_buckets,
+  {cnt("stress_scenario = 'BASE'")} AS base_scenario
+FROM positions""", "positions")
+
+register("facts_risk_flags", f"""
+SELECT {davg('flag_score', 2, 8)} AS avg_flag_score, {davg('threshold_value', 4, 8)} AS avg_threshold_value,
+  {davg('threshold_limit', 4, 8)} AS avg_threshold_limit
+FROM risk_flags""", "risk_flags")
+register("facts_transactions", f"""
+SELECT {dsum('amount')} AS sum_amount, {davg('flag_score', 2, 8)} AS avg_flag_score
+FROM transactions""", "transactions")
+register("facts_accounts", f"""
+SELECT {dsum('balance')} AS sum_balance, {dsum('credit_limit')} AS sum_credit_limit,
+  {davg('utilisation_pct', 2, 8)} AS avg_utilisation_pct
+FROM accounts""", "accounts")
+register("facts_credit_exposures", f"""
+SELECT {dsum('outstanding')} AS sum_outstanding, {davg('pd_score', 4, 8)} AS avg_pd_score,
+  {davg('lgd', 4, 8)} AS avg_lgd, {dsum('ead')} AS sum_ead, {dsum('expected_loss')} AS sum_expected_loss,
+  {dsum('rwa')} AS sum_rwa, {davg('utilisation_pct', 2, 8)} AS avg_utilisation_pct
+FROM exposures""", "exposures")
+register("facts_liquidity_positions", f"""
+SELECT {davg('lcr_ratio', 4, 8)} AS avg_lcr_ratio, {davg('nsfr_ratio', 4, 8)} AS avg_nsfr_ratio,
+  {dsum('inflow')} AS sum_inflow, {dsum('outflow')} AS sum_outflow, {dsum('net_position')} AS sum_net_position,
+  {dsum('lcr_numerator')} AS sum_hqla_total
+FROM positions""", "positions")
+
+register("metric_query_multi", f"""
+SELECT c.segment, a.account_type, {TXN_METRICS.replace('is_flagged', 't.is_flagged').replace('txn_id', 't.txn_id')}
+FROM transactions t LEFT JOIN accounts a ON a.account_id = t.account_id
+LEFT JOIN customers c ON c.customer_id = a.customer_id
+GROUP BY c.segment, a.account_type""", "transactions", "accounts", "customers")
+
+register("metric_query_two_facts", f"""
+SELECT COALESCE(f.segment, e.segment) AS segment, f.open_flag_count, f.critical_flag_count,
+  e.watch_list_count, e.total_rwa
+FROM (SELECT c.segment, {FLAG_METRICS} FROM risk_flags r LEFT JOIN customers c ON c.customer_id = r.customer_id
+      GROUP BY c.segment) f
+FULL OUTER JOIN (SELECT c.segment, {CREDIT_METRICS2} FROM exposures x
+      LEFT JOIN customers c ON c.customer_id = x.customer_id GROUP BY c.segment) e
+  ON f.segment IS NOT DISTINCT FROM e.segment""", "risk_flags", "exposures", "customers")
+
+register("metric_query_time", f"""
+SELECT date_trunc('day', txn_ts) AS txn_date, channel, {cnt('is_flagged')} AS total_flagged_transactions,
+  {dsum('CASE WHEN is_flagged THEN amount ELSE 0 END')} AS total_flagged_amount
+FROM transactions WHERE txn_ts >= {AS_OF} - INTERVAL 7 DAYS
+GROUP BY 1, 2""", "transactions")
+
+register("metric_query_ranked", f"""
+SELECT sector, internal_rating, {dsum('rwa')} AS total_rwa, {cnt('watch_list_flag')} AS watch_list_count
+FROM exposures WHERE watch_list_flag
+GROUP BY sector, internal_rating ORDER BY total_rwa DESC, sector, internal_rating LIMIT 10""", "exposures")
