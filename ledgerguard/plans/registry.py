@@ -39,6 +39,10 @@ from ledgerguard.plans import semantic_queries as SQ  # noqa: E402
 
 QUERIES.update(SQ.ENTRIES)
 
+from ledgerguard.plans import dashboard as DB  # noqa: E402
+
+QUERIES.update(DB.ENTRIES)
+
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):

@@ -293,3 +293,185 @@ register("metric_query_ranked", f"""
 SELECT sector, internal_rating, {dsum('rwa')} AS total_rwa, {cnt('watch_list_flag')} AS watch_list_count
 FROM exposures WHERE watch_list_flag
 GROUP BY sector, internal_rating ORDER BY total_rwa DESC, sector, internal_rating LIMIT 10""", "exposures")
+
+
+# ---- dashboard / board queries ---------------------------------------------
+from ledgerguard.functions.rules import RULE_CATALOG  # noqa: E402
+
+RATIONALE = "CASE flag_type " + " ".join(
+    "WHEN '{}' THEN '{}'".format(t, txt.replace("'", "''")) for t, _, _, txt in RULE_CATALOG) + " END"
+NF = "flag_status NOT IN ('ACTIONED', 'DISMISSED')"
+OPEN_FRAUD = f"flag_domain = 'FRAUD' AND {NF}"
+
+
+def r1avg(expr: str, in_scale: int, times: str = "") -> str:
+    return f"CAST(ROUND({avg_dec(expr, in_scale + 4)}{times}, 1) AS DECIMAL(18,1))"
+
+
+register("q9", f"""
+SELECT COUNT(*) AS fraud_flag_count, {cnt("severity = 'CRITICAL'")} AS critical_count,
+  {r1avg('flag_score', 2)} AS avg_score
+FROM risk_flags WHERE {OPEN_FRAUD}""", "risk_flags")
+
+register("q10", """
+SELECT CAST(ROUND(lcr_ratio * 100, 1) AS DECIMAL(18,1)) AS lcr_pct, lcr_breach, position_date,
+  CASE WHEN lcr_breach THEN 'BREACH' WHEN ROUND(lcr_ratio * 100, 1) < 110 THEN 'AMBER' ELSE 'GREEN' END AS rag_state
+FROM positions WHERE tenor_bucket = '0_7D' AND stress_scenario = 'BASE'
+ORDER BY position_date DESC LIMIT 1""", "positions")
+
+register("q11", f"""
+SELECT COUNT(*) AS watch_list_count, CAST(ROUND(SUM(rwa) * 0.000001, 1) AS DECIMAL(18,1)) AS rwa_millions,
+  {r1avg('pd_score', 4, ' * 100')} AS avg_pd_pct
+FROM exposures WHERE watch_list_flag""", "exposures")
+
+register("q12", f"""
+SELECT COUNT(*) AS open_cases, {cnt('sla_breach')} AS sla_breaches
+FROM case_escalations WHERE status NOT IN ('RESOLVED', 'CLOSED')""", "case_escalations")
+
+register("q13", f"""
+SELECT flag_id, flag_domain, flag_type, severity, account_id, customer_id,
+  CAST(ROUND(flag_score, 1) AS DECIMAL(18,1)) AS score, left({RATIONALE}, 110) AS rationale, flag_status
+FROM risk_flags WHERE {NF}
+ORDER BY score DESC, flag_id LIMIT 300""", "risk_flags")
+
+register("q13_filtered", f"""
+SELECT flag_id, flag_domain, flag_type, severity, flag_score FROM risk_flags
+WHERE {NF} AND severity IN ('CRITICAL', 'HIGH') AND flag_score >= 65
+ORDER BY flag_score DESC, flag_id LIMIT 300""", "risk_flags")
+
+register("q13_limit_first", f"""
+SELECT flag_id, flag_domain, flag_type, severity, flag_score FROM (
+  SELECT * FROM risk_flags WHERE {NF} ORDER BY flag_score DESC, flag_id LIMIT 300) t
+WHERE severity IN ('CRITICAL', 'HIGH') AND flag_score >= 65""", "risk_flags")
+
+LCR_SERIES = (f"FROM positions WHERE tenor_bucket = '0_7D' AND stress_scenario = 'BASE' "
+              f"AND position_date >= CAST({AS_OF} AS DATE) - 30")
+
+register("q14", f"""
+SELECT position_date, CAST(ROUND(lcr_ratio * 100, 1) AS DECIMAL(18,1)) AS lcr_pct,
+  CAST(100.0 AS DECIMAL(18,1)) AS floor_pct, coalesce(ROUND(lcr_ratio * 100, 1) < 100, false) AS below_floor
+{LCR_SERIES}""", "positions")
+
+register("q14_summary", f"""
+SELECT CAST(MIN(pct) AS DECIMAL(18,1)) AS min_pct, CAST(MAX(pct) AS DECIMAL(18,1)) AS max_pct,
+  {r1avg('pct', 1)} AS avg_pct, COUNT(pct) AS n_days,
+  {cnt('pct < 100')} AS breach_days,
+  coalesce(array_to_string(list_slice(list(CAST(position_date AS VARCHAR) || '=' || CAST(pct AS VARCHAR)
+      ORDER BY position_date) FILTER (WHERE pct < 100), 1, 8), '; '), '') AS breach_list
+FROM (SELECT position_date, CAST(ROUND(lcr_ratio * 100, 1) AS DECIMAL(18,1)) AS pct {LCR_SERIES}) s""", "positions")
+
+AUDIT_COLS = ("log_id, actor_user, actor_role, action_type, object_type, object_id, change_summary, "
+              "CAST(event_ts AS VARCHAR) AS et")
+register("q15", f"SELECT {AUDIT_COLS} FROM audit_log ORDER BY et DESC, log_id DESC LIMIT 150", "audit_log")
+register("q15_search", f"""
+SELECT {AUDIT_COLS} FROM audit_log
+WHERE action_type IN ('FLAG_ACCOUNT', 'FILE_SAR') AND coalesce(contains(lower(change_summary), 'frozen'), false)
+ORDER BY et DESC, log_id DESC LIMIT 150""", "audit_log")
+
+register("q16", """
+SELECT action_type, object_type, object_id, left(change_summary, 70) AS cs, left(CAST(event_ts AS VARCHAR), 16) AS ts
+FROM audit_log ORDER BY event_ts DESC, log_id DESC LIMIT 4""", "audit_log")
+
+register("q17", f"""
+SELECT (SELECT COUNT(*) FROM transactions WHERE is_flagged) AS txn_flagged,
+  (SELECT COUNT(*) FROM risk_flags WHERE {NF}) AS open_flags,
+  (SELECT COUNT(*) FROM regulatory_filings) AS filings,
+  (SELECT COUNT(*) FROM case_escalations WHERE status NOT IN ('RESOLVED', 'CLOSED')) AS cases,
+  (SELECT COUNT(*) FROM audit_log) AS audits""",
+         "transactions", "risk_flags", "regulatory_filings", "case_escalations", "audit_log")
+
+register("q18", f"""
+SELECT flag_domain, {cnt("severity = 'CRITICAL'")} AS CRITICAL, {cnt("severity = 'HIGH'")} AS HIGH,
+  {cnt("severity = 'MEDIUM'")} AS MEDIUM, {cnt("severity = 'LOW'")} AS LOW
+FROM risk_flags GROUP BY flag_domain""", "risk_flags")
+
+register("q19", """
+SELECT actor_role, action_type, COUNT(*) AS n FROM audit_log GROUP BY 1, 2
+ORDER BY n DESC, actor_role, action_type LIMIT 8""", "audit_log")
+
+Q20 = """SELECT sector, internal_rating, COUNT(*) AS n, CAST(ROUND(SUM(rwa) * 0.000001, 1) AS DECIMAL(18,1)) AS rwa_m
+FROM exposures WHERE watch_list_flag GROUP BY 1, 2 ORDER BY rwa_m DESC, sector, internal_rating LIMIT 8"""
+register("q20", Q20, "exposures")
+
+register("q21", f"""
+SELECT r.flag_id, r.flag_type, r.account_id, r.customer_id,
+  CAST(ROUND(r.flag_score, 0) AS DECIMAL(18,0)) AS sc, left({RATIONALE.replace('flag_type', 'r.flag_type')}, 90) AS reg,
+  coalesce(c.full_name, 'Unknown') AS nm, coalesce(CAST(c.pep_flag AS VARCHAR), 'false') AS pep,
+  a.status AS acct_status
+FROM (SELECT * FROM risk_flags WHERE {OPEN_FRAUD} ORDER BY flag_score DESC, flag_id LIMIT 10) r
+LEFT JOIN customers c ON c.customer_id = r.customer_id
+LEFT JOIN accounts a ON a.account_id = r.account_id""", "risk_flags", "customers", "accounts")
+
+register("q22", f"""
+SELECT (SELECT COUNT(*) FROM risk_flags WHERE {OPEN_FRAUD}) AS fraud_count,
+  (SELECT COUNT(*) FROM exposures WHERE watch_list_flag) AS watch_list_count,
+  (SELECT CAST(ROUND(SUM(rwa) * 0.000001, 0) AS DECIMAL(18,0)) FROM exposures WHERE watch_list_flag)
+    AS watch_rwa_millions,
+  (SELECT COUNT(DISTINCT position_date) FROM positions WHERE lcr_breach AND tenor_bucket = '0_7D')
+    AS lcr_breach_days,
+  (SELECT COUNT(*) FROM audit_log WHERE action_type = 'FILE_SAR') AS sar_count""",
+         "risk_flags", "exposures", "positions", "audit_log")
+
+register("q23", f"""
+SELECT (SELECT COUNT(*) FROM risk_flags WHERE {OPEN_FRAUD}) AS open_fraud_flags,
+  (SELECT COUNT(*) FROM risk_flags WHERE {NF} AND severity = 'CRITICAL') AS critical_flags,
+  (SELECT CAST(CAST(ROUND(lcr_ratio * 100, 1) AS DECIMAL(18,1)) AS VARCHAR) || '%'
+          || CASE WHEN lcr_breach THEN ' BREACH' ELSE ' OK' END
+   FROM positions WHERE tenor_bucket = '0_7D' AND stress_scenario = 'BASE'
+   ORDER BY position_date DESC LIMIT 1) AS lcr_state,
+  (SELECT COUNT(*) FROM exposures WHERE watch_list_flag) AS watch_list_count,
+  (SELECT CAST(ROUND(SUM(rwa) * 0.000001, 0) AS DECIMAL(18,0)) FROM exposures WHERE watch_list_flag)
+    AS watch_rwa_millions,
+  (SELECT COUNT(*) FROM case_escalations WHERE status NOT IN ('RESOLVED', 'CLOSED')) AS open_cases,
+  (SELECT COUNT(*) FROM audit_log WHERE action_type = 'FILE_SAR') AS sars_filed,
+  (SELECT string_agg(actor_role || ':' || action_type || '=' || CAST(n AS VARCHAR), ' | '
+                     ORDER BY n DESC, actor_role, action_type)
+   FROM (SELECT actor_role, action_type, COUNT(*) AS n FROM audit_log GROUP BY 1, 2
+         ORDER BY n DESC, actor_role, action_type LIMIT 8) x) AS actions_by_role,
+  (SELECT string_agg(sector || '/' || internal_rating || ': ' || CAST(n AS VARCHAR) || ' facilities, $'
+                     || CAST(rwa_m AS VARCHAR) || 'M RWA', ' | ' ORDER BY rwa_m DESC, sector, internal_rating)
+   FROM ({Q20}) y) AS rwa_by_sector,
+  (SELECT string_agg(title || ': ' || left(content, 200), ' | ' ORDER BY doc_id)
+   FROM (SELECT * FROM policy_docs ORDER BY doc_id LIMIT 5) d) AS policy_snippets""",
+         "risk_flags", "positions", "exposures", "case_escalations", "audit_log", "policy_docs")
+
+register("q24", f"""
+SELECT fraud_pattern, COUNT(*) AS cnt, {r1avg('flag_score', 2)} AS avg_score
+FROM transactions WHERE is_flagged GROUP BY fraud_pattern""", "transactions")
+
+register("q25", """
+SELECT flag_domain, severity, COUNT(*) AS cnt FROM risk_flags WHERE flag_status = 'OPEN'
+GROUP BY flag_domain, severity""", "risk_flags")
+
+register("q26", f"""
+SELECT flag_domain, COUNT(*) AS flag_count, {r1avg('flag_score', 2)} AS avg_score
+FROM risk_flags GROUP BY flag_domain""", "risk_flags")
+
+register("q27", f"""
+SELECT COUNT(DISTINCT position_date) AS total_days, {cnt('lcr_breach')} AS breach_positions,
+  {r1avg('lcr_ratio', 4, ' * 100')} AS avg_lcr_pct,
+  CAST(ROUND(MIN(lcr_ratio) * 100, 1) AS DECIMAL(18,1)) AS min_lcr_pct
+FROM positions WHERE tenor_bucket = '0_7D'""", "positions")
+
+register("q28", """
+SELECT '1_SIGNAL' AS step, 'RISK_FLAGS' AS source, CAST(COUNT(*) AS VARCHAR) || ' critical flags' AS detail
+FROM risk_flags WHERE severity = 'CRITICAL'
+UNION ALL SELECT '2_SAR_COUNT', 'REGULATORY_FILINGS', CAST(COUNT(*) AS VARCHAR) || ' SAR drafts on file'
+FROM regulatory_filings WHERE filing_type = 'SAR'
+UNION ALL SELECT '3_FROZEN', 'ACCOUNTS', CAST(COUNT(*) AS VARCHAR) || ' accounts currently FROZEN'
+FROM accounts WHERE status = 'FROZEN'
+UNION ALL SELECT '4_ESCALATED', 'CASE_ESCALATIONS', CAST(COUNT(*) AS VARCHAR) || ' cases ESCALATED'
+FROM case_escalations WHERE status = 'ESCALATED'
+UNION ALL SELECT '5_AUDIT', 'AUDIT_LOG', CAST(COUNT(*) AS VARCHAR) || ' immutable audit entries' FROM audit_log
+ORDER BY step""", "risk_flags", "regulatory_filings", "accounts", "case_escalations", "audit_log")
+
+register("q29", """
+SELECT account_id, arg_max(case_id, struct_pack(created_at, case_id)) AS case_id,
+  arg_max(case_type, struct_pack(created_at, case_id)) AS case_type,
+  arg_max(severity, struct_pack(created_at, case_id)) AS severity,
+  arg_max(status, struct_pack(created_at, case_id)) AS status, COUNT(*) AS open_cases
+FROM case_escalations WHERE status NOT IN ('RESOLVED', 'CLOSED') GROUP BY account_id""", "case_escalations")
+
+register("distinct_rationales", f"""
+SELECT DISTINCT flag_type, {RATIONALE} AS threshold_rationale FROM risk_flags WHERE flag_domain = 'FRAUD'
+ORDER BY flag_type""", "risk_flags")
