@@ -18,7 +18,7 @@ from ledgerguard.operators.credit import build_credit_flags, derive_credit
 from ledgerguard.operators.flags import union_flags
 from ledgerguard.operators.fraud import build_fraud_flags, classify_fraud
 from ledgerguard.operators.liquidity import build_liquidity_flags, derive_liquidity
-from ledgerguard.session import AS_OF_DEFAULT
+from ledgerguard.session import AS_OF_DEFAULT, cut_lineage
 from ledgerguard.sources.adapters import BankTables
 
 # The documented velocity rule is 5 txns in 1 hour.  In the driver's test data no
@@ -35,6 +35,17 @@ class RiskContext:
         self.as_of = as_of
         self.velocity_window = velocity_window
         self.bank = BankTables(spark, sf_dir)
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str) -> DataFrame:
+        """The table as a stored snapshot (reliable checkpoint in the shared checkpoint folder).
+
+        Jobs that read a table several times (actions, chains) start from the snapshot,
+        as they would from the written table in production, instead of re-deriving it.
+        """
+        if name not in self._stored:
+            self._stored[name] = cut_lineage(getattr(self, name))
+        return self._stored[name]
 
     @property
     def customers(self) -> DataFrame:

@@ -43,6 +43,10 @@ from ledgerguard.plans import dashboard as DB  # noqa: E402
 
 QUERIES.update(DB.ENTRIES)
 
+from ledgerguard.plans import ops_queries as OQ  # noqa: E402
+
+QUERIES.update(OQ.ENTRIES)
+
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):

@@ -17,7 +17,7 @@ AS_OF_DEFAULT = "2024-01-31 00:00:00"
 
 
 def get_spark(app: str = "ledgerguard", master: str | None = None,
-              shuffle_partitions: int | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """Session with AQE, skew-join handling and UTC; no UI server."""
     builder = SparkSession.builder.appName(app)
     if master:
@@ -30,6 +30,8 @@ def get_spark(app: str = "ledgerguard", master: str | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

@@ -54,7 +54,8 @@ BANK_SCHEMAS = {
         ("risk_score", dec(5, 2)), ("outcome", S), ("reference_case_id", S), ("created_at", TS),
         ("updated_at", TS)),
     "case_escalations": _schema(
-        ("case_id", L), ("customer_id", L), ("account_id", L), ("linked_filing_id", L), ("case_type", S),
+        ("case_id", L), ("customer_id", L), ("account_id", L), ("linked_filing_id", L), ("linked_flag_id", L),
+        ("case_type", S),
         ("severity", S), ("status", S), ("assigned_to", S), ("escalated_to", S), ("created_by", S),
         ("created_at", TS), ("updated_at", TS), ("due_date", D), ("sla_breach", B),
         ("resolution_notes", S), ("evidence_txn_ids", ARR), ("tags", ARR)),

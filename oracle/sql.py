@@ -475,3 +475,222 @@ FROM case_escalations WHERE status NOT IN ('RESOLVED', 'CLOSED') GROUP BY accoun
 register("distinct_rationales", f"""
 SELECT DISTINCT flag_type, {RATIONALE} AS threshold_rationale FROM risk_flags WHERE flag_domain = 'FRAUD'
 ORDER BY flag_type""", "risk_flags")
+
+
+# ---- governance ----------------------------------------------------------------
+from ledgerguard.functions import constants as K  # noqa: E402
+from ledgerguard.operators import governance as G  # noqa: E402
+from ledgerguard.operators import quality as DQ  # noqa: E402
+from oracle.ctes import _add as add_cte  # noqa: E402
+
+
+def mask_sql(kind: str, col: str, role: str) -> str:
+    if kind == "national_id":
+        return col if role in G.FULL_PII_ROLES else f"'XXX-XX-' || right({col}, 4)"
+    if kind == "full_name":
+        return col if role in G.FULL_PII_ROLES else f"split_part({col}, ' ', 1) || ' ***'"
+    if role in G.FULL_ACCOUNT_ROLES:
+        return col
+    if role in G.PARTIAL_ACCOUNT_ROLES:
+        return f"'XXXX-' || right({col}, 4)"
+    return f"'XXXX-XXXX-' || right({col}, 4)"
+
+
+for _r in [K.ROLE_ADMIN, K.ROLE_MANAGER, K.ROLE_ANALYST, K.ROLE_AUDITOR]:
+    register(f"masked_customers_{_r.lower()}", f"""
+SELECT customer_id, {mask_sql('full_name', 'full_name', _r)} AS full_name,
+  {mask_sql('national_id', 'national_id', _r)} AS national_id, segment FROM customers""", "customers")
+    register(f"masked_accounts_{_r.lower()}", f"""
+SELECT account_id, {mask_sql('account_number', 'account_number', _r)} AS account_number, status
+FROM accounts""", "accounts")
+
+register("filings_rowfilter_manager", f"""
+SELECT filing_id, assigned_to, filing_type FROM regulatory_filings
+WHERE assigned_to = 'reviewer@partner.example' OR assigned_to LIKE '%{K.BANK_DOMAIN}'""", "regulatory_filings")
+register("filings_rowfilter_analyst", """
+SELECT filing_id, assigned_to, filing_type FROM regulatory_filings WHERE false""", "regulatory_filings")
+register("filings_rowfilter_auditor", """
+SELECT filing_id, assigned_to, filing_type FROM regulatory_filings""", "regulatory_filings")
+
+_EDGES = ", ".join(f"('{a}', '{b}')" for a, b in K.ROLE_EDGES)
+_EXEC = ", ".join(f"('{r}', '{o}')" for r, p, o in G.GRANTS if p == "EXECUTE")
+register("audit_authorization", f"""
+SELECT a.actor_role, a.action_type, coalesce(e.authorized, false) AS authorized, COUNT(*) AS n
+FROM audit_log a
+LEFT JOIN (
+  WITH RECURSIVE edges(child, parent) AS (VALUES {_EDGES}),
+  closure(role, inherited) AS (
+    SELECT parent, child FROM edges
+    UNION SELECT c.role, e.child FROM closure c JOIN edges e ON e.parent = c.inherited),
+  allr(role, inherited) AS (SELECT * FROM closure UNION SELECT child, child FROM edges
+                            UNION SELECT parent, parent FROM edges),
+  grants(role, object) AS (VALUES {_EXEC})
+  SELECT DISTINCT r.role AS actor_role, g.object AS action_type, true AS authorized
+  FROM allr r JOIN grants g ON g.role = r.inherited) e
+ON e.actor_role = a.actor_role AND e.action_type = a.action_type
+GROUP BY 1, 2, 3""", "audit_log")
+
+# ---- data quality -------------------------------------------------------------------
+_DQ_SOURCES = {"customers": "customers", "accounts": "accounts", "transactions": "transactions",
+               "credit_exposures": "exposures", "liquidity_positions": "positions",
+               "regulatory_filings": "regulatory_filings", "case_escalations": "case_escalations",
+               "audit_log": "audit_log", "risk_flags": "risk_flags", "policy_docs": "policy_docs"}
+register("dq_counts", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS n, CAST({DQ.EXPECTED_MIN_ROWS[t]} AS BIGINT) AS min_expected, "
+    f"COUNT(*) >= {DQ.EXPECTED_MIN_ROWS[t]} AS meets_minimum FROM {v}" for t, v in _DQ_SOURCES.items()),
+    *_DQ_SOURCES.values())
+
+_key_parts = []
+for _t, _v in _DQ_SOURCES.items():
+    for _kind, _keys in (("primary", DQ.PRIMARY_KEYS.get(_t)), ("unique", DQ.UNIQUE_KEYS.get(_t))):
+        if _keys:
+            _k = ", ".join(_keys)
+            _key_parts.append(
+                f"SELECT '{_t}' AS table_name, '{_kind}' AS key_kind, '{','.join(_keys)}' AS key_columns, "
+                f"COUNT(*) AS duplicate_keys, CAST(coalesce(SUM(n), 0) AS BIGINT) AS duplicate_rows "
+                f"FROM (SELECT {_k}, COUNT(*) AS n FROM {_v} GROUP BY {_k} HAVING COUNT(*) > 1) d")
+register("dq_keys", " UNION ALL ".join(_key_parts), *_DQ_SOURCES.values())
+
+register("dq_orphans", " UNION ALL ".join(
+    f"SELECT '{ch}.{cc}' AS child, '{pa}.{pc}' AS parent, COUNT(*) AS orphans FROM {_DQ_SOURCES[ch]} x "
+    f"WHERE x.{cc} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_DQ_SOURCES[pa]} y WHERE y.{pc} = x.{cc})"
+    for ch, cc, pa, pc in DQ.FOREIGN_KEYS), *_DQ_SOURCES.values())
+
+
+def _lst(vals) -> str:
+    return ", ".join(f"'{v}'" for v in vals)
+
+
+_DOMAIN_SQL = {
+    "customers": {"segment_domain": f"segment IN ({_lst(K.SEGMENTS)})",
+                  "kyc_domain": f"kyc_status IN ({_lst(K.KYC_STATUSES)})",
+                  "rating_domain": f"risk_rating IN ({_lst(K.RISK_RATINGS)})",
+                  "national_id_not_null": "national_id IS NOT NULL",
+                  "national_id_len": "length(national_id) <= 20", "full_name_len": "length(full_name) <= 120"},
+    "accounts": {"type_domain": f"account_type IN ({_lst(K.ACCOUNT_TYPES)})",
+                 "status_domain": f"status IN ({_lst(K.ACCOUNT_STATUSES)})", "currency_len": "length(currency) = 3",
+                 "npa_consistent": "npa_flag = (status = 'NPA')"},
+    "transactions": {"type_domain": "txn_type IN ('DEBIT', 'CREDIT')",
+                     "channel_domain": f"channel IN ({_lst(K.CHANNELS)})", "amount_not_null": "amount IS NOT NULL",
+                     "ts_not_null": "txn_ts IS NOT NULL"},
+    "credit_exposures": {"pd_range": "pd_score BETWEEN 0 AND 1", "lgd_range": "lgd BETWEEN 0 AND 1",
+                         "rating_domain": f"internal_rating IN ({_lst(K.INTERNAL_RATINGS)})",
+                         "sector_domain": f"sector IN ({_lst(K.SECTORS)})"},
+    "liquidity_positions": {"bucket_domain": f"tenor_bucket IN ({_lst(K.TENOR_BUCKETS)})",
+                            "inflow_non_negative": "inflow >= 0", "outflow_non_negative": "outflow >= 0"},
+    "case_escalations": {"severity_domain": f"severity IN ({_lst(K.CASE_SEVERITIES)})",
+                         "status_domain": f"status IN ({_lst(K.CASE_STATUSES)})",
+                         "type_domain": f"case_type IN ({_lst(K.CASE_TYPES)})"},
+}
+register("dq_domains", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{k}' AS check_name, "
+    f"CAST(SUM(CASE WHEN coalesce({p}, false) THEN 0 ELSE 1 END) AS BIGINT) AS violations FROM {_DQ_SOURCES[t]}"
+    for t, checks in _DOMAIN_SQL.items() for k, p in checks.items()), *_DQ_SOURCES.values())
+
+_mask_parts = []
+for _table, _cols in DQ.SENSITIVE.items():
+    for _role in K.ALL_ROLES:
+        for _col in _cols:
+            _mask_parts.append(
+                f"SELECT '{_role}' AS role, '{_table}' AS table_name, '{_col}' AS column_name, "
+                f"CAST(SUM(CASE WHEN {mask_sql(_col, _col, _role)} = {_col} THEN 1 ELSE 0 END) AS BIGINT) "
+                f"AS unmasked_values, COUNT(*) AS visible_rows FROM {_table}")
+register("dq_masking", " UNION ALL ".join(_mask_parts), "customers", "accounts")
+
+# ---- actions ---------------------------------------------------------------------
+OFFICER_USER = "compliance.officer" + K.BANK_DOMAIN
+COMMITTEE = "risk.committee" + K.BANK_DOMAIN
+add_cte("flags_full", f"""
+SELECT r.*, {RATIONALE} AS threshold_rationale FROM risk_flags r""", ["risk_flags"])
+add_cte("sar_requests", """
+SELECT flag_id AS request_id, flag_id, CASE WHEN flag_domain = 'FRAUD' THEN 'auto-filed' END AS notes
+FROM risk_flags WHERE severity = 'CRITICAL'
+UNION ALL
+SELECT flag_id + 10000000000000000, flag_id, NULL FROM risk_flags WHERE flag_type = 'CROSS_BORDER'""",
+        ["risk_flags"])
+add_cte("sar_eval", """
+SELECT q.request_id, q.flag_id, q.notes, f.flag_type, f.flag_status, f.customer_id, f.account_id,
+  f.threshold_rationale, f.flag_score,
+  CASE WHEN q.request_id <> w.first_id THEN 'Duplicate request in batch'
+       WHEN f.flag_id IS NULL OR f.flag_status IN ('ACTIONED', 'DISMISSED') THEN 'Flag not found or already actioned'
+       WHEN f.customer_id IS NULL THEN 'no_customer' END AS error
+FROM sar_requests q
+JOIN (SELECT flag_id, MIN(request_id) AS first_id FROM sar_requests GROUP BY flag_id) w ON w.flag_id = q.flag_id
+LEFT JOIN flags_full f ON f.flag_id = q.flag_id""", ["sar_requests", "flags_full"])
+add_cte("sar_ok", """
+SELECT *, (SELECT COALESCE(MAX(filing_id), 0) FROM regulatory_filings)
+          + ROW_NUMBER() OVER (ORDER BY request_id) AS filing_id
+FROM sar_eval WHERE error IS NULL""", ["sar_eval", "regulatory_filings"])
+
+register("sar_batch", """
+SELECT request_id, flag_id, 'ok' AS status, filing_id, 'SAR draft created.' AS message, CAST(NULL AS VARCHAR) AS error
+FROM sar_ok
+UNION ALL
+SELECT request_id, flag_id, 'error', NULL, NULL, error FROM sar_eval WHERE error IS NOT NULL""",
+         "sar_ok", "sar_eval")
+register("sar_filings", f"""
+SELECT filing_id, customer_id, account_id, 'DRAFT' AS filing_status,
+  'SAR drafted from risk flag ' || CAST(flag_id AS VARCHAR) || '. Flag: ' || flag_type || '. Regulatory basis: '
+    || coalesce(threshold_rationale, '') || CASE WHEN notes IS NOT NULL THEN '. Notes: ' || notes ELSE '' END
+    AS narrative,
+  CAST(coalesce(flag_score, 0) AS DECIMAL(5,2)) AS risk_score, 'SAR-FLAG-' || CAST(flag_id AS VARCHAR)
+    AS reference_case_id, '{OFFICER_USER}' AS filed_by
+FROM sar_ok""", "sar_ok")
+register("sar_flag_state", """
+SELECT f.flag_domain, CASE WHEN o.flag_id IS NOT NULL THEN 'ACTIONED' ELSE f.flag_status END AS flag_status,
+  CASE WHEN o.flag_id IS NOT NULL THEN 'SAR_FILED' END AS action_taken, COUNT(*) AS n
+FROM risk_flags f LEFT JOIN sar_ok o ON o.flag_id = f.flag_id GROUP BY 1, 2, 3""", "risk_flags", "sar_ok")
+register("sar_audit_rows", f"""
+SELECT (SELECT COALESCE(MAX(log_id), 0) FROM audit_log) + ROW_NUMBER() OVER (ORDER BY request_id) AS log_id,
+  '{K.ROLE_COMPLIANCE}' AS actor_role, 'FILE_SAR' AS action_type, 'FILING' AS object_type,
+  CAST(filing_id AS VARCHAR) AS object_id,
+  '{{"filing_id":' || CAST(filing_id AS VARCHAR) || ',"flag_id":' || CAST(flag_id AS VARCHAR) || '}}' AS after_state,
+  'SAR filed from flag_id=' || CAST(flag_id AS VARCHAR) || ' filing_id=' || CAST(filing_id AS VARCHAR)
+    AS change_summary
+FROM sar_ok""", "sar_ok", "audit_log")
+
+add_cte("freeze_ok", """
+SELECT q.request_id, q.account_id, q.request_id AS linked_flag_id, a.customer_id, a.status AS before_status,
+  (SELECT COALESCE(MAX(case_id), 0) FROM case_escalations) + ROW_NUMBER() OVER (ORDER BY q.request_id) AS case_id
+FROM (SELECT account_id, MIN(flag_id) AS request_id FROM risk_flags
+      WHERE flag_domain = 'FRAUD' AND flag_status = 'CONFIRMED_FRAUD' GROUP BY account_id) q
+JOIN accounts a ON a.account_id = q.account_id""", ["risk_flags", "accounts", "case_escalations"])
+register("freeze_batch", """
+SELECT request_id, account_id, 'ok' AS status, case_id, 'Account flagged and case opened.' AS message,
+  CAST(NULL AS VARCHAR) AS error FROM freeze_ok""", "freeze_ok")
+register("freeze_cases", """
+SELECT case_id, customer_id, account_id, linked_flag_id, CAST(NULL AS BIGINT) AS linked_filing_id, 'OPEN' AS status,
+  'Account frozen. Reason: Confirmed fraud under review' AS resolution_notes FROM freeze_ok""", "freeze_ok")
+
+add_cte("esc_eval", """
+SELECT case_id AS request_id, case_id, case_type AS notes, status AS before_status,
+  CASE WHEN status IN ('RESOLVED', 'CLOSED') THEN 'Case not found or already resolved/closed' END AS error
+FROM case_escalations WHERE severity = 'CRITICAL'""", ["case_escalations"])
+register("escalate_batch", """
+SELECT request_id, case_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN error IS NULL THEN 'ESCALATED' END AS new_status,
+  CASE WHEN error IS NULL THEN 'Case escalated.' END AS message, error
+FROM esc_eval""", "esc_eval")
+register("escalate_state", f"""
+SELECT k.case_id, CASE WHEN e.case_id IS NOT NULL THEN 'ESCALATED' ELSE k.status END AS status,
+  CASE WHEN e.case_id IS NOT NULL THEN '{COMMITTEE}' ELSE k.escalated_to END AS escalated_to,
+  CASE WHEN e.case_id IS NOT NULL THEN coalesce(k.resolution_notes, '') || ' | Escalated by {OFFICER_USER} to '
+       || '{COMMITTEE}' || CASE WHEN e.notes IS NOT NULL THEN ': ' || e.notes ELSE '' END
+       ELSE k.resolution_notes END AS resolution_notes
+FROM case_escalations k LEFT JOIN (SELECT * FROM esc_eval WHERE error IS NULL) e ON e.case_id = k.case_id""",
+         "case_escalations", "esc_eval")
+
+register("audit_replay", """
+SELECT object_type, object_id,
+  arg_max(action_type, struct_pack(event_ts, log_id)) AS last_action,
+  arg_max(log_id, struct_pack(event_ts, log_id)) AS last_log_id,
+  json_extract_string(arg_max(after_state, struct_pack(event_ts, log_id)), '$.status') AS current_status,
+  COUNT(*) AS events
+FROM audit_log GROUP BY object_type, object_id""", "audit_log")
+
+register("action_chain", """
+SELECT '1_FILE_SAR' AS step, (SELECT COUNT(*) FROM sar_ok) AS accepted,
+  (SELECT COUNT(*) FROM sar_eval WHERE error IS NOT NULL) AS rejected
+UNION ALL SELECT '2_FLAG_ACCOUNT', (SELECT COUNT(DISTINCT account_id) FROM sar_ok WHERE account_id IS NOT NULL), 0
+UNION ALL SELECT '3_ESCALATE_CASE', (SELECT COUNT(DISTINCT account_id) FROM sar_ok WHERE account_id IS NOT NULL), 0""",
+         "sar_ok", "sar_eval")
