@@ -47,6 +47,10 @@ from ledgerguard.plans import ops_queries as OQ  # noqa: E402
 
 QUERIES.update(OQ.ENTRIES)
 
+from ledgerguard.plans import search_queries as RQ  # noqa: E402
+
+QUERIES.update(RQ.ENTRIES)
+
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):

@@ -694,3 +694,113 @@ SELECT '1_FILE_SAR' AS step, (SELECT COUNT(*) FROM sar_ok) AS accepted,
 UNION ALL SELECT '2_FLAG_ACCOUNT', (SELECT COUNT(DISTINCT account_id) FROM sar_ok WHERE account_id IS NOT NULL), 0
 UNION ALL SELECT '3_ESCALATE_CASE', (SELECT COUNT(DISTINCT account_id) FROM sar_ok WHERE account_id IS NOT NULL), 0""",
          "sar_ok", "sar_eval")
+
+
+# ---- search, conversations, streaming --------------------------------------------
+from ledgerguard.plans.search_queries import QUESTIONS  # noqa: E402
+
+add_cte("doc_toks", """
+SELECT doc_id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: length(x) > 0) AS toks
+FROM policy_docs""", ["policy_docs"])
+add_cte("postings", """
+SELECT doc_id, term, COUNT(*) AS tf, doc_len
+FROM (SELECT doc_id, unnest(toks) AS term, len(toks) AS doc_len FROM doc_toks) GROUP BY doc_id, term, doc_len""",
+        ["doc_toks"])
+add_cte("idf", """
+SELECT d.term, s.n_docs, s.avg_len,
+  ln(1.0::DOUBLE + (CAST(s.n_docs - d.df AS DOUBLE) + 0.5::DOUBLE) / (CAST(d.df AS DOUBLE) + 0.5::DOUBLE)) AS idf
+FROM (SELECT term, COUNT(*) AS df FROM postings GROUP BY term) d,
+     (SELECT COUNT(*) AS n_docs, AVG(doc_len) AS avg_len FROM (SELECT DISTINCT doc_id, doc_len FROM postings)) s""",
+        ["postings"])
+_QVALUES = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
+add_cte("questions", f"SELECT * FROM (VALUES {_QVALUES}) q(query_id, text)", [])
+add_cte("bench_queries", "SELECT item_id AS query_id, text FROM benchmark", [])
+
+
+def bm25_sql(queries: str, k: int, doc_filter: str = "") -> str:
+    return f"""
+SELECT query_id, doc_id, score, rank FROM (
+  SELECT query_id, doc_id, score, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+  FROM (
+    SELECT q.query_id, p.doc_id,
+      ROUND(SUM(i.idf * CAST(p.tf AS DOUBLE) * 2.2::DOUBLE
+                / (CAST(p.tf AS DOUBLE) + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * CAST(p.doc_len AS DOUBLE)
+                                                          / i.avg_len))), 5) AS score
+    FROM (SELECT DISTINCT query_id,
+                 unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 0)) AS term
+          FROM {queries}) q
+    JOIN postings p ON p.term = q.term
+    JOIN idf i ON i.term = q.term
+    {doc_filter}
+    GROUP BY q.query_id, p.doc_id) s) r
+WHERE rank <= {k}"""
+
+
+register("index_postings", "SELECT doc_id, term, tf, doc_len FROM postings", "postings")
+INDEX_STATS = "SELECT COUNT(DISTINCT doc_id) AS n_docs, COUNT(DISTINCT term) AS n_terms, SUM(tf) AS total_tf FROM postings"
+register("index_stats", INDEX_STATS, "postings")
+register("bm25_top_k", bm25_sql("questions", 10), "postings", "idf", "questions")
+register("bm25_filtered", bm25_sql(
+    "questions", 5, "WHERE p.doc_id IN (SELECT doc_id FROM policy_docs WHERE doc_type IN ('REGULATION', "
+                    "'INTERNAL_POLICY'))"), "postings", "idf", "questions", "policy_docs")
+register("bm25_benchmark", bm25_sql("bench_queries", 3), "postings", "idf", "bench_queries")
+register("run_summary", f"""
+SELECT query_id, COUNT(*) AS hits, MAX(score) AS best_score, COUNT(*) > 0 AS passed
+FROM ({bm25_sql('questions', 10)}) t GROUP BY query_id""", "postings", "idf", "questions")
+
+add_cte("centroids", """
+SELECT label AS query_id, list(m ORDER BY i) AS qvec FROM (
+  SELECT label, i, AVG(CAST(x AS DOUBLE)) AS m
+  FROM (SELECT label, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)
+  GROUP BY label, i) GROUP BY label""", [])
+register("vector_top_k", """
+SELECT query_id, vec_id, score, rank FROM (
+  SELECT query_id, vec_id, score, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM (SELECT c.query_id, e.vec_id,
+               ROUND(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.qvec), 5) AS score
+        FROM embeddings e, centroids c) s) r
+WHERE rank <= 10""", "centroids")
+
+register("doc_tags", """
+SELECT tag, COUNT(*) AS n_docs FROM (SELECT unnest(tags) AS tag FROM policy_docs) GROUP BY tag""", "policy_docs")
+register("doc_snippets", """
+SELECT doc_id, title || ': ' || left(content, 200) AS snippet FROM policy_docs ORDER BY doc_id LIMIT 5""",
+         "policy_docs")
+
+add_cte("conv_pairs", """
+SELECT conv_id, turn AS user_turn, text AS question, next_text AS answer FROM (
+  SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+            lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
+  FROM conversations) WHERE role = 'user' AND next_role = 'assistant'""", [])
+register("conversation_pairs", "SELECT * FROM conv_pairs", "conv_pairs")
+register("conversation_summary", """
+SELECT conv_id, COUNT(*) AS exchanges, MAX(user_turn) AS newest_turn FROM conv_pairs GROUP BY conv_id""",
+         "conv_pairs")
+register("agent_log_extract", """
+SELECT conv_id AS response_id,
+  arg_max(text, struct_pack(l := length(text), t := text)) FILTER (WHERE role <> 'system') AS answer,
+  coalesce(string_agg(DISTINCT 'context_loader', ',') FILTER (WHERE role = 'system'), '') AS tools
+FROM conversations GROUP BY conv_id""")
+
+FRAUD_FLAG_COLS = "flag_id, flag_type, severity, flag_status, customer_id, account_id, txn_id, flag_score"
+register("refresh_increment", f"SELECT {FRAUD_FLAG_COLS} FROM fraud_flags", "fraud_flags")
+register("refresh_rerun", "SELECT 1 AS run, COUNT(*) AS added FROM fraud_flags UNION ALL SELECT 2, 0",
+         "fraud_flags")
+register("missed_flags", """
+SELECT txn_id, account_id, txn_ts, fraud_pattern FROM transactions
+WHERE is_flagged AND txn_ts >= TIMESTAMP '2024-01-30 00:00:00'""", "transactions")
+register("sliding_velocity", """
+SELECT make_timestamp(s) AS window_start, make_timestamp(s + 3600000000) AS window_end, account_id, COUNT(*) AS n
+FROM (SELECT account_id, (epoch_us(txn_ts) // 300000000 - k) * 300000000 AS s
+      FROM tx_raw, range(12) r(k)) GROUP BY 1, 2, 3""", "tx_raw")
+register("flag_rate_15min", """
+SELECT make_timestamp((epoch_us(t.txn_ts) // 900000000) * 900000000) AS window_start, f.flag_domain, f.severity,
+  COUNT(*) AS n
+FROM fraud_flags f JOIN transactions t ON t.txn_id = f.txn_id GROUP BY 1, 2, 3""", "fraud_flags", "transactions")
+add_cte("raw_doc_toks", """
+SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 0) AS toks
+FROM documents""", [])
+register("doc_index_stream", """
+SELECT COUNT(DISTINCT doc_id) AS n_docs, COUNT(DISTINCT term) AS n_terms, SUM(tf) AS total_tf FROM (
+  SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM raw_doc_toks)
+  GROUP BY doc_id, term)""", "raw_doc_toks")
