@@ -43,7 +43,8 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], score_col: str, tie_co
     stage1 = (df.withColumn("_lg_b", b)
                 .withColumn("_lg_r", F.row_number().over(Window.partitionBy(*group_cols, "_lg_b").orderBy(*order)))
                 .filter(c("_lg_r") <= k).drop("_lg_r", "_lg_b"))
-    return (stage1.withColumn("rank", F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order)))
+    return (stage1.withColumn("rank", F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order))
+                              .cast("bigint"))
                   .filter(c("rank") <= k))
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window  # noqa: F401
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,3 +121,46 @@ def forward_max(df: DataFrame, keys: list[str], ts_col: str, window: str, value_
         ),
     )
     return res.filter(is_own).drop("_lg_t", "_lg_b", "_lg_own", "_lg_k")
+
+
+def range_sums(df: DataFrame, keys: list[str], ts_col: str, window: str, measures: dict[str, Column],
+               direction: str = "trailing") -> DataFrame:
+    """Add, per measure, the sum of the measure over rows with the same ``keys`` whose time lies in
+    ``[t - W, t]`` (``trailing``) or ``[t, t + W]`` (``forward``).
+
+    Same (key, time-bucket) partitioning as :func:`trailing_count`: each row also goes once to the
+    neighbouring bucket, so a hot key is split over its buckets and no pairs are materialized.
+    """
+    if direction not in ("trailing", "forward"):
+        raise ValueError(direction)
+    W = duration_micros(window)
+    step = 1 if direction == "trailing" else -1
+    base = df.withColumn("_lg_t", epoch_micros(df, ts_col)).withColumn("_lg_b", F.floor(F.col("_lg_t") / F.lit(W)))
+    names = list(measures)
+    for i, n in enumerate(names):
+        base = base.withColumn(f"_lg_m{i}", measures[n])
+    own = base.withColumn("_lg_own", F.lit(1)).withColumn("_lg_k", F.col("_lg_t"))
+    carry_cols = []
+    for f in own.schema.fields:
+        if f.name in keys or f.name.startswith("_lg_m") or f.name == "_lg_t":
+            carry_cols.append(F.col(f.name))
+        elif f.name == "_lg_b":
+            carry_cols.append((F.col("_lg_b") + step).alias("_lg_b"))
+        elif f.name == "_lg_own":
+            carry_cols.append(F.lit(0).alias("_lg_own"))
+        elif f.name == "_lg_k":
+            carry_cols.append((F.col("_lg_t") + F.lit(step * W)).alias("_lg_k"))
+        else:
+            carry_cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+    both = own.unionByName(own.select(carry_cols))
+    w = Window.partitionBy(*keys, "_lg_b").orderBy("_lg_k")
+    upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    own_frame, carry_frame = (upto, from_here) if direction == "trailing" else (from_here, upto)
+    is_own = F.col("_lg_own") == 1
+    for i, n in enumerate(names):
+        m = F.col(f"_lg_m{i}")
+        both = both.withColumn(n, F.coalesce(F.sum(F.when(is_own, m)).over(own_frame), F.lit(0))
+                               + F.coalesce(F.sum(F.when(~is_own, m)).over(carry_frame), F.lit(0)))
+    drop = ["_lg_t", "_lg_b", "_lg_own", "_lg_k"] + [f"_lg_m{i}" for i in range(len(names))]
+    return both.filter(is_own).drop(*drop)

@@ -51,6 +51,10 @@ from ledgerguard.plans import search_queries as RQ  # noqa: E402
 
 QUERIES.update(RQ.ENTRIES)
 
+from ledgerguard.plans import misc_queries as MQ  # noqa: E402
+
+QUERIES.update(MQ.ENTRIES)
+
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):

@@ -804,3 +804,148 @@ register("doc_index_stream", """
 SELECT COUNT(DISTINCT doc_id) AS n_docs, COUNT(DISTINCT term) AS n_terms, SUM(tf) AS total_tf FROM (
   SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM raw_doc_toks)
   GROUP BY doc_id, term)""", "raw_doc_toks")
+
+
+# ---- generators, sinks, scalar families, policy rules ------------------------------
+from ledgerguard.functions.rules import RULE_CATALOG as _CAT  # noqa: E402
+
+register("gen_labels", """
+SELECT fraud_pattern, COUNT(*) AS n FROM (
+  SELECT CASE WHEN (event_id + 1) % 33 < 5 THEN 'VELOCITY' WHEN (event_id + 1) % 50 = 0 THEN 'STRUCTURING'
+              WHEN (event_id + 1) % 75 = 0 THEN 'CROSS_BORDER' WHEN (event_id + 1) % 120 = 0 THEN 'ROUND_NUMBER'
+         END AS fraud_pattern FROM events) WHERE fraud_pattern IS NOT NULL GROUP BY 1""")
+_BUCKETS = ", ".join(f"({i + 1}, '{b}')" for i, b in enumerate(K.TENOR_BUCKETS))
+register("bucket_index", f"""
+SELECT b.idx, b.tenor_bucket, p.positions
+FROM (SELECT tenor_bucket, COUNT(*) AS positions FROM positions GROUP BY 1) p
+JOIN (VALUES {_BUCKETS}) b(idx, tenor_bucket) ON b.tenor_bucket = p.tenor_bucket""", "positions")
+_CATV = ", ".join("('{}', {}, {})".format(t, f"'{f}'" if f else "NULL", "NULL" if lim is None else f"{float(lim)}::DOUBLE")
+                  for t, f, lim, _ in _CAT)
+register("rule_catalog_usage", f"""
+SELECT f.flag_type, f.n, k.fld AS catalog_field, k.lim AS catalog_limit
+FROM (SELECT flag_type, COUNT(*) AS n FROM risk_flags GROUP BY 1) f
+LEFT JOIN (VALUES {_CATV}) k(flag_type, fld, lim) ON k.flag_type = f.flag_type""", "risk_flags")
+register("flags_append", "SELECT flag_domain, flag_status, COUNT(*) AS n FROM risk_flags GROUP BY 1, 2",
+         "risk_flags")
+register("export_flags_csv", f"""
+SELECT flag_id, flag_domain, flag_type, severity, flag_score FROM risk_flags
+WHERE {NF} AND severity IN ('CRITICAL', 'HIGH') AND flag_score >= 65
+ORDER BY flag_score DESC, flag_id LIMIT 500""", "risk_flags")
+register("export_results_json", f"""
+SELECT query_id, COUNT(*) AS hits, MAX(score) AS best_score FROM ({bm25_sql('questions', 10)}) t GROUP BY 1""",
+         "postings", "idf", "questions")
+
+register("fn_string", """
+SELECT customer_id, upper(segment) || '-' || lower(kyc_status) AS tag, chr(CAST(65 + customer_id % 26 AS INTEGER))
+  AS letter, lpad(CAST(customer_id AS VARCHAR), 8, '0') AS padded, left(full_name, 8) AS name8,
+  right(national_id, 4) AS id4, split_part(email, '@', 2) AS domain FROM customers""", "customers")
+register("fn_math", """
+SELECT exposure_id, exposure_id % 7 AS m7, ((exposure_id - 100) % 7 + 7) % 7 AS pm7,
+  CAST(ROUND(pd_score * 100, 1) AS DECIMAL(10,1)) AS pd_pct, LEAST(pd_score, lgd) AS low,
+  CAST(ead - outstanding AS DECIMAL(18,2)) AS headroom FROM exposures""", "exposures")
+register("fn_null", """
+SELECT account_id, CAST(coalesce(credit_limit, 0) AS DECIMAL(18,2)) AS limit0, nullif(status, 'ACTIVE') AS non_active,
+  utilisation_pct IS NULL AS no_util FROM accounts""", "accounts")
+register("fn_random", "SELECT COUNT(*) AS n, COUNT(*) AS in_range, COUNT(*) AS uuid_shaped FROM tx_raw", "tx_raw")
+register("fn_date", f"""
+SELECT txn_id, CAST(txn_ts AS DATE) + 30 AS plus30, txn_ts + INTERVAL 2 HOURS AS plus2h,
+  CAST(day(txn_ts) AS BIGINT) AS dom, CAST(hour(txn_ts) AS BIGINT) AS hr,
+  date_diff('day', CAST(txn_ts AS DATE), CAST({AS_OF} AS DATE)) AS age_days,
+  date_trunc('hour', txn_ts) AS hour_start FROM tx_raw""", "tx_raw")
+register("fn_array", """
+SELECT case_id, tags[1] AS first_tag, tags[2] AS second_tag, len(tags) AS n_tags,
+  list_contains(tags, 'FRAUD') AS is_fraud, array_to_string(evidence_txn_ids, ';') AS evidence
+FROM case_escalations""", "case_escalations")
+register("fn_json", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+  CAST(json_extract(props, '$.k') AS INTEGER) AS k2,
+  CAST(json_object('event_id', event_id, 'event_type', event_type) AS VARCHAR) AS j FROM events""")
+register("fn_context", f"""
+SELECT actor_user = 'risk.manager{K.BANK_DOMAIN}' AS by_me, actor_role = '{K.ROLE_MANAGER}' AS my_role,
+  COUNT(*) AS n FROM audit_log GROUP BY 1, 2""", "audit_log")
+
+register("x1", """
+SELECT filing_id, filing_date, due_days, filing_date + due_days AS sar_due_date FROM (
+  SELECT *, CASE WHEN outcome = 'UNDER_INVESTIGATION' THEN 90 WHEN customer_id IS NULL THEN 60 ELSE 30 END AS due_days
+  FROM regulatory_filings WHERE filing_type = 'SAR')""", "regulatory_filings")
+register("x2", """
+SELECT txn_id, amount, CAST(txn_ts AS DATE) + 15 AS ctr_due_date FROM transactions
+WHERE txn_category = 'CASH' AND amount > 10000""", "transactions")
+register("x3", """
+SELECT f.filing_id, f.amount_involved, f.amount_involved >= 5000 AS mandatory,
+  CASE WHEN f.amount_involved > 100000 THEN 'CHIEF_COMPLIANCE_OFFICER'
+       WHEN coalesce(c.pep_flag, false) OR coalesce(c.sanction_flag, false) THEN 'CHIEF_COMPLIANCE_OFFICER'
+       WHEN f.amount_involved >= 25000 THEN 'SENIOR_COMPLIANCE_MANAGER' ELSE 'COMPLIANCE_OFFICER' END AS approver
+FROM regulatory_filings f LEFT JOIN customers c ON c.customer_id = f.customer_id""",
+         "regulatory_filings", "customers")
+register("x4", """
+SELECT sector, CAST(SUM(outstanding) AS DECIMAL(18,2)) AS outstanding,
+  ROUND(CAST(SUM(outstanding) AS DOUBLE) / (SELECT CAST(SUM(outstanding) AS DOUBLE) FROM exposures), 4) AS share,
+  ROUND(CAST(SUM(outstanding) AS DOUBLE) / (SELECT CAST(SUM(outstanding) AS DOUBLE) FROM exposures), 4) > 0.25
+    AS breach
+FROM exposures GROUP BY sector""", "exposures")
+register("x5", f"""
+SELECT account_id, dpd AS days_past_due,
+  CASE WHEN dpd <= 0 THEN 'CURRENT' WHEN dpd <= 30 THEN 'SMA-0' WHEN dpd <= 60 THEN 'SMA-1' WHEN dpd <= 90 THEN 'SMA-2'
+       ELSE 'NPA' END AS dpd_class
+FROM (SELECT account_id, date_diff('day', last_txn_date, CAST({AS_OF} AS DATE)) AS dpd FROM accounts)""",
+         "accounts")
+register("x6", f"""
+SELECT exposure_id, npa_classification, CAST(rate AS DECIMAL(5,2)) AS provision_rate,
+  CAST(ROUND(outstanding * CAST(rate AS DECIMAL(5,2)), 2) AS DECIMAL(18,2)) AS provision
+FROM (SELECT e.exposure_id, e.outstanding, a.npa_classification,
+        CASE WHEN a.npa_classification = 'SUBSTANDARD' THEN CASE WHEN e.collateral_type <> 'UNSECURED' THEN 0.15
+                                                                 ELSE 0.25 END
+             WHEN a.npa_classification = 'DOUBTFUL' THEN
+               CASE WHEN date_diff('day', a.last_txn_date, CAST({AS_OF} AS DATE)) <= 365 THEN 0.25
+                    WHEN date_diff('day', a.last_txn_date, CAST({AS_OF} AS DATE)) <= 1095 THEN 0.40 ELSE 1.0 END
+             WHEN a.npa_classification = 'LOSS' THEN 1.0 ELSE 0.0 END AS rate
+      FROM exposures e JOIN accounts a ON a.account_id = e.account_id WHERE a.npa_flag)""",
+         "exposures", "accounts")
+register("x7", """
+SELECT position_id, capped_lcr, coalesce(capped_lcr < 0.95, false) AS early_warning FROM (
+  SELECT position_id, ROUND(CAST(hqla_level1 + hqla_level2 AS DOUBLE) / NULLIF(greatest(
+      CAST(outflow AS DOUBLE) - least(CAST(inflow AS DOUBLE), CAST(outflow AS DOUBLE) * 0.75::DOUBLE),
+      CAST(outflow AS DOUBLE) * 0.25::DOUBLE), 0), 4) AS capped_lcr FROM positions)""", "positions")
+register("x8", """
+SELECT position_id, nsfr_ratio, coalesce(nsfr_ratio < 1.03, false) AS nsfr_warning FROM positions""", "positions")
+register("x9", """
+SELECT c.txn_id, c.account_id, c.txn_ts, c.amount, COUNT(*) AS debits_48h,
+  CAST(SUM(d.amount) AS DECIMAL(18,2)) AS debit_amount_48h
+FROM transactions c JOIN transactions d
+  ON d.account_id = c.account_id AND d.txn_type = 'DEBIT' AND d.txn_ts >= c.txn_ts
+ AND d.txn_ts <= c.txn_ts + INTERVAL 48 HOURS
+WHERE c.txn_type = 'CREDIT' AND c.is_structuring GROUP BY 1, 2, 3, 4""", "transactions")
+register("x10", """
+SELECT txn_id, account_id, txn_ts, n_sub, sub_total FROM (
+  SELECT *, CAST(SUM(CASE WHEN txn_type = 'CREDIT' AND amount < 10000 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS n_sub,
+    CAST(SUM(CASE WHEN txn_type = 'CREDIT' AND amount < 10000 THEN amount ELSE 0 END) OVER w AS DECIMAL(18,2))
+      AS sub_total
+  FROM transactions
+  WINDOW w AS (PARTITION BY account_id ORDER BY txn_ts RANGE BETWEEN INTERVAL 21 DAYS PRECEDING AND CURRENT ROW))
+WHERE txn_type = 'CREDIT' AND amount < 10000 AND n_sub >= 3""", "transactions")
+register("x11", """
+SELECT sector, CAST(SUM(rwa) AS DECIMAL(18,2)) AS rwa,
+  CAST(ROUND(SUM(rwa) * 0.045, 2) AS DECIMAL(18,2)) AS cet1_need,
+  CAST(ROUND(SUM(rwa) * 0.060, 2) AS DECIMAL(18,2)) AS tier1_need,
+  CAST(ROUND(SUM(rwa) * 0.080, 2) AS DECIMAL(18,2)) AS total_capital_need FROM exposures GROUP BY sector""",
+         "exposures")
+register("x12", f"""
+SELECT flag_id, flag_score, {AS_OF} + INTERVAL 24 HOURS AS review_due_at FROM risk_flags WHERE flag_score > 75""",
+         "risk_flags")
+register("x13", f"""
+SELECT case_id, status, bd AS business_days_idle, bd > 5 AS sla_breach_calc FROM (
+  SELECT case_id, status,
+    CASE WHEN CAST({AS_OF} AS DATE) > CAST(updated_at AS DATE)
+         THEN len(list_filter(generate_series(CAST(updated_at AS DATE) + 1, CAST({AS_OF} AS DATE), INTERVAL 1 DAY),
+                              lambda d: isodow(d) < 6)) ELSE 0 END AS bd
+  FROM case_escalations WHERE status NOT IN ('RESOLVED', 'CLOSED'))""", "case_escalations")
+register("x14", """
+SELECT position_id, position_date,
+  position_date + CASE isodow(position_date) WHEN 6 THEN 3 WHEN 7 THEN 2 WHEN 4 THEN 4 WHEN 5 THEN 4 ELSE 2 END
+    AS notify_by
+FROM positions WHERE lcr_breach""", "positions")
+register("x15", """
+SELECT e.exposure_id, CASE WHEN coalesce(a.npa_flag, false) OR e.pd_score > 0.35 THEN 3 WHEN e.pd_score > 0.10 THEN 2
+                           ELSE 1 END AS stage
+FROM exposures e LEFT JOIN accounts a ON a.account_id = e.account_id""", "exposures", "accounts")
