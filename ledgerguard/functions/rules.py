@@ -60,8 +60,13 @@ SHORT_TIPS = {
 }
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _map(pairs) -> Column:
-    return F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.lit(v))])
+    """A literal map built as one SQL expression (one JVM call instead of one per literal)."""
+    return F.expr("map(" + ", ".join(f"{_sql_str(k)}, {_sql_str(v)}" for k, v in pairs) + ")")
 
 
 def rationale(flag_type: Column) -> Column:

@@ -36,13 +36,22 @@ def utilisation(outstanding: Column, limit: Column) -> Column:
 
 
 def derive_credit(exposures: DataFrame, watch_pd: float = K.WATCH_LIST_PD) -> DataFrame:
-    """Back-fill expected loss, RWA, utilisation and the watch-list flag (O-D10..D13)."""
+    """Back-fill expected loss, RWA, utilisation and the watch-list flag (O-D10..D13), one projection."""
     c = F.col
-    df = backfill(exposures, "expected_loss", expected_loss(c("pd_score"), c("lgd"), c("ead")))
-    df = backfill(df, "rwa", risk_weighted_assets(c("ead"), c("risk_weight_pct")))
-    df = backfill(df, "utilisation_pct", utilisation(c("outstanding"), c("credit_limit")))
-    df = backfill(df, "watch_list_flag", c("pd_score") > F.lit(watch_pd))
-    return df
+    derived = {
+        "expected_loss": expected_loss(c("pd_score"), c("lgd"), c("ead")),
+        "rwa": risk_weighted_assets(c("ead"), c("risk_weight_pct")),
+        "utilisation_pct": utilisation(c("outstanding"), c("credit_limit")),
+        "watch_list_flag": c("pd_score") > F.lit(watch_pd),
+    }
+    return fill_columns(exposures, derived)
+
+
+def fill_columns(df: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """O-S7 for several columns at once: existing columns are coalesced, new ones appended."""
+    cols = [F.coalesce(F.col(x), derived[x]).alias(x) if x in derived else F.col(x) for x in df.columns]
+    cols += [v.alias(k) for k, v in derived.items() if k not in df.columns]
+    return df.select(*cols)
 
 
 def credit_payload() -> Column:

@@ -28,7 +28,7 @@ def detect_velocity(txns: DataFrame, n: int = K.VELOCITY_MIN_TXNS, window: str =
     ``is_velocity`` = count >= n.  With ``mark_burst`` every member of such a window is
     flagged (``is_velocity_burst``), also the ones before the n-th txn."""
     out = trailing_count(txns, [account_col], ts_col, window, "velocity_count")
-    out = out.withColumn("is_velocity", F.col("velocity_count") >= n)
+    out = out.select("*", (F.col("velocity_count") >= n).alias("is_velocity"))
     if mark_burst:
         out = forward_max(out, [account_col], ts_col, window, "velocity_count", "_lg_burst")
         out = out.withColumn("is_velocity_burst", F.col("_lg_burst") >= n).drop("_lg_burst")
@@ -90,31 +90,35 @@ def classify_fraud(txns: DataFrame, *, velocity_n: int = K.VELOCITY_MIN_TXNS,
     * ``fraud_pattern``: the first hit (primary pattern), ``is_flagged``
     * ``flag_score``: deterministic score inside the pattern's range
     * ``review_status`` / ``reviewed_by``: PENDING for flagged rows; a deterministic third is reviewed
+
+    The row rules are the same column expressions as the single detectors, added in one projection.
     """
     df = detect_velocity(txns, velocity_n, velocity_window, mark_burst=mark_burst)
-    df = detect_structuring(df, structuring[0], structuring[1], channels=channels)
-    df = detect_cross_border(df, high_risk)
-    df = detect_round_number(df, round_min, round_step)
+    a = F.col("amount")
+    struct_hit = a.between(F.lit(structuring[0]), F.lit(structuring[1]))
+    if channels:
+        struct_hit = struct_hit & F.col("channel").isin(channels)
+    struct_hit = F.coalesce(struct_hit, F.lit(False))
+    xb_hit = F.coalesce(F.col("country_code").isin(list(high_risk)), F.lit(False))
+    rnd_hit = F.coalesce((a > F.lit(round_min)) & (a % F.lit(round_step) == 0), F.lit(False))
     vel = F.col("is_velocity_burst") if mark_burst else F.col("is_velocity")
-    hits = [(vel, "VELOCITY"), (F.col("is_structuring"), "STRUCTURING"),
-            (F.col("high_risk_country"), "CROSS_BORDER"), (F.col("is_round_number"), "ROUND_NUMBER")]
-    patterns = F.array_compact(F.array(*[F.when(c, F.lit(p)) for c, p in hits]))
+    hits = [(vel, "VELOCITY"), (struct_hit, "STRUCTURING"), (xb_hit, "CROSS_BORDER"), (rnd_hit, "ROUND_NUMBER")]
     primary = F.when(hits[0][0], hits[0][1])
-    for c, p in hits[1:]:
-        primary = primary.when(c, p)
+    for cond, p in hits[1:]:
+        primary = primary.when(cond, p)
     seed = score_seed if score_seed is not None else default_score_seed(F.col("txn_id"))
-    df = (df.withColumn("patterns", patterns)
-            .withColumn("fraud_pattern", primary)
-            .withColumn("is_flagged", F.col("fraud_pattern").isNotNull())
-            .withColumn("_lg_seed", seed))
-    reviewed = F.col("is_flagged") & (F.pmod(F.col("_lg_seed"), F.lit(3)) == 0)
-    return (df.withColumn("flag_score", _pick_score(F.col("fraud_pattern"), F.col("_lg_seed")))
-              .withColumn("reviewed_by", F.when(reviewed, F.lit(K.REVIEWER)))
-              .withColumn("review_status",
-                          F.when(reviewed, F.when(F.pmod(F.col("_lg_seed"), F.lit(5)) == 0, "CONFIRMED_FRAUD")
-                                 .otherwise("CLEARED"))
-                           .when(F.col("is_flagged"), "PENDING"))
-              .drop("_lg_seed"))
+    flagged = primary.isNotNull()
+    reviewed = flagged & (F.pmod(seed, F.lit(3)) == 0)
+    return df.select(
+        "*",
+        struct_hit.alias("is_structuring"), xb_hit.alias("high_risk_country"), rnd_hit.alias("is_round_number"),
+        F.array_compact(F.array(*[F.when(cond, F.lit(p)) for cond, p in hits])).alias("patterns"),
+        primary.alias("fraud_pattern"),
+        flagged.alias("is_flagged"),
+        _pick_score(primary, seed).alias("flag_score"),
+        F.when(reviewed, F.lit(K.REVIEWER)).alias("reviewed_by"),
+        F.when(reviewed, F.when(F.pmod(seed, F.lit(5)) == 0, "CONFIRMED_FRAUD").otherwise("CLEARED"))
+         .when(flagged, "PENDING").alias("review_status"))
 
 
 def fraud_payload(cols: dict[str, Column] | None = None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.functions.rules import rationale
-from ledgerguard.operators.credit import backfill
+from ledgerguard.operators.credit import fill_columns
 from ledgerguard.session import ts_lit
 from ledgerguard.sources.schemas import RISK_FLAGS_SCHEMA, conform
 
@@ -26,14 +26,17 @@ def ratio_4dp(num: Column, den: Column) -> Column:
 def derive_liquidity(positions: DataFrame) -> DataFrame:
     """O-D19, O-D20, O-D30.  ``lcr_breach`` uses the *unrounded* ratio; NULL ratio is no breach."""
     c = F.col
-    df = backfill(positions, "net_position", (c("inflow") - c("outflow")).cast("decimal(18,2)"))
-    df = df.withColumn("hqla_total", (c("hqla_level1") + c("hqla_level2")).cast("decimal(18,2)"))
-    df = backfill(df, "lcr_numerator", c("hqla_total"))
-    df = backfill(df, "lcr_ratio", ratio_4dp(c("lcr_numerator"), c("lcr_denominator")))
-    df = backfill(df, "lcr_breach",
-                  F.coalesce(ratio(c("lcr_numerator"), c("lcr_denominator")) < 1.0, F.lit(False)))
-    df = backfill(df, "nsfr_breach", F.coalesce(c("nsfr_ratio") < 1.0, F.lit(False)))
-    return df
+    hqla = (c("hqla_level1") + c("hqla_level2")).cast("decimal(18,2)")
+    num = F.coalesce(c("lcr_numerator"), hqla) if "lcr_numerator" in positions.columns else hqla
+    derived = {
+        "net_position": (c("inflow") - c("outflow")).cast("decimal(18,2)"),
+        "hqla_total": hqla,
+        "lcr_numerator": num,
+        "lcr_ratio": ratio_4dp(num, c("lcr_denominator")),
+        "lcr_breach": F.coalesce(ratio(num, c("lcr_denominator")) < 1.0, F.lit(False)),
+        "nsfr_breach": F.coalesce(c("nsfr_ratio") < 1.0, F.lit(False)),
+    }
+    return fill_columns(positions, derived)
 
 
 def liquidity_payload() -> Column:

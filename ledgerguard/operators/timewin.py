@@ -44,6 +44,21 @@ def epoch_micros(df: DataFrame, ts_col: str) -> Column:
     return F.unix_micros(F.col(ts_col))
 
 
+def _bucketed(df: DataFrame, ts_col: str, W: int, step: int, carry_keep: set[str]) -> DataFrame:
+    """Own rows (key = t) plus one carry copy of every row moved ``step`` buckets over
+    (key = t + step * W), generated from ONE scan (``explode`` of two copies, no union).
+    Carry copies keep only ``carry_keep`` columns; the others are NULL so the shuffle stays narrow."""
+    t = epoch_micros(df, ts_col)
+    copies = df.select("*", t.alias("_lg_t"), F.explode(F.array(F.lit(1), F.lit(0))).alias("_lg_own"))
+    own = F.col("_lg_own") == 1
+    cols = [F.col(x) if x in carry_keep else F.when(own, F.col(x)).alias(x) for x in df.columns]
+    b = F.floor(F.col("_lg_t") / F.lit(W))
+    return copies.select(
+        *cols, "_lg_t", "_lg_own",
+        F.when(own, b).otherwise(b + step).alias("_lg_b"),
+        F.when(own, F.col("_lg_t")).otherwise(F.col("_lg_t") + F.lit(step * W)).alias("_lg_k"))
+
+
 def trailing_count(df: DataFrame, keys: list[str], ts_col: str, window: str, out_col: str,
                    value_col: str | None = None, sum_col: str | None = None) -> DataFrame:
     """Add ``out_col`` = number of rows with the same ``keys`` and time in ``[t - W, t]``.
@@ -52,40 +67,19 @@ def trailing_count(df: DataFrame, keys: list[str], ts_col: str, window: str, out
     Ties on time are peers and are all counted (RANGE semantics).
     """
     W = duration_micros(window)
-    base = df.withColumn("_lg_t", epoch_micros(df, ts_col)).withColumn("_lg_b", F.floor(F.col("_lg_t") / F.lit(W)))
-    own = base.withColumn("_lg_own", F.lit(1)).withColumn("_lg_k", F.col("_lg_t"))
-    carry_cols = []
-    for f in own.schema.fields:
-        if f.name in keys or f.name == value_col:
-            carry_cols.append(F.col(f.name))
-        elif f.name == "_lg_b":
-            carry_cols.append((F.col("_lg_b") + 1).alias("_lg_b"))
-        elif f.name == "_lg_own":
-            carry_cols.append(F.lit(0).alias("_lg_own"))
-        elif f.name == "_lg_k":
-            carry_cols.append((F.col("_lg_t") + F.lit(W)).alias("_lg_k"))
-        elif f.name == "_lg_t":
-            carry_cols.append(F.col("_lg_t"))
-        else:
-            carry_cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    carry = own.select(carry_cols)
-    both = own.unionByName(carry)
+    both = _bucketed(df, ts_col, W, 1, set(keys) | ({value_col} if value_col else set()))
     w = Window.partitionBy(*keys, "_lg_b").orderBy("_lg_k")
     before = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     after = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
     is_own = F.col("_lg_own") == 1
-    res = both.withColumn(
-        out_col,
-        F.sum(F.when(is_own, 1).otherwise(0)).over(before)
-        + F.sum(F.when(~is_own, 1).otherwise(0)).over(after),
-    )
+    extra = [(F.sum(F.when(is_own, 1).otherwise(0)).over(before)
+              + F.sum(F.when(~is_own, 1).otherwise(0)).over(after)).alias(out_col)]
     if value_col and sum_col:
-        res = res.withColumn(
-            sum_col,
-            F.coalesce(F.sum(F.when(is_own, F.col(value_col))).over(before), F.lit(0))
-            + F.coalesce(F.sum(F.when(~is_own, F.col(value_col))).over(after), F.lit(0)),
-        )
-    return res.filter(is_own).drop("_lg_t", "_lg_b", "_lg_own", "_lg_k")
+        extra.append((F.coalesce(F.sum(F.when(is_own, F.col(value_col))).over(before), F.lit(0))
+                      + F.coalesce(F.sum(F.when(~is_own, F.col(value_col))).over(after), F.lit(0))).alias(sum_col))
+    keep = [F.col(x) for x in df.columns]
+    return both.select(*keep, "_lg_own", *extra).filter(is_own).select(*[F.col(x) for x in df.columns],
+                                                                        out_col, *([sum_col] if sum_col else []))
 
 
 def forward_max(df: DataFrame, keys: list[str], ts_col: str, window: str, value_col: str,
@@ -95,32 +89,14 @@ def forward_max(df: DataFrame, keys: list[str], ts_col: str, window: str, value_
     Same bucketing as :func:`trailing_count`, with rows carried to the previous bucket.
     """
     W = duration_micros(window)
-    base = df.withColumn("_lg_t", epoch_micros(df, ts_col)).withColumn("_lg_b", F.floor(F.col("_lg_t") / F.lit(W)))
-    own = base.withColumn("_lg_own", F.lit(1)).withColumn("_lg_k", F.col("_lg_t"))
-    carry_cols = []
-    for f in own.schema.fields:
-        if f.name in keys or f.name in (value_col, "_lg_t"):
-            carry_cols.append(F.col(f.name))
-        elif f.name == "_lg_b":
-            carry_cols.append((F.col("_lg_b") - 1).alias("_lg_b"))
-        elif f.name == "_lg_own":
-            carry_cols.append(F.lit(0).alias("_lg_own"))
-        elif f.name == "_lg_k":
-            carry_cols.append((F.col("_lg_t") - F.lit(W)).alias("_lg_k"))
-        else:
-            carry_cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    carry = own.select(carry_cols)
-    both = own.unionByName(carry)
+    both = _bucketed(df, ts_col, W, -1, set(keys) | {value_col})
     w = Window.partitionBy(*keys, "_lg_b").orderBy("_lg_k")
     is_own = F.col("_lg_own") == 1
-    res = both.withColumn(
-        out_col,
-        F.greatest(
-            F.max(F.when(is_own, F.col(value_col))).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
-            F.max(F.when(~is_own, F.col(value_col))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-        ),
-    )
-    return res.filter(is_own).drop("_lg_t", "_lg_b", "_lg_own", "_lg_k")
+    m = F.greatest(
+        F.max(F.when(is_own, F.col(value_col))).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+        F.max(F.when(~is_own, F.col(value_col))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    return both.select(*[F.col(x) for x in df.columns], "_lg_own", m.alias(out_col)).filter(is_own) \
+        .select(*[F.col(x) for x in df.columns], out_col)
 
 
 def range_sums(df: DataFrame, keys: list[str], ts_col: str, window: str, measures: dict[str, Column],
@@ -134,33 +110,17 @@ def range_sums(df: DataFrame, keys: list[str], ts_col: str, window: str, measure
     if direction not in ("trailing", "forward"):
         raise ValueError(direction)
     W = duration_micros(window)
-    step = 1 if direction == "trailing" else -1
-    base = df.withColumn("_lg_t", epoch_micros(df, ts_col)).withColumn("_lg_b", F.floor(F.col("_lg_t") / F.lit(W)))
     names = list(measures)
-    for i, n in enumerate(names):
-        base = base.withColumn(f"_lg_m{i}", measures[n])
-    own = base.withColumn("_lg_own", F.lit(1)).withColumn("_lg_k", F.col("_lg_t"))
-    carry_cols = []
-    for f in own.schema.fields:
-        if f.name in keys or f.name.startswith("_lg_m") or f.name == "_lg_t":
-            carry_cols.append(F.col(f.name))
-        elif f.name == "_lg_b":
-            carry_cols.append((F.col("_lg_b") + step).alias("_lg_b"))
-        elif f.name == "_lg_own":
-            carry_cols.append(F.lit(0).alias("_lg_own"))
-        elif f.name == "_lg_k":
-            carry_cols.append((F.col("_lg_t") + F.lit(step * W)).alias("_lg_k"))
-        else:
-            carry_cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    both = own.unionByName(own.select(carry_cols))
+    mcols = [f"_lg_m{i}" for i in range(len(names))]
+    base = df.select("*", *[measures[n].alias(m) for n, m in zip(names, mcols)])
+    both = _bucketed(base, ts_col, W, 1 if direction == "trailing" else -1, set(keys) | set(mcols))
     w = Window.partitionBy(*keys, "_lg_b").orderBy("_lg_k")
     upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     from_here = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
     own_frame, carry_frame = (upto, from_here) if direction == "trailing" else (from_here, upto)
     is_own = F.col("_lg_own") == 1
-    for i, n in enumerate(names):
-        m = F.col(f"_lg_m{i}")
-        both = both.withColumn(n, F.coalesce(F.sum(F.when(is_own, m)).over(own_frame), F.lit(0))
-                               + F.coalesce(F.sum(F.when(~is_own, m)).over(carry_frame), F.lit(0)))
-    drop = ["_lg_t", "_lg_b", "_lg_own", "_lg_k"] + [f"_lg_m{i}" for i in range(len(names))]
-    return both.filter(is_own).drop(*drop)
+    sums = [(F.coalesce(F.sum(F.when(is_own, F.col(m))).over(own_frame), F.lit(0))
+             + F.coalesce(F.sum(F.when(~is_own, F.col(m))).over(carry_frame), F.lit(0))).alias(n)
+            for n, m in zip(names, mcols)]
+    return both.select(*[F.col(x) for x in df.columns], "_lg_own", *sums).filter(is_own) \
+        .select(*[F.col(x) for x in df.columns], *names)

@@ -56,7 +56,22 @@ from ledgerguard.plans import misc_queries as MQ  # noqa: E402
 QUERIES.update(MQ.ENTRIES)
 
 
+_CONTEXTS: dict[tuple, RiskContext] = {}
+
+
+def context_for(spark: SparkSession, sf_dir: str) -> RiskContext:
+    """One context (bank views + derived plans) per session and data folder.
+
+    DataFrames are immutable plans, so queries of the same session share them instead of
+    re-building and re-analysing the same views for every query."""
+    key = (spark._jsparkSession.hashCode(), sf_dir)
+    ctx = _CONTEXTS.get(key)
+    if ctx is None or ctx.spark is not spark:
+        ctx = _CONTEXTS[key] = RiskContext(spark, sf_dir)
+    return ctx
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
-        return lambda spark, sf_dir: fn(RiskContext(spark, sf_dir))
+        return lambda spark, sf_dir: fn(context_for(spark, sf_dir))
     return {name: bind(fn) for name, fn in QUERIES.items()}

@@ -77,10 +77,12 @@ RISK_FLAGS_SCHEMA = _schema(
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project ``df`` onto ``schema``: declared order and types; missing columns are NULL."""
+    """Project ``df`` onto ``schema``: declared order and types; missing columns are NULL.
+
+    Built as one ``selectExpr`` (one JVM call) rather than one Column object per field."""
     cols = set(df.columns)
-    return df.select([
-        (F.col(f.name) if f.name in cols else F.lit(None)).cast(f.dataType).alias(f.name)
+    return df.selectExpr(*[
+        f"CAST({'`' + f.name + '`' if f.name in cols else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
         for f in schema.fields
     ])
 
