@@ -23,16 +23,16 @@ K1, B = 1.2, 0.75
 
 def tokenize(text: Column) -> Column:
     """lower-case, split on non-alphanumerics, drop empty tokens."""
-    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: F.length(t) > 0)
+    return F.array_remove(F.split(F.lower(text), TOKEN_SPLIT), "")
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
     """O-R1: postings (doc_id, term, tf, doc_len) over the whole text of every document."""
     toks = docs.select(c(id_col).alias("doc_id"), tokenize(c(text_col)).alias("toks"))
-    lens = toks.select("doc_id", F.size("toks").alias("doc_len"))
-    post = (toks.select("doc_id", F.explode("toks").alias("term"))
-                .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    return post.join(lens, "doc_id")
+    # doc_len travels with every token, so no join back to the documents is needed
+    return (toks.select("doc_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
+                .groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+                .select("doc_id", "term", "tf", "doc_len"))
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], score_col: str, tie_col: str, k: int,
@@ -52,8 +52,8 @@ def bm25(postings: DataFrame, queries: DataFrame, k: int = 10, docs: DataFrame |
          k1: float = K1, b: float = B) -> DataFrame:
     """O-R2 / O-R4: BM25 top-k per query.  ``queries`` = (query_id, text); ``docs`` optionally
     restricts candidates (attribute filters) by doc_id."""
-    stats = postings.select("doc_id", "doc_len").distinct().agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    stats = (postings.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
+                     .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len")))
     df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     qterms = (queries.select("query_id", F.explode(F.array_distinct(tokenize(c("text")))).alias("term")))
     # one row of corpus statistics, attached by a constant-key join (a 1-row side)
