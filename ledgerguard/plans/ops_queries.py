@@ -76,6 +76,10 @@ def dq_masking(ctx):
     return DQ.masking_coverage(_tables(ctx))
 
 
+def dq_conversation_turns(ctx):
+    return DQ.conversation_turn_gaps(ctx.bank.raw("conversations"))
+
+
 # ---- actions ------------------------------------------------------------------
 def sar_requests(ctx) -> DataFrame:
     f = ctx.stored("risk_flags")
@@ -185,7 +189,7 @@ ENTRIES["filings_rowfilter_auditor"] = filings_rowfilter(K.ROLE_AUDITOR, "audito
 ENTRIES.update({
     "audit_authorization": audit_authorization,
     "dq_counts": dq_counts, "dq_keys": dq_keys, "dq_orphans": dq_orphans, "dq_domains": dq_domains,
-    "dq_masking": dq_masking,
+    "dq_masking": dq_masking, "dq_conversation_turns": dq_conversation_turns,
     "sar_batch": sar_batch, "sar_filings": sar_filings, "sar_flag_state": sar_flag_state,
     "sar_audit_rows": sar_audit_rows, "freeze_batch": freeze_batch, "freeze_cases": freeze_cases,
     "escalate_batch": escalate_batch, "escalate_state": escalate_state, "audit_replay": audit_replay,

@@ -949,3 +949,9 @@ register("x15", """
 SELECT e.exposure_id, CASE WHEN coalesce(a.npa_flag, false) OR e.pd_score > 0.35 THEN 3 WHEN e.pd_score > 0.10 THEN 2
                            ELSE 1 END AS stage
 FROM exposures e LEFT JOIN accounts a ON a.account_id = e.account_id""", "exposures", "accounts")
+
+register("dq_conversation_turns", """
+SELECT COUNT(*) AS conversations,
+  COUNT(*) FILTER (WHERE first_turn <> 0 OR last_turn - first_turn + 1 <> turns OR turns <> distinct_turns) AS with_gaps
+FROM (SELECT conv_id, MIN(turn) AS first_turn, MAX(turn) AS last_turn, COUNT(*) AS turns,
+             COUNT(DISTINCT turn) AS distinct_turns FROM conversations GROUP BY conv_id)""")

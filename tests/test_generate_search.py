@@ -75,3 +75,19 @@ def test_agent_log_extract(spark):
     df = spark.createDataFrame([(1, body)], "response_id long, body string")
     r = R.agent_log_extract(df).collect()[0]
     assert r.answer == "the longest part" and r.tools == "analyst,search"
+
+
+def test_cached_table_ttl(spark):
+    from ledgerguard.sources.sinks import CachedTable
+    calls = []
+
+    def load():
+        calls.append(1)
+        return spark.range(5)
+
+    t = CachedTable(load, ttl_seconds=3600)
+    assert t.get().count() == 5 and t.get().count() == 5 and len(calls) == 1
+    t.ttl = -1
+    t.get()
+    assert len(calls) == 2
+    t.invalidate()
