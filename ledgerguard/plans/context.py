@@ -29,11 +29,12 @@ FIXTURE_VELOCITY_WINDOW = "24 hours"
 
 class RiskContext:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF_DEFAULT,
-                 velocity_window: str = FIXTURE_VELOCITY_WINDOW):
+                 velocity_window: str = FIXTURE_VELOCITY_WINDOW, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.as_of = as_of
         self.velocity_window = velocity_window
+        self.materialize = materialize
         self.bank = BankTables(spark, sf_dir)
         self._stored: dict[str, DataFrame] = {}
 
@@ -71,30 +72,68 @@ class RiskContext:
     def policy_docs(self) -> DataFrame:
         return self.bank.policy_docs
 
+    # ---- derived tables as lazy plans (what the detection operators compute) ----------
     @cached_property
-    def transactions(self) -> DataFrame:
+    def derived_transactions(self) -> DataFrame:
         return classify_fraud(self.bank.transactions, velocity_window=self.velocity_window)
 
     @cached_property
-    def credit_exposures(self) -> DataFrame:
+    def derived_credit_exposures(self) -> DataFrame:
         return derive_credit(self.bank.credit_exposures)
 
     @cached_property
-    def liquidity_positions(self) -> DataFrame:
+    def derived_liquidity_positions(self) -> DataFrame:
         return derive_liquidity(self.bank.liquidity_positions)
 
     @cached_property
-    def fraud_flags(self) -> DataFrame:
-        return build_fraud_flags(self.transactions, self.accounts, self.as_of)
+    def derived_fraud_flags(self) -> DataFrame:
+        return build_fraud_flags(self.derived_transactions, self.accounts, self.as_of)
+
+    @cached_property
+    def derived_credit_flags(self) -> DataFrame:
+        return build_credit_flags(self.derived_credit_exposures, self.accounts, self.as_of)
 
     @cached_property
-    def credit_flags(self) -> DataFrame:
-        return build_credit_flags(self.credit_exposures, self.accounts, self.as_of)
+    def derived_liquidity_flags(self) -> DataFrame:
+        return build_liquidity_flags(self.derived_liquidity_positions, self.as_of)
 
     @cached_property
-    def liquidity_flags(self) -> DataFrame:
-        return build_liquidity_flags(self.liquidity_positions, self.as_of)
+    def derived_risk_flags(self) -> DataFrame:
+        return union_flags(self.derived_fraud_flags, self.derived_credit_flags, self.derived_liquidity_flags)
 
     @cached_property
+    def derived_postings(self) -> DataFrame:
+        from ledgerguard.operators.search import build_index
+        return build_index(self.policy_docs)
+
+    # ---- the tables consumers read -------------------------------------------------------
+    # Like the reference's stored TRANSACTIONS / RISK_FLAGS tables, the classified transactions,
+    # derived exposures and positions, the flag queue and the search index are written once
+    # (reliable checkpoint in the shared checkpoint folder) and every report, metric, action and
+    # search reads them.  With ``materialize=False`` consumers get the lazy plans instead.
+    def _table(self, name: str) -> DataFrame:
+        return self.stored(f"derived_{name}") if self.materialize else getattr(self, f"derived_{name}")
+
+    @property
+    def transactions(self) -> DataFrame:
+        return self._table("transactions")
+
+    @property
+    def credit_exposures(self) -> DataFrame:
+        return self._table("credit_exposures")
+
+    @property
+    def liquidity_positions(self) -> DataFrame:
+        return self._table("liquidity_positions")
+
+    @property
+    def fraud_flags(self) -> DataFrame:
+        return self.risk_flags.filter("flag_domain = 'FRAUD'") if self.materialize else self.derived_fraud_flags
+
+    @property
     def risk_flags(self) -> DataFrame:
-        return union_flags(self.fraud_flags, self.credit_flags, self.liquidity_flags)
+        return self._table("risk_flags")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._table("postings")

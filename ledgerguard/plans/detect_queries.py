@@ -25,7 +25,7 @@ def velocity_burst(ctx) -> DataFrame:
 
 
 def _rule_hits(ctx, col: str) -> DataFrame:
-    t = ctx.transactions
+    t = ctx.derived_transactions
     return t.filter(c(col)).select("txn_id", "account_id", "amount", "country_code", c(col).alias("hit"))
 
 
@@ -46,56 +46,56 @@ def round_number(ctx) -> DataFrame:
 
 def classify(ctx) -> DataFrame:
     """O-D5..O-D7 for every transaction."""
-    t = ctx.transactions
+    t = ctx.derived_transactions
     return t.select("txn_id", "fraud_pattern", F.array_join(c("patterns"), ",").alias("pattern_list"),
                     "is_flagged", "flag_score", "review_status", "reviewed_by")
 
 
 def classify_summary(ctx) -> DataFrame:
     """O-Q24-style distribution of primary patterns and review states."""
-    t = ctx.transactions
+    t = ctx.derived_transactions
     return (t.groupBy("fraud_pattern", "review_status")
              .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(18,2)").alias("amount")))
 
 
 def fraud_flags(ctx) -> DataFrame:
     """O-D8, O-D9."""
-    f = ctx.fraud_flags
+    f = ctx.derived_fraud_flags
     return f.select("flag_id", "flag_type", "severity", "flag_status", "customer_id", "account_id", "txn_id",
                     "threshold_field", "threshold_value", "threshold_limit", "flag_score")
 
 
 def credit_derive(ctx) -> DataFrame:
     """O-D10..O-D13."""
-    e = ctx.credit_exposures
+    e = ctx.derived_credit_exposures
     return e.select("exposure_id", "expected_loss", "rwa", "watch_list_flag", "utilisation_pct",
                     F.coalesce(c("utilisation_pct") > 90, F.lit(False)).alias("utilisation_breach"))
 
 
 def credit_flags(ctx) -> DataFrame:
     """O-D14..O-D18 (O-J3: exposures with NULL account are kept)."""
-    f = ctx.credit_flags
+    f = ctx.derived_credit_flags
     return f.select("flag_id", "flag_type", "severity", "customer_id", "account_id", "threshold_field",
                     "threshold_value", "threshold_limit", "flag_score")
 
 
 def liquidity_ratios(ctx) -> DataFrame:
     """O-D19, O-D20, O-D30."""
-    p = ctx.liquidity_positions
+    p = ctx.derived_liquidity_positions
     return p.select("position_id", "position_date", "tenor_bucket", "net_position", "hqla_total",
                     "lcr_numerator", "lcr_ratio", "lcr_breach", "nsfr_ratio", "nsfr_breach")
 
 
 def liquidity_flags(ctx) -> DataFrame:
     """O-D21..O-D25."""
-    f = ctx.liquidity_flags
+    f = ctx.derived_liquidity_flags
     return f.select("flag_id", "flag_type", "severity", "threshold_field", "threshold_value",
                     "threshold_limit", "flag_score")
 
 
 def risk_flags(ctx) -> DataFrame:
     """O-D28 + O-D29: the unified queue with score bands."""
-    f = ctx.risk_flags
+    f = ctx.derived_risk_flags
     return f.select("flag_id", "flag_domain", "flag_type", "severity", "flag_status", "customer_id",
                     "account_id", "txn_id", "threshold_field", "threshold_value", "threshold_limit",
                     "flag_score", score_band(c("flag_score")).alias("score_band"),
@@ -103,7 +103,7 @@ def risk_flags(ctx) -> DataFrame:
 
 
 def flag_payload_fields(ctx) -> DataFrame:
-    """O-D27: re-extract typed fields from the JSON payload; count present keys."""
+    """O-D27: re-extract typed fields from the JSON payload of the stored queue; count present keys."""
     f = ctx.risk_flags
     return f.select(
         "flag_id", "flag_domain",

@@ -47,7 +47,7 @@ def rule_catalog_usage(ctx) -> DataFrame:
 def flags_append(ctx) -> DataFrame:
     """O-S6: append the flag queue to a table partitioned by domain; read it back."""
     path = scratch_path(ctx.spark, "risk_flags")
-    SK.append_table(ctx.stored("risk_flags"), path, ["flag_domain"])
+    SK.append_table(ctx.risk_flags, path, ["flag_domain"])
     back = ctx.spark.read.parquet(path)
     return back.groupBy("flag_domain", "flag_status").agg(F.count(F.lit(1)).alias("n"))
 

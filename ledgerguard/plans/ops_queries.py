@@ -82,7 +82,7 @@ def dq_conversation_turns(ctx):
 
 # ---- actions ------------------------------------------------------------------
 def sar_requests(ctx) -> DataFrame:
-    f = ctx.stored("risk_flags")
+    f = ctx.risk_flags
     first = f.filter(c("severity") == "CRITICAL").select(
         c("flag_id").alias("request_id"), "flag_id",
         F.when(c("flag_domain") == "FRAUD", F.lit("auto-filed")).alias("notes"))
@@ -92,7 +92,7 @@ def sar_requests(ctx) -> DataFrame:
 
 
 def _sar(ctx) -> A.ActionResult:
-    return A.file_sar_drafts(ctx.stored("risk_flags"), ctx.filings, ctx.audit_log, sar_requests(ctx), OFFICER, ctx.as_of)
+    return A.file_sar_drafts(ctx.risk_flags, ctx.filings, ctx.audit_log, sar_requests(ctx), OFFICER, ctx.as_of)
 
 
 def sar_batch(ctx):
@@ -115,7 +115,7 @@ def sar_audit_rows(ctx):
 
 
 def freeze_requests(ctx) -> DataFrame:
-    f = ctx.stored("risk_flags").filter((c("flag_domain") == "FRAUD") & (c("flag_status") == "CONFIRMED_FRAUD"))
+    f = ctx.risk_flags.filter((c("flag_domain") == "FRAUD") & (c("flag_status") == "CONFIRMED_FRAUD"))
     g = f.groupBy("account_id").agg(F.min("flag_id").alias("linked_flag_id"))
     return g.select(c("linked_flag_id").alias("request_id"), "account_id",
                     F.lit("Confirmed fraud under review").alias("reason"), "linked_flag_id")

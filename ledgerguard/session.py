@@ -61,6 +61,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing a parquet table into the shared checkpoint folder and reading it back.
+
+    One job (an eager ``checkpoint()`` without a persist would compute the plan twice), the data
+    survives executor loss, and readers get column pruning and filter pushdown on the snapshot."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
