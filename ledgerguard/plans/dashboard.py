@@ -144,9 +144,10 @@ def audit_timeline(audit: DataFrame, search: str | None = None, action_types: li
         a = a.filter(c("actor_role").isin(list(roles)))
     if search:
         a = a.filter(F.coalesce(F.contains(F.lower(c("change_summary")), F.lit(search.lower())), F.lit(False)))
-    return (a.select("log_id", "actor_user", "actor_role", "action_type", "object_type", "object_id",
-                     "change_summary", c("event_ts").cast("string").alias("et"))
-             .orderBy(c("et").desc(), c("log_id").desc()).limit(limit))
+    out = (a.select("log_id", "actor_user", "actor_role", "action_type", "object_type", "object_id",
+                    "change_summary", c("event_ts").cast("string").alias("et"))
+            .orderBy(c("et").desc(), c("log_id").desc()))
+    return out.limit(limit) if limit else out
 
 
 def q15_audit_timeline(ctx) -> DataFrame:
@@ -308,6 +309,21 @@ def q29_latest_open_case(ctx) -> DataFrame:
     return g.select("account_id", "x.case_id", "x.case_type", "x.severity", "x.status", "open_cases")
 
 
+def action_tallies(ctx) -> DataFrame:
+    """O-A15: SARs filed, accounts frozen, cases escalated - three conditional counts, one pass."""
+    a = ctx.audit_log
+    return a.agg(F.count_if(c("action_type") == "FILE_SAR").alias("sars"),
+                 F.count_if(c("action_type") == "FLAG_ACCOUNT").alias("freezes"),
+                 F.count_if(c("action_type") == "ESCALATE_CASE").alias("escalations"))
+
+
+def top_critical_for_action(ctx, n: int = 3) -> DataFrame:
+    """O-T5: the top critical unactioned flags offered for one-click action."""
+    f = ctx.risk_flags.filter((c("severity") == "CRITICAL") & unactioned(c("flag_status")))
+    return (f.orderBy(c("flag_score").desc(), c("flag_id")).limit(n)
+             .select("flag_id", "flag_domain", "flag_type", "account_id", "customer_id", "flag_score"))
+
+
 def distinct_rationales(ctx) -> DataFrame:
     """O-P13: SELECT DISTINCT flag type and citation for one domain."""
     return (ctx.risk_flags.filter(c("flag_domain") == "FRAUD").select("flag_type", "threshold_rationale")
@@ -323,4 +339,5 @@ ENTRIES = {
     "q23": q23_context_bundle, "q24": q24_pattern_distribution, "q25": q25_open_by_domain_severity,
     "q26": q26_flag_distribution, "q27": q27_liquidity_summary, "q28": q28_chain_steps,
     "q29": q29_latest_open_case, "distinct_rationales": distinct_rationales,
+    "action_tallies": action_tallies, "top_critical_for_action": top_critical_for_action,
 }

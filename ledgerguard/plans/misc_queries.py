@@ -61,6 +61,16 @@ def export_flags_csv(ctx) -> DataFrame:
     return ctx.spark.read.option("header", True).schema(schema).csv(path)
 
 
+def export_audit_csv(ctx) -> DataFrame:
+    """O-S8 (audit half): the filtered audit timeline written as CSV with a header, read back."""
+    from ledgerguard.plans.dashboard import audit_timeline
+    path = scratch_path(ctx.spark, "audit-csv")
+    SK.export_csv(audit_timeline(ctx.audit_log, action_types=["FLAG_ACCOUNT"], limit=None), path)
+    schema = ("log_id long, actor_user string, actor_role string, action_type string, object_type string, "
+              "object_id string, change_summary string, et string")
+    return ctx.spark.read.option("header", True).schema(schema).csv(path)
+
+
 def export_results_json(ctx) -> DataFrame:
     """O-S10: question-run results as JSON lines plus a summary; the summary read back."""
     path = scratch_path(ctx.spark, "run-json")
@@ -201,7 +211,7 @@ def x15(ctx):
 
 ENTRIES = {
     "gen_labels": gen_labels, "bucket_index": bucket_index, "rule_catalog_usage": rule_catalog_usage,
-    "flags_append": flags_append, "export_flags_csv": export_flags_csv, "export_results_json": export_results_json,
+    "flags_append": flags_append, "export_flags_csv": export_flags_csv, "export_audit_csv": export_audit_csv, "export_results_json": export_results_json,
     "fn_string": fn_string, "fn_math": fn_math, "fn_null": fn_null, "fn_random": fn_random, "fn_date": fn_date,
     "fn_array": fn_array, "fn_json": fn_json, "fn_context": fn_context,
 }

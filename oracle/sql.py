@@ -955,3 +955,11 @@ SELECT COUNT(*) AS conversations,
   COUNT(*) FILTER (WHERE first_turn <> 0 OR last_turn - first_turn + 1 <> turns OR turns <> distinct_turns) AS with_gaps
 FROM (SELECT conv_id, MIN(turn) AS first_turn, MAX(turn) AS last_turn, COUNT(*) AS turns,
              COUNT(DISTINCT turn) AS distinct_turns FROM conversations GROUP BY conv_id)""")
+
+register("action_tallies", """
+SELECT count_if(action_type = 'FILE_SAR') AS sars, count_if(action_type = 'FLAG_ACCOUNT') AS freezes,
+  count_if(action_type = 'ESCALATE_CASE') AS escalations FROM audit_log""", "audit_log")
+register("top_critical_for_action", f"""
+SELECT flag_id, flag_domain, flag_type, account_id, customer_id, flag_score FROM risk_flags
+WHERE severity = 'CRITICAL' AND {NF} ORDER BY flag_score DESC, flag_id LIMIT 3""", "risk_flags")
+register("export_audit_csv", f"SELECT {AUDIT_COLS} FROM audit_log WHERE action_type = 'FLAG_ACCOUNT'", "audit_log")
