@@ -122,16 +122,18 @@ def q14_lcr_series(ctx) -> DataFrame:
 def q14_trend_summary(ctx, max_listed: int = 8) -> DataFrame:
     """O-A13: min/max/avg of the series, breach count, first breach days (bounded list)."""
     s = _lcr_series(ctx).select("position_date", F.round(c("lcr_ratio") * 100, 1).alias("pct"))
-    breach = F.when(c("pct") < 100, F.struct("position_date", "pct"))
-    listed = F.slice(F.array_sort(F.collect_list(breach)), 1, max_listed)
-    return s.agg(F.min("pct").cast("decimal(18,1)").alias("min_pct"),
-                 F.max("pct").cast("decimal(18,1)").alias("max_pct"),
-                 F.round(F.avg("pct"), 1).cast("decimal(18,1)").alias("avg_pct"),
-                 F.count("pct").alias("n_days"),
-                 F.sum(F.when(c("pct") < 100, 1).otherwise(0)).cast("bigint").alias("breach_days"),
-                 F.array_join(F.transform(listed, lambda x: F.concat(x["position_date"].cast("string"), F.lit("="),
-                                                                       x["pct"].cast("string"))), "; ")
-                 .alias("breach_list"))
+    # the listed breaches are a top-k (earliest first) taken before anything is gathered into a row
+    first = (s.filter(c("pct") < 100).orderBy("position_date", "pct").limit(max_listed)
+              .agg(F.array_join(F.transform(
+                  F.array_sort(F.collect_list(F.struct("position_date", "pct"))),
+                  lambda x: F.concat(x["position_date"].cast("string"), F.lit("="), x["pct"].cast("string"))), "; ")
+                  .alias("breach_list")))
+    stats = s.agg(F.min("pct").cast("decimal(18,1)").alias("min_pct"),
+                  F.max("pct").cast("decimal(18,1)").alias("max_pct"),
+                  F.round(F.avg("pct"), 1).cast("decimal(18,1)").alias("avg_pct"),
+                  F.count("pct").alias("n_days"),
+                  F.sum(F.when(c("pct") < 100, 1).otherwise(0)).cast("bigint").alias("breach_days"))
+    return one_row(stats, first).select("min_pct", "max_pct", "avg_pct", "n_days", "breach_days", "breach_list")
 
 
 def audit_timeline(audit: DataFrame, search: str | None = None, action_types: list[str] | None = None,

@@ -81,15 +81,17 @@ def conversation_summary(ctx):
 
 
 def agent_responses(ctx) -> DataFrame:
-    """Saved agent responses rebuilt from the conversation log: one JSON body per conversation
-    with text parts (user/assistant turns) and tool-use parts (system turns)."""
+    """Saved agent responses rebuilt from the conversation log: one JSON message per turn, keyed by
+    its conversation, with a text part (user/assistant turns) or a tool-use part (system turns).
+
+    A row per turn, not a body per conversation: no conversation is ever gathered into one row,
+    however long it is; the extraction combines the messages of a conversation map-side."""
     conv = ctx.bank.raw("conversations")
     part = F.when(c("role") == "system", F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string")
                                                   .alias("text"), F.lit("context_loader").alias("name"))) \
         .otherwise(F.struct(F.lit("text").alias("type"), c("text"), F.lit(None).cast("string").alias("name")))
-    g = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))).alias("ps"))
-    return g.select(c("conv_id").alias("response_id"),
-                    F.to_json(F.struct(F.transform("ps", lambda x: x["p"]).alias("content"))).alias("body"))
+    return conv.select(c("conv_id").alias("response_id"), "turn",
+                       F.to_json(F.struct(F.array(part).alias("content"))).alias("body"))
 
 
 def agent_log_extract(ctx):
