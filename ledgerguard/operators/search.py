@@ -27,12 +27,22 @@ def tokenize(text: Column) -> Column:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
-    """O-R1: postings (doc_id, term, tf, doc_len) over the whole text of every document."""
-    toks = docs.select(c(id_col).alias("doc_id"), tokenize(c(text_col)).alias("toks"))
-    # doc_len travels with every token, so no join back to the documents is needed
-    return (toks.select("doc_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term"))
-                .groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
-                .select("doc_id", "term", "tf", "doc_len"))
+    """O-R1: postings (doc_id, term, tf, doc_len) over the whole text of every document.
+
+    A document is one row, so its term frequencies are counted inside the row: sort the tokens,
+    keep the positions where a new term starts, and the distance to the next start is the term's
+    frequency.  The index is a map-only job: no shuffle of the (large) posting list."""
+    s = F.array_sort(tokenize(c(text_col)))
+    d = docs.select(c(id_col).alias("doc_id"), s.alias("_lg_s")).select(
+        "doc_id", "_lg_s", F.size("_lg_s").alias("doc_len")).filter(c("doc_len") > 0)
+    starts = F.filter(F.sequence(F.lit(1), c("doc_len")),
+                      lambda i: (i == 1) | (F.element_at(c("_lg_s"), i) != F.element_at(c("_lg_s"), i - 1)))
+    d = d.select("doc_id", "_lg_s", "doc_len", starts.alias("_lg_st"))
+    nexts = F.concat(F.slice(c("_lg_st"), 2, F.size(c("_lg_st"))), F.array(c("doc_len") + 1))
+    runs = F.zip_with(c("_lg_st"), nexts, lambda a, b: F.struct(F.element_at(c("_lg_s"), a).alias("term"),
+                                                                (b - a).cast("bigint").alias("tf")))
+    return (d.select("doc_id", "doc_len", F.explode(runs).alias("_lg_p"))
+             .select("doc_id", c("_lg_p.term").alias("term"), c("_lg_p.tf").alias("tf"), "doc_len"))
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], score_col: str, tie_col: str, k: int,
@@ -54,8 +64,11 @@ def bm25(postings: DataFrame, queries: DataFrame, k: int = 10, docs: DataFrame |
     restricts candidates (attribute filters) by doc_id."""
     stats = (postings.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
                      .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len")))
-    df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     qterms = (queries.select("query_id", F.explode(F.array_distinct(tokenize(c("text")))).alias("term")))
+    # document frequencies are only needed for the query vocabulary: filter the postings to it first
+    # (a broadcast semi join when the vocabulary is small, decided by AQE from its runtime size)
+    postings = postings.join(qterms.select("term").distinct(), "term", "left_semi")
+    df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row of corpus statistics, attached by a constant-key join (a 1-row side)
     one = F.lit(1)
     idf = (df_t.withColumn("_lg_one", one).join(F.broadcast(stats.withColumn("_lg_one", one)), "_lg_one")
