@@ -97,17 +97,21 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: s
                   vec_col: str = "embedding", max_queries: int = 10_000) -> DataFrame:
     """O-R3: exact cosine top-k per query.  ``queries`` = (query_id, qvec).
 
-    The query batch is the broadcast side; its size is checked first (at most ``max_queries``
-    vectors), so the broadcast is bounded whatever the size of the vector table.  Larger
-    batches must be split by the caller.  Scores are computed row by row inside codegen.
+    The query batch is checked first (at most ``max_queries`` vectors) and then enters the plan as
+    one scalar subquery (an array of (query_id, qvec)): every vector row scores itself against the
+    batch in one projection inside the scan stage - no join, no pairs shuffled.  The per-query top-k
+    is cut per partition (partial window group limit) before anything is shuffled.  Larger batches
+    must be split by the caller.
     """
     n = queries.count()
     if n > max_queries:
-        raise ValueError(f"query batch of {n} vectors exceeds the broadcast bound {max_queries}; split it")
-    v = vectors.select(c(id_col).alias("vec_id"), c(vec_col).alias("vec")).withColumn("_lg_one", F.lit(1))
-    q = F.broadcast(queries.select("query_id", "qvec").withColumn("_lg_one", F.lit(1)))
-    scored = v.join(q, "_lg_one").select("query_id", "vec_id",
-                                         F.round(cosine(c("vec"), c("qvec")), 5).alias("score"))
+        raise ValueError(f"query batch of {n} vectors exceeds the bound {max_queries}; split it")
+    batch = queries.agg(F.collect_list(F.struct("query_id", "qvec")).alias("qs")).scalar()
+    v = vectors.select(c(id_col).alias("vec_id"), c(vec_col).alias("vec"), batch.alias("_lg_qs"))
+    scored = (v.select("vec_id", F.explode(F.transform("_lg_qs", lambda q: F.struct(
+                  q["query_id"].alias("query_id"), F.round(cosine(c("vec"), q["qvec"]), 5).alias("score"))))
+                  .alias("_lg_s"))
+               .select("_lg_s.query_id", "vec_id", "_lg_s.score"))
     return top_k_per_group(scored, ["query_id"], "score", "vec_id", k)
 
 
