@@ -38,9 +38,8 @@ def assign_sequential_ids(df: DataFrame, order_col: str, base: DataFrame | int,
                    F.lit(0)))
     if isinstance(base, int):
         offsets = offsets.withColumn("_lg_base", F.lit(base).cast("bigint"))
-    else:  # attach the one-row base on a constant key (an equi-join with a 1-row side)
-        one = base.select("_lg_base").withColumn("_lg_one", F.lit(1))
-        offsets = offsets.withColumn("_lg_one", F.lit(1)).join(F.broadcast(one), "_lg_one").drop("_lg_one")
+    else:  # the one-row base is a scalar subquery
+        offsets = offsets.withColumn("_lg_base", base.select("_lg_base").scalar())
     return (parted.join(F.broadcast(offsets.select("_lg_pid", "_lg_off", "_lg_base")), "_lg_pid")
                   .withColumn(out_col, (F.col("_lg_base") + F.col("_lg_off") + F.col("_lg_rn")).cast("bigint"))
                   .drop("_lg_pid", "_lg_rn", "_lg_off", "_lg_mid", "_lg_base"))

@@ -46,8 +46,8 @@ def sar_approvals(filings: DataFrame, customers: DataFrame, mandatory_from: floa
 def sector_concentration(exposures: DataFrame, limit: float = 0.25) -> DataFrame:
     """O-X4: share of total outstanding per sector; breach above 25%."""
     by = exposures.groupBy("sector").agg(F.sum("outstanding").alias("outstanding"))
-    total = exposures.agg(F.sum("outstanding").alias("total")).withColumn("_lg_one", F.lit(1))
-    j = by.withColumn("_lg_one", F.lit(1)).join(F.broadcast(total), "_lg_one").drop("_lg_one")
+    # the grand total is one value: a scalar subquery, not a join
+    j = by.withColumn("total", exposures.agg(F.sum("outstanding")).scalar())
     share = F.round(c("outstanding").cast("double") / c("total").cast("double"), 4)
     return j.select("sector", c("outstanding").cast("decimal(18,2)").alias("outstanding"),
                     share.alias("share"), (share > limit).alias("breach"))

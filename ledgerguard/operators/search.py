@@ -69,9 +69,9 @@ def bm25(postings: DataFrame, queries: DataFrame, k: int = 10, docs: DataFrame |
     # (a broadcast semi join when the vocabulary is small, decided by AQE from its runtime size)
     postings = postings.join(qterms.select("term").distinct(), "term", "left_semi")
     df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # one row of corpus statistics, attached by a constant-key join (a 1-row side)
-    one = F.lit(1)
-    idf = (df_t.withColumn("_lg_one", one).join(F.broadcast(stats.withColumn("_lg_one", one)), "_lg_one")
+    # the corpus statistics are one row: a scalar subquery, not a join
+    st = stats.select(F.struct("n_docs", "avg_len")).scalar()
+    idf = (df_t.select("term", "df", st["n_docs"].alias("n_docs"), st["avg_len"].alias("avg_len"))
                .select("term", "n_docs", "avg_len",
                        F.ln(F.lit(1.0) + (c("n_docs") - c("df") + 0.5) / (c("df") + 0.5)).alias("idf")))
     p = postings if docs is None else postings.join(docs.select("doc_id"), "doc_id", "left_semi")

@@ -266,9 +266,10 @@ def metric_query(ctx, metrics: list[str], dimensions: list[str] | None = None,
         fs = [f for f in filters if filter_table(f) == base]
         parts.append(_single_table(ctx, base, ms, dimensions, fs))
     dim_names = [_dimension_column(next(iter(by_table)), d)[2] for d in dimensions]
-    if not dim_names:  # one row per part: join the single rows on a constant key
-        parts = [p.withColumn("_lg_one", F.lit(1)) for p in parts]
-        dim_names = ["_lg_one"]
+    if not dim_names:  # one row per part, disjoint columns: stack them and collapse to one row
+        cols = [x for p in parts for x in p.columns]
+        out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return out.agg(*[F.max(x).alias(x) for x in cols])
 
     def combine(a: DataFrame, b: DataFrame) -> DataFrame:
         # null-safe full outer join on the shared dimensions (NULL is a group too)
@@ -279,8 +280,6 @@ def metric_query(ctx, metrics: list[str], dimensions: list[str] | None = None,
             *[F.coalesce(a[d], b[d]).alias(d) for d in dim_names], *rest_a, *rest_b)
 
     out = reduce(combine, parts)
-    if "_lg_one" in out.columns:
-        out = out.drop("_lg_one")
     if order:
         out = out.orderBy(*order)
     if limit:
