@@ -91,3 +91,41 @@ def test_cached_table_ttl(spark):
     t.get()
     assert len(calls) == 2
     t.invalidate()
+
+
+def test_index_matches_explode_group_by_on_whole_documents(spark):
+    """The map-only index equals the textbook explode + group-by over the full driver texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.col("text")
+                                                                                  .alias("content"))
+    got = R.build_index(docs)
+    toks = docs.select("doc_id", R.tokenize(F.col("content")).alias("t"))
+    want = (toks.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
+                .groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+                .select("doc_id", "term", "tf", "doc_len"))
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_vector_search_matches_brute_force(spark):
+    import math
+    rnd = random.Random(11)
+    vecs = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
+    qs = [(q, [rnd.uniform(-1, 1) for _ in range(8)]) for q in range(4)]
+    v = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    q = spark.createDataFrame(qs, "query_id long, qvec array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in R.vector_search(v, q, k=5).collect()}
+    f32 = {r.vec_id: list(r.embedding) for r in v.collect()}
+    for qid, qv in qs:
+        def cos(a, b):
+            return sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b)))
+        scored = sorted(((round(cos(f32[i], qv), 5), i) for i in f32), key=lambda s: (-s[0], s[1]))[:5]
+        assert [got[(qid, r + 1)][0] for r in range(5)] == [i for _, i in scored]
+        assert all(abs(got[(qid, r + 1)][1] - s) < 1e-5 for r, (s, _) in enumerate(scored))
+
+
+def test_agent_messages_are_one_row_per_turn(spark):
+    from ledgerguard.plans.context import RiskContext
+    from ledgerguard.plans.search_queries import agent_responses
+    ctx = RiskContext(spark, "/root/testdata/sf0.001")
+    conv = ctx.bank.raw("conversations")
+    assert agent_responses(ctx).count() == conv.count()
