@@ -1,32 +1,50 @@
-"""Skew-safe trailing time-window counts.
+"""Skew-safe range windows over event time: counts, sums and maxima per key.
 
 A plain ``count() over (partition by account order by ts range ...)`` puts every
 row of an account into one task; one hot account holding a third of the data
-would then be one task.  Here the partition key is (account, time bucket) with
-bucket width = window length W.  A trailing window ``[t - W, t]`` only touches
-the row's own bucket and the previous one, so every row is also sent once to
-the next bucket as a "carry" row.  The count for an own row at ``t`` is
-
-    own rows in the bucket with time <= t   (RANGE unbounded .. current, keyed by t)
-  + carry rows with time + W >= t           (RANGE current .. unbounded, keyed by t' + W)
-
-Both frames share one sort, so the plan is one shuffle on (key, bucket) plus
-one sort, and a hot key is spread across as many tasks as it has buckets.
+would then be one task.  Here the partition key is (key, time bucket).
+
+Cold keys use buckets of the window length W.  A trailing window ``[t - W, t]``
+only touches the row's own bucket and the previous one, so every row is also
+sent once to the next bucket as a "carry" row.  For an own row at ``t``:
+
+    own rows in the bucket with time <= t     (RANGE unbounded .. current, keyed by t)
+  + carry rows with time + W >= t             (RANGE current .. unbounded, keyed by t' + W)
+
+Hot keys (the heaviest keys above ``hot_min_rows`` rows, a bounded top list that
+is broadcast) use granules of W / m instead, so their rows spread over m times
+as many tasks.  The window ``[t - W, t]`` of a row in granule G then covers part
+of granule G, part of granule G - m (reached by the carry copy, moved m granules)
+and all of granules G - m + 1 .. G - 1.  Those middle granules are pre-aggregated
+per (key, granule) - map-side combined - and each summary row is sent to the m - 1
+granules that need it, in the same shuffle as the rows.  No join, no pairs; the
+plan stays one shuffle on (key, bucket) and one sort.  Forward windows
+``[t, t + W]`` are the mirror image.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+c = F.col
+
 _UNITS = {
     "microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000,
     "hour": 3_600_000_000, "day": 86_400_000_000, "week": 7 * 86_400_000_000,
 }
 
+# Keys with at least this many rows are candidates for the fine split; at most MAX_HOT_KEYS of them
+# (the heaviest, a bounded broadcast list) get HOT_GRANULES granules per window.
+HOT_KEY_MIN_ROWS = 1_000_000
+MAX_HOT_KEYS = 1_000
+HOT_GRANULES = 64
+
+_SENTINEL_K = -(2 ** 63)
+
 
 def duration_micros(text: str) -> int:
     """'1 hour', '30 minutes', '24 hours', '21 days' -> microseconds."""
@@ -44,83 +62,116 @@ def epoch_micros(df: DataFrame, ts_col: str) -> Column:
     return F.unix_micros(F.col(ts_col))
 
 
-def _bucketed(df: DataFrame, ts_col: str, W: int, step: int, carry_keep: set[str]) -> DataFrame:
-    """Own rows (key = t) plus one carry copy of every row moved ``step`` buckets over
-    (key = t + step * W), generated from ONE scan (``explode`` of two copies, no union).
-    Carry copies keep only ``carry_keep`` columns; the others are NULL so the shuffle stays narrow."""
-    t = epoch_micros(df, ts_col)
-    copies = df.select("*", t.alias("_lg_t"), F.explode(F.array(F.lit(1), F.lit(0))).alias("_lg_own"))
-    own = F.col("_lg_own") == 1
-    cols = [F.col(x) if x in carry_keep else F.when(own, F.col(x)).alias(x) for x in df.columns]
-    b = F.floor(F.col("_lg_t") / F.lit(W))
-    return copies.select(
-        *cols, "_lg_t", "_lg_own",
-        F.when(own, b).otherwise(b + step).alias("_lg_b"),
-        F.when(own, F.col("_lg_t")).otherwise(F.col("_lg_t") + F.lit(step * W)).alias("_lg_k"))
+def _granule_count(W: int, granules: int) -> int:
+    """The largest m <= granules that divides W, so granule edges fall on window edges."""
+    m = max(1, min(granules, W))
+    while W % m:
+        m -= 1
+    return m
+
+
+def _with_granules(df: DataFrame, keys: list[str], W: int, granules: int, hot_min_rows: int | None,
+                   max_hot: int) -> tuple[DataFrame, int]:
+    """Add ``_lg_m``: granules per window for the row's key (1 for every key that is not hot)."""
+    m = _granule_count(W, granules)
+    if m <= 1 or not hot_min_rows:
+        return df.withColumn("_lg_m", F.lit(1).cast("bigint")), 1
+    # heavy hitters: counts combine map-side; the list is a top-k with a total order (deterministic on
+    # recomputation), so its broadcast is bounded by max_hot rows whatever the data size
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lg_n")).filter(c("_lg_n") >= hot_min_rows)
+             .orderBy(c("_lg_n").desc(), *[c(k).asc() for k in keys]).limit(max_hot)
+             .select(*keys, F.lit(m).cast("bigint").alias("_lg_m")))
+    out = df.join(F.broadcast(hot), keys, "left").withColumn("_lg_m", F.coalesce(c("_lg_m"), F.lit(1).cast("bigint")))
+    return out, m
+
+
+def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, direction: str,
+              measures: list[tuple[str, Column, str]], *, granules: int = HOT_GRANULES,
+              hot_min_rows: int | None = HOT_KEY_MIN_ROWS, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
+    """``df`` plus one column per measure ``(name, value, 'sum' | 'max')``: the aggregate of ``value`` over
+    the rows with the same ``keys`` whose time lies in ``[t - W, t]`` (trailing) or ``[t, t + W]`` (forward).
+    Ties on time are peers and all included (RANGE semantics); sums of an empty frame are 0."""
+    if direction not in ("trailing", "forward"):
+        raise ValueError(direction)
+    W = duration_micros(window)
+    sign = 1 if direction == "trailing" else -1
+    cols = df.columns
+    vnames = [f"_lg_v{i}" for i in range(len(measures))]
+    base = df.select("*", *[expr.alias(v) for (_, expr, _), v in zip(measures, vnames)])
+    out_types = {}
+    for (name, _, how), v in zip(measures, vnames):
+        probe = (F.sum(c(v)) + F.sum(c(v))) if how == "sum" else F.max(c(v))
+        out_types[name] = base.select(probe.alias("x")).schema["x"].dataType
+    base, m = _with_granules(base, keys, W, granules, hot_min_rows, max_hot)
+
+    t = epoch_micros(base, ts_col)
+    width = F.lit(W).cast("bigint") / c("_lg_m")           # exact: m divides W
+    copies = base.select("*", t.alias("_lg_t"), width.cast("bigint").alias("_lg_w"),
+                         F.explode(F.array(F.lit(1), F.lit(0))).alias("_lg_own"))
+    own = c("_lg_own") == 1
+    b = F.expr("(_lg_t - pmod(_lg_t, _lg_w)) div _lg_w")      # exact floor division, also before 1970
+    keep = set(keys)
+    rows = copies.select(
+        *[c(x) if x in keep else F.when(own, c(x)).alias(x) for x in cols], *vnames, "_lg_own",
+        F.when(own, b).otherwise(b + sign * c("_lg_m")).alias("_lg_b"),
+        F.when(own, c("_lg_t")).otherwise(c("_lg_t") + F.lit(sign * W)).alias("_lg_k"))
+    if m > 1:
+        hot = base.filter(c("_lg_m") > 1).select(*keys, "_lg_m", *vnames, t.alias("_lg_t"),
+                                                 width.cast("bigint").alias("_lg_w"))
+        per = (hot.groupBy(*keys, "_lg_m", b.alias("_lg_g"))
+                  .agg(*[(F.sum if how == "sum" else F.max)(v).alias(v)
+                         for (_, _, how), v in zip(measures, vnames)]))
+        g, mm = c("_lg_g"), c("_lg_m")
+        targets = F.sequence(g + 1, g + mm - 1) if sign == 1 else F.sequence(g - mm + 1, g - 1)
+        summaries = per.select(*keys, F.explode(targets).alias("_lg_b"), F.lit(2).alias("_lg_own"),
+                               F.lit(_SENTINEL_K).cast("bigint").alias("_lg_k"), *vnames)
+        rows = rows.unionByName(summaries, allowMissingColumns=True)
+
+    w = Window.partitionBy(*keys, "_lg_b").orderBy("_lg_k")
+    upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = w.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own_frame, carry_frame = (upto, from_here) if sign == 1 else (from_here, upto)
+    is_own, is_carry, is_summary = c("_lg_own") == 1, c("_lg_own") == 0, c("_lg_own") == 2
+    results = []
+    for (name, _, how), v in zip(measures, vnames):
+        agg = F.sum if how == "sum" else F.max
+        parts = [agg(F.when(is_own, c(v))).over(own_frame), agg(F.when(is_carry, c(v))).over(carry_frame)]
+        if m > 1:
+            parts.append(agg(F.when(is_summary, c(v))).over(whole))
+        if how == "sum":
+            expr = F.coalesce(parts[0], F.lit(0))
+            for p in parts[1:]:
+                expr = expr + F.coalesce(p, F.lit(0))
+        else:
+            expr = F.greatest(*parts)
+        results.append(expr.cast(out_types[name]).alias(name))
+    names = [name for name, _, _ in measures]
+    return (rows.select(*[c(x) for x in cols], "_lg_own", *results).filter(is_own)
+                .select(*[c(x) for x in cols], *names))
 
 
 def trailing_count(df: DataFrame, keys: list[str], ts_col: str, window: str, out_col: str,
-                   value_col: str | None = None, sum_col: str | None = None) -> DataFrame:
+                   value_col: str | None = None, sum_col: str | None = None, **split) -> DataFrame:
     """Add ``out_col`` = number of rows with the same ``keys`` and time in ``[t - W, t]``.
 
     If ``value_col``/``sum_col`` are given, also add the sum of ``value_col`` over the same frame.
     Ties on time are peers and are all counted (RANGE semantics).
     """
-    W = duration_micros(window)
-    both = _bucketed(df, ts_col, W, 1, set(keys) | ({value_col} if value_col else set()))
-    w = Window.partitionBy(*keys, "_lg_b").orderBy("_lg_k")
-    before = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    is_own = F.col("_lg_own") == 1
-    extra = [(F.sum(F.when(is_own, 1).otherwise(0)).over(before)
-              + F.sum(F.when(~is_own, 1).otherwise(0)).over(after)).alias(out_col)]
+    measures = [(out_col, F.lit(1), "sum")]
     if value_col and sum_col:
-        extra.append((F.coalesce(F.sum(F.when(is_own, F.col(value_col))).over(before), F.lit(0))
-                      + F.coalesce(F.sum(F.when(~is_own, F.col(value_col))).over(after), F.lit(0))).alias(sum_col))
-    keep = [F.col(x) for x in df.columns]
-    return both.select(*keep, "_lg_own", *extra).filter(is_own).select(*[F.col(x) for x in df.columns],
-                                                                        out_col, *([sum_col] if sum_col else []))
+        measures.append((sum_col, c(value_col), "sum"))
+    return _windowed(df, keys, ts_col, window, "trailing", measures, **split)
 
 
 def forward_max(df: DataFrame, keys: list[str], ts_col: str, window: str, value_col: str,
-                out_col: str) -> DataFrame:
-    """Add ``out_col`` = max of ``value_col`` over rows with the same keys and time in ``[t, t + W]``.
-
-    Same bucketing as :func:`trailing_count`, with rows carried to the previous bucket.
-    """
-    W = duration_micros(window)
-    both = _bucketed(df, ts_col, W, -1, set(keys) | {value_col})
-    w = Window.partitionBy(*keys, "_lg_b").orderBy("_lg_k")
-    is_own = F.col("_lg_own") == 1
-    m = F.greatest(
-        F.max(F.when(is_own, F.col(value_col))).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
-        F.max(F.when(~is_own, F.col(value_col))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    return both.select(*[F.col(x) for x in df.columns], "_lg_own", m.alias(out_col)).filter(is_own) \
-        .select(*[F.col(x) for x in df.columns], out_col)
+                out_col: str, **split) -> DataFrame:
+    """Add ``out_col`` = max of ``value_col`` over rows with the same keys and time in ``[t, t + W]``."""
+    return _windowed(df, keys, ts_col, window, "forward", [(out_col, c(value_col), "max")], **split)
 
 
 def range_sums(df: DataFrame, keys: list[str], ts_col: str, window: str, measures: dict[str, Column],
-               direction: str = "trailing") -> DataFrame:
+               direction: str = "trailing", **split) -> DataFrame:
     """Add, per measure, the sum of the measure over rows with the same ``keys`` whose time lies in
-    ``[t - W, t]`` (``trailing``) or ``[t, t + W]`` (``forward``).
-
-    Same (key, time-bucket) partitioning as :func:`trailing_count`: each row also goes once to the
-    neighbouring bucket, so a hot key is split over its buckets and no pairs are materialized.
-    """
-    if direction not in ("trailing", "forward"):
-        raise ValueError(direction)
-    W = duration_micros(window)
-    names = list(measures)
-    mcols = [f"_lg_m{i}" for i in range(len(names))]
-    base = df.select("*", *[measures[n].alias(m) for n, m in zip(names, mcols)])
-    both = _bucketed(base, ts_col, W, 1 if direction == "trailing" else -1, set(keys) | set(mcols))
-    w = Window.partitionBy(*keys, "_lg_b").orderBy("_lg_k")
-    upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    from_here = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    own_frame, carry_frame = (upto, from_here) if direction == "trailing" else (from_here, upto)
-    is_own = F.col("_lg_own") == 1
-    sums = [(F.coalesce(F.sum(F.when(is_own, F.col(m))).over(own_frame), F.lit(0))
-             + F.coalesce(F.sum(F.when(~is_own, F.col(m))).over(carry_frame), F.lit(0))).alias(n)
-            for n, m in zip(names, mcols)]
-    return both.select(*[F.col(x) for x in df.columns], "_lg_own", *sums).filter(is_own) \
-        .select(*[F.col(x) for x in df.columns], *names)
+    ``[t - W, t]`` (``trailing``) or ``[t, t + W]`` (``forward``)."""
+    return _windowed(df, keys, ts_col, window, direction, [(n, e, "sum") for n, e in measures.items()], **split)

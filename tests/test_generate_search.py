@@ -129,3 +129,26 @@ def test_agent_messages_are_one_row_per_turn(spark):
     ctx = RiskContext(spark, "/root/testdata/sf0.001")
     conv = ctx.bank.raw("conversations")
     assert agent_responses(ctx).count() == conv.count()
+
+
+def test_hot_key_granules_match_brute_force(spark):
+    """Hot keys split into granules (all keys hot / one hot key among cold ones / granule count that
+    does not divide the window) give the same trailing counts, sums and forward maxima."""
+    from ledgerguard.operators.timewin import forward_max
+    data = _random_rows(n=500, keys=3, seed=5)
+    data += [(1000 + i, 7, dt.datetime(2024, 1, 2) + dt.timedelta(seconds=37 * i), i % 5) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, k long, ts timestamp_ntz, v long")
+    w = dt.timedelta(hours=6)
+    for split in ({"hot_min_rows": 1, "granules": 4}, {"hot_min_rows": 250, "max_hot": 1, "granules": 64},
+                  {"hot_min_rows": 1, "granules": 7}):
+        tc = {r.id: (r.c, r.s) for r in trailing_count(df, ["k"], "ts", "6 hours", "c", "v", "s", **split).collect()}
+        fw = {r.id: (r.n, r.s) for r in range_sums(df, ["k"], "ts", "6 hours", {"n": F.lit(1), "s": F.col("v")},
+                                                    "forward", **split).collect()}
+        fm = {r.id: r.mx for r in forward_max(df, ["k"], "ts", "6 hours", "v", "mx", **split).collect()}
+        for i, k, t, v in data:
+            same = [(t2, v2) for _, k2, t2, v2 in data if k2 == k]
+            back = [v2 for t2, v2 in same if t - w <= t2 <= t]
+            fwd = [v2 for t2, v2 in same if t <= t2 <= t + w]
+            assert tc[i] == (len(back), sum(back)), (split, i)
+            assert fw[i] == (len(fwd), sum(fwd)), (split, i)
+            assert fm[i] == max(fwd), (split, i)
