@@ -48,11 +48,17 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"
 
 
-def transactions_stream(spark: SparkSession, source: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming bank view of the raw event files (same projection as the batch view)."""
+def transactions_stream(spark: SparkSession, source: str, max_files_per_trigger: int | None = None,
+                        max_bytes_per_trigger: str | None = None) -> DataFrame:
+    """Streaming bank view of the raw event files (same projection as the batch view).
+
+    ``max_files_per_trigger`` / ``max_bytes_per_trigger`` bound a micro-batch, and with it the share of
+    a hot account that one state-function call holds."""
     reader = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     raw = reader.parquet(source)
     view = f"_lg_events_{uuid.uuid4().hex[:8]}"
     raw.createOrReplaceTempView(view)
@@ -142,10 +148,11 @@ def append_new_flags(flags: DataFrame, sink: str) -> int:
 def start_flag_refresh(spark: SparkSession, source: str, accounts: DataFrame, sink: str, checkpoint: str,
                        *, lookback: str = "30 minutes", velocity_window: str = K.VELOCITY_WINDOW,
                        as_of: str = "2024-01-31 00:00:00", trigger: dict | None = None,
-                       upto: str | None = None):
+                       upto: str | None = None, max_files_per_trigger: int | None = None,
+                       max_bytes_per_trigger: str | None = None):
     """O-ST1: start the refresh query; ``trigger`` defaults to every 15 minutes.
     ``upto`` limits the run to transactions before a time (a refresh that has not caught up)."""
-    txns = transactions_stream(spark, source)
+    txns = transactions_stream(spark, source, max_files_per_trigger, max_bytes_per_trigger)
     if upto:
         txns = txns.filter(F.col("txn_ts") < F.to_timestamp_ntz(F.lit(upto)))
     # watermarks need a TIMESTAMP (not NTZ) column: keep txn_ts as is and add the event time
