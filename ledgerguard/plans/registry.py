@@ -64,7 +64,7 @@ def context_for(spark: SparkSession, sf_dir: str) -> RiskContext:
 
     DataFrames are immutable plans, so queries of the same session share them instead of
     re-building and re-analysing the same views for every query."""
-    key = (spark._jsparkSession.hashCode(), sf_dir)
+    key = (id(spark), sf_dir)
     ctx = _CONTEXTS.get(key)
     if ctx is None or ctx.spark is not spark:
         ctx = _CONTEXTS[key] = RiskContext(spark, sf_dir)

@@ -51,21 +51,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return conf
-    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jdir.isDefined():
-        return jdir.get()
+    existing = spark.sparkContext.getCheckpointDir()
+    if existing:
+        return existing
     local = tempfile.mkdtemp(prefix="lg-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, sort_within: list[str] | None = None) -> DataFrame:
     """Cut lineage by writing a parquet table into the shared checkpoint folder and reading it back.
 
     One job (an eager ``checkpoint()`` without a persist would compute the plan twice), the data
-    survives executor loss, and readers get column pruning and filter pushdown on the snapshot."""
+    survives executor loss, and readers get column pruning and filter pushdown on the snapshot.
+    ``sort_within`` sorts each written file (no shuffle) so that the row groups cover narrow ranges
+    of those columns and pushed-down filters on them skip row groups."""
     import uuid
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    (df.sortWithinPartitions(*sort_within) if sort_within else df).write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
