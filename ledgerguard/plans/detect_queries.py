@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerguard.functions.rules import score_band
 from ledgerguard.operators.fraud import classify_fraud, detect_velocity
-from ledgerguard.operators.flags import payload_field
 
 c = F.col
 
@@ -103,23 +102,19 @@ def risk_flags(ctx) -> DataFrame:
 
 
 def flag_payload_fields(ctx) -> DataFrame:
-    """O-D27: re-extract typed fields from the JSON payload of the stored queue; count present keys."""
+    """O-D27: re-extract typed fields from the JSON payload of the stored queue; count present keys.
+
+    The payload is parsed once into a typed struct (decimals read exactly), not once per field."""
     f = ctx.risk_flags
-    return f.select(
-        "flag_id", "flag_domain",
-        F.size(F.json_object_keys(c("evidence_payload"))).alias("n_keys"),
-        payload_field("amount", "decimal(18,2)").alias("p_amount"),
-        payload_field("channel").alias("p_channel"),
-        payload_field("txn_ts").alias("p_txn_ts"),
-        payload_field("review_status").alias("p_review_status"),
-        payload_field("exposure_id", "bigint").alias("p_exposure_id"),
-        payload_field("expected_loss", "decimal(18,2)").alias("p_expected_loss"),
-        payload_field("rwa", "decimal(18,2)").alias("p_rwa"),
-        payload_field("npa_flag", "boolean").alias("p_npa_flag"),
-        payload_field("tenor_bucket").alias("p_tenor_bucket"),
-        payload_field("position_date", "date").alias("p_position_date"),
-        payload_field("lcr_ratio", "decimal(18,4)").alias("p_lcr_ratio"),
-    )
+    schema = ("amount decimal(18,2), channel string, txn_ts string, review_status string, exposure_id bigint, "
+              "expected_loss decimal(18,2), rwa decimal(18,2), npa_flag boolean, tenor_bucket string, "
+              "position_date date, lcr_ratio decimal(18,4)")
+    p = f.select("flag_id", "flag_domain", F.size(F.json_object_keys(c("evidence_payload"))).alias("n_keys"),
+                 F.from_json(c("evidence_payload"), schema).alias("p"))
+    return p.select("flag_id", "flag_domain", "n_keys",
+                    *[c(f"p.{x}").alias(f"p_{x}") for x in
+                      ["amount", "channel", "txn_ts", "review_status", "exposure_id", "expected_loss", "rwa",
+                       "npa_flag", "tenor_bucket", "position_date", "lcr_ratio"]])
 
 
 def score_bands(ctx) -> DataFrame:
