@@ -70,27 +70,40 @@ def _granule_count(W: int, granules: int) -> int:
     return m
 
 
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_KEY_MIN_ROWS,
+             max_hot: int = MAX_HOT_KEYS) -> DataFrame:
+    """The heavy hitters of ``df`` by ``keys``: at most ``max_hot`` keys with ``min_rows`` rows or more.
+
+    Counts combine map-side; the list is a top-k under a total order (deterministic when recomputed),
+    so broadcasting it is bounded by ``max_hot`` rows whatever the size of the data.  Compute it once
+    per input and pass it to every range window over that input (``hot=``)."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lg_n")).filter(c("_lg_n") >= min_rows)
+              .orderBy(c("_lg_n").desc(), *[c(k).asc() for k in keys]).limit(max_hot).select(*keys))
+
+
 def _with_granules(df: DataFrame, keys: list[str], W: int, granules: int, hot_min_rows: int | None,
-                   max_hot: int) -> tuple[DataFrame, int]:
+                   max_hot: int, hot: DataFrame | None) -> tuple[DataFrame, int]:
     """Add ``_lg_m``: granules per window for the row's key (1 for every key that is not hot)."""
     m = _granule_count(W, granules)
-    if m <= 1 or not hot_min_rows:
+    if m <= 1 or (hot is None and not hot_min_rows):
         return df.withColumn("_lg_m", F.lit(1).cast("bigint")), 1
-    # heavy hitters: counts combine map-side; the list is a top-k with a total order (deterministic on
-    # recomputation), so its broadcast is bounded by max_hot rows whatever the data size
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lg_n")).filter(c("_lg_n") >= hot_min_rows)
-             .orderBy(c("_lg_n").desc(), *[c(k).asc() for k in keys]).limit(max_hot)
-             .select(*keys, F.lit(m).cast("bigint").alias("_lg_m")))
-    out = df.join(F.broadcast(hot), keys, "left").withColumn("_lg_m", F.coalesce(c("_lg_m"), F.lit(1).cast("bigint")))
+    if hot is None:
+        hot = hot_keys(df, keys, hot_min_rows, max_hot)
+    # the list is a bounded top-k (see hot_keys): a safe broadcast
+    tagged = hot.select(*keys, F.lit(m).cast("bigint").alias("_lg_m"))
+    out = (df.join(F.broadcast(tagged), keys, "left")
+             .withColumn("_lg_m", F.coalesce(c("_lg_m"), F.lit(1).cast("bigint"))))
     return out, m
 
 
 def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, direction: str,
               measures: list[tuple[str, Column, str]], *, granules: int = HOT_GRANULES,
-              hot_min_rows: int | None = HOT_KEY_MIN_ROWS, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
+              hot_min_rows: int | None = HOT_KEY_MIN_ROWS, max_hot: int = MAX_HOT_KEYS,
+              hot: DataFrame | None = None) -> DataFrame:
     """``df`` plus one column per measure ``(name, value, 'sum' | 'max')``: the aggregate of ``value`` over
     the rows with the same ``keys`` whose time lies in ``[t - W, t]`` (trailing) or ``[t, t + W]`` (forward).
-    Ties on time are peers and all included (RANGE semantics); sums of an empty frame are 0."""
+    Ties on time are peers and all included (RANGE semantics); sums of an empty frame are 0.
+    ``hot`` is a precomputed :func:`hot_keys` list; without it the list is computed here."""
     if direction not in ("trailing", "forward"):
         raise ValueError(direction)
     W = duration_micros(window)
@@ -102,7 +115,7 @@ def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, directio
     for (name, _, how), v in zip(measures, vnames):
         probe = (F.sum(c(v)) + F.sum(c(v))) if how == "sum" else F.max(c(v))
         out_types[name] = base.select(probe.alias("x")).schema["x"].dataType
-    base, m = _with_granules(base, keys, W, granules, hot_min_rows, max_hot)
+    base, m = _with_granules(base, keys, W, granules, hot_min_rows, max_hot, hot)
 
     t = epoch_micros(base, ts_col)
     width = F.lit(W).cast("bigint") / c("_lg_m")           # exact: m divides W

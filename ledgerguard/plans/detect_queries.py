@@ -13,13 +13,13 @@ c = F.col
 
 def velocity(ctx) -> DataFrame:
     """O-D1 / O-W3: trailing-window count for every transaction."""
-    v = detect_velocity(ctx.bank.transactions, window=ctx.velocity_window)
+    v = detect_velocity(ctx.bank.transactions, window=ctx.velocity_window, hot=ctx.hot_accounts)
     return v.select("txn_id", "account_id", "txn_ts", "velocity_count", "is_velocity")
 
 
 def velocity_burst(ctx) -> DataFrame:
     """O-D1 with mark_burst: every member of a qualifying window."""
-    v = detect_velocity(ctx.bank.transactions, window=ctx.velocity_window, mark_burst=True)
+    v = detect_velocity(ctx.bank.transactions, window=ctx.velocity_window, mark_burst=True, hot=ctx.hot_accounts)
     return v.select("txn_id", "account_id", "velocity_count", "is_velocity", "is_velocity_burst")
 
 

@@ -139,8 +139,9 @@ def test_hot_key_granules_match_brute_force(spark):
     data += [(1000 + i, 7, dt.datetime(2024, 1, 2) + dt.timedelta(seconds=37 * i), i % 5) for i in range(300)]
     df = spark.createDataFrame(data, "id long, k long, ts timestamp_ntz, v long")
     w = dt.timedelta(hours=6)
+    given = spark.createDataFrame([(7,), (1,)], "k long")          # a precomputed list (any keys are exact)
     for split in ({"hot_min_rows": 1, "granules": 4}, {"hot_min_rows": 250, "max_hot": 1, "granules": 64},
-                  {"hot_min_rows": 1, "granules": 7}):
+                  {"hot_min_rows": 1, "granules": 7}, {"hot": given, "granules": 16}):
         tc = {r.id: (r.c, r.s) for r in trailing_count(df, ["k"], "ts", "6 hours", "c", "v", "s", **split).collect()}
         fw = {r.id: (r.n, r.s) for r in range_sums(df, ["k"], "ts", "6 hours", {"n": F.lit(1), "s": F.col("v")},
                                                     "forward", **split).collect()}
