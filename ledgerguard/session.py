@@ -29,6 +29,10 @@ def get_spark(app: str = "ledgerguard", master: str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # streaming state (dedup, per-account velocity) off the JVM heap, checkpointed as changelogs
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     )
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
