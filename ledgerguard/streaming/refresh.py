@@ -1,14 +1,20 @@
 """Incremental flag refresh with Structured Streaming (O-ST1..O-ST7).
 
 * O-ST1: ``readStream`` of raw transaction files -> bank view projection ->
-  watermark + ``dropDuplicatesWithinWatermark(txn_id)`` -> exact per-account
-  velocity state (O-ST4) -> ``foreachBatch``: row rules, flag build (static
-  join to accounts), anti-join against the flags already in the sink (O-ST2),
-  append.  Re-running an epoch after a failure appends nothing twice.
+  watermark + ``dropDuplicatesWithinWatermark(txn_id)`` -> ``foreachBatch``:
+  exact velocity (below), row rules, flag build (static join to accounts),
+  anti-join against the flags already in the sink (O-ST2), append.  Re-running
+  an epoch after a failure appends nothing twice.
+* Velocity in the refresh job: each micro-batch is counted with the batch range
+  window (``timewin``, hot accounts split into granules) over the batch plus the
+  stream's own history of the last window (narrow rows, partitioned by date,
+  read with partition pruning, appended idempotently).  No per-account state, so
+  a hot account never sits in one task or one state value.
 * O-ST3: rows older than the watermark are dropped by the stream; the batch
   reconcile :func:`find_missed_flags` finds flagged transactions that have no flag.
-* O-ST4: ``applyInPandasWithState`` keyed by account keeps the timestamps of
-  the last window (bounded by the window length), evicted by event-time timeout.
+* O-ST4 as a pure streaming operator: ``applyInPandasWithState`` keyed by account
+  keeps the timestamps of the last window, evicted by event-time timeout
+  (:func:`streaming_velocity`, for consumers that want a streaming DataFrame).
 * O-ST5 / O-ST6: windowed aggregations written once and run either on a
   stream or on a batch DataFrame (same code).
 * O-ST7: document index refresh as a stream over the document files.
@@ -31,8 +37,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ledgerguard.functions import constants as K
 from ledgerguard.operators.fraud import (_pick_score, build_fraud_flags, default_score_seed,
                                          detect_cross_border, detect_round_number, detect_structuring)
-from ledgerguard.operators.timewin import duration_micros
-from ledgerguard.session import checkpoint_dir
+from ledgerguard.operators.timewin import duration_micros, trailing_count
+from ledgerguard.session import checkpoint_dir, ts_lit
 from ledgerguard.sources.adapters import adapter_sql
 from ledgerguard.sources.schemas import RISK_FLAGS_SCHEMA, conform
 
@@ -145,28 +151,76 @@ def append_new_flags(flags: DataFrame, sink: str) -> int:
     return 0
 
 
+# ---- velocity of a micro-batch from the stream's own history -----------------------------
+HISTORY_SCHEMA = T.StructType([
+    T.StructField("account_id", T.LongType()), T.StructField("txn_ts", T.TimestampNTZType()),
+    T.StructField("txn_id", T.StringType()), T.StructField("txn_date", T.DateType()),
+])
+
+
+def read_history(spark: SparkSession, path: str, lo, hi) -> DataFrame:
+    """Recorded transactions with time in [lo, hi] (date partitions pruned, time filter pushed down)."""
+    try:
+        h = spark.read.schema(HISTORY_SCHEMA).parquet(path)
+    except Exception:  # noqa: BLE001 - first batch: no history yet
+        return spark.createDataFrame([], HISTORY_SCHEMA)
+    return (h.filter(F.col("txn_date").between(F.lit(lo.date()), F.lit(hi.date())))
+             .filter(F.col("txn_ts").between(ts_lit(lo.isoformat(sep=" ")), ts_lit(hi.isoformat(sep=" ")))))
+
+
+def batch_velocity(batch: DataFrame, history: str, window: str, lo, hi) -> DataFrame:
+    """The batch rows plus ``velocity_count``: rows of the account in [t - W, t] among the batch and
+    the transactions recorded by earlier batches.  ``lo``/``hi`` are the batch's time bounds."""
+    import datetime as dt
+    spark = batch.sparkSession
+    since = lo - dt.timedelta(microseconds=duration_micros(window))
+    # rows of a re-run epoch may already be recorded: they are counted once, as batch rows
+    seen = (read_history(spark, history, since, hi).join(batch.select("txn_id"), "txn_id", "left_anti")
+            .select("account_id", "txn_ts", "txn_id", F.lit(False).alias("_lg_new")))
+    both = batch.withColumn("_lg_new", F.lit(True)).unionByName(seen, allowMissingColumns=True)
+    counted = trailing_count(both, ["account_id"], "txn_ts", window, "velocity_count")
+    return counted.filter(F.col("_lg_new")).drop("_lg_new")
+
+
+def record_history(batch: DataFrame, history: str, lo, hi) -> None:
+    """Append the batch's (account, time, id) to the history, skipping ids already there (re-run)."""
+    spark = batch.sparkSession
+    have = read_history(spark, history, lo, hi).select("txn_id")
+    rows = batch.select("account_id", "txn_ts", "txn_id", F.to_date("txn_ts").alias("txn_date"))
+    rows.join(have, "txn_id", "left_anti").write.mode("append").partitionBy("txn_date").parquet(history)
+
+
 def start_flag_refresh(spark: SparkSession, source: str, accounts: DataFrame, sink: str, checkpoint: str,
                        *, lookback: str = "30 minutes", velocity_window: str = K.VELOCITY_WINDOW,
                        as_of: str = "2024-01-31 00:00:00", trigger: dict | None = None,
                        upto: str | None = None, max_files_per_trigger: int | None = None,
-                       max_bytes_per_trigger: str | None = None):
+                       max_bytes_per_trigger: str | None = None, history: str | None = None):
     """O-ST1: start the refresh query; ``trigger`` defaults to every 15 minutes.
-    ``upto`` limits the run to transactions before a time (a refresh that has not caught up)."""
+    ``upto`` limits the run to transactions before a time (a refresh that has not caught up).
+    ``history`` (default: next to the sink) keeps the (account, time, id) rows the stream has seen;
+    rows older than the watermark plus the velocity window can be dropped from it by date partition."""
+    history = history or f"{sink.rstrip('/')}-velocity-history"
     txns = transactions_stream(spark, source, max_files_per_trigger, max_bytes_per_trigger)
     if upto:
         txns = txns.filter(F.col("txn_ts") < F.to_timestamp_ntz(F.lit(upto)))
     # watermarks need a TIMESTAMP (not NTZ) column: keep txn_ts as is and add the event time
     txns = (txns.withColumn("event_time", F.col("txn_ts").cast("timestamp"))
                 .withWatermark("event_time", lookback).dropDuplicatesWithinWatermark(["txn_id"]))
-    scored = streaming_velocity(txns, velocity_window)
     accounts_snapshot = accounts.select("account_id", "customer_id")
 
     def process(batch: DataFrame, epoch_id: int):
-        classified = classify_rows(batch)
-        flags = build_fraud_flags(classified, accounts_snapshot, as_of)
-        append_new_flags(flags, sink)
-
-    writer = scored.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+        b = batch.persist()
+        try:
+            lo, hi = b.agg(F.min("txn_ts"), F.max("txn_ts")).first()    # two scalars
+            if lo is None:
+                return
+            classified = classify_rows(batch_velocity(b, history, velocity_window, lo, hi))
+            append_new_flags(build_fraud_flags(classified, accounts_snapshot, as_of), sink)
+            record_history(b, history, lo, hi)
+        finally:
+            b.unpersist()
+
+    writer = txns.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"processingTime": "15 minutes"}))
     return writer.start()
 

@@ -61,3 +61,28 @@ def test_streaming_velocity_matches_batch_window(spark):
     q.awaitTermination()
     got = spark.read.parquet(sink)
     assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
+def test_velocity_history_spans_micro_batches(spark, tmp_path):
+    """Two in-order files, one per micro-batch: the second batch's velocity counts reach back into the
+    first through the recorded history, so the stream equals the batch flags exactly."""
+    import os
+    ctx = RiskContext(spark, SF001)
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    land, src = tmp_path / "landing", tmp_path / "src"
+    os.makedirs(src)
+    ev.filter(F.col("ts") < "2024-01-16").coalesce(1).write.parquet(str(land / "a"))
+    ev.filter(F.col("ts") >= "2024-01-16").coalesce(1).write.parquet(str(land / "b"))
+    for i, part in enumerate(("a", "b")):
+        dst = os.path.join(src, f"{i}.parquet")
+        shutil.copy(next(p for p in (land / part).glob("*.parquet")), dst)
+        os.utime(dst, (1_700_000_000 + 60 * i, 1_700_000_000 + 60 * i))   # arrival order = file order
+    sink, ckpt = ST.scratch_path(spark, "flags"), ST.scratch_path(spark, "ckpt")
+    q = ST.start_flag_refresh(spark, str(src), ctx.accounts, sink, ckpt, trigger={"availableNow": True},
+                              velocity_window="24 hours", max_files_per_trigger=1)
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 2                          # really two micro-batches
+    got = spark.read.parquet(sink).select("flag_id", "flag_type", "flag_score", "flag_status")
+    want = ctx.fraud_flags.select("flag_id", "flag_type", "flag_score", "flag_status")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert spark.read.parquet(f"{sink}-velocity-history").count() == ev.count()
