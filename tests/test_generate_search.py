@@ -153,3 +153,22 @@ def test_hot_key_granules_match_brute_force(spark):
             assert tc[i] == (len(back), sum(back)), (split, i)
             assert fw[i] == (len(fwd), sum(fwd)), (split, i)
             assert fm[i] == max(fwd), (split, i)
+
+
+def test_bm25_pruning_is_exact(spark):
+    """Pruned top-k (rare-term candidates + common-term bound + full fallback) equals full scoring on
+    the driver texts, with passages and questions as queries, at several rare-term thresholds."""
+    from ledgerguard.plans.search_queries import QUESTIONS
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.col("text")
+                                                                                  .alias("content"))
+    post = R.build_index(docs).cache()
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(
+        F.col("item_id").alias("query_id"), "text")
+    qs = bench.unionByName(spark.createDataFrame([(10_000 + i, q) for i, q in enumerate(QUESTIONS)],
+                                                 "query_id long, text string"))
+    want = sorted(tuple(r) for r in R.bm25(post, qs, k=5, rare_fraction=None).collect())
+    assert want
+    for frac in (0.01, 0.05, 0.2, 0.3, 1.0):
+        got = sorted(tuple(r) for r in R.bm25(post, qs, k=5, rare_fraction=frac, prune_from_docs=0).collect())
+        assert got == want, frac
+    post.unpersist()
