@@ -118,8 +118,8 @@ def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, directio
     base, m = _with_granules(base, keys, W, granules, hot_min_rows, max_hot, hot)
 
     t = epoch_micros(base, ts_col)
-    width = F.lit(W).cast("bigint") / c("_lg_m")           # exact: m divides W
-    copies = base.select("*", t.alias("_lg_t"), width.cast("bigint").alias("_lg_w"),
+    width = F.expr(f"CAST({W} AS BIGINT) div _lg_m")        # exact: m divides W
+    copies = base.select("*", t.alias("_lg_t"), width.alias("_lg_w"),
                          F.explode(F.array(F.lit(1), F.lit(0))).alias("_lg_own"))
     own = c("_lg_own") == 1
     b = F.expr("(_lg_t - pmod(_lg_t, _lg_w)) div _lg_w")      # exact floor division, also before 1970
@@ -129,9 +129,9 @@ def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, directio
         F.when(own, b).otherwise(b + sign * c("_lg_m")).alias("_lg_b"),
         F.when(own, c("_lg_t")).otherwise(c("_lg_t") + F.lit(sign * W)).alias("_lg_k"))
     if m > 1:
-        hot = base.filter(c("_lg_m") > 1).select(*keys, "_lg_m", *vnames, t.alias("_lg_t"),
-                                                 width.cast("bigint").alias("_lg_w"))
-        per = (hot.groupBy(*keys, "_lg_m", b.alias("_lg_g"))
+        hot_rows = base.filter(c("_lg_m") > 1).select(*keys, "_lg_m", *vnames, t.alias("_lg_t"),
+                                                      width.alias("_lg_w"))
+        per = (hot_rows.groupBy(*keys, "_lg_m", b.alias("_lg_g"))
                   .agg(*[(F.sum if how == "sum" else F.max)(v).alias(v)
                          for (_, _, how), v in zip(measures, vnames)]))
         g, mm = c("_lg_g"), c("_lg_m")
