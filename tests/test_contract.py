@@ -50,3 +50,17 @@ def test_matches_oracle(spark, con, name):
     idx = [ocols.index(c) for c in cols]
     want = sorted((tuple(_norm(r[i]) for i in idx) for r in res.fetchall()), key=repr)
     assert got == want
+
+
+def test_no_plan_pairs_rows(spark):
+    """No registered entry plans a nested-loop or cartesian join: one-row values are scalar
+    subqueries, literal tables are expressions, every join has equi keys."""
+    import contextlib
+    import io
+    bad = []
+    for name, fn in E.queries().items():
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            fn(spark, SF001).explain("formatted")
+        bad += [(name, k) for k in ("BroadcastNestedLoopJoin", "CartesianProduct") if k in buf.getvalue()]
+    assert bad == []
