@@ -26,23 +26,25 @@ def tokenize(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), TOKEN_SPLIT), "")
 
 
+# a run of one token repeated, in a space-joined sorted token list ("cash cash deposits" -> "cash cash")
+_RUN = r"(\b[a-z0-9]+)(?: \1\b)*"
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
     """O-R1: postings (doc_id, term, tf, doc_len) over the whole text of every document.
 
-    A document is one row, so its term frequencies are counted inside the row: sort the tokens,
-    keep the positions where a new term starts, and the distance to the next start is the term's
-    frequency.  The index is a map-only job: no shuffle of the (large) posting list."""
+    A document is one row, so its term frequencies are counted inside the row: the tokens are
+    sorted and space-joined, each run of one repeated token is extracted by a regular expression,
+    and the run's length gives the frequency.  Built-in expressions only; the index is a map-only
+    job with no shuffle of the (large) posting list."""
     s = F.array_sort(tokenize(c(text_col)))
-    d = docs.select(c(id_col).alias("doc_id"), s.alias("_lg_s")).select(
-        "doc_id", "_lg_s", F.size("_lg_s").alias("doc_len")).filter(c("doc_len") > 0)
-    starts = F.filter(F.sequence(F.lit(1), c("doc_len")),
-                      lambda i: (i == 1) | (F.element_at(c("_lg_s"), i) != F.element_at(c("_lg_s"), i - 1)))
-    d = d.select("doc_id", "_lg_s", "doc_len", starts.alias("_lg_st"))
-    nexts = F.concat(F.slice(c("_lg_st"), 2, F.size(c("_lg_st"))), F.array(c("doc_len") + 1))
-    runs = F.zip_with(c("_lg_st"), nexts, lambda a, b: F.struct(F.element_at(c("_lg_s"), a).alias("term"),
-                                                                (b - a).cast("bigint").alias("tf")))
-    return (d.select("doc_id", "doc_len", F.explode(runs).alias("_lg_p"))
-             .select("doc_id", c("_lg_p.term").alias("term"), c("_lg_p.tf").alias("tf"), "doc_len"))
+    runs = (docs.select(c(id_col).alias("doc_id"), s.alias("_lg_s"))
+                .select("doc_id", F.size("_lg_s").alias("doc_len"),
+                        F.explode(F.regexp_extract_all(F.array_join("_lg_s", " "), F.lit(_RUN), 0)).alias("_lg_run")))
+    term = F.substring_index(c("_lg_run"), " ", 1)
+    # a run is the term repeated tf times with single spaces: length + 1 = tf * (len(term) + 1)
+    tf = F.expr("(length(_lg_run) + 1) div (length(substring_index(_lg_run, ' ', 1)) + 1)")
+    return runs.select("doc_id", term.alias("term"), tf.cast("bigint").alias("tf"), "doc_len")
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], score_col: str, tie_col: str, k: int,
