@@ -86,3 +86,22 @@ def test_velocity_history_spans_micro_batches(spark, tmp_path):
     want = ctx.fraud_flags.select("flag_id", "flag_type", "flag_score", "flag_status")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert spark.read.parquet(f"{sink}-velocity-history").count() == ev.count()
+
+
+def test_history_read_is_partition_pruned(spark):
+    """A micro-batch reads only the date partitions of its window from the velocity history."""
+    import contextlib
+    import datetime as dt
+    import io
+    ctx = RiskContext(spark, SF001)
+    hist = ST.scratch_path(spark, "hist")
+    t = ctx.bank.transactions
+    lo, hi = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 11, 12)
+    ST.record_history(t, hist, dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1))
+    h = ST.read_history(spark, hist, lo, hi)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        h.explain("formatted")
+    assert "PartitionFilters: [isnotnull(txn_date" in buf.getvalue() and "2024-01-10" in buf.getvalue()
+    want = t.filter((F.col("txn_ts") >= "2024-01-10") & (F.col("txn_ts") <= "2024-01-11 12:00:00")).count()
+    assert h.count() == want > 0
