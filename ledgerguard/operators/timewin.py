@@ -38,10 +38,21 @@ _UNITS = {
 }
 
 # Keys with at least this many rows are candidates for the fine split; at most MAX_HOT_KEYS of them
-# (the heaviest, a bounded broadcast list) get HOT_GRANULES granules per window.
+# (the heaviest, a bounded broadcast list) get HOT_GRANULES granules per window.  A cluster can tune
+# them per session with the confs below.
 HOT_KEY_MIN_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
 HOT_GRANULES = 64
+CONF_MIN_ROWS = "spark.ledgerguard.hotKeys.minRows"
+CONF_MAX_KEYS = "spark.ledgerguard.hotKeys.max"
+CONF_GRANULES = "spark.ledgerguard.hotKeys.granules"
+
+
+_UNSET = object()
+
+
+def _conf_int(df: DataFrame, key: str, default: int) -> int:
+    return int(df.sparkSession.conf.get(key, str(default)))
 
 _SENTINEL_K = -(2 ** 63)
 
@@ -70,13 +81,16 @@ def _granule_count(W: int, granules: int) -> int:
     return m
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_KEY_MIN_ROWS,
-             max_hot: int = MAX_HOT_KEYS) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int | None = None,
+             max_hot: int | None = None) -> DataFrame:
     """The heavy hitters of ``df`` by ``keys``: at most ``max_hot`` keys with ``min_rows`` rows or more.
 
     Counts combine map-side; the list is a top-k under a total order (deterministic when recomputed),
     so broadcasting it is bounded by ``max_hot`` rows whatever the size of the data.  Compute it once
-    per input and pass it to every range window over that input (``hot=``)."""
+    per input and pass it to every range window over that input (``hot=``).  Defaults come from the
+    session confs (``spark.ledgerguard.hotKeys.minRows`` / ``.max``) or the module constants."""
+    min_rows = min_rows if min_rows is not None else _conf_int(df, CONF_MIN_ROWS, HOT_KEY_MIN_ROWS)
+    max_hot = max_hot if max_hot is not None else _conf_int(df, CONF_MAX_KEYS, MAX_HOT_KEYS)
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lg_n")).filter(c("_lg_n") >= min_rows)
               .orderBy(c("_lg_n").desc(), *[c(k).asc() for k in keys]).limit(max_hot).select(*keys))
 
@@ -97,15 +111,20 @@ def _with_granules(df: DataFrame, keys: list[str], W: int, granules: int, hot_mi
 
 
 def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, direction: str,
-              measures: list[tuple[str, Column, str]], *, granules: int = HOT_GRANULES,
-              hot_min_rows: int | None = HOT_KEY_MIN_ROWS, max_hot: int = MAX_HOT_KEYS,
+              measures: list[tuple[str, Column, str]], *, granules: int | None = None,
+              hot_min_rows=_UNSET, max_hot: int | None = None,
               hot: DataFrame | None = None) -> DataFrame:
     """``df`` plus one column per measure ``(name, value, 'sum' | 'max')``: the aggregate of ``value`` over
     the rows with the same ``keys`` whose time lies in ``[t - W, t]`` (trailing) or ``[t, t + W]`` (forward).
     Ties on time are peers and all included (RANGE semantics); sums of an empty frame are 0.
-    ``hot`` is a precomputed :func:`hot_keys` list; without it the list is computed here."""
+    ``hot`` is a precomputed :func:`hot_keys` list; without it the list is computed here.
+    ``hot_min_rows=None`` turns the split off; unset values come from the session confs."""
     if direction not in ("trailing", "forward"):
         raise ValueError(direction)
+    granules = granules if granules is not None else _conf_int(df, CONF_GRANULES, HOT_GRANULES)
+    if hot_min_rows is _UNSET:
+        hot_min_rows = _conf_int(df, CONF_MIN_ROWS, HOT_KEY_MIN_ROWS)
+    max_hot = max_hot if max_hot is not None else _conf_int(df, CONF_MAX_KEYS, MAX_HOT_KEYS)
     W = duration_micros(window)
     sign = 1 if direction == "trailing" else -1
     cols = df.columns
