@@ -7,8 +7,9 @@ place that decides where lineage is cut.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,21 +48,22 @@ def ts_lit(value: str = AS_OF_DEFAULT):
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """The shared folder named by the cluster in ``spark.checkpoint.dir``; the setting is only read.
 
-    Only when the session has none (unit tests, local runs) do we create one.
+    A session that names none gets a scratch folder of its own, but only where the driver and the
+    executors are one process (``local[...]``, as in tests).  On a cluster a machine-local folder
+    would lose data, so a missing setting is an error there.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf:
-        spark.sparkContext.setCheckpointDir(conf)
         return conf
-    existing = spark.sparkContext.getCheckpointDir()
-    if existing:
-        return existing
-    local = tempfile.mkdtemp(prefix="lg-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lg-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame, sort_within: list[str] | None = None) -> DataFrame:
@@ -71,7 +73,6 @@ def cut_lineage(df: DataFrame, sort_within: list[str] | None = None) -> DataFram
     survives executor loss, and readers get column pruning and filter pushdown on the snapshot.
     ``sort_within`` sorts each written file (no shuffle) so that the row groups cover narrow ranges
     of those columns and pushed-down filters on them skip row groups."""
-    import uuid
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort_within) if sort_within else df).write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
