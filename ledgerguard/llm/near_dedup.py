@@ -111,7 +111,7 @@ def postings(classes: DataFrame, needed: int) -> DataFrame:
               .withColumnsRenamed({"coord": "_c", "value": "_v"}))
     shared = (all_.join(common, (F.col("coord") == F.col("_c")) & (F.col("value") == F.col("_v")))
               .groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("n", "coord", "value"))).alias("l")))
-    room = F.lit(1 - needed) + F.size("l")  # singletons fill the prefix first
+    room = F.greatest(F.lit(1 - needed) + F.size("l"), F.lit(0))  # singletons fill the prefix first
     prefix = (shared.filter(room > 0)
               .select("cls", F.aggregate("l", F.lit(0.0), lambda s, x: s + F.log(x["n"])).alias("central"),
                       F.explode(F.slice("l", F.lit(1), room)).alias("x"))
@@ -161,19 +161,21 @@ def _rest(posted: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
               .agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l")))
     ranked = ranked.join(sets_.select(F.col("cls").alias("_k"), "comp", "n"), F.col("cls") == F.col("_k")).drop("_k")
     # floor(n * (1 - p)) + 1 shingles; private ones come first and fill it
-    room = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - (F.col("n") - F.size("l"))
-    post = stored(ranked.filter(room > 0).select(
-        "cls", "comp", "n", F.size("l").alias("open"), F.explode(F.slice("l", F.lit(1), room)).alias("x"))
-        .select("cls", "comp", "n", "open", F.col("x.s").alias("s")))
+    room = F.greatest(F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - (F.col("n") - F.size("l")), F.lit(0))
+    post = stored(ranked.filter(room > 0)
+                  .withColumn("prefix", F.transform(F.slice("l", F.lit(1), room), lambda x: x["s"]))
+                  .select("cls", "comp", "n", F.size("l").alias("open"), "prefix", F.posexplode("prefix").alias("i", "s")))
     largest = (post.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("k"))
                .groupBy(F.col("s").alias("_s")).agg(F.max_by("comp", F.struct("k", "comp")).alias("_big"),
                                                     F.count(F.lit(1)).alias("_m")).filter("_m > 1"))
     out = (post.join(largest, F.col("s") == F.col("_s")).filter(F.col("comp") != F.col("_big"))
-           .select(F.col("s").alias("_s"), F.col("cls").alias("a"), F.col("comp").alias("_ca"),
-                   F.col("n").alias("_na"), F.col("open").alias("_oa")))
-    need = percent * (F.col("_na") + F.col("n"))
+           .select(F.col("s").alias("_s"), F.col("cls").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"),
+                   F.col("open").alias("_oa"), F.col("prefix").alias("_pa"), F.col("i").alias("_ia")))
+    # a pair comes from its first common shingle only, and shares nothing before it: what follows must do
+    first = F.get(F.array_intersect("_pa", "prefix"), F.lit(0)) == F.col("s")
+    room_left = F.least(F.col("_oa") - F.col("_ia"), F.col("open") - F.col("i"))
     return (out.join(post, (F.col("_s") == F.col("s")) & (F.col("_ca") != F.col("comp"))
-                     & ((100 + percent) * F.least("_oa", "open") >= need))
+                     & ((100 + percent) * room_left >= percent * (F.col("_na") + F.col("n"))) & first)
             .select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct())
 
 
