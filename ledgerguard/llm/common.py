@@ -6,6 +6,8 @@ A document's row is known by (doc_id, text): joins back to documents use ``doc_i
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def release(spark) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps now; by itself it waits for the
+    driver's next garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text, *more) of documents, whatever other columns they have; a null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -19,13 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import stored
+from ledgerguard.llm.common import release, stored
 
 #: Fixed value: the pattern of byte-level BPE pre-tokenizers; S stands for the Unicode white space.
 _S = r"\s\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|[" + _S + r"]+(?![^" + _S
            + r"])|[" + _S + r"]+")
-DICTIONARY, WORD_BYTES = 1 << 18, 64
+DICTIONARY, WORD_BYTES = 1 << 19, 64
 
 _loaded: dict[str, object] = {}  # filled in tasks only: what a task runs is sent with it
 
@@ -93,7 +93,10 @@ def word_table(d: DataFrame, path: str) -> DataFrame:
 
     counted = (with_words(d, path).select("words", "odd").mapInArrow(count, "word string, n long")
                .groupBy("word").agg(F.sum("n").alias("n")))
-    return stored(counted.mapInArrow(encode, "word string, n long, ids array<int>"))
+    table = stored(counted.mapInArrow(encode, "word string, n long, ids array<int>"))
+    del counted
+    release(d.sparkSession)
+    return table
 
 
 def frequent(table: DataFrame, size: int = DICTIONARY) -> pa.Table:
