@@ -112,6 +112,7 @@ def drop_rejected(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     beside the measures in one stored pass; only rejected hosts are joined back (an anti join)."""
     d = texts(docs, F.col("source").cast("string").alias("_host"), F.struct(*docs.columns).alias("_doc"))
     measured = stored(base_measures(d, "_host", "_doc"))
-    rejected = host_verdicts(measured, "_host", host_limit).filter("host_failed").select(F.col("_host").alias("_h"))
+    # stored, so that its size is known when the join is planned
+    rejected = stored(host_verdicts(measured, "_host", host_limit).filter("host_failed").select(F.col("_host").alias("_h")))
     return (measured.filter(~F.col("base_failed"))
             .join(rejected, F.col("_host") == F.col("_h"), "left_anti").select("_doc.*"))
