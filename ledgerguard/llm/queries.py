@@ -61,22 +61,22 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_minhash_near_dedup, op3_substring_dedup, op4_pii, op5_bpe, op6_sharding,
     op7_decontamination, op8_token_counts, op9_license_scan, op10_suffix_dedup)}
 
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": rf"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
-win AS (SELECT row, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS s
-        FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
-again AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, s) AS n FROM win) WHERE n > 1),
-covered AS (SELECT row, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS v(k) GROUP BY row),
-lines AS (SELECT row, count(*) - count(DISTINCT l) AS n
-          FROM (SELECT row, unnest(string_split(text, chr(10))) AS l FROM d)
-          WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY row),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+win AS (SELECT rid, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS s
+        FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n FROM win) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS v(k) GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT l) AS n
+          FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d)
+          WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
 m AS (SELECT d.doc_id, d.source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
         coalesce(covered.n, 0) AS n_repeat_words
-      FROM d LEFT JOIN lines USING (row) LEFT JOIN covered USING (row)),
+      FROM d LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
 f AS (SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 100 * n_symbols > 10 * word_chars AS f3 FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (f1) AS c1, count(*) FILTER (f2) AS c2, count(*) FILTER (f3) AS c3
       FROM f WHERE source IS NOT NULL GROUP BY source),
