@@ -15,7 +15,7 @@ from ledgerguard.functions import constants as K
 # --- fixed values: rule catalog (flag_type -> field, limit, citation) --------
 RULE_CATALOG = [
     ("VELOCITY", "flag_score", 65.0,
-     "Five or more transactions on one account inside one hour; rapid movement of funds "
+     "Five or more transactions on one account inside the rule's window; rapid movement of funds "
      "(FinCEN SAR item 35(a); velocity rule V-001)"),
     ("STRUCTURING", "flag_score", 65.0,
      "Amount between 9,800 and 9,999 just under the 10,000 currency-reporting line "

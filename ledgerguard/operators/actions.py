@@ -37,10 +37,11 @@ class ActionResult:
 
 
 def _dedupe(requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """First request (lowest request_id) per object wins; the rest are rejected."""
-    first = requests.groupBy(key).agg(F.min("request_id").alias("request_id"))
-    winners = requests.join(first, [key, "request_id"], "left_semi")
-    losers = requests.join(first, [key, "request_id"], "left_anti").withColumn(
+    """One row per object wins: the lowest request_id, and of equal ids one; the rest are rejected."""
+    rows = cut_lineage(requests.withColumn("_lg_row", F.monotonically_increasing_id()))
+    first = rows.groupBy(key).agg(F.min(F.struct("request_id", "_lg_row")).alias("_lg_first")).select("_lg_first._lg_row")
+    winners = rows.join(first, "_lg_row", "left_semi").drop("_lg_row")
+    losers = rows.join(first, "_lg_row", "left_anti").drop("_lg_row").withColumn(
         "error", F.lit("Duplicate request in batch"))
     return winners, losers
 

@@ -113,7 +113,8 @@ def grants_df(spark: SparkSession) -> DataFrame:
 def role_closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(role, inherited_role) pairs incl. (r, r): parents inherit every child grant, transitively.
 
-    A recursive CTE over the edge relation; the edge set is the catalog's role graph.
+    A recursive CTE over the edge relation; the edge set is the catalog's role graph.  A graph deeper than
+    64 (a cycle, in practice) is an error, not a shorter closure.
     """
     edges.createOrReplaceTempView("_lg_role_edges")
     return spark.sql("""
@@ -123,7 +124,8 @@ def role_closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
           SELECT c.role, e.child, c.depth + 1 FROM closure c JOIN _lg_role_edges e ON e.parent = c.inherited
           WHERE c.depth < 64
         )
-        SELECT DISTINCT role, inherited FROM closure
+        SELECT DISTINCT role, IF(depth >= 64, raise_error('role graph deeper than 64: has it a cycle?'), inherited) AS inherited
+        FROM closure
         UNION SELECT child, child FROM _lg_role_edges
         UNION SELECT parent, parent FROM _lg_role_edges
     """)

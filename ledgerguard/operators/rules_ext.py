@@ -102,7 +102,8 @@ def pass_through(txns: DataFrame, window: str = "48 hours", hot: DataFrame | Non
     A forward range window over (account, time bucket): for each credit, the count and sum of
     debits in [t, t + 48h] - no credit x debit pairs are built."""
     is_debit = c("txn_type") == "DEBIT"
-    t = range_sums(txns, ["account_id"], "txn_ts", window,
+    asked = is_debit | ((c("txn_type") == "CREDIT") & c("is_structuring"))  # no other row is counted or returned
+    t = range_sums(txns.filter(asked), ["account_id"], "txn_ts", window,
                    {"debits_48h": F.when(is_debit, 1).otherwise(0),
                     "debit_amount_48h": F.when(is_debit, c("amount")).otherwise(F.lit(0).cast("decimal(18,2)"))},
                    direction="forward", hot=hot)
@@ -115,7 +116,7 @@ def rolling_structuring(txns: DataFrame, window: str = "21 days", below: float =
                         min_count: int = 3, hot: DataFrame | None = None) -> DataFrame:
     """O-X10: at least ``min_count`` credits under 10,000 on one account within 21 days, with total."""
     sub = (c("txn_type") == "CREDIT") & (c("amount") < below)
-    t = range_sums(txns, ["account_id"], "txn_ts", window,
+    t = range_sums(txns.filter(sub), ["account_id"], "txn_ts", window,
                    {"n_sub": F.when(sub, 1).otherwise(0),
                     "sub_total": F.when(sub, c("amount")).otherwise(F.lit(0).cast("decimal(18,2)"))}, hot=hot)
     return (t.filter(sub & (c("n_sub") >= min_count))

@@ -181,16 +181,24 @@ def doc_snippets(docs: DataFrame, n: int = 5, chars: int = 200) -> DataFrame:
                 .select("doc_id", F.concat(c("title"), F.lit(": "), F.left(c("content"), F.lit(chars))).alias("snippet")))
 
 
-def conversation_pairs(conv: DataFrame) -> DataFrame:
-    """O-R7: user turn followed by an assistant turn (next turn of the same conversation).
+def conversation_pairs(conv: DataFrame, rows_per_range: int = 1024) -> DataFrame:
+    """O-R7: a user turn whose next turn in the conversation, gaps and repeats included, is the
+    assistant's.  Turns are ordered by (turn, role, text).
 
-    Turns are numbered consecutively per conversation, so "next turn" is an equi-join on
-    (conv_id, turn + 1): no window over a whole conversation, no hot partition.
+    A conversation is cut into ranges of turn numbers, and the next turn is found by a window over one
+    range; the last turn of a range takes the first one of the next range that has any (one row for each
+    range), so a very long conversation is not one task's window.
     """
-    u = conv.filter(c("role") == "user").select("conv_id", c("turn").alias("user_turn"),
-                                                 c("text").alias("question"), (c("turn") + 1).alias("turn"))
-    a = conv.filter(c("role") == "assistant").select("conv_id", "turn", c("text").alias("answer"))
-    return u.join(a, ["conv_id", "turn"]).select("conv_id", "user_turn", "question", "answer")
+    t = conv.select("conv_id", "turn", "role", "text", F.floor(c("turn") / rows_per_range).alias("_r"))
+    turn = F.struct("turn", "role", "text")
+    starts = (t.groupBy("conv_id", "_r").agg(F.min(turn).alias("_start"))
+              .withColumn("_after", F.lead("_start").over(Window.partitionBy("conv_id").orderBy("_r"))))
+    after = starts.select(c("conv_id").alias("_c"), c("_r").alias("_q"), "_after")
+    inside = t.withColumn("_next", F.lead(turn).over(Window.partitionBy("conv_id", "_r").orderBy("turn", "role", "text")))
+    nxt = F.coalesce("_next", "_after")
+    return (inside.filter(c("role") == "user").join(after, c("conv_id").eqNullSafe(c("_c")) & c("_r").eqNullSafe(c("_q")))
+            .filter(nxt["role"] == "assistant")
+            .select("conv_id", c("turn").alias("user_turn"), c("text").alias("question"), nxt["text"].alias("answer")))
 
 
 def conversation_summary(pairs: DataFrame) -> DataFrame:
@@ -213,8 +221,9 @@ def agent_log_extract(responses: DataFrame, id_col: str = "response_id", json_co
         .alias("tools"))
 
 
-def run_summary(results: DataFrame) -> DataFrame:
-    """O-R9: per question: hits, best score, passed (non-empty and not an error marker)."""
-    return results.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("hits"), F.max("score").alias("best_score"),
-        (F.count(F.lit(1)) > 0).alias("passed"))
+def run_summary(questions: DataFrame, results: DataFrame) -> DataFrame:
+    """O-R9: per question of the run, those without hits included: hits, best score, passed (has a hit)."""
+    found = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best_score"))
+    return (questions.select("query_id").distinct().join(found, "query_id", "left")
+            .select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), "best_score",
+                    F.coalesce(c("hits") > 0, F.lit(False)).alias("passed")))

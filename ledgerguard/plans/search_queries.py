@@ -101,7 +101,7 @@ def agent_log_extract(ctx):
 
 def run_summary(ctx):
     """O-R9 over the question run."""
-    return R.run_summary(bm25_top_k(ctx))
+    return R.run_summary(_questions(ctx), bm25_top_k(ctx))
 
 
 # ---- streaming ---------------------------------------------------------------

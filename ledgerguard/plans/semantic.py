@@ -153,6 +153,10 @@ RELATIONSHIPS = [
 
 
 def metric_table(metric: str) -> str:
+    """The table of a named metric, or of a fact asked for as ``table.fact``."""
+    table, _, name = metric.partition(".")
+    if name and name in MODEL[table].facts:
+        return table
     for t in MODEL.values():
         if metric in t.metrics:
             return t.name
@@ -172,7 +176,9 @@ def named_filter(ctx, name: str) -> Column:
 
 
 def metric(ctx, name: str) -> Column:
-    """O-M1..O-M20: the aggregate Column of a metric."""
+    """O-M1..O-M20: the aggregate Column of a metric; O-M21: ``table.fact`` by its default aggregation."""
+    if "." in name:
+        return _fact_column(*MODEL[metric_table(name)].facts[name.split(".", 1)[1]], name.split(".", 1)[1])
     return MODEL[metric_table(name)].metrics[name](ctx).alias(name)
 
 
@@ -183,6 +189,12 @@ def fact(name: str, table: str, agg: str | None = None) -> Column:
     return fn(c(col)).alias(f"{agg or default}_{name}")
 
 
+def _fact_column(col: str, agg: str, name: str) -> Column:
+    if agg == "sum":
+        return F.sum(c(col)).cast("decimal(18,2)").alias(f"sum_{name}")
+    return F.avg(c(col)).cast("decimal(18,8)").alias(f"avg_{name}")
+
+
 def _path(base: str, target: str) -> list[tuple[str, str, str, str]] | None:
     """Shortest chain of many-to-one relationships from base to target."""
     frontier = [(base, [])]
@@ -217,37 +229,45 @@ def _dimension_column(base: str, dim: str):
 
 
 def _single_table(ctx, base: str, metrics: list[str], dimensions: list[str], filters: list[str]) -> DataFrame:
+    """Metrics of one table: filters and dimensions of other tables come over many-to-one relationships
+    (left joins, so no row is doubled), and every filter applies before the aggregation."""
     df = MODEL[base].source(ctx)
     joined: dict[str, str] = {base: ""}
     out_dims = []
-    pending_filters = [f for f in filters if filter_table(f) == base]
-    for f in pending_filters:
-        df = df.filter(named_filter(ctx, f))
+    for f in filters:
+        if filter_table(f) == base:
+            df = df.filter(named_filter(ctx, f))
+
+    def reach(df: DataFrame, t: str) -> DataFrame:
+        path = [] if t in joined else _path(base, t)
+        if path is None:
+            raise ValueError(f"no many-to-one path from {base} to {t}")
+        for (lt, rt, lc, rc) in path:
+            if rt in joined:
+                continue
+            prefix = f"_{rt}__"
+            own = {f: named_filter(ctx, f) for f in filters if filter_table(f) == rt}
+            right = MODEL[rt].source(ctx).withColumns(own) if own else MODEL[rt].source(ctx)
+            needed = ({rc} | set(MODEL[rt].dimensions.values()) | set(MODEL[rt].time_dimensions.values())
+                      | {r[2] for r in RELATIONSHIPS if r[0] == rt} | set(own))
+            right = right.select(*[c(x).alias(prefix + x) for x in right.columns if x in needed])
+            left_key = c(lc) if lt == base else c(f"_{lt}__{lc}")
+            df = df.join(right, left_key == c(prefix + rc), "left")
+            joined[rt] = prefix
+        return df
+
+    for f in filters:
+        t = filter_table(f)
+        if t != base:
+            df = reach(df, t)
+            df = df.filter(c(joined[t] + f))
     for d in dimensions:
         t, col, name, grain = _dimension_column(base, d)
-        if t not in joined:
-            path = _path(base, t)
-            if path is None:
-                raise ValueError(f"no many-to-one path from {base} to {t}")
-            for (lt, rt, lc, rc) in path:
-                if rt in joined:
-                    continue
-                prefix = f"_{rt}__"
-                right = MODEL[rt].source(ctx)
-                needed = ({rc} | set(MODEL[rt].dimensions.values()) | set(MODEL[rt].time_dimensions.values())
-                          | {r[2] for r in RELATIONSHIPS if r[0] == rt})
-                right = right.select(*[c(x).alias(prefix + x) for x in right.columns if x in needed or x == rc])
-                left_key = c(lc) if lt == base else c(f"_{lt}__{lc}")
-                df = df.join(right, left_key == c(prefix + rc), "left")
-                joined[rt] = prefix
+        df = reach(df, t)
         expr = c(joined[t] + col)
         if grain:
             expr = F.date_trunc(grain, expr)
         out_dims.append(expr.alias(name))
-    for f in filters:
-        t = filter_table(f)
-        if t != base:
-            raise ValueError(f"filter {f} belongs to {t}, not to the base table {base}")
     aggs = [metric(ctx, m) for m in metrics]
     return df.groupBy(*out_dims).agg(*aggs) if out_dims else df.agg(*aggs)
 
@@ -255,7 +275,10 @@ def _single_table(ctx, base: str, metrics: list[str], dimensions: list[str], fil
 def metric_query(ctx, metrics: list[str], dimensions: list[str] | None = None,
                  filters: list[str] | None = None, order: list[Column] | None = None,
                  limit: int | None = None) -> DataFrame:
-    """O-M0: metrics grouped by dimensions, filtered by named filters."""
+    """O-M0: metrics (or facts as ``table.fact``) grouped by dimensions, filtered by named filters.
+
+    Every filter applies to every metric: a filter that a metric's table cannot reach over the
+    relationships is an error, never left out."""
     dimensions = dimensions or []
     filters = filters or []
     by_table: dict[str, list[str]] = {}
@@ -263,8 +286,7 @@ def metric_query(ctx, metrics: list[str], dimensions: list[str] | None = None,
         by_table.setdefault(metric_table(m), []).append(m)
     parts = []
     for base, ms in by_table.items():
-        fs = [f for f in filters if filter_table(f) == base]
-        parts.append(_single_table(ctx, base, ms, dimensions, fs))
+        parts.append(_single_table(ctx, base, ms, dimensions, filters))
     dim_names = [_dimension_column(next(iter(by_table)), d)[2] for d in dimensions]
     if not dim_names:  # one row per part, disjoint columns: stack them and collapse to one row
         cols = [x for p in parts for x in p.columns]
@@ -303,10 +325,5 @@ def table_facts(ctx, table: str) -> DataFrame:
     """O-M21: every fact of a table with its default aggregation, one row."""
     m = MODEL[table]
     df = m.source(ctx)
-    cols = []
-    for name, (col, agg) in m.facts.items():
-        if agg == "sum":
-            cols.append(F.sum(c(col)).cast("decimal(18,2)").alias(f"sum_{name}"))
-        else:
-            cols.append(F.avg(c(col)).cast("decimal(18,8)").alias(f"avg_{name}"))
+    cols = [_fact_column(col, agg, name) for name, (col, agg) in m.facts.items()]
     return df.agg(*cols)

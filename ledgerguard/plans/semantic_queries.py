@@ -42,5 +42,23 @@ def metric_query_ranked(ctx):
                           order=[c("total_rwa").desc(), c("sector"), c("internal_rating")], limit=10)
 
 
+def metric_query_filter_joined(ctx):
+    """A filter of a joined table (two hops) beside one of the base table."""
+    return S.metric_query(ctx, ["total_flagged_transactions", "total_flagged_amount"], ["accounts.account_type"],
+                          filters=["high_risk_customers", "this_week"])
+
+
+def metric_query_facts(ctx):
+    """Facts by their default aggregation and any dimension."""
+    return S.metric_query(ctx, ["transactions.amount", "transactions.flag_score"], ["customers.segment"])
+
+
+def metric_query_two_facts_filtered(ctx):
+    """A filter that both fact tables reach applies to both."""
+    return S.metric_query(ctx, ["open_flag_count", "total_rwa"], ["customers.segment"], filters=["high_risk_customers"])
+
+
+ENTRIES.update({"metric_query_filter_joined": metric_query_filter_joined, "metric_query_facts": metric_query_facts,
+                "metric_query_two_facts_filtered": metric_query_two_facts_filtered})
 ENTRIES.update({"metric_query_multi": metric_query_multi, "metric_query_two_facts": metric_query_two_facts,
                 "metric_query_time": metric_query_time, "metric_query_ranked": metric_query_ranked})

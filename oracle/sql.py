@@ -283,6 +283,28 @@ FULL OUTER JOIN (SELECT c.segment, {CREDIT_METRICS2} FROM exposures x
       LEFT JOIN customers c ON c.customer_id = x.customer_id GROUP BY c.segment) e
   ON f.segment IS NOT DISTINCT FROM e.segment""", "risk_flags", "exposures", "customers")
 
+register("metric_query_filter_joined", f"""
+SELECT a.account_type, {cnt('t.is_flagged')} AS total_flagged_transactions,
+  {dsum('CASE WHEN t.is_flagged THEN t.amount ELSE 0 END')} AS total_flagged_amount
+FROM transactions t LEFT JOIN accounts a ON a.account_id = t.account_id
+LEFT JOIN customers c ON c.customer_id = a.customer_id
+WHERE c.risk_rating = 'HIGH' AND t.txn_ts >= {AS_OF} - INTERVAL 7 DAYS
+GROUP BY a.account_type""", "transactions", "accounts", "customers")
+
+register("metric_query_facts", """
+SELECT c.segment, CAST(SUM(t.amount) AS DECIMAL(18,2)) AS sum_amount,
+  CAST(AVG(t.flag_score) AS DECIMAL(18,8)) AS avg_flag_score
+FROM transactions t LEFT JOIN accounts a ON a.account_id = t.account_id
+LEFT JOIN customers c ON c.customer_id = a.customer_id GROUP BY c.segment""", "transactions", "accounts", "customers")
+
+register("metric_query_two_facts_filtered", f"""
+SELECT COALESCE(f.segment, e.segment) AS segment, f.open_flag_count, e.total_rwa
+FROM (SELECT c.segment, {FLAG_METRICS} FROM risk_flags r JOIN customers c ON c.customer_id = r.customer_id
+      WHERE c.risk_rating = 'HIGH' GROUP BY c.segment) f
+FULL OUTER JOIN (SELECT c.segment, {CREDIT_METRICS2} FROM exposures x
+      JOIN customers c ON c.customer_id = x.customer_id WHERE c.risk_rating = 'HIGH' GROUP BY c.segment) e
+  ON f.segment IS NOT DISTINCT FROM e.segment""", "risk_flags", "exposures", "customers")
+
 register("metric_query_time", f"""
 SELECT date_trunc('day', txn_ts) AS txn_date, channel, {cnt('is_flagged')} AS total_flagged_transactions,
   {dsum('CASE WHEN is_flagged THEN amount ELSE 0 END')} AS total_flagged_amount
@@ -745,8 +767,9 @@ register("bm25_filtered", bm25_sql(
                     "'INTERNAL_POLICY'))"), "postings", "idf", "questions", "policy_docs")
 register("bm25_benchmark", bm25_sql("bench_queries", 3), "postings", "idf", "bench_queries")
 register("run_summary", f"""
-SELECT query_id, COUNT(*) AS hits, MAX(score) AS best_score, COUNT(*) > 0 AS passed
-FROM ({bm25_sql('questions', 10)}) t GROUP BY query_id""", "postings", "idf", "questions")
+SELECT q.query_id, COUNT(t.score) AS hits, MAX(t.score) AS best_score, COUNT(t.score) > 0 AS passed
+FROM (SELECT DISTINCT query_id FROM questions) q LEFT JOIN ({bm25_sql('questions', 10)}) t ON t.query_id = q.query_id
+GROUP BY q.query_id""", "postings", "idf", "questions")
 
 add_cte("centroids", """
 SELECT label AS query_id, list(m ORDER BY i) AS qvec FROM (
@@ -769,8 +792,8 @@ SELECT doc_id, title || ': ' || left(content, 200) AS snippet FROM policy_docs O
 
 add_cte("conv_pairs", """
 SELECT conv_id, turn AS user_turn, text AS question, next_text AS answer FROM (
-  SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
-            lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
+  SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_role,
+            lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_text
   FROM conversations) WHERE role = 'user' AND next_role = 'assistant'""", [])
 register("conversation_pairs", "SELECT * FROM conv_pairs", "conv_pairs")
 register("conversation_summary", """

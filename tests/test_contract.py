@@ -65,3 +65,10 @@ def test_no_plan_pairs_rows(spark):
             fn(spark, SF001).explain("formatted")
         bad += [(name, k) for k in ("BroadcastNestedLoopJoin", "CartesianProduct") if k in buf.getvalue()]
     assert bad == []
+
+
+def test_filter_out_of_reach_is_an_error(spark):
+    from ledgerguard.plans import semantic as S
+    from ledgerguard.plans.registry import context_for
+    with pytest.raises(ValueError):
+        S.metric_query(context_for(spark, SF001), ["total_rwa"], ["customers.segment"], filters=["this_week"])

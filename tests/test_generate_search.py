@@ -67,6 +67,19 @@ def test_index_bm25_and_pairs(spark):
                                   (1, 3, "user", "q2"), (1, 4, "user", "q3"), (1, 5, "assistant", "a3")],
                                  "conv_id long, turn long, role string, text string")
     assert sorted((r.question, r.answer) for r in R.conversation_pairs(conv).collect()) == [("q1", "a1"), ("q3", "a3")]
+    # a gap, over a range's end too, and a repeated turn number
+    gaps = spark.createDataFrame([(1, 0, "user", "q1"), (1, 9, "assistant", "a1"), (1, 10, "user", "q2"),
+                                  (1, 12, "assistant", "a2"), (1, 12, "assistant", "again"), (2, 7, "user", "q3")],
+                                 "conv_id long, turn long, role string, text string")
+    for size in (1, 4, 1024):
+        got = sorted((r.question, r.answer) for r in R.conversation_pairs(gaps, size).collect())
+        assert got == [("q1", "a1"), ("q2", "a2")]
+
+
+def test_run_summary_counts_questions_without_hits(spark):
+    asked = spark.createDataFrame([(1, "x"), (2, "y")], "query_id long, text string")
+    hits = spark.createDataFrame([(1, 5, 2.0), (1, 6, 3.0)], "query_id long, doc_id long, score double")
+    assert sorted(tuple(r) for r in R.run_summary(asked, hits).collect()) == [(1, 2, 3.0, True), (2, 0, None, False)]
 
 
 def test_agent_log_extract(spark):
