@@ -7,6 +7,7 @@ A document's row is known by (doc_id, text): joins back to documents use ``doc_i
 from __future__ import annotations
 
 import gc
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def literal_rows(spark, rows: list[dict], fields: str) -> DataFrame:
+    """A frame of a few rows given in the plan itself (no Python rows, no RDD)."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")))
+
+
 def row_key(doc_id="doc_id", text="text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 

@@ -19,7 +19,7 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import row_key, same_row, texts
+from ledgerguard.llm.common import literal_rows, row_key, same_row, texts
 
 #: Fixed values of the contract: phrase, label.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -74,9 +74,10 @@ def matching_blocks(d: DataFrame, templates=TEMPLATES, containment: float = CONT
     for (_, label), words in zip(templates, sets):
         words = sorted(words, key=order.index)
         need = ceil(containment * len(words) - 1e-9)
-        index += [(w, i, len(words), need, words, label) for i, w in enumerate(words[:len(words) - need + 1])]
-    prefix = sorted({x[0] for x in index})
-    rows = d.sparkSession.createDataFrame(index, "w string, i int, m int, need int, words array<string>, label string")
+        index += [{"w": w, "i": i, "m": len(words), "need": need, "words": words, "label": label}
+                  for i, w in enumerate(words[:len(words) - need + 1])]
+    prefix = sorted({x["w"] for x in index})
+    rows = literal_rows(d.sparkSession, index, "w: string, i: int, m: int, need: int, words: array<string>, label: string")
     posted = (blocks.withColumn("_p", F.array_intersect("_set", _array(prefix))).filter(F.size("_p") > 0)
               .withColumn("_n", F.size(F.array_remove("_set", "")))
               .withColumn("_known", F.array_intersect(_array(order), F.col("_set")))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import stored, texts
+from ledgerguard.llm.common import literal_rows, stored, texts
 
 CANDIDATES, RANGES = 256, 4096
 
@@ -64,7 +64,7 @@ def smallest_capacity(sums: DataFrame, size: str, shards: int) -> list[int]:
         asked = sorted({t for t in targets if t < total})
         found = {t: total for t in targets if t >= total}
         if asked:
-            frame = spark.createDataFrame([(t, t // width) for t in asked], "t long, tr int")
+            frame = literal_rows(spark, [{"t": t, "tr": t // width} for t in asked], "t: bigint, tr: int")
             part = ranged.filter(F.col("r").isin(sorted({t // width for t in asked})))
             got = {x["t"]: x["m"] for x in part.join(
                 F.broadcast(frame), (F.col("r") == F.col("tr")) & (F.col("cum") <= F.col("t")))
