@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import row_key, texts
+from ledgerguard.llm.common import release, row_key, stored, texts
 from ledgerguard.llm.words_bpe import batch_words, frequent, from_bytes, specials, to_bytes, with_words, word_table
 
 
@@ -74,11 +74,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> Da
     table = word_table(d, tokenizer)
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast(to_bytes(frequent(table)))
-    back = (_rare_words(d, tokenizer, sent)
+    # stored, and its shuffle files released, before whole texts are shuffled
+    back = stored(_rare_words(d, tokenizer, sent)
             .join(table.select(F.col("word").alias("_w"), "ids"), F.col("word") == F.col("_w"))
             .groupBy(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"))
             # a set: rows repeated in the input bring the same places
             .agg(F.collect_set(F.struct("pos", "ids")).alias("rare")))
+    release(docs.sparkSession)
     joined = with_words(d.join(back, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_key") == F.col("_k")), "left"),
                         tokenizer)
     of_id = sc.broadcast(pieces(tokenizer))
