@@ -2,7 +2,9 @@
 
 Texts are split into words, each distinct word of the corpus is encoded once, and the words' ids are put
 back by position: words of the bounded dictionary inside the task, all others through rows of (document,
-position, word) that are joined to the word table and come back to their document.  Decoding joins ids to
+number of the gap, word) that are joined to the word table and come back to their document.  A document is
+stored as its words' places in the dictionary, with gaps for the other words, and texts are read twice only:
+once for the word table and once for these codes.  Decoding joins ids to
 their pieces (a table as large as the vocabulary) and joins the pieces' bytes; bytes that are no UTF-8
 become replacement characters, as the library has it.
 
@@ -21,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import release, row_key, stored, texts
-from ledgerguard.llm.words_bpe import batch_words, frequent, from_bytes, specials, to_bytes, with_words, word_table
+from ledgerguard.llm.common import stored, texts
+from ledgerguard.llm.words_bpe import batch_words, from_bytes, is_frequent, most_first, specials, to_bytes, with_words, word_table
 
 
 def pieces(tokenizer: str) -> list[bytes]:
@@ -52,37 +54,62 @@ def _hex(data) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def _rare_words(d: DataFrame, tokenizer: str, sent) -> DataFrame:
-    """(doc_id, row_key, pos, word) of all words outside the dictionary."""
-    def rare(batches):
+def _packed(code: np.ndarray, at: np.ndarray) -> pa.Array:
+    """One binary for each row: its codes, seven bits a byte, low ones first; a set high bit means more follows."""
+    size = 1 + (code >= 1 << 7) + (code >= 1 << 14)
+    parts = np.stack([code & 127, code >> 7 & 127, code >> 14], 1).astype(np.uint8)
+    byte = np.arange(3)
+    parts |= ((byte < size[:, None] - 1) * 128).astype(np.uint8)
+    ends = np.concatenate([[0], np.cumsum(size)])[at].astype(np.int64)
+    data = parts[byte < size[:, None]]
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _unpacked(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, offsets of the rows in them)."""
+    codes = codes.cast(pa.large_binary())
+    ends = np.frombuffer(codes.buffers()[1], np.int64)[codes.offset:codes.offset + len(codes) + 1]
+    data = np.frombuffer(codes.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].astype(np.int64)
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1])[:len(last)]
+    code = data[first] & 127
+    for k in (1, 2):
+        more = first + k <= last
+        code[more] += (data[first[more] + k] & 127) << 7 * k
+    return code, np.searchsorted(last, ends - ends[0]).astype(np.int64)
+
+
+def _coded(d: DataFrame, tokenizer: str, sent) -> DataFrame:
+    """(doc_id, at, codes, rare): a row's words as places in the dictionary, counted from 1, 0 for any other
+    word; those other words in order."""
+    def code_words(batches):
         known, _ = from_bytes(sent.value)
         for batch in batches:
             words, at = batch_words(batch, tokenizer)
-            i = np.flatnonzero(pc.index_in(words, known).is_null().to_numpy(zero_copy_only=False))
-            row = np.searchsorted(at, i, "right") - 1
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), batch.column("row_key").take(pa.array(row)),
-                                   pa.array((i - at[row]).astype(np.int32)), words.take(pa.array(i))],
-                                  names=["doc_id", "row_key", "pos", "word"])
+            code = pc.index_in(words, known).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) + 1
+            other = np.flatnonzero(code == 0)
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, at).astype(np.int32)), words.take(pa.array(other)))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("at"), _packed(code, at).cast(pa.binary()), rare],
+                                  names=["doc_id", "at", "codes", "rare"])
 
-    return (with_words(d, tokenizer).select("doc_id", "row_key", "words", "odd")
-            .mapInArrow(rare, "doc_id long, row_key long, pos int, word string"))
+    return (with_words(d.withColumn("at", F.monotonically_increasing_id()), tokenizer)
+            .select("doc_id", "at", "words", "odd")
+            .mapInArrow(code_words, "doc_id long, at long, codes binary, rare array<string>"))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; also its ids if asked for."""
-    d = texts(docs).withColumn("row_key", row_key())
+    d = texts(docs)
     table = word_table(d, tokenizer)
     sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(to_bytes(frequent(table)))
-    # stored, and its shuffle files released, before whole texts are shuffled
-    back = stored(_rare_words(d, tokenizer, sent)
-            .join(table.select(F.col("word").alias("_w"), "ids"), F.col("word") == F.col("_w"))
-            .groupBy(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"))
-            # a set: rows repeated in the input bring the same places
-            .agg(F.collect_set(F.struct("pos", "ids")).alias("rare")))
-    release(docs.sparkSession)
-    joined = with_words(d.join(back, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_key") == F.col("_k")), "left"),
-                        tokenizer)
+    often = is_frequent(table)
+    sent = sc.broadcast(to_bytes(most_first(table.filter(often))))
+    # what is shuffled from here on are codes of one to three bytes a word, not texts
+    coded = stored(_coded(d, tokenizer, sent))
+    back = (coded.select("at", F.posexplode("rare").alias("i", "word"))
+            .join(table.filter(~often).select("word", "ids"), "word")
+            .groupBy(F.col("at").alias("_at")).agg(F.collect_list(F.struct("i", "ids")).alias("found")))
+    joined = coded.join(back, F.col("at") == F.col("_at"), "left")
     of_id = sc.broadcast(pieces(tokenizer))
 
     def run(batches):
@@ -90,12 +117,14 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> Da
         piece = pa.array(of_id.value, pa.large_binary())
         decimal = pa.array([b"%d," % i for i in range(len(piece))], pa.large_binary())
         for batch in batches:
-            words, at = batch_words(batch, tokenizer)
-            code = pc.index_in(words, known).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            rare = batch.column("rare")
-            r = np.asarray(rare.offsets).astype(np.int64)
-            places = rare.values.slice(r[0], r[-1] - r[0])
-            where = places.field("pos").to_numpy(zero_copy_only=False) + np.repeat(at[:-1], np.diff(r))
+            code, at = _unpacked(batch.column("codes"))
+            found = batch.column("found")
+            r = np.asarray(found.offsets).astype(np.int64)
+            places = found.values.slice(r[0], r[-1] - r[0])
+            other = np.flatnonzero(code == 0)
+            row_first = np.searchsorted(other, at[:-1])
+            where = other[places.field("i").to_numpy(zero_copy_only=False) + np.repeat(row_first, np.diff(r))]
+            code -= 1
             code[where] = len(known) + np.arange(len(where))
             every = pa.concat_arrays([known_ids, places.field("ids").cast(pa.list_(pa.int32()))]).take(pa.array(code))
             end = np.concatenate([[0], np.cumsum(pc.list_value_length(every).to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -110,5 +139,5 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> Da
                 names.append("ids")
             yield pa.record_batch(out, names=names)
 
-    return joined.select("doc_id", "words", "odd", "rare").mapInArrow(
+    return joined.select("doc_id", "codes", "found").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

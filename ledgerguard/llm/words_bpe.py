@@ -16,7 +16,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.llm.common import release, stored
@@ -99,19 +99,29 @@ def word_table(d: DataFrame, path: str) -> DataFrame:
     return table
 
 
-def frequent(table: DataFrame, size: int = DICTIONARY) -> pa.Table:
-    """At most ``size`` of the most frequent words, as (word, ids): all above a count that is read off a
+def is_frequent(table: DataFrame, size: int = DICTIONARY) -> Column:
+    """Whether a row is one of at most ``size`` most frequent words: all above a count that is read off a
     histogram of the logarithm of the counts."""
     level = F.floor(F.log2("n") * 16).cast("int")
-    short = table.filter(F.octet_length("word") <= WORD_BYTES).withColumn("level", level)
+    short = F.octet_length("word") <= WORD_BYTES
     room, limit = size, None
-    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+    counts = table.filter(short).groupBy(level.alias("level")).count().collect()
+    for r in sorted(counts, key=lambda r: -r["level"]):
         room -= r["count"]
         if room < 0:
             break
         limit = r["level"]
-    chosen = short.filter(F.col("level") >= limit) if limit is not None else short.limit(0)
-    return chosen.select("word", "ids").toArrow()
+    return short & (level >= limit) if limit is not None else F.lit(False)
+
+
+def most_first(chosen: DataFrame) -> pa.Table:
+    """The (word, ids) of chosen words, most frequent ones first."""
+    return chosen.select("word", "ids", "n").toArrow().sort_by([("n", "descending")]).drop_columns(["n"])
+
+
+def frequent(table: DataFrame, size: int = DICTIONARY) -> pa.Table:
+    """At most ``size`` of the most frequent words, as (word, ids)."""
+    return table.filter(is_frequent(table, size)).select("word", "ids").toArrow()
 
 
 def to_bytes(t: pa.Table) -> bytes:
