@@ -132,8 +132,12 @@ def fraud_payload(cols: dict[str, Column] | None = None) -> Column:
 
 
 def fraud_flag_id(txn_id: Column) -> Column:
-    return F.lit(FRAUD_ID_BASE) + F.coalesce(txn_id.try_cast("bigint"),
-                                             F.pmod(F.xxhash64(txn_id), F.lit(ID_SPAN)))
+    """A plain number that fits the fraud range keeps its own id there; every other transaction id gets a
+    hash over all negative numbers, which no range of the three domains uses."""
+    number = txn_id.try_cast("bigint")
+    own = number.between(F.lit(0), F.lit(ID_SPAN - 1)) & (number.cast("string") == txn_id)
+    hashed = F.xxhash64(F.lit("FRAUD"), txn_id).bitwiseOR(F.lit(-2 ** 63))
+    return F.when(own, F.lit(FRAUD_ID_BASE) + number).otherwise(hashed)
 
 
 def build_fraud_flags(classified: DataFrame, accounts: DataFrame, as_of: str = "2024-01-31 00:00:00") -> DataFrame:

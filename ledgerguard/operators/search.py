@@ -61,8 +61,7 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], score_col: str, tie_co
 
 
 def bm25(postings: DataFrame, queries: DataFrame, k: int = 10, docs: DataFrame | None = None,
-         k1: float = K1, b: float = B, rare_fraction: float | None = 0.2, rare_max: int = 100_000,
-         prune_from_docs: int = 1_000_000) -> DataFrame:
+         k1: float = K1, b: float = B, rare_fraction: float = 0.2) -> DataFrame:
     """O-R2 / O-R4: BM25 top-k per query.  ``queries`` = (query_id, text); ``docs`` optionally
     restricts candidates (attribute filters) by doc_id.
 
@@ -70,15 +69,14 @@ def bm25(postings: DataFrame, queries: DataFrame, k: int = 10, docs: DataFrame |
     document that contains them:
 
     * candidates of a query = documents holding one of its *rare* terms (document frequency at most
-      ``rare_fraction`` of the corpus and ``rare_max``); their full scores come from a (doc, term)
+      ``rare_fraction`` of the corpus); their full scores come from a (doc, term)
       lookup of every query term - work bounded by candidates x query terms;
     * a document outside the candidates holds only common terms, so its score is at most the sum of
       those terms' maximum impacts (one aggregation per term);
     * a query keeps its pruned top-k when that bound, rounded like the scores, lies below its k-th
       score (or it has no common terms).  Every other query is scored in full (the exact fallback).
 
-    Pruning pays once the corpus is large; below ``prune_from_docs`` documents (read from the one-row
-    corpus statistics) or with ``rare_fraction=None`` every query is scored in full.  Both are exact."""
+    The path is the same for every corpus size, and exact for every ``rare_fraction``."""
     stats = (postings.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
                      .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len")))
     qterms = (queries.select("query_id", F.explode(F.array_distinct(tokenize(c("text")))).alias("term")))
@@ -86,10 +84,8 @@ def bm25(postings: DataFrame, queries: DataFrame, k: int = 10, docs: DataFrame |
     # (a broadcast semi join when the vocabulary is small, decided by AQE from its runtime size)
     postings = postings.join(qterms.select("term").distinct(), "term", "left_semi")
     df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # the corpus statistics are one row; they pick the strategy and enter the plan as literals
-    n_docs, avg_len = stats.first()
-    idf = (df_t.select("term", "df", F.lit(n_docs).cast("bigint").alias("n_docs"),
-                       F.lit(avg_len).cast("double").alias("avg_len"))
+    one = stats.select(F.struct("n_docs", "avg_len")).scalar()      # one row, a scalar subquery
+    idf = (df_t.select("term", "df", one["n_docs"].alias("n_docs"), one["avg_len"].alias("avg_len"))
                .select("term", "df", "n_docs", "avg_len",
                        F.ln(F.lit(1.0) + (c("n_docs") - c("df") + 0.5) / (c("df") + 0.5)).alias("idf")))
     p = postings if docs is None else postings.join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -100,10 +96,7 @@ def bm25(postings: DataFrame, queries: DataFrame, k: int = 10, docs: DataFrame |
         scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 5).alias("score"))
         return top_k_per_group(scored, ["query_id"], "score", "doc_id", k)
 
-    if rare_fraction is None or (n_docs or 0) < prune_from_docs:
-        return full(qterms)
-
-    rare = c("df") <= F.least(F.lit(float(rare_max)), c("n_docs") * F.lit(rare_fraction))
+    rare = c("df") <= c("n_docs") * F.lit(rare_fraction)
     qt = qterms.join(idf, "term").select("query_id", "term", "idf", "avg_len", rare.alias("rare"))
     cand = (qt.filter(c("rare")).select("query_id", "term").join(p.select("term", "doc_id"), "term")
               .select("query_id", "doc_id").distinct())
@@ -124,37 +117,45 @@ def bm25(postings: DataFrame, queries: DataFrame, k: int = 10, docs: DataFrame |
                .unionByName(full(qterms.join(settled, "query_id", "left_anti"))))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
+                       lambda acc, x: acc + x)
+
+
+def _norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two float arrays as double (higher-order functions, no UDF)."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
-                      lambda acc, x: acc + x)
-    na = F.sqrt(F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0),
-                            lambda acc, x: acc + x))
-    nb = F.sqrt(F.aggregate(F.transform(b, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0),
-                            lambda acc, x: acc + x))
-    return dot / (na * nb)
+    return _dot(a, b) / (_norm(a) * _norm(b))
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
-                  vec_col: str = "embedding", max_queries: int = 10_000) -> DataFrame:
+                  vec_col: str = "embedding", block: int = 1_000) -> DataFrame:
     """O-R3: exact cosine top-k per query.  ``queries`` = (query_id, qvec).
 
-    The query batch is checked first (at most ``max_queries`` vectors) and then enters the plan as
-    one scalar subquery (an array of (query_id, qvec)): every vector row scores itself against the
-    batch in one projection inside the scan stage - no join, no pairs shuffled.  The per-query top-k
-    is cut per partition (partial window group limit) before anything is shuffled.  Larger batches
-    must be split by the caller.
+    Queries of any number are dealt into blocks of about ``block``.  A block enters the plan as a scalar
+    subquery (an array of (query_id, qvec)): every vector row scores itself against the block in one
+    projection inside the scan stage - no join, no pairs shuffled.  The per-query top-k is cut per
+    partition (partial window group limit) before anything is shuffled.
     """
-    n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"query batch of {n} vectors exceeds the bound {max_queries}; split it")
-    batch = queries.agg(F.collect_list(F.struct("query_id", "qvec")).alias("qs")).scalar()
-    v = vectors.select(c(id_col).alias("vec_id"), c(vec_col).alias("vec"), batch.alias("_lg_qs"))
-    scored = (v.select("vec_id", F.explode(F.transform("_lg_qs", lambda q: F.struct(
-                  q["query_id"].alias("query_id"), F.round(cosine(c("vec"), q["qvec"]), 5).alias("score"))))
-                  .alias("_lg_s"))
-               .select("_lg_s.query_id", "vec_id", "_lg_s.score"))
-    return top_k_per_group(scored, ["query_id"], "score", "vec_id", k)
+    blocks = queries.count() // block + 1
+    dealt = queries.withColumn("_lg_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    out = None
+    for i in range(blocks):
+        batch = (dealt.filter(c("_lg_block") == i)
+                 .agg(F.collect_list(F.struct("query_id", "qvec", _norm(c("qvec")).alias("norm")))).scalar())
+        v = vectors.select(c(id_col).alias("vec_id"), c(vec_col).alias("vec"), _norm(c(vec_col)).alias("norm"),
+                           batch.alias("_lg_qs"))
+        scored = (v.select("vec_id", F.explode(F.transform("_lg_qs", lambda q: F.struct(
+                      q["query_id"].alias("query_id"),
+                      F.round(_dot(c("vec"), q["qvec"]) / (c("norm") * q["norm"]), 5).alias("score"))))
+                      .alias("_lg_s"))
+                   .select("_lg_s.query_id", "vec_id", "_lg_s.score"))
+        top = top_k_per_group(scored, ["query_id"], "score", "vec_id", k)
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def label_centroids(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:

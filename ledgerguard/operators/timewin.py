@@ -11,8 +11,8 @@ sent once to the next bucket as a "carry" row.  For an own row at ``t``:
     own rows in the bucket with time <= t     (RANGE unbounded .. current, keyed by t)
   + carry rows with time + W >= t             (RANGE current .. unbounded, keyed by t' + W)
 
-Hot keys (the heaviest keys above ``hot_min_rows`` rows, a bounded top list that
-is broadcast) use granules of W / m instead, so their rows spread over m times
+Hot keys (all keys with ``hot_min_rows`` rows or more; there are at most
+rows / ``hot_min_rows`` of them) use granules of W / m instead, so their rows spread over m times
 as many tasks.  The window ``[t - W, t]`` of a row in granule G then covers part
 of granule G, part of granule G - m (reached by the carry copy, moved m granules)
 and all of granules G - m + 1 .. G - 1.  Those middle granules are pre-aggregated
@@ -37,14 +37,11 @@ _UNITS = {
     "hour": 3_600_000_000, "day": 86_400_000_000, "week": 7 * 86_400_000_000,
 }
 
-# Keys with at least this many rows are candidates for the fine split; at most MAX_HOT_KEYS of them
-# (the heaviest, a bounded broadcast list) get HOT_GRANULES granules per window.  A cluster can tune
-# them per session with the confs below.
+# Every key with at least this many rows gets HOT_GRANULES granules per window.  A cluster can tune both
+# per session with the confs below.
 HOT_KEY_MIN_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
 HOT_GRANULES = 64
 CONF_MIN_ROWS = "spark.ledgerguard.hotKeys.minRows"
-CONF_MAX_KEYS = "spark.ledgerguard.hotKeys.max"
 CONF_GRANULES = "spark.ledgerguard.hotKeys.granules"
 
 
@@ -81,39 +78,34 @@ def _granule_count(W: int, granules: int) -> int:
     return m
 
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int | None = None,
-             max_hot: int | None = None) -> DataFrame:
-    """The heavy hitters of ``df`` by ``keys``: at most ``max_hot`` keys with ``min_rows`` rows or more.
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int | None = None) -> DataFrame:
+    """The heavy hitters of ``df`` by ``keys``: all keys with ``min_rows`` rows or more.
 
-    Counts combine map-side; the list is a top-k under a total order (deterministic when recomputed),
-    so broadcasting it is bounded by ``max_hot`` rows whatever the size of the data.  Compute it once
-    per input and pass it to every range window over that input (``hot=``).  Defaults come from the
-    session confs (``spark.ledgerguard.hotKeys.minRows`` / ``.max``) or the module constants."""
+    Counts combine map-side.  Compute the list once per input and pass it to every range window over
+    that input (``hot=``).  The default comes from the session conf ``spark.ledgerguard.hotKeys.minRows``
+    or the module constant."""
     min_rows = min_rows if min_rows is not None else _conf_int(df, CONF_MIN_ROWS, HOT_KEY_MIN_ROWS)
-    max_hot = max_hot if max_hot is not None else _conf_int(df, CONF_MAX_KEYS, MAX_HOT_KEYS)
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lg_n")).filter(c("_lg_n") >= min_rows)
-              .orderBy(c("_lg_n").desc(), *[c(k).asc() for k in keys]).limit(max_hot).select(*keys))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lg_n")).filter(c("_lg_n") >= min_rows).select(*keys)
 
 
 def _with_granules(df: DataFrame, keys: list[str], W: int, granules: int, hot_min_rows: int | None,
-                   max_hot: int, hot: DataFrame | None) -> tuple[DataFrame, int]:
+                   hot: DataFrame | None) -> tuple[DataFrame, int]:
     """Add ``_lg_m``: granules per window for the row's key (1 for every key that is not hot)."""
     m = _granule_count(W, granules)
     if m <= 1 or (hot is None and not hot_min_rows):
         return df.withColumn("_lg_m", F.lit(1).cast("bigint")), 1
     if hot is None:
-        hot = hot_keys(df, keys, hot_min_rows, max_hot)
-    # the list is a bounded top-k (see hot_keys): a safe broadcast
+        hot = hot_keys(df, keys, hot_min_rows)
+    # broadcast by Spark if its measured size allows, else a skew-split join
     tagged = hot.select(*keys, F.lit(m).cast("bigint").alias("_lg_m"))
-    out = (df.join(F.broadcast(tagged), keys, "left")
+    out = (df.join(tagged, keys, "left")
              .withColumn("_lg_m", F.coalesce(c("_lg_m"), F.lit(1).cast("bigint"))))
     return out, m
 
 
 def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, direction: str,
               measures: list[tuple[str, Column, str]], *, granules: int | None = None,
-              hot_min_rows=_UNSET, max_hot: int | None = None,
-              hot: DataFrame | None = None) -> DataFrame:
+              hot_min_rows=_UNSET, hot: DataFrame | None = None) -> DataFrame:
     """``df`` plus one column per measure ``(name, value, 'sum' | 'max')``: the aggregate of ``value`` over
     the rows with the same ``keys`` whose time lies in ``[t - W, t]`` (trailing) or ``[t, t + W]`` (forward).
     Ties on time are peers and all included (RANGE semantics); sums of an empty frame are 0.
@@ -124,7 +116,6 @@ def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, directio
     granules = granules if granules is not None else _conf_int(df, CONF_GRANULES, HOT_GRANULES)
     if hot_min_rows is _UNSET:
         hot_min_rows = _conf_int(df, CONF_MIN_ROWS, HOT_KEY_MIN_ROWS)
-    max_hot = max_hot if max_hot is not None else _conf_int(df, CONF_MAX_KEYS, MAX_HOT_KEYS)
     W = duration_micros(window)
     sign = 1 if direction == "trailing" else -1
     cols = df.columns
@@ -134,7 +125,7 @@ def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, directio
     for (name, _, how), v in zip(measures, vnames):
         probe = (F.sum(c(v)) + F.sum(c(v))) if how == "sum" else F.max(c(v))
         out_types[name] = base.select(probe.alias("x")).schema["x"].dataType
-    base, m = _with_granules(base, keys, W, granules, hot_min_rows, max_hot, hot)
+    base, m = _with_granules(base, keys, W, granules, hot_min_rows, hot)
 
     t = epoch_micros(base, ts_col)
     width = F.expr(f"CAST({W} AS BIGINT) div _lg_m")        # exact: m divides W

@@ -156,20 +156,28 @@ def audit_replay(ctx):
     return A.replay_state(ctx.audit_log).drop("after_state")
 
 
-def action_chain(ctx):
-    """O-B7: SAR -> freeze the SAR'd accounts -> escalate the cases the freeze opened."""
+def _chain(ctx) -> tuple[A.ActionResult, A.ActionResult, A.ActionResult]:
+    """SAR, then freezing the SAR'd accounts, then escalating the cases the freeze opened; each step numbers its
+    audit rows from the log that the one before left."""
     sar = _sar(ctx)
+    log = A.audit_append(ctx.audit_log, sar.audit)
     filed = sar.new_rows.filter(c("account_id").isNotNull())
     freeze_req = (filed.groupBy("account_id").agg(F.min("filing_id").alias("request_id"),
                                                    F.min_by("reference_case_id", "filing_id").alias("reference_case_id"))
                   .select("request_id", "account_id",
                           F.concat(F.lit("SAR "), c("reference_case_id")).alias("reason"),
                           F.lit(None).cast("bigint").alias("linked_flag_id")))
-    frz = A.flag_accounts(ctx.accounts, ctx.cases, ctx.audit_log, freeze_req, OFFICER, ctx.as_of)
+    frz = A.flag_accounts(ctx.accounts, ctx.cases, log, freeze_req, OFFICER, ctx.as_of)
     cases_now = ctx.cases.unionByName(frz.new_rows.select(*ctx.cases.columns))
     esc_req = frz.new_rows.select(c("case_id").alias("request_id"), "case_id",
                                   F.lit(COMMITTEE).alias("escalate_to"), F.lit(None).cast("string").alias("notes"))
-    esc = A.escalate_cases(cases_now, ctx.audit_log, esc_req, OFFICER, ctx.as_of)
+    esc = A.escalate_cases(cases_now, A.audit_append(log, frz.audit), esc_req, OFFICER, ctx.as_of)
+    return sar, frz, esc
+
+
+def action_chain(ctx):
+    """O-B7: accepted and rejected requests of the chain."""
+    sar, frz, esc = _chain(ctx)
 
     def tally(step: str, res: A.ActionResult) -> DataFrame:
         return res.responses.agg(F.count_if(c("status") == "ok").alias("accepted"),
@@ -179,6 +187,24 @@ def action_chain(ctx):
         tally("3_ESCALATE_CASE", esc))
 
 
+def action_chain_audit(ctx):
+    """O-B4, O-B7: the appended log after the chain: rows and id range of each action's new rows, and how many
+    ids of the whole log occur more than once."""
+    log = A.audit_append(ctx.audit_log, *[step.audit for step in _chain(ctx)])
+    last = ctx.audit_log.agg(F.max("log_id")).scalar()
+    repeated = log.groupBy("log_id").count().filter(c("count") > 1).agg(F.count(F.lit(1))).scalar()
+    return (log.filter(c("log_id") > last).groupBy("action_type")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("log_id").alias("first_id"), F.max("log_id").alias("last_id"))
+            .select("*", repeated.alias("repeated_ids")))
+
+
+def sar_denied(ctx):
+    """O-G7: the SAR batch sent by an analyst: every request is refused, nothing is written."""
+    actor = G.Actor("analyst.1" + K.BANK_DOMAIN, K.ROLE_ANALYST)
+    res = A.file_sar_drafts(ctx.risk_flags, ctx.filings, ctx.audit_log, sar_requests(ctx), actor, ctx.as_of)
+    return res.responses.groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
 ENTRIES = {}
 for _r in [K.ROLE_ADMIN, K.ROLE_MANAGER, K.ROLE_ANALYST, K.ROLE_AUDITOR]:
     ENTRIES[f"masked_customers_{_r.lower()}"] = masked_customers(_r)
@@ -193,5 +219,5 @@ ENTRIES.update({
     "sar_batch": sar_batch, "sar_filings": sar_filings, "sar_flag_state": sar_flag_state,
     "sar_audit_rows": sar_audit_rows, "freeze_batch": freeze_batch, "freeze_cases": freeze_cases,
     "escalate_batch": escalate_batch, "escalate_state": escalate_state, "audit_replay": audit_replay,
-    "action_chain": action_chain,
+    "action_chain": action_chain, "action_chain_audit": action_chain_audit, "sar_denied": sar_denied,
 })

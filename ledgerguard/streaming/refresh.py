@@ -54,6 +54,12 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder is there; any storage error is raised, not taken for a missing table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def transactions_stream(spark: SparkSession, source: str, max_files_per_trigger: int | None = None,
                         max_bytes_per_trigger: str | None = None) -> DataFrame:
     """Streaming bank view of the raw event files (same projection as the batch view).
@@ -135,10 +141,9 @@ def classify_rows(txns: DataFrame, n: int = K.VELOCITY_MIN_TXNS) -> DataFrame:
 
 
 def existing_flags(spark: SparkSession, sink: str) -> DataFrame:
-    try:
-        return spark.read.schema(RISK_FLAGS_SCHEMA).parquet(sink)
-    except Exception:  # noqa: BLE001 - first run: no sink yet
+    if not path_exists(spark, sink):    # first run
         return spark.createDataFrame([], RISK_FLAGS_SCHEMA)
+    return spark.read.schema(RISK_FLAGS_SCHEMA).parquet(sink)
 
 
 def append_new_flags(flags: DataFrame, sink: str) -> int:
@@ -160,10 +165,9 @@ HISTORY_SCHEMA = T.StructType([
 
 def read_history(spark: SparkSession, path: str, lo, hi) -> DataFrame:
     """Recorded transactions with time in [lo, hi] (date partitions pruned, time filter pushed down)."""
-    try:
-        h = spark.read.schema(HISTORY_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - first batch: no history yet
+    if not path_exists(spark, path):    # first batch
         return spark.createDataFrame([], HISTORY_SCHEMA)
+    h = spark.read.schema(HISTORY_SCHEMA).parquet(path)
     return (h.filter(F.col("txn_date").between(F.lit(lo.date()), F.lit(hi.date())))
              .filter(F.col("txn_ts").between(ts_lit(lo.isoformat(sep=" ")), ts_lit(hi.isoformat(sep=" ")))))
 
@@ -193,16 +197,13 @@ def record_history(batch: DataFrame, history: str, lo, hi) -> None:
 def start_flag_refresh(spark: SparkSession, source: str, accounts: DataFrame, sink: str, checkpoint: str,
                        *, lookback: str = "30 minutes", velocity_window: str = K.VELOCITY_WINDOW,
                        as_of: str = "2024-01-31 00:00:00", trigger: dict | None = None,
-                       upto: str | None = None, max_files_per_trigger: int | None = None,
+                       max_files_per_trigger: int | None = None,
                        max_bytes_per_trigger: str | None = None, history: str | None = None):
     """O-ST1: start the refresh query; ``trigger`` defaults to every 15 minutes.
-    ``upto`` limits the run to transactions before a time (a refresh that has not caught up).
     ``history`` (default: next to the sink) keeps the (account, time, id) rows the stream has seen;
     rows older than the watermark plus the velocity window can be dropped from it by date partition."""
     history = history or f"{sink.rstrip('/')}-velocity-history"
     txns = transactions_stream(spark, source, max_files_per_trigger, max_bytes_per_trigger)
-    if upto:
-        txns = txns.filter(F.col("txn_ts") < F.to_timestamp_ntz(F.lit(upto)))
     # watermarks need a TIMESTAMP (not NTZ) column: keep txn_ts as is and add the event time
     txns = (txns.withColumn("event_time", F.col("txn_ts").cast("timestamp"))
                 .withWatermark("event_time", lookback).dropDuplicatesWithinWatermark(["txn_id"]))
@@ -285,7 +286,6 @@ def run_index_refresh(spark: SparkSession, source: str, sink: str | None = None,
 
 
 def existing_postings(spark: SparkSession, sink: str) -> DataFrame:
-    try:
-        return spark.read.parquet(sink).select("doc_id").distinct()
-    except Exception:  # noqa: BLE001
+    if not path_exists(spark, sink):    # first batch
         return spark.createDataFrame([], "doc_id long")
+    return spark.read.parquet(sink).select("doc_id").distinct()

@@ -717,6 +717,18 @@ UNION ALL SELECT '2_FLAG_ACCOUNT', (SELECT COUNT(DISTINCT account_id) FROM sar_o
 UNION ALL SELECT '3_ESCALATE_CASE', (SELECT COUNT(DISTINCT account_id) FROM sar_ok WHERE account_id IS NOT NULL), 0""",
          "sar_ok", "sar_eval")
 
+add_cte("chain_n", """
+SELECT (SELECT MAX(log_id) FROM audit_log) AS m, (SELECT COUNT(*) FROM sar_ok) AS s,
+  (SELECT COUNT(DISTINCT account_id) FROM sar_ok WHERE account_id IS NOT NULL) AS f""", ["audit_log", "sar_ok"])
+register("action_chain_audit", """
+SELECT * FROM (
+  SELECT 'FILE_SAR' AS action_type, s AS n, m + 1 AS first_id, m + s AS last_id, 0 AS repeated_ids FROM chain_n
+  UNION ALL SELECT 'FLAG_ACCOUNT', f, m + s + 1, m + s + f, 0 FROM chain_n
+  UNION ALL SELECT 'ESCALATE_CASE', f, m + s + f + 1, m + s + 2 * f, 0 FROM chain_n) WHERE n > 0""", "chain_n")
+register("sar_denied", """
+SELECT 'error' AS status, 'COMPLIANCE_OFFICER or higher required.' AS error, COUNT(*) AS n FROM sar_eval
+HAVING COUNT(*) > 0""", "sar_eval")
+
 
 # ---- search, conversations, streaming --------------------------------------------
 from ledgerguard.plans.search_queries import QUESTIONS  # noqa: E402
