@@ -192,7 +192,7 @@ def fact(name: str, table: str, agg: str | None = None) -> Column:
 def _fact_column(col: str, agg: str, name: str) -> Column:
     if agg == "sum":
         return F.sum(c(col)).cast("decimal(18,2)").alias(f"sum_{name}")
-    return F.avg(c(col)).cast("decimal(18,8)").alias(f"avg_{name}")
+    return F.avg(c(col).cast("decimal(18,8)")).cast("decimal(18,8)").alias(f"avg_{name}")
 
 
 def _path(base: str, target: str) -> list[tuple[str, str, str, str]] | None:
