@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.llm.common import stored, texts
-from ledgerguard.llm.words_bpe import batch_words, from_bytes, is_frequent, most_first, specials, to_bytes, with_words, word_table
+from ledgerguard.llm.words_bpe import (batch_words, from_bytes, is_frequent, most_first, n_words, row_slices, specials,
+                                       to_bytes, with_words, word_table)
 
 
 def pieces(tokenizer: str) -> list[bytes]:
@@ -84,7 +85,7 @@ def _coded(d: DataFrame, tokenizer: str, sent) -> DataFrame:
     word; those other words in order."""
     def code_words(batches):
         known, _ = from_bytes(sent.value)
-        for batch in batches:
+        for batch in row_slices(batches, n_words):
             words, at = batch_words(batch, tokenizer)
             code = pc.index_in(words, known).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) + 1
             other = np.flatnonzero(code == 0)
@@ -116,7 +117,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> Da
         known, known_ids = from_bytes(sent.value)
         piece = pa.array(of_id.value, pa.large_binary())
         decimal = pa.array([b"%d," % i for i in range(len(piece))], pa.large_binary())
-        for batch in batches:
+        for batch in row_slices(batches, lambda b: pc.binary_length(b.column("codes"))):
             code, at = _unpacked(batch.column("codes"))
             found = batch.column("found")
             r = np.asarray(found.offsets).astype(np.int64)

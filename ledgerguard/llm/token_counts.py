@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.llm.common import stored, texts
-from ledgerguard.llm.words_bpe import batch_words, frequent, from_bytes, to_bytes, with_words, word_table
+from ledgerguard.llm.words_bpe import batch_words, frequent, from_bytes, n_words, row_slices, to_bytes, with_words, word_table
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
@@ -30,7 +30,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
     def count(batches):
         known, ids = from_bytes(sent.value)
         pieces = np.append(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), 0)
-        for batch in batches:
+        for batch in row_slices(batches, n_words):
             words, at = batch_words(batch, tokenizer)
             code = pc.index_in(words, known).fill_null(len(known)).to_numpy(zero_copy_only=False)
             total = np.concatenate([[0], np.cumsum(pieces[code])])

@@ -26,6 +26,8 @@ _S = r"\s\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|[" + _S + r"]+(?![^" + _S
            + r"])|[" + _S + r"]+")
 DICTIONARY, WORD_BYTES = 1 << 19, 64
+#: Words that a task looks up at a time, unless one document has more.
+WORDS_AT_ONCE = 1 << 19
 
 _loaded: dict[str, object] = {}  # filled in tasks only: what a task runs is sent with it
 
@@ -65,6 +67,23 @@ def _library_words(text: str, path: str) -> list[str]:
     return out
 
 
+def row_slices(batches, weigh):
+    """The batches in slices of whole rows that weigh at most ``WORDS_AT_ONCE`` (a single row may weigh more)."""
+    for batch in batches:
+        weight = np.cumsum(weigh(batch).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(weight):
+            before = weight[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(weight, before + WORDS_AT_ONCE, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def n_words(batch: pa.RecordBatch) -> pa.Array:
+    """For each row of ``with_words`` its number of words; where the library splits the text, its bytes."""
+    return pc.coalesce(pc.list_value_length(batch.column("words")), pc.binary_length(batch.column("odd")))
+
+
 def batch_words(batch: pa.RecordBatch, path: str) -> tuple[pa.Array, np.ndarray]:
     """(all words of a batch, offsets of its rows in them)."""
     words = batch.column("words")
