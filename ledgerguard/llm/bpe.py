@@ -3,8 +3,8 @@
 Texts are split into words, each distinct word of the corpus is encoded once, and the words' ids are put
 back by position: words of the bounded dictionary inside the task, all others through rows of (document,
 number of the gap, word) that are joined to the word table and come back to their document.  A document is
-stored as its words' places in the dictionary, with gaps for the other words, and texts are read twice only:
-once for the word table and once for these codes.  Decoding joins ids to
+shuffled as its words' places in the dictionary, with gaps for the other words.  Texts are read three times
+(word table, other words, codes), which costs less disk than to store the codes.  Decoding joins ids to
 their pieces (a table as large as the vocabulary) and joins the pieces' bytes; bytes that are no UTF-8
 become replacement characters, as the library has it.
 
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import stored, texts
+from ledgerguard.llm.common import row_key, same_row, texts
 from ledgerguard.llm.words_bpe import (batch_words, from_bytes, is_frequent, most_first, n_words, row_slices, specials,
                                        to_bytes, with_words, word_table)
 
@@ -80,22 +80,35 @@ def _unpacked(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code, np.searchsorted(last, ends - ends[0]).astype(np.int64)
 
 
+def _rare(d: DataFrame, tokenizer: str, sent) -> DataFrame:
+    """(doc_id, row_key, i, word): a row's words that are not in the dictionary, numbered in order."""
+    def rare_words(batches):
+        known, _ = from_bytes(sent.value)
+        for batch in row_slices(batches, n_words):
+            words, at = batch_words(batch, tokenizer)
+            other = np.flatnonzero(pc.is_in(words, known).to_numpy(zero_copy_only=False) == 0)
+            row = np.searchsorted(at, other, "right") - 1
+            i = np.arange(len(other)) - np.searchsorted(other, at)[row]
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), batch.column("row_key").take(pa.array(row)),
+                                   pa.array(i.astype(np.int32)), words.take(pa.array(other))],
+                                  names=["doc_id", "row_key", "i", "word"])
+
+    return (with_words(d, tokenizer).select("doc_id", row_key().alias("row_key"), "words", "odd")
+            .mapInArrow(rare_words, "doc_id long, row_key long, i int, word string"))
+
+
 def _coded(d: DataFrame, tokenizer: str, sent) -> DataFrame:
-    """(doc_id, at, codes, rare): a row's words as places in the dictionary, counted from 1, 0 for any other
-    word; those other words in order."""
+    """(doc_id, row_key, codes): a row's words as places in the dictionary, counted from 1, 0 for any other word."""
     def code_words(batches):
         known, _ = from_bytes(sent.value)
         for batch in row_slices(batches, n_words):
             words, at = batch_words(batch, tokenizer)
             code = pc.index_in(words, known).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) + 1
-            other = np.flatnonzero(code == 0)
-            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, at).astype(np.int32)), words.take(pa.array(other)))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("at"), _packed(code, at).cast(pa.binary()), rare],
-                                  names=["doc_id", "at", "codes", "rare"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row_key"), _packed(code, at).cast(pa.binary())],
+                                  names=["doc_id", "row_key", "codes"])
 
-    return (with_words(d.withColumn("at", F.monotonically_increasing_id()), tokenizer)
-            .select("doc_id", "at", "words", "odd")
-            .mapInArrow(code_words, "doc_id long, at long, codes binary, rare array<string>"))
+    return (with_words(d, tokenizer).select("doc_id", row_key().alias("row_key"), "words", "odd")
+            .mapInArrow(code_words, "doc_id long, row_key long, codes binary"))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
@@ -105,12 +118,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> Da
     sc = docs.sparkSession.sparkContext
     often = is_frequent(table)
     sent = sc.broadcast(to_bytes(most_first(table.filter(often))))
-    # what is shuffled from here on are codes of one to three bytes a word, not texts
-    coded = stored(_coded(d, tokenizer, sent))
-    back = (coded.select("at", F.posexplode("rare").alias("i", "word"))
-            .join(table.filter(~often).select("word", "ids"), "word")
-            .groupBy(F.col("at").alias("_at")).agg(F.collect_list(F.struct("i", "ids")).alias("found")))
-    joined = coded.join(back, F.col("at") == F.col("_at"), "left")
+    # repeated rows have the same words at the same places, so a set holds each place once
+    found = (_rare(d, tokenizer, sent).join(table.filter(~often).select("word", "ids"), "word")
+             .groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("i", "ids")).alias("found")))
+    # codes of one to three bytes a word are shuffled, not texts, and never stored
+    coded = _coded(d, tokenizer, sent)
+    joined = coded.join(found, same_row(coded, found), "left").select(coded["doc_id"], "codes", "found")
     of_id = sc.broadcast(pieces(tokenizer))
 
     def run(batches):
@@ -140,5 +153,5 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> Da
                 names.append("ids")
             yield pa.record_batch(out, names=names)
 
-    return joined.select("doc_id", "codes", "found").mapInArrow(
+    return joined.mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
