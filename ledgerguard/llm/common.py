@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import json
+import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,12 @@ def stored(df: DataFrame) -> DataFrame:
 
 def release(spark) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished steps now; by itself it waits for the
-    driver's next garbage collection."""
+    driver's next garbage collection.  The JVM learns a moment later which frames Python has dropped, so that a
+    second collection is needed."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
