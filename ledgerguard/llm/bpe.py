@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import row_key, same_row, texts
+from ledgerguard.llm.common import release, row_key, same_row, stored, texts
 from ledgerguard.llm.words_bpe import (batch_words, from_bytes, is_frequent, most_first, n_words, row_slices, specials,
                                        to_bytes, with_words, word_table)
 
@@ -119,8 +119,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> Da
     often = is_frequent(table)
     sent = sc.broadcast(to_bytes(most_first(table.filter(often))))
     # repeated rows have the same words at the same places, so a set holds each place once
-    found = (_rare(d, tokenizer, sent).join(table.filter(~often).select("word", "ids"), "word")
-             .groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("i", "ids")).alias("found")))
+    found = stored(_rare(d, tokenizer, sent).join(table.filter(~often).select("word", "ids"), "word")
+                   .groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("i", "ids")).alias("found")))
+    release(docs.sparkSession)
     # codes of one to three bytes a word are shuffled, not texts, and never stored
     coded = _coded(d, tokenizer, sent)
     joined = coded.join(found, same_row(coded, found), "left").select(coded["doc_id"], "codes", "found")
