@@ -4,9 +4,12 @@ Base spans come from patterns and checks.  The field adds spans that repeat pers
 shape: its nodes are a text's base spans and the other digit groups of at least ``MIN_DIGITS`` digits and
 words that repeat the name part of a found address.  Potentials: a node's shape (learned from the counts
 of shapes and labels over the whole corpus), neighbouring nodes (a weak tie), and skip edges between
-consecutive tokens of the same form, however far apart (same last seven digits, same name part).  Loopy
-sum-product messages run over each text's nodes; base nodes stay fixed.  A node gets a span if its
-probability of one kind reaches ``THRESHOLD``.
+tokens of the same form, however far apart (same last seven digits, same name part): from each to every
+base node of its form, and between consecutive ones.  Loopy sum-product messages run over each text's
+nodes; base nodes stay fixed, so that an edge to one is a constant and costs nothing.  Potentials of shapes
+are bounded against label none so that one edge to a base node outweighs them.  A node of a base node's form
+gets a span if its probability of being personal data reaches ``THRESHOLD``, of the likeliest kind that its
+form has.
 
 Defined cases: a null or empty text has no spans; repeated rows each give their row; an empty table gives
 an empty result; other columns are ignored by the query and kept by the pipeline form.
@@ -116,6 +119,11 @@ def nodes(text: str, spans, groups) -> list[tuple[int, int, int, str, str]]:
     return out
 
 
+def _form(node) -> tuple[bool, str]:
+    """What skip edges compare: names only with names."""
+    return node[3] == "@", node[4]
+
+
 def infer(found, potentials: dict[str, list[float]]) -> np.ndarray:
     """Probabilities (node x 1 + kinds; label 0 is none) by loopy messages with fixed base nodes."""
     n, k = len(found), len(KINDS) + 1
@@ -129,11 +137,17 @@ def infer(found, potentials: dict[str, list[float]]) -> np.ndarray:
             unary[i] = [SHAPE_BOUND, 0, -30, -30, -30]
         else:
             unary[i, 1] = -30.0
-    edges, last = [(i, i + 1, CHAIN) for i in range(n - 1)], {}
+    edges, last, fixed = [(i, i + 1, CHAIN) for i in range(n - 1)], {}, {}
+    for f in found:
+        if f[2] >= 0:
+            fixed.setdefault(_form(f), np.zeros(k))[f[2] + 1] += SKIP
     for i, f in enumerate(found):
-        if f[4] in last:
-            edges.append((last[f[4]], i, SKIP))
-        last[f[4]] = i
+        if f[2] >= 0:
+            continue
+        unary[i] += fixed.get(_form(f), 0.0)  # what the edges to all base nodes of the form say
+        if _form(f) in last:
+            edges.append((last[_form(f)], i, SKIP))
+        last[_form(f)] = i
     if not edges:
         edges = [(0, 0, 0.0)]
     a, b, tie = (np.array(c) for c in zip(*edges))
@@ -155,8 +169,8 @@ def infer(found, potentials: dict[str, list[float]]) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> dict[str, list[float]]:
-    """Potentials of shapes: log ratios of label counts over all digit groups of the corpus.  To the
-    driver comes one row for each shape and label (at most 21 lengths x 16 marks x 5 labels)."""
+    """Potentials of shapes: log ratios of label counts to those of none over all digit groups of the corpus,
+    at most ``SHAPE_BOUND`` for or against a kind however large the corpus.  To the driver comes one row for each shape and label (at most 21 lengths x 16 marks x 5 labels)."""
     def count(batches):
         for batch in batches:
             c: dict[tuple[str, int], int] = {}
@@ -173,7 +187,7 @@ def fit(docs: DataFrame) -> dict[str, list[float]]:
     table: dict[str, np.ndarray] = {}
     for r in rows:
         table.setdefault(r["shape"], np.ones(len(KINDS) + 1))[r["label"] + 1] += r["n"]
-    return {s: np.clip(np.log(v) - np.log(v).mean(), -SHAPE_BOUND, SHAPE_BOUND).tolist() for s, v in table.items()}
+    return {s: np.clip(np.log(v) - np.log(v[0]), -SHAPE_BOUND, SHAPE_BOUND).tolist() for s, v in table.items()}
 
 
 def all_spans(text: str, potentials) -> tuple[list, list]:
@@ -186,10 +200,13 @@ def all_spans(text: str, potentials) -> tuple[list, list]:
     found = nodes(text, spans, groups)
     if all(f[2] >= 0 for f in found):
         return spans, spans
-    forms = {f[4] for f in found if f[2] >= 0}  # a span is added only where it repeats a base span
+    forms: dict[tuple[bool, str], set[int]] = {}  # a span is added only where it repeats a base span
+    for f in found:
+        if f[2] >= 0:
+            forms.setdefault(_form(f), set()).add(f[2])
     p = infer(found, potentials)
-    more = [(f[0], int(q[1:].argmax()), f[1]) for f, q in zip(found, p)
-            if f[2] < 0 and f[4] in forms and q[1:].max() >= THRESHOLD]
+    more = [(f[0], max(sorted(forms[_form(f)]), key=lambda k: q[k + 1]), f[1]) for f, q in zip(found, p)
+            if f[2] < 0 and _form(f) in forms and q[1:].sum() >= THRESHOLD]
     return spans, sorted(spans + more)
 
 

@@ -222,6 +222,20 @@ def test_field_adds_what_repeats():
     assert pii.masked(t, every).startswith("Call <PHONE> or <PHONE>. Order 275-555-0000,")
 
 
+@pytest.mark.parametrize("others", [0, 20000])
+def test_field_adds_every_repeat(spark, others):
+    """Several mentions, and shapes that a large table has only as groups that are no personal data."""
+    t = ("Call +1 (275) 555-7228 or 275 555 7228, 275 555 7228. Mail ann.smith@a.org;" + " ask Ann.Smith now," * 5
+         + " card 4111 1111 1111 1111, +41 11 111 1111 and 111 1111.")
+    docs = spark.createDataFrame([(0, t)], "doc_id long, text string").union(
+        spark.range(1, 1 + others).select("id", F.format_string("no 275 555 %04d and 333 %04d", F.col("id") % 7000, F.col("id") % 7000)))
+    potentials = pii.fit(docs)
+    assert all(abs(x - p[0]) <= pii.SHAPE_BOUND for p in potentials.values() for x in p)
+    base, every = pii.all_spans(t, potentials)
+    assert base == base_spans(t)
+    assert [t[a:b] for a, _, b in sorted(set(every) - set(base))] == ["275 555 7228"] * 2 + ["Ann.Smith"] * 5 + ["111 1111"]
+
+
 # ---- 5, 8 tokens ----------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("size", [1 << 19, 50])
 @pytest.mark.parametrize("docs", ["edges", "small"])
