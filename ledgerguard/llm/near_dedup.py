@@ -14,7 +14,8 @@ Needed collisions lie 4.2 standard deviations below the mean of a pair at the th
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing;
 repeated rows share a class and a component; a null doc_id counts as no smallest id; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored.  The pipeline form decides for each row by (doc_id, hash of
+the text): the first with null ids last stays, and one of its repeated rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import stored, texts
+from ledgerguard.llm.common import row_key, stored, texts
 from ledgerguard.llm.graph import components
 from ledgerguard.llm.shingles import mix, shingle_sets
 
@@ -64,22 +65,24 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, n_shingles, cls (id of the set; null if empty), sig."""
+def signatures(docs: DataFrame, shingle_words: int, rows: bool = False) -> DataFrame:
+    """doc_id, row_key (if ``rows``), n_shingles, cls (id of the set; null if empty), sig."""
+    own = ["doc_id", "row_key"] if rows else ["doc_id"]
+
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
             for row, sets in shingle_sets(batch.column("text"), shingle_words):
                 full = [s for s in sets if len(s)]
                 sig = _signatures(full).view(np.int64) if full else np.zeros((0, COORDINATES), np.int64)
                 sizes = np.array([len(s) for s in sets])
                 at = np.concatenate([[0], np.cumsum((sizes > 0) * COORDINATES)]).astype(np.int32)
-                yield pa.record_batch([ids.slice(row, len(sets)), pa.array(sizes, pa.int64()),
+                yield pa.record_batch([*[batch.column(c).slice(row, len(sets)) for c in own], pa.array(sizes, pa.int64()),
                                        pa.array(_class_ids(sets), pa.binary()),
                                        pa.ListArray.from_arrays(at, pa.array(sig.ravel(), pa.int64()))],
-                                      names=["doc_id", "n_shingles", "cls", "sig"])
+                                      names=[*own, "n_shingles", "cls", "sig"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig array<long>")
+    d = texts(docs).withColumn("row_key", row_key()) if rows else texts(docs)
+    return d.mapInArrow(run, ", ".join(f"{c} long" for c in own) + ", n_shingles long, cls binary, sig array<long>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
@@ -179,11 +182,14 @@ def _rest(posted: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -
             .select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
-    sig = stored(signatures(docs, shingle_words))
+def _labelled(docs: DataFrame, shingle_words: int, percent: int, rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and (cls, first, comp) of the classes: first is the smallest doc_id; if ``rows``, best
+    is the first row with null ids last."""
+    sig = stored(signatures(docs, shingle_words, rows))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    best = {"best": F.min(row)} if rows else {}
     classes = stored(sig.filter(F.col("cls").isNotNull()).groupBy("cls")
-                     .agg(F.min("doc_id").alias("first"), F.any_value("sig").alias("sig")))
+                     .agg(F.min("doc_id").alias("first"), *[v.alias(k) for k, v in best.items()], F.any_value("sig").alias("sig")))
     posted = stored(postings(classes, matches(percent)))
     chosen = posted.select("cls").distinct().withColumnRenamed("cls", "_k")
     sets = stored(_sets_of(docs, classes.join(chosen, F.col("cls") == F.col("_k"), "left_semi"), shingle_words))
@@ -194,8 +200,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataFr
     more = stored(_confirmed(_rest(posted, labels, sets, percent), sets, percent))
     if not more.isEmpty():
         labels = components(links.union(more))
-    named = classes.select("cls", "first").join(labels, F.col("cls") == F.col("node"), "left").select(
-        "cls", "first", F.coalesce("component", "cls").alias("comp"))
+    return sig, classes.join(labels, F.col("cls") == F.col("node"), "left").select(
+        "cls", "first", *best, F.coalesce("component", "cls").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
+    sig, named = _labelled(docs, shingle_words, percent)
     smallest = named.groupBy(F.col("comp").alias("_comp")).agg(F.min("first").alias("component_id"))
     of = named.join(smallest, F.col("comp") == F.col("_comp")).select(F.col("cls").alias("_cls"), "component_id")
     out = sig.select("doc_id", "n_shingles", "cls").join(of, F.col("cls") == F.col("_cls"), "left")
@@ -205,7 +216,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataFr
 
 
 def one_of_each(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Pipeline form: the documents without those that are near copies of a kept one."""
-    dropped = (near_duplicates(docs, shingle_words, percent).filter(~F.col("kept"))
-               .select(F.col("doc_id").alias("_dropped")).distinct())
-    return docs.join(stored(dropped), docs["doc_id"].cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
+    """Pipeline form: the documents without the rows that are near copies of a kept one."""
+    sig, named = _labelled(docs, shingle_words, percent, rows=True)
+    best = named.groupBy(F.col("comp").alias("_comp")).agg(F.min("best").alias("_best"))
+    of = named.join(best, F.col("comp") == F.col("_comp")).select(F.col("cls").alias("_cls"), "_best")
+    rows = sig.select("doc_id", "row_key", "cls").join(of, F.col("cls") == F.col("_cls"))
+    kept = F.col("doc_id").eqNullSafe(F.col("_best.doc_id")) & (F.col("row_key") == F.col("_best.row_key"))
+    # one row for each that goes or is there again
+    decided = stored(rows.groupBy(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"))
+                     .agg(F.bool_and(kept).alias("_kept"), F.count(F.lit(1)).alias("_n")).filter(~F.col("_kept") | (F.col("_n") > 1)))
+    key = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k"))
+    out = docs.join(decided, same, "left_anti")
+    again = decided.filter("_kept")
+    if again.isEmpty():
+        return out
+    # of repeated rows the first one by a stored number
+    copies = stored(docs.join(again, same).drop("_kept", "_n").withColumn("_row", F.monotonically_increasing_id()))
+    first = copies.groupBy(F.col("_d").alias("_d1"), F.col("_k").alias("_k1")).agg(F.min("_row").alias("_first"))
+    return out.union(copies.join(first, F.col("_row") == F.col("_first"), "left_semi").select(*docs.columns))

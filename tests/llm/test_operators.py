@@ -128,6 +128,26 @@ def test_near_duplicates_of_one_large_group(spark):
     assert got(out, "doc_id", "n_shingles", "component_id") == components_of(rows, 3, 85)
 
 
+def test_one_of_each_decides_by_row(spark):
+    """Null ids, two texts under one id and repeated rows."""
+    text = lambda k, n=80: " ".join(f"{k}{i}" for i in range(n))
+    near = lambda k: text(k) + " end"
+    rows = [(1, text("a")), (None, near("a")), (None, text("b")), (None, ""), (None, ""),  # a null id near an id
+            (2, text("c")), (3, near("c")), (3, text("d")),  # two texts under an id, one of them a near copy
+            (4, text("e")), (4, near("e")),  # near copies under one id
+            (None, text("f")), (None, near("f")), (None, near("f")),  # near copies with null ids only
+            (5, text("g")), (5, text("g")), (6, text("g"))]  # a row repeated, and a copy of it
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = collections.Counter()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t.split()[0] if t else None, []).append((i, t))
+    key = {(r["doc_id"], r["text"]): r["k"] for r in docs.select("*", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    for name, group in groups.items():
+        want.update(group if name is None else [min(group, key=lambda r: (r[0] is None, r[0] or 0, key[r]))])
+    assert collections.Counter(pairs(near_dedup.one_of_each(docs, 5, 80))) == want
+
+
 # ---- 3 passages -----------------------------------------------------------------------------------------------
 def test_passages(spark):
     rng = random.Random(2)
