@@ -14,8 +14,8 @@ Only shingles that the benchmark holds leave a document's row.  The benchmark's
 without a hint: Spark broadcasts it if it is small and shuffles otherwise.
 
 Defined cases: null or empty texts have no words; items of fewer than five words are too short to be
-evidence and match nothing; rows repeated with id and text are reported once; an empty table on either
-side gives an empty result; other columns are ignored.
+evidence and match nothing; rows repeated with id and text are reported once; a null id, of a document or an
+item, is one like any other; an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ledgerguard.llm.common import SHINGLE_WORDS, SIMILARITY, SPACES, row_key, stored, texts
 
 RADIUS, BITS = 15, 64
-KEY = ["doc_id", "row_key"]
+#: A document's row; doc_id is 0 where there is none, so that plain joins keep it.
+KEY = ["doc_id", "no_id", "row_key"]
 
 
 def _shingled(d: DataFrame) -> DataFrame:
@@ -67,7 +68,8 @@ def _blocks(d: DataFrame, fp: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, row_key, item_id, start_word, n_words, hamming, similarity: the best window of every
     document and item that reach the similarity."""
-    items = stored(_shingled(benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # item_id in a struct: equal even if null
+    items = stored(_shingled(benchmark.select(F.struct("item_id").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
                              .distinct()).select("item_id", F.col("n_words").alias("m"), "h")).filter(F.size("h") > 0)
     bag = stored(items.select("item_id", "m", F.explode("h").alias("h"))
                  .groupBy("item_id", "m", "h").agg(F.count(F.lit(1)).alias("c")))
@@ -80,7 +82,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     item_fp = _fingerprint(item_rows.withColumn("w", F.col("w") * F.col("c")), "item_id", "m").withColumnsRenamed(
         {"weight": "item_weight", "fp": "item_fp"})
 
-    d = _shingled(texts(docs).withColumn("row_key", row_key()))
+    d = texts(docs).withColumn("row_key", row_key()).withColumn("no_id", F.col("doc_id").isNull())
+    d = _shingled(d.withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long"))))
     # outer: the filter that Spark infers for an inner one would compute h a second time, in each place
     seeds = (d.select(*KEY, "n_words", F.posexplode_outer("h").alias("pos", "h")).join(known, F.col("h") == F.col("bh"))
              .select(*KEY, "n_words", "pos", "h", "w", "sizes", "top").distinct())
@@ -113,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     found = common.withColumn("similarity", F.col("common") / (F.col("window_weight") + F.col("item_weight") - F.col("common")))
     best = (found.filter(F.col("similarity") >= similarity).groupBy(*KEY, "item_id")
             .agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("d"), (-F.col("p")).alias("p"), "size")).alias("b")))
-    return best.select(*KEY, "item_id", (-F.col("b.p")).cast("long").alias("start_word"), F.col("b.size").cast("long").alias("n_words"),
+    return best.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "row_key", "item_id.item_id", (-F.col("b.p")).cast("long").alias("start_word"), F.col("b.size").cast("long").alias("n_words"),
                        (-F.col("b.d")).cast("long").alias("hamming"), F.col("b.similarity").alias("similarity"))
 
 

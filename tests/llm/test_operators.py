@@ -372,6 +372,18 @@ def test_decontamination(spark, small, edges, none):
     assert decontaminate.contaminated(small, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_without_ids(spark, edges):
+    """A null doc_id, beside a document 0 with the same text, and a null item_id."""
+    benchmark = spark.read.parquet(f"{SF001}/benchmark.parquet")
+    items = [(r["item_id"], r["text"]) for r in benchmark.collect()]
+    planted = [(None, "so " + items[0][1]), (0, "so " + items[0][1]), (None, "and " + items[1][1] + " too")]
+    docs = edges.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    odd = benchmark.withColumn("item_id", F.when(F.col("item_id") != items[1][0], F.col("item_id")))
+    want = [(None, items[0][0], 1), (0, items[0][0], 1), (None, None, 1)]
+    assert got(decontaminate.contaminated(docs, odd), "doc_id", "item_id", "start_word") == sorted(want, key=KEY)
+    assert sorted(pairs(decontaminate.drop_contaminated(docs, odd)), key=KEY) == sorted(pairs(edges), key=KEY)
+
+
 # ---- 9 licenses -----------------------------------------------------------------------------------------------
 LETTERS = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
