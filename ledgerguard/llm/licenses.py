@@ -1,12 +1,14 @@
 """Operator 9, license scan: phrases, and an exact set-similarity join of text blocks with templates
 (built-in functions only).
 
-A block is a line of a text, taken as the set of its words.  A template matches a block that holds at
-least ``CONTAINMENT`` of the template's words.  Template words are ordered from rare to frequent by the
+A block is a line of a text, or a run of lines (those without words do not count) whose lines between the
+first and the last hold fewer words than the template: a notice wrapped over any number of lines lies in one.  It is taken as the set of its words.  A template matches a block that
+holds at least ``CONTAINMENT`` of the template's words.  Template words are ordered from rare to frequent by the
 number of blocks of the whole corpus that hold them.  Prefix filter: a block that matches holds one of the
 template's rarest m - o + 1 words (o: the words needed of m); length filter: it has at least o words;
 positional filter: the words before, at and after the common word leave room for o.  What passes is
-verified by intersecting the sets.  The index over the templates' prefixes is bounded by the templates.
+verified by intersecting the sets.  Only the longest run from each line is looked at, as it holds the shorter
+ones, and only in texts and near lines with a prefix word.  The index over the templates' prefixes is bounded by the templates.
 
 Defined cases: a null or empty text has no words, no labels and score 0; repeated rows each give their
 row; an empty table gives an empty result; other columns are ignored.
@@ -60,32 +62,57 @@ def phrase_places(d: DataFrame, phrases=PHRASES) -> DataFrame:
             .drop("_w", "_lw", "_lead"))
 
 
+def _posted(blocks: DataFrame, order: list[str], prefix: list[str]) -> DataFrame:
+    """A row for each block and prefix word in it."""
+    return (blocks.withColumn("_p", F.array_intersect("_set", _array(prefix))).filter(F.size("_p") > 0)
+            .withColumn("_n", F.size(F.array_remove("_set", "")))
+            .withColumn("_known", F.array_intersect(_array(order), F.col("_set")))
+            .withColumn("_w", F.explode_outer("_p")))
+
+
+def _runs(d: DataFrame, templates, prefix: list[str]) -> DataFrame:
+    """(doc_id, row_key, block, _length, _set): the longest run from every line, for each length of a template."""
+    lengths = sorted({len(t.split()) for t, _ in templates})
+    # words of lines, as often as they stand there; a run's following lines are one more than its words at most
+    lines = F.filter(F.transform(F.split(F.lower("text"), "\n"), lambda x: F.array_remove(F.split(x, SEPARATORS), "")),
+                     lambda x: F.size(x) > 0)
+    near = (d.filter(F.lower("text").rlike("|".join(prefix))).select("doc_id", "row_key", lines.alias("_l"))
+            .withColumn("_has", F.transform("_l", lambda x: F.arrays_overlap(x, _array(prefix))))
+            .filter((F.size("_l") > 1) & F.array_contains("_has", True))
+            .select("*", F.posexplode_outer("_has").alias("block", "_own"))
+            .filter(F.array_contains(F.slice("_has", F.col("block") + 1, max(lengths) + 1), True))
+            .withColumn("_l", F.slice("_l", F.col("block") + 1, max(lengths) + 1))
+            .select("doc_id", "row_key", "block", "_l", F.explode_outer(F.array(*[F.lit(n) for n in lengths])).alias("_length")))
+    run = F.expr("aggregate(slice(_l, 2, _length), named_struct('n', 0, 'w', _l[0]),"
+                 " (a, x) -> if(a.n < _length, named_struct('n', a.n + size(x), 'w', concat(a.w, x)), a), a -> a.w)")
+    return near.select("doc_id", "row_key", "block", "_length", F.array_distinct(run).alias("_set"))
+
+
 def matching_blocks(d: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, row_key, block, label, containment) of every block and template that match."""
     sets = [sorted(set(t.split())) for t, _ in templates]
     vocabulary = sorted({w for s in sets for w in s})
     blocks = (d.select("doc_id", "row_key", F.posexplode_outer(F.split("text", "\n")).alias("block", "_line"))
+              .withColumn("_length", F.lit(None).cast("int"))
               .withColumn("_set", F.array_distinct(F.split(F.lower("_line"), SEPARATORS))).drop("_line"))
     # one row for each word of the templates
     counts = {r["w"]: r["n"] for r in blocks.select(F.explode_outer(F.array_intersect("_set", _array(vocabulary))).alias("w"))
               .filter(F.col("w").isNotNull()).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     index = []
-    for (_, label), words in zip(templates, sets):
+    for (t, label), words in zip(templates, sets):
         words = sorted(words, key=order.index)
         need = ceil(containment * len(words) - 1e-9)
-        index += [{"w": w, "i": i, "m": len(words), "need": need, "words": words, "label": label}
+        index += [{"w": w, "i": i, "m": len(words), "need": need, "words": words, "label": label, "length": len(t.split())}
                   for i, w in enumerate(words[:len(words) - need + 1])]
     prefix = sorted({x["w"] for x in index})
-    rows = literal_rows(d.sparkSession, index, "w: string, i: int, m: int, need: int, words: array<string>, label: string")
-    posted = (blocks.withColumn("_p", F.array_intersect("_set", _array(prefix))).filter(F.size("_p") > 0)
-              .withColumn("_n", F.size(F.array_remove("_set", "")))
-              .withColumn("_known", F.array_intersect(_array(order), F.col("_set")))
-              .withColumn("_w", F.explode_outer("_p")))
+    rows = literal_rows(d.sparkSession, index, "w: string, i: int, m: int, need: int, words: array<string>, label: string, length: int")
+    posted = _posted(blocks.unionByName(_runs(d, templates, prefix)), order, prefix)
     j = F.array_position("_known", F.col("_w")) - 1
     hit = F.size(F.array_intersect("words", "_set"))
     room = F.least(F.col("i"), j) + 1 + F.least(F.col("m") - F.col("i") - 1, F.size("_known") - j - 1)
     return (posted.join(F.broadcast(rows), F.col("_w") == F.col("w"))
+            .filter(F.coalesce(F.col("_length") == F.col("length"), F.lit(True)))
             .filter((F.col("_n") >= F.col("need")) & (room >= F.col("need")) & (hit >= F.col("need")))
             .select("doc_id", "row_key", "block", "label", (hit / F.col("m")).alias("containment")))
 

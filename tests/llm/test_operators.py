@@ -410,6 +410,22 @@ def test_licenses(docs, request, spark):
     assert out.filter("score < 0 or score > 1 or (score > 0) <> (labels <> '')").isEmpty()
 
 
+def test_licenses_wrapped(spark):
+    """Notices over several lines; lines too far apart are no notice."""
+    texts_ = {
+        1: ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated"
+            " documentation files (the \"Software\"), to deal", "mit"),
+        2: (" * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+            " the following conditions\n *\n * are met:", "bsd"),
+        3: ("x y z Licensed under the GNU\n\nGeneral Public License,\r\nversion 3 or later", "gpl-3"),
+        4: ("\n".join(licenses.TEMPLATES[1][0].split()), "mit"),
+        5: ("licensed under cc\n" + "one two three four five six seven\neight\nby nc 4 0", ""),
+        6: ("Permission is hereby granted, free of charge\n", ""),
+        7: (None, "")}
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts_.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs).collect()} == {i: x for i, (_, x) in texts_.items()}
+
+
 # ---- 10 repeated strings --------------------------------------------------------------------------------------
 def without(rows):
     seen, out = set(), []
