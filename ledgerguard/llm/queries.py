@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from ledgerguard.llm import (bpe, decontaminate, licenses, near_dedup, passages, pii, quality, repeats, sharding,
-                             token_counts)
+from ledgerguard.llm import (bpe, decontaminate, hard_negatives, html_text, licenses, near_dedup, passages, pii, quality,
+                             repeats, sharding, token_counts, turns)
 from ledgerguard.llm.common import documents
 
 #: Folder of the public tokenizer files.
@@ -57,9 +57,24 @@ def op10_suffix_dedup(spark, sf_dir):
     return repeats.without_repeats(documents(spark, sf_dir))
 
 
+def op11_html_extraction(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return turns.repair_audit(turns.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(hard_negatives.vectors(
+        spark.read.parquet(f"{sf_dir}/embeddings.parquet"), moved=7)).drop("anchor", "positive")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_minhash_near_dedup, op3_substring_dedup, op4_pii, op5_bpe, op6_sharding,
-    op7_decontamination, op8_token_counts, op9_license_scan, op10_suffix_dedup)}
+    op7_decontamination, op8_token_counts, op9_license_scan, op10_suffix_dedup,
+    op11_html_extraction, op12_conversation_repair, op13_hard_negatives)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
