@@ -5,7 +5,8 @@ that hold them: one, one for each comma and one for each hundred characters up t
 of their text inside links; the nearest block gets all, the next half, the further ones a third by distance,
 five blocks up.  A block's score is its points and the weight of its tag and names, times the share of its
 text outside links.  The best block is kept, or the article around it, with its siblings that hold at least a
-fifth of its points; beside a block that is no article also sibling paragraphs of plain sentences.  What
+fifth of its points; beside a block that is no article also sibling paragraphs of plain sentences; a page without
+any paragraph of ``LEAST_CHARS`` characters is kept whole.  What
 tags, roles or names mark as menus, headers, footers, sidebars, notices, adverts, forms or comments takes no
 part, lists of links neither.
 
@@ -43,6 +44,9 @@ ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "d
         "tfoot": (("tbody", "thead", "tfoot"), ("table",)), "option": (("option",), ("select",)), "a": (("a",), ())}
 WEIGHTS = {"article": 25, "main": 15, "div": 5, "section": 5, "td": 3, "blockquote": 3, "pre": 3, "ul": -3, "ol": -3,
            "dl": -3, "li": -3, "dd": -3, "dt": -3, "address": -3, "th": -5, **dict.fromkeys(HEADINGS, -5)}
+#: Blocks whose own text is a paragraph of the block around them, and those that never hold a page's text.
+ITEMS = frozenset("p pre li dd dt td th figcaption caption address".split())
+ROWS = frozenset("tr tbody thead tfoot".split())
 #: Words in names of elements: what is never the article, what rarely is, and what often is.
 STRONG = re.compile(r"comments?|commentlist|respond|disqus|ads?|adverts?|advertisements?|adsense|sponsor(ed|s)?|promos?|promotions?|"
                     r"sidebars?|cookies?|consent|gdpr|newsletters?|subscribe|subscription|signup|breadcrumbs?|nav|navbar|"
@@ -261,8 +265,10 @@ def _points(page: Page, up_block, out, own, own_links, commas) -> list[float]:
         if not size or out[i] or tag in HEADINGS:
             continue
         worth = (1 + commas[i] + min(size / 100, 3) if size >= LEAST_CHARS else size / 100) * (1 - own_links[i] / size)
-        at = up_block[i] if tag in ("p", "pre", "li", "dd", "dt", "figcaption", "address") else i
+        at = up_block[i] if tag in ITEMS else i
         for level in range(LEVELS):
+            while page.tag[at] in ROWS and at > 0:
+                at = up_block[at]
             if at < 0:
                 break
             points[at] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -319,6 +325,8 @@ def main_text(source: str | None, names: dict | None = None) -> tuple[str, str,
         top = up_block[top]
     if top > 0:
         best = top
+    elif points[best] < 1 and page.tag[best] != "main":
+        best = 0  # no paragraph stands out
     # lists of links, and what follows a heading of comments, inside what is kept
     for i in range(1, len(out)):
         tag, up = page.tag[i], page.parent[i]

@@ -8,9 +8,10 @@ costs those whose initials are ASCII-least.
 
 The search runs over pieces of at most ``PIECE`` rows, cut from rows sorted over the whole table, so that a
 conversation of any length is dealt over tasks.  ``search`` goes depth first from an explicit stack; a prefix goes on
-only if its cost and the suffix's lower bound (forced deletions, truncated rows, disjoint pairs of neighbours that
-need an edit) can still beat the incumbent's (cost, audit), and if the dominance table of its node (row, state) has no
-better prefix.  A piece that is a whole conversation is searched once; others from each state to each state, and the
+only if its cost and the suffix's lower bound (by row and state, from the end backwards over costs alone) can still
+beat the incumbent's (cost, audit), and if the dominance table of its node (row, state) has no better prefix.  A looser
+bound (forced deletions and disjoint bad neighbours) was tried first: 70,000 nodes for 64 rows, against a few hundred.
+A piece that is a whole conversation is searched once; others from each state to each state, and the
 same search then goes over a conversation's pieces with those results as its edges.  Equal-cost audits over the same
 rows are never prefixes of each other, as they have a letter for each row and differ in inserted rows, so the least of
 a whole is made of least parts.  Copies of a row within a turn are counted, not held: all but the first are deleted.
@@ -57,29 +58,8 @@ def kept(state: int, initial: str) -> int:
     return -1
 
 
-def bounds(entries) -> list[int]:
-    """Least costs of the entries from each place on: what is forced, and 2 for each of the disjoint neighbours that
-    cannot both be kept side by side (they need a deletion, a new role or a row between them)."""
-    least, pairs, after, free = [0], [0], None, True
-    for initial, flags, n in reversed(entries):
-        forced = 3 * (n if flags & FORCED else n - 1) + (1 if flags == TRUNCATED else 0)
-        more = 0
-        if not flags & FORCED:
-            if initial not in ("s", "u", "a"):
-                more, free, after = 2, False, initial
-            else:
-                if after is not None and free and initial + after not in LEGAL:
-                    more, free = 2, False
-                else:
-                    free = True
-                after = initial
-        least.append(least[-1] + forced)
-        pairs.append(pairs[-1] + more)
-    return [a + b for a, b in zip(reversed(least), reversed(pairs))]
-
-
 def steps(entry, state: int):
-    """(cost, letters, new state, entries taken) of the edits at an entry, Keep last: the stack takes it first."""
+    """(cost, letters, new state, entries taken) of the edits at an entry."""
     initial, flags, n = entry
     rest = n - 1
     if flags & FORCED:
@@ -97,38 +77,50 @@ def inserted(state: int):
     yield 2, "I", needed(state), 0
 
 
-def search(entries, begin: int, ends, edges=steps, lower=None) -> tuple[int, str]:
+def bounds(entries, ends, edges=steps) -> list[list[int]]:
+    """For each place and state the least cost of what is still to come, audits aside: no way to one of the end states
+    is cheaper."""
+    lower = []
+    for entry in [None, *reversed(entries)]:
+        here = [0 if entry is None and s in ends else NONE[0] for s in range(4)]
+        ways = [(s, *way) for s in range(4) for way in (inserted(s) if entry is None else edges(entry, s))]
+        for s, cost, _, to, taken in ways:
+            if taken:
+                here[s] = min(here[s], cost + lower[-1][to])
+        for _ in range(3):  # rows inserted here: never more than three before the state comes round again
+            for s, cost, _, to, taken in ways:
+                if not taken:
+                    here[s] = min(here[s], cost + here[to])
+        lower.append(here)
+    return lower[::-1]
+
+
+def search(entries, begin: int, ends, edges=steps) -> tuple[int, str]:
     """The least (cost, audit) from a state before the first entry to one of the states after the last."""
-    lower = bounds(entries) if lower is None else lower
+    lower = bounds(entries, ends, edges)
     last, best = len(entries), NONE
     seen: dict[tuple[int, int], tuple[int, str]] = {}
     stack = [(0, begin, 0, "")]
     while stack:
         at, state, cost, audit = stack.pop()
-        if cost + lower[at] > best[0] or cost + lower[at] == best[0] and audit > best[1][:len(audit)]:
+        least = cost + lower[at][state]
+        if least > best[0] or least == best[0] and audit > best[1][:len(audit)] or least >= NONE[0]:
             continue
-        prefix = (cost, audit)
-        if (old := seen.get((at, state), NONE)) <= prefix:
+        if seen.get((at, state), NONE) <= (cost, audit):
             continue
-        seen[at, state] = prefix
-        if at == last and state in ends and prefix < best:
-            best = prefix
-        for more, letters, to, taken in edges(entries[at], state) if at < last else inserted(state):
-            stack.append((at + taken, to, cost + more, audit + letters))
+        seen[at, state] = (cost, audit)
+        if at == last and state in ends:
+            best = min(best, (cost, audit))
+        ways = [(cost + more + lower[at + taken][to], letters, at + taken, to, cost + more)
+                for more, letters, to, taken in (edges(entries[at], state) if at < last else inserted(state))]
+        # the most promising way, and of equals the least letters, is taken from the stack first
+        stack += [(place, to, total, audit + letters) for _, letters, place, to, total in sorted(ways, reverse=True)]
     return best
 
 
 def joined(tables) -> tuple[int, str]:
     """The least (cost, audit) of a conversation from the tables {(from, to): (cost, audit)} of its pieces."""
-    lower = [0]
-    for table in reversed(tables):
-        lower.append(lower[-1] + min(c for c, _ in table.values()))
-    lower.reverse()
-
-    def edges(table, state):
-        return sorted(((c, a, to, 1) for (s, to), (c, a) in table.items() if s == state), reverse=True)
-
-    return search(tables, START, FINAL, edges, lower)
+    return search(tables, START, FINAL, lambda table, state: [(c, a, to, 1) for (s, to), (c, a) in table.items() if s == state])
 
 
 def repaired(entries, part: str, after: int):
@@ -224,9 +216,8 @@ def _piece(conv, rows, whole: bool, first: bool) -> dict:
             out["last_turn"] = turn
         entries.append((initial, flags, n))
         out["entries"].append(dict(turn=turn, role=role, h=h, n=n))
-    lower = bounds(entries)
     ways = [(START, FINAL)] if whole else [(s, (to,)) for s in ((START,) if first else range(4)) for to in range(4)]
-    found = [(s, ends, search(entries, s, ends, lower=lower)) for s, ends in ways]
+    found = [(s, ends, search(entries, s, ends)) for s, ends in ways]
     out["edges"] = [dict(s=s, to=ends[-1], cost=got[0], audit=got[1]) for s, ends, got in found if got != NONE]
     return out
 
