@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerguard.operators import search as R
 from ledgerguard.plans.detect_queries import c
 from ledgerguard.streaming import refresh as ST
+from ledgerguard.streaming import velocity as V
 
 # --- fixed values: the question set of the search check (parameters, not data) ---
 QUESTIONS = [
@@ -118,6 +119,25 @@ def refresh_increment(ctx):
                       "flag_score")
 
 
+def stream_velocity(ctx, delay_minutes: int = 30, late_minutes: int = 20, deliveries: int = 3):
+    """O-ST4: velocity counted by the stateful stream while rows come up to 20 minutes late, in three deliveries; all rows
+    whose granule the watermark has passed."""
+    spark = ctx.spark
+    source = ST.scratch_path(spark, "deliveries")
+    events = ctx.bank.raw("events")
+    # a row arrives up to late_minutes after its time, so rows of one delivery are older than some of the one before
+    late = F.make_dt_interval(secs=(c("event_id") % F.lit(60 * late_minutes)).cast("decimal(18,6)"))
+    arrives = c("ts") + late
+    lo, hi = events.agg(F.min(arrives), F.max(arrives)).first()     # two scalars
+    sink, checkpoint = ST.scratch_path(spark, "velocity"), ST.scratch_path(spark, "ckpt-velocity")
+    for i in range(deliveries):
+        start, end = (lo + (hi - lo) * x / deliveries for x in (i, i + 1))
+        due = (arrives >= F.lit(start)) & ((arrives < F.lit(end)) if i < deliveries - 1 else F.lit(True))
+        events.filter(due).write.mode("append").parquet(source)
+        V.run_velocity(spark, source, ctx.velocity_window, f"{delay_minutes} minutes", 2, sink, checkpoint)
+    return spark.read.parquet(sink).select("txn_id", "account_id", "txn_ts", "velocity_count")
+
+
 def refresh_rerun(ctx):
     """O-ST2: the same stream run twice into one sink; the second run appends nothing."""
     spark = ctx.spark
@@ -168,6 +188,6 @@ ENTRIES = {
     "doc_tags": doc_tags, "doc_snippets": doc_snippets, "conversation_pairs": conversation_pairs,
     "conversation_summary": conversation_summary, "agent_log_extract": agent_log_extract,
     "run_summary": run_summary,
-    "refresh_increment": refresh_increment, "refresh_rerun": refresh_rerun, "missed_flags": missed_flags,
+    "stream_velocity": stream_velocity, "refresh_increment": refresh_increment, "refresh_rerun": refresh_rerun, "missed_flags": missed_flags,
     "sliding_velocity": sliding_velocity, "flag_rate_15min": flag_rate_15min, "doc_index_stream": doc_index_stream,
 }

@@ -12,9 +12,8 @@
   a hot account never sits in one task or one state value.
 * O-ST3: rows older than the watermark are dropped by the stream; the batch
   reconcile :func:`find_missed_flags` finds flagged transactions that have no flag.
-* O-ST4 as a pure streaming operator: ``applyInPandasWithState`` keyed by account
-  keeps the timestamps of the last window, evicted by event-time timeout
-  (:func:`streaming_velocity`, for consumers that want a streaming DataFrame).
+* O-ST4 as a streaming operator, exact also for rows that come late within the watermark:
+  ``streaming/velocity.py``.
 * O-ST5 / O-ST6: windowed aggregations written once and run either on a
   stream or on a batch DataFrame (same code).
 * O-ST7: document index refresh as a stream over the document files.
@@ -25,14 +24,10 @@ Checkpoints and sinks live under the cluster's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerguard.functions import constants as K
 from ledgerguard.operators.fraud import (_pick_score, build_fraud_flags, default_score_seed,
@@ -77,47 +72,6 @@ def transactions_stream(spark: SparkSession, source: str, max_files_per_trigger:
     return spark.sql(adapter_sql("transactions", "spark", lambda t: view))
 
 
-# ---- O-ST4: exact streaming velocity -------------------------------------------------
-VELOCITY_STATE = T.StructType([T.StructField("ts_micros", T.ArrayType(T.LongType()))])
-
-
-def _velocity_fn(window_micros: int, out_cols: list[str]):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        if batch.empty:
-            return
-        known = np.asarray(state.get[0] if state.exists else [], dtype="int64")
-        t = batch["_lg_t"].to_numpy(dtype="int64")
-        merged = np.sort(np.concatenate([known, t]))
-        # vectorized: rows of the account in [t - W, t] = two binary searches per row, in numpy
-        batch["velocity_count"] = (np.searchsorted(merged, t, side="right")
-                                   - np.searchsorted(merged, t - window_micros, side="left"))
-        newest = int(merged[-1])
-        state.update((merged[np.searchsorted(merged, newest - window_micros, side="left"):].tolist(),))
-        # evict once the watermark passes the end of the newest txn's window
-        state.setTimeoutTimestamp(int((newest + window_micros) // 1000))
-        yield batch[out_cols]
-    return fn
-
-
-def streaming_velocity(txns: DataFrame, window: str = K.VELOCITY_WINDOW, account_col: str = "account_id",
-                       ts_col: str = "txn_ts") -> DataFrame:
-    """O-ST4: the rows of ``txns`` plus ``velocity_count`` (txns of the account in [t - window, t]).
-
-    Exact for rows inside the watermark; state per account holds at most one window of timestamps.
-    Rows are passed through the state function, so no stream-stream join is needed."""
-    w = duration_micros(window)
-    out_schema = T.StructType(list(txns.schema.fields) + [T.StructField("velocity_count", T.LongType())])
-    keyed = txns.withColumn(
-        "_lg_t", F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts_col}`)"))
-    return keyed.groupBy(account_col).applyInPandasWithState(
-        _velocity_fn(w, [f.name for f in out_schema.fields]), out_schema, VELOCITY_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
-
-
 # ---- O-ST1 / O-ST2 ----------------------------------------------------------------------
 def classify_rows(txns: DataFrame, n: int = K.VELOCITY_MIN_TXNS) -> DataFrame:
     """Row rules + the velocity count already on the rows -> the classified columns of classify_fraud."""
@@ -246,10 +200,30 @@ def find_missed_flags(classified: DataFrame, flags: DataFrame) -> DataFrame:
 
 # ---- O-ST5 / O-ST6: windowed aggregations (stream or batch) ------------------------------
 def sliding_velocity(txns: DataFrame, window: str = "1 hour", slide: str = "5 minutes") -> DataFrame:
-    """O-ST5: approximate velocity - txns per account per sliding window."""
-    g = txns.groupBy(F.window("txn_ts", window, slide).alias("w"), "account_id").agg(
-        F.count(F.lit(1)).alias("n"))
-    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "account_id", "n")
+    """O-ST5: txns per account per sliding window, from counts per (account, pane of one slide).
+
+    A batch: each pane sees the panes of the next window in its row's frame (at most window / slide of them) and gives
+    the rows of those windows whose first pane it is, so every window is made once and nothing is added up after the
+    panes.  An account's frame holds panes, not txns.  A stream: the panes' counts are windowed again."""
+    w, step = duration_micros(window), duration_micros(slide)
+    if w % step:
+        raise ValueError("the window must be a multiple of the slide")
+    if txns.isStreaming:
+        panes = txns.groupBy(F.window("txn_ts", slide).alias("p"), "account_id").agg(F.count(F.lit(1)).alias("n"))
+        g = panes.groupBy(F.window(F.window_time("p"), window, slide).alias("w"), "account_id").agg(F.sum("n").alias("n"))
+        return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "account_id", "n")
+    k = w // step
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', txn_ts)")
+    panes = (txns.filter("txn_ts IS NOT NULL").groupBy("account_id", F.floor(micros / F.lit(step)).alias("p"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    by_time = Window.partitionBy("account_id").orderBy("p")
+    seen = panes.select("account_id", "p", F.lag("p").over(by_time).alias("before"),
+                        F.collect_list(F.struct("p", "n")).over(by_time.rangeBetween(0, k - 1)).alias("ahead"))
+    first = F.greatest(F.coalesce(F.col("before") + 1, F.col("p") - (k - 1)), F.col("p") - (k - 1))
+    starts = seen.select("account_id", "ahead", F.explode(F.sequence(first, "p")).alias("s"))
+    n = F.aggregate("ahead", F.lit(0).cast("long"), lambda a, x: a + F.when(x["p"] < F.col("s") + k, x["n"]).otherwise(0))
+    at = lambda pane: F.expr(f"timestampadd(MICROSECOND, ({pane}) * {step}, TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+    return starts.select(at("s").alias("window_start"), at(f"s + {k}").alias("window_end"), "account_id", n.alias("n"))
 
 
 def flag_rate(flagged: DataFrame, ts_col: str = "txn_ts", every: str = "15 minutes") -> DataFrame:

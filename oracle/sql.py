@@ -824,6 +824,12 @@ register("refresh_rerun", "SELECT 1 AS run, COUNT(*) AS added FROM fraud_flags U
 register("missed_flags", """
 SELECT txn_id, account_id, txn_ts, fraud_pattern FROM transactions
 WHERE is_flagged AND txn_ts >= TIMESTAMP '2024-01-30 00:00:00'""", "transactions")
+register("stream_velocity", """
+SELECT txn_id, account_id, txn_ts, velocity_count FROM (
+  SELECT txn_id, account_id, txn_ts, MAX(epoch_us(txn_ts)) OVER () // 1000 * 1000 - 1800000000 AS watermark,
+    COUNT(*) OVER (PARTITION BY account_id ORDER BY txn_ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS velocity_count
+  FROM tx_raw)
+WHERE (epoch_us(txn_ts) // 43200000000 + 1) * 43200000000 <= watermark""", "tx_raw")
 register("sliding_velocity", """
 SELECT make_timestamp(s) AS window_start, make_timestamp(s + 3600000000) AS window_end, account_id, COUNT(*) AS n
 FROM (SELECT account_id, (epoch_us(txn_ts) // 300000000 - k) * 300000000 AS s

@@ -48,19 +48,90 @@ def test_late_rows_are_dropped_and_reconciled(spark, tmp_path):
     assert missed.filter(F.col("txn_ts") < "2024-01-30").count() > 0   # the late rows, found by the reconcile
 
 
-def test_streaming_velocity_matches_batch_window(spark):
+def brute_velocity(rows, window_s):
+    """(txn_id, count) of (txn_id, account, time) rows: the account's rows in [t - window, t]."""
+    import bisect
+    import collections
+    times = collections.defaultdict(list)
+    for _, account, t in rows:
+        times[account].append(t)
+    for v in times.values():
+        v.sort()
+    return {i: bisect.bisect_right(times[a], t) - bisect.bisect_left(times[a], t - window_s) for i, a, t in rows}
+
+
+def counted_stream(spark, deliveries, tmp_path, window, granules, delay="30 minutes"):
+    """The operator over (txn_id, account_id, epoch seconds) deliveries, each its own run on one checkpoint."""
+    from ledgerguard.streaming import velocity as V
+    src, sink, ckpt = (str(tmp_path / x) for x in ("src", "sink", "ckpt"))
+    schema = "txn_id string, account_id long, txn_ts timestamp_ntz"
+    for rows in deliveries:
+        df = spark.createDataFrame([(str(i), a, t) for i, a, t in rows], "txn_id string, account_id long, s long")
+        df.select("txn_id", "account_id", F.expr("timestampadd(SECOND, s, TIMESTAMP_NTZ '1970-01-01 00:00:00')").alias("txn_ts")
+                  ).repartition(3).write.mode("append").parquet(src)
+        stream = (V.stateful_session(spark).readStream.schema(schema).parquet(src)
+                  .withColumn("event_time", F.col("txn_ts").cast("timestamp")).withWatermark("event_time", delay))
+        q = (V.streaming_velocity(stream, window, granules).writeStream.format("parquet").option("path", sink)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return {int(r["txn_id"]): r["velocity_count"] for r in spark.read.parquet(sink).collect()}
+
+
+def test_stream_velocity_is_exact_for_late_rows_and_a_hot_account(spark, tmp_path):
+    """Rows come up to 25 minutes late over several runs; account 1 holds a third of all rows, densely."""
+    import random
+    rng = random.Random(1)
+    base = 1_700_000_000
+    rows = [(i, 1 if i % 3 == 0 else None if i % 50 == 1 else rng.randrange(2, 12), base + rng.randrange(0, 6 * 3600)) for i in range(3000)]
+    rows += [(3000 + i, 1, base + 7200 + i % 5) for i in range(500)]        # ties and one very dense moment
+    arrival = {r[0]: r[2] + rng.randrange(0, 1500) for r in rows}
+    cuts = [base, base + 2 * 3600, base + 4 * 3600, base + 9 * 3600]
+    deliveries = [[r for r in rows if lo <= arrival[r[0]] < hi] for lo, hi in zip(cuts, cuts[1:])]
+    assert sum(map(len, deliveries)) == len(rows)
+    deliveries.append([(9999, 99, base + 48 * 3600)])                       # moves the watermark past all of them
+    got = counted_stream(spark, deliveries, tmp_path, "1 hour", 8)
+    assert got == brute_velocity(rows, 3600)
+
+
+def test_stream_velocity_drops_rows_behind_the_watermark(spark, tmp_path):
+    base = 1_700_000_000
+    rows = [(1, 1, base), (2, 1, base + 60), (3, 1, base + 7200)]
+    late = [(4, 1, base + 30), (5, 1, base + 7100)]                         # 4 is two hours behind, 5 within the delay
+    got = counted_stream(spark, [rows, late, [(9, 9, base + 90000)]], tmp_path, "1 hour", 4)
+    assert got == {1: 1, 2: 2, 3: 2, 5: 1}
+
+
+def test_stream_velocity_with_one_granule(spark, tmp_path):
+    base = 1_700_000_000
+    rows = [(i, i % 2, base + 400 * i) for i in range(60)]
+    got = counted_stream(spark, [rows, [(99, 9, base + 90000)]], tmp_path, "1 hour", 1)
+    assert got == brute_velocity(rows, 3600)
+
+
+def test_sliding_counts_of_panes_equal_a_row_by_row_expand(spark):
+    ctx = RiskContext(spark, SF001)
+    t = ctx.bank.transactions
+    want = (t.groupBy(F.window("txn_ts", "1 hour", "5 minutes").alias("w"), "account_id").agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "account_id", "n"))
+    got = ST.sliding_velocity(t)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sliding_counts_of_a_stream(spark, tmp_path):
+    """The stream windows the panes' counts again; what the watermark has passed equals the batch."""
     ctx = RiskContext(spark, SF001)
-    from ledgerguard.operators.fraud import detect_velocity
-    batch = detect_velocity(ctx.bank.transactions, window="24 hours").select("txn_id", "velocity_count")
-    sink = ST.scratch_path(spark, "vel")
-    stream = ST.transactions_stream(spark, f"{SF001}/event[s].parquet").withColumn(
-        "event_time", F.col("txn_ts").cast("timestamp")).withWatermark("event_time", "30 minutes")
-    q = (ST.streaming_velocity(stream, "24 hours").select("txn_id", "velocity_count").writeStream
-         .format("parquet").option("path", sink).option("checkpointLocation", sink + "-ckpt")
-         .trigger(availableNow=True).start())
+    stream = ST.transactions_stream(spark, f"{SF001}/event[s].parquet")
+    stream = stream.withColumn("txn_ts", F.col("txn_ts").cast("timestamp")).withWatermark("txn_ts", "30 minutes")
+    sink = str(tmp_path / "sink")
+    q = (ST.sliding_velocity(stream).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    got = spark.read.parquet(sink)
-    assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+    got = spark.read.parquet(sink).select(F.col("window_start").cast("timestamp_ntz"), F.col("window_end").cast("timestamp_ntz"), "account_id", "n")
+    want = ST.sliding_velocity(ctx.bank.transactions)
+    assert got.exceptAll(want).count() == 0
+    last = ctx.bank.transactions.agg(F.max("txn_ts") - F.expr("INTERVAL 30 MINUTES")).first()[0]
+    assert got.count() == want.filter(F.col("window_end") <= F.lit(last)).count() > 0
 
 
 def test_velocity_history_spans_micro_batches(spark, tmp_path):
