@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerguard.operators import search as R
 from ledgerguard.plans.detect_queries import c
+from ledgerguard.streaming import doc_index as DI
 from ledgerguard.streaming import refresh as ST
 from ledgerguard.streaming import velocity as V
 
@@ -176,10 +177,28 @@ def flag_rate_15min(ctx):
 
 def doc_index_stream(ctx):
     """O-ST7: index refresh as a stream over the document files; index statistics."""
-    sink = ST.run_index_refresh(ctx.spark, f"{ctx.sf_dir.rstrip('/')}/document[s].parquet")
-    p = ctx.spark.read.parquet(sink)
-    return p.agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("term").alias("n_terms"),
-                 F.sum("tf").alias("total_tf"))
+    root = ST.scratch_path(ctx.spark, "index")
+    index = DI.run_index_refresh(ctx.spark, f"{ctx.sf_dir.rstrip('/')}/document[s].parquet", root, f"{root}-ckpt")
+    return index.postings().agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("term").alias("n_terms"),
+                                F.sum("tf").alias("total_tf"))
+
+
+def doc_index_changes(ctx):
+    """O-ST7: all documents are delivered, then a second time with changes (the French ones get their source as a last
+    word, the Spanish ones are withdrawn, the rest come as they were); each document in the index, the version that
+    last wrote it, and its terms, after a compaction."""
+    spark, docs = ctx.spark, ctx.bank.raw("documents")
+    source, root = ST.scratch_path(spark, "deliveries"), ST.scratch_path(spark, "index")
+    text = F.when(c("lang") == "fr", F.concat_ws(" ", "text", "source")).when(c("lang") != "es", c("text"))
+    for delivery in (docs, docs.withColumn("text", text)):
+        delivery.write.mode("append").parquet(source)
+        index = DI.run_index_refresh(spark, source, root, f"{root}-ckpt")
+    written = index.documents().select("doc_id", c("v").alias("version"))
+    index.compact()
+    terms = index.postings().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("total_tf"))
+    return (written.join(terms, "doc_id", "left")
+            .select("doc_id", c("version").cast("long").alias("version"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"),
+                    F.coalesce("total_tf", F.lit(0)).alias("total_tf")))
 
 
 ENTRIES = {
@@ -190,4 +209,5 @@ ENTRIES = {
     "run_summary": run_summary,
     "stream_velocity": stream_velocity, "refresh_increment": refresh_increment, "refresh_rerun": refresh_rerun, "missed_flags": missed_flags,
     "sliding_velocity": sliding_velocity, "flag_rate_15min": flag_rate_15min, "doc_index_stream": doc_index_stream,
+    "doc_index_changes": doc_index_changes,
 }

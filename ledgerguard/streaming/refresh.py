@@ -16,7 +16,6 @@
   ``streaming/velocity.py``.
 * O-ST5 / O-ST6: windowed aggregations written once and run either on a
   stream or on a batch DataFrame (same code).
-* O-ST7: document index refresh as a stream over the document files.
 
 Checkpoints and sinks live under the cluster's ``spark.checkpoint.dir``.
 """
@@ -231,35 +230,3 @@ def flag_rate(flagged: DataFrame, ts_col: str = "txn_ts", every: str = "15 minut
     g = flagged.groupBy(F.window(ts_col, every).alias("w"), "flag_domain", "severity").agg(
         F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("window_start"), "flag_domain", "severity", "n")
-
-
-# ---- O-ST7: document index refresh ---------------------------------------------------------
-DOCS_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
-    T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
-    T.StructField("n_chars", T.LongType()),
-])
-
-
-def run_index_refresh(spark: SparkSession, source: str, sink: str | None = None, trigger: dict | None = None) -> str:
-    """O-ST7: new document files -> postings appended to the index (hourly in production)."""
-    from ledgerguard.operators.search import build_index
-    sink = sink or scratch_path(spark, "index")
-    ckpt = scratch_path(spark, "ckpt-index")
-    docs = spark.readStream.schema(DOCS_SCHEMA).parquet(source)
-
-    def process(batch: DataFrame, epoch_id: int):
-        postings = build_index(batch.withColumnRenamed("text", "content"))
-        have = existing_postings(spark, sink)
-        postings.join(have, "doc_id", "left_anti").write.mode("append").parquet(sink)
-
-    q = (docs.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
-             .trigger(**(trigger or {"availableNow": True})).start())
-    q.awaitTermination()
-    return sink
-
-
-def existing_postings(spark: SparkSession, sink: str) -> DataFrame:
-    if not path_exists(spark, sink):    # first batch
-        return spark.createDataFrame([], "doc_id long")
-    return spark.read.parquet(sink).select("doc_id").distinct()

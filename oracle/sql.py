@@ -846,6 +846,13 @@ SELECT COUNT(DISTINCT doc_id) AS n_docs, COUNT(DISTINCT term) AS n_terms, SUM(tf
   SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM raw_doc_toks)
   GROUP BY doc_id, term)""", "raw_doc_toks")
 
+register("doc_index_changes", """
+SELECT doc_id, version, len(list_distinct(toks)) AS n_terms, len(toks) AS total_tf FROM (
+  SELECT doc_id, CASE WHEN lang = 'fr' THEN 2 ELSE 1 END AS version,
+    list_filter(regexp_split_to_array(lower(CASE WHEN lang = 'fr' THEN concat_ws(' ', text, source) ELSE text END), '[^a-z0-9]+'),
+                lambda x: length(x) > 0) AS toks
+  FROM documents WHERE lang <> 'es' AND text IS NOT NULL)""")
+
 
 # ---- generators, sinks, scalar families, policy rules ------------------------------
 from ledgerguard.functions.rules import RULE_CATALOG as _CAT  # noqa: E402
