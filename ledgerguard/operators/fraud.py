@@ -23,15 +23,15 @@ ID_SPAN = 1_000_000_000_000_000
 
 def detect_velocity(txns: DataFrame, n: int = K.VELOCITY_MIN_TXNS, window: str = K.VELOCITY_WINDOW,
                     account_col: str = "account_id", ts_col: str = "txn_ts",
-                    mark_burst: bool = False, hot: DataFrame | None = None) -> DataFrame:
+                    mark_burst: bool = False, dense: DataFrame | None = None) -> DataFrame:
     """O-D1 / O-W3: ``velocity_count`` = txns of the account in ``[ts - window, ts]``;
     ``is_velocity`` = count >= n.  With ``mark_burst`` every member of such a window is
-    flagged (``is_velocity_burst``), also the ones before the n-th txn.  ``hot``: the heavy-hitter
-    accounts of ``txns`` (timewin.hot_keys), computed once and shared by all windows over them."""
-    out = trailing_count(txns, [account_col], ts_col, window, "velocity_count", hot=hot)
+    flagged (``is_velocity_burst``), also the ones before the n-th txn.  ``dense``: the
+    accounts' density (timewin.density), computed once and shared by all windows over them."""
+    out = trailing_count(txns, [account_col], ts_col, window, "velocity_count", dense=dense)
     out = out.select("*", (F.col("velocity_count") >= n).alias("is_velocity"))
     if mark_burst:
-        out = forward_max(out, [account_col], ts_col, window, "velocity_count", "_lg_burst", hot=hot)
+        out = forward_max(out, [account_col], ts_col, window, "velocity_count", "_lg_burst", dense=dense)
         out = out.withColumn("is_velocity_burst", F.col("_lg_burst") >= n).drop("_lg_burst")
     return out
 
@@ -84,7 +84,7 @@ def classify_fraud(txns: DataFrame, *, velocity_n: int = K.VELOCITY_MIN_TXNS,
                    high_risk: list[str] = K.HIGH_RISK_COUNTRIES,
                    round_min: float = K.ROUND_NUMBER_MIN, round_step: float = K.ROUND_NUMBER_STEP,
                    channels: list[str] | None = None, mark_burst: bool = False,
-                   score_seed: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
+                   score_seed: Column | None = None, dense: DataFrame | None = None) -> DataFrame:
     """O-D5..O-D7: all detectors, then
 
     * ``patterns``: every rule hit, in precedence order VELOCITY, STRUCTURING, CROSS_BORDER, ROUND_NUMBER
@@ -94,7 +94,7 @@ def classify_fraud(txns: DataFrame, *, velocity_n: int = K.VELOCITY_MIN_TXNS,
 
     The row rules are the same column expressions as the single detectors, added in one projection.
     """
-    df = detect_velocity(txns, velocity_n, velocity_window, mark_burst=mark_burst, hot=hot)
+    df = detect_velocity(txns, velocity_n, velocity_window, mark_burst=mark_burst, dense=dense)
     a = F.col("amount")
     struct_hit = a.between(F.lit(structuring[0]), F.lit(structuring[1]))
     if channels:

@@ -96,7 +96,7 @@ def nsfr_early_warning(positions: DataFrame, level: float = 1.03) -> DataFrame:
                             F.coalesce(c("nsfr_ratio") < level, F.lit(False)).alias("nsfr_warning"))
 
 
-def pass_through(txns: DataFrame, window: str = "48 hours", hot: DataFrame | None = None) -> DataFrame:
+def pass_through(txns: DataFrame, window: str = "48 hours", dense: DataFrame | None = None) -> DataFrame:
     """O-X9: structuring credits followed by debits on the same account within 48 hours.
 
     A forward range window over (account, time bucket): for each credit, the count and sum of
@@ -106,19 +106,19 @@ def pass_through(txns: DataFrame, window: str = "48 hours", hot: DataFrame | Non
     t = range_sums(txns.filter(asked), ["account_id"], "txn_ts", window,
                    {"debits_48h": F.when(is_debit, 1).otherwise(0),
                     "debit_amount_48h": F.when(is_debit, c("amount")).otherwise(F.lit(0).cast("decimal(18,2)"))},
-                   direction="forward", hot=hot)
+                   direction="forward", dense=dense)
     return (t.filter((c("txn_type") == "CREDIT") & c("is_structuring") & (c("debits_48h") > 0))
              .select("txn_id", "account_id", "txn_ts", "amount", c("debits_48h").cast("bigint").alias("debits_48h"),
                      c("debit_amount_48h").cast("decimal(18,2)").alias("debit_amount_48h")))
 
 
 def rolling_structuring(txns: DataFrame, window: str = "21 days", below: float = 10000,
-                        min_count: int = 3, hot: DataFrame | None = None) -> DataFrame:
+                        min_count: int = 3, dense: DataFrame | None = None) -> DataFrame:
     """O-X10: at least ``min_count`` credits under 10,000 on one account within 21 days, with total."""
     sub = (c("txn_type") == "CREDIT") & (c("amount") < below)
     t = range_sums(txns.filter(sub), ["account_id"], "txn_ts", window,
                    {"n_sub": F.when(sub, 1).otherwise(0),
-                    "sub_total": F.when(sub, c("amount")).otherwise(F.lit(0).cast("decimal(18,2)"))}, hot=hot)
+                    "sub_total": F.when(sub, c("amount")).otherwise(F.lit(0).cast("decimal(18,2)"))}, dense=dense)
     return (t.filter(sub & (c("n_sub") >= min_count))
              .select("txn_id", "account_id", "txn_ts", c("n_sub").cast("bigint").alias("n_sub"),
                      c("sub_total").cast("decimal(18,2)").alias("sub_total")))

@@ -11,14 +11,13 @@ sent once to the next bucket as a "carry" row.  For an own row at ``t``:
     own rows in the bucket with time <= t     (RANGE unbounded .. current, keyed by t)
   + carry rows with time + W >= t             (RANGE current .. unbounded, keyed by t' + W)
 
-Hot keys (all keys with ``hot_min_rows`` rows or more; there are at most
-rows / ``hot_min_rows`` of them) use granules of W / m instead, so their rows spread over m times
-as many tasks.  The window ``[t - W, t]`` of a row in granule G then covers part
-of granule G, part of granule G - m (reached by the carry copy, moved m granules)
-and all of granules G - m + 1 .. G - 1.  Those middle granules are pre-aggregated
-per (key, granule) - map-side combined - and each summary row is sent to the m - 1
-granules that need it, in the same shuffle as the rows.  No join, no pairs; the
-plan stays one shuffle on (key, bucket) and one sort.  Forward windows
+How finely a key is cut follows from its density, the rows in its densest bucket (``density``, a histogram by
+(key, bucket) summed map-side): every key gets granules of W / m, with m the least power of two that leaves about
+``ROWS_PER_GRANULE`` rows in a granule; a key below that has m = 1, the bucket above.  With m > 1 the window
+``[t - W, t]`` of a row in granule G covers part of granule G, part of granule G - m (reached by the carry copy,
+moved m granules) and all of granules G - m + 1 .. G - 1.  Those middle granules are pre-aggregated per (key,
+granule), map-side combined, and each summary row is sent to the m - 1 granules that need it, in the same shuffle
+as the rows.  No join of rows, no pairs; the plan stays one shuffle on (key, bucket) and one sort.  Forward windows
 ``[t, t + W]`` are the mirror image.
 """
 
@@ -37,20 +36,12 @@ _UNITS = {
     "hour": 3_600_000_000, "day": 86_400_000_000, "week": 7 * 86_400_000_000,
 }
 
-# Every key with at least this many rows gets HOT_GRANULES granules per window.  A cluster can tune both
-# per session with the confs below.
-HOT_KEY_MIN_ROWS = 1_000_000
-HOT_GRANULES = 64
-CONF_MIN_ROWS = "spark.ledgerguard.hotKeys.minRows"
-CONF_GRANULES = "spark.ledgerguard.hotKeys.granules"
+# Rows that a granule is meant to hold, and the most granules of a window; a cluster can set the first per session.
+ROWS_PER_GRANULE = 4096
+MOST_GRANULES = 1024
+CONF_ROWS = "spark.ledgerguard.windows.rowsPerGranule"
 
 
-_UNSET = object()
-
-
-def _conf_int(df: DataFrame, key: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(key, str(default)))
-
 _SENTINEL_K = -(2 ** 63)
 
 
@@ -70,52 +61,42 @@ def epoch_micros(df: DataFrame, ts_col: str) -> Column:
     return F.unix_micros(F.col(ts_col))
 
 
-def _granule_count(W: int, granules: int) -> int:
-    """The largest m <= granules that divides W, so granule edges fall on window edges."""
-    m = max(1, min(granules, W))
-    while W % m:
-        m -= 1
-    return m
-
+def density(df: DataFrame, keys: list[str], ts_col: str, bucket: str) -> DataFrame:
+    """``keys``, ``peak``, ``bucket``: for every key the rows of its densest bucket of time, and the bucket's
+    microseconds.  One table serves every window over the same rows: a window of several buckets is taken to be as dense
+    all along.  It only decides how finely a key is cut, never a result."""
+    B = duration_micros(bucket)
+    t = epoch_micros(df, ts_col)
+    return (df.groupBy(*keys, F.floor(t / F.lit(B)).alias("_lg_b")).agg(F.count(F.lit(1)).alias("_lg_n"))
+              .groupBy(*keys).agg(F.max("_lg_n").alias("peak")).withColumn("bucket", F.lit(B).cast("bigint")))
 
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int | None = None) -> DataFrame:
-    """The heavy hitters of ``df`` by ``keys``: all keys with ``min_rows`` rows or more.
 
-    Counts combine map-side.  Compute the list once per input and pass it to every range window over
-    that input (``hot=``).  The default comes from the session conf ``spark.ledgerguard.hotKeys.minRows``
-    or the module constant."""
-    min_rows = min_rows if min_rows is not None else _conf_int(df, CONF_MIN_ROWS, HOT_KEY_MIN_ROWS)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lg_n")).filter(c("_lg_n") >= min_rows).select(*keys)
+def _granules(dense: DataFrame, keys: list[str], W: int, rows: int) -> DataFrame:
+    """``keys``, ``_lg_m`` of the keys that are cut into more than one granule; m divides W."""
+    most = min(W & -W, MOST_GRANULES)   # the largest power of two in W
+    need = c("peak") * F.ceil(F.lit(W) / c("bucket")) / F.lit(rows)
+    m = F.least(F.pow(F.lit(2.0), F.ceil(F.log2(need))), F.lit(float(most))).cast("bigint")
+    # keys are compared null-safe, so they get names of their own
+    return dense.filter(need > 1).select(*[c(k).alias(f"_lg_key_{k}") for k in keys], m.alias("_lg_m"))
 
 
-def _with_granules(df: DataFrame, keys: list[str], W: int, granules: int, hot_min_rows: int | None,
-                   hot: DataFrame | None) -> tuple[DataFrame, int]:
-    """Add ``_lg_m``: granules per window for the row's key (1 for every key that is not hot)."""
-    m = _granule_count(W, granules)
-    if m <= 1 or (hot is None and not hot_min_rows):
-        return df.withColumn("_lg_m", F.lit(1).cast("bigint")), 1
-    if hot is None:
-        hot = hot_keys(df, keys, hot_min_rows)
-    # broadcast by Spark if its measured size allows, else a skew-split join
-    tagged = hot.select(*keys, F.lit(m).cast("bigint").alias("_lg_m"))
-    out = (df.join(tagged, keys, "left")
-             .withColumn("_lg_m", F.coalesce(c("_lg_m"), F.lit(1).cast("bigint"))))
-    return out, m
+def _matched(keys: list[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & c(k).eqNullSafe(c(f"_lg_key_{k}"))
+    return cond
 
 
 def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, direction: str,
-              measures: list[tuple[str, Column, str]], *, granules: int | None = None,
-              hot_min_rows=_UNSET, hot: DataFrame | None = None) -> DataFrame:
+              measures: list[tuple[str, Column, str]], *, dense: DataFrame | None = None,
+              rows_per_granule: int | None = None) -> DataFrame:
     """``df`` plus one column per measure ``(name, value, 'sum' | 'max')``: the aggregate of ``value`` over
     the rows with the same ``keys`` whose time lies in ``[t - W, t]`` (trailing) or ``[t, t + W]`` (forward).
     Ties on time are peers and all included (RANGE semantics); sums of an empty frame are 0.
-    ``hot`` is a precomputed :func:`hot_keys` list; without it the list is computed here.
-    ``hot_min_rows=None`` turns the split off; unset values come from the session confs."""
+    ``dense`` is a :func:`density` table of the same rows (or of more); without it one is made here."""
     if direction not in ("trailing", "forward"):
         raise ValueError(direction)
-    granules = granules if granules is not None else _conf_int(df, CONF_GRANULES, HOT_GRANULES)
-    if hot_min_rows is _UNSET:
-        hot_min_rows = _conf_int(df, CONF_MIN_ROWS, HOT_KEY_MIN_ROWS)
+    rows_per_granule = rows_per_granule or int(df.sparkSession.conf.get(CONF_ROWS, str(ROWS_PER_GRANULE)))
     W = duration_micros(window)
     sign = 1 if direction == "trailing" else -1
     cols = df.columns
@@ -125,7 +106,14 @@ def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, directio
     for (name, _, how), v in zip(measures, vnames):
         probe = (F.sum(c(v)) + F.sum(c(v))) if how == "sum" else F.max(c(v))
         out_types[name] = base.select(probe.alias("x")).schema["x"].dataType
-    base, m = _with_granules(base, keys, W, granules, hot_min_rows, hot)
+    if dense is None:
+        dense = density(df, keys, ts_col, window)
+    # broadcast by Spark if its measured size allows, else a skew-split join; empty if no key is dense
+    cut = _granules(dense, keys, W, rows_per_granule)
+    drop = [f"_lg_key_{k}" for k in keys]
+    plain = base
+    base = (plain.join(cut, _matched(keys), "left").drop(*drop)
+            .withColumn("_lg_m", F.coalesce(c("_lg_m"), F.lit(1).cast("bigint"))))
 
     t = epoch_micros(base, ts_col)
     width = F.expr(f"CAST({W} AS BIGINT) div _lg_m")        # exact: m divides W
@@ -138,17 +126,16 @@ def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, directio
         *[c(x) if x in keep else F.when(own, c(x)).alias(x) for x in cols], *vnames, "_lg_own",
         F.when(own, b).otherwise(b + sign * c("_lg_m")).alias("_lg_b"),
         F.when(own, c("_lg_t")).otherwise(c("_lg_t") + F.lit(sign * W)).alias("_lg_k"))
-    if m > 1:
-        hot_rows = base.filter(c("_lg_m") > 1).select(*keys, "_lg_m", *vnames, t.alias("_lg_t"),
-                                                      width.alias("_lg_w"))
-        per = (hot_rows.groupBy(*keys, "_lg_m", b.alias("_lg_g"))
-                  .agg(*[(F.sum if how == "sum" else F.max)(v).alias(v)
-                         for (_, _, how), v in zip(measures, vnames)]))
-        g, mm = c("_lg_g"), c("_lg_m")
-        targets = F.sequence(g + 1, g + mm - 1) if sign == 1 else F.sequence(g - mm + 1, g - 1)
-        summaries = per.select(*keys, F.explode(targets).alias("_lg_b"), F.lit(2).alias("_lg_own"),
-                               F.lit(_SENTINEL_K).cast("bigint").alias("_lg_k"), *vnames)
-        rows = rows.unionByName(summaries, allowMissingColumns=True)
+    # an inner join: with no dense key Spark finds it empty and reads nothing for it
+    dense_rows = plain.join(cut, _matched(keys)).drop(*drop).select(*keys, "_lg_m", *vnames, t.alias("_lg_t"), width.alias("_lg_w"))
+    per = (dense_rows.groupBy(*keys, "_lg_m", b.alias("_lg_g"))
+              .agg(*[(F.sum if how == "sum" else F.max)(v).alias(v)
+                     for (_, _, how), v in zip(measures, vnames)]))
+    g, mm = c("_lg_g"), c("_lg_m")
+    targets = F.sequence(g + 1, g + mm - 1) if sign == 1 else F.sequence(g - mm + 1, g - 1)
+    summaries = per.select(*keys, F.explode(targets).alias("_lg_b"), F.lit(2).alias("_lg_own"),
+                           F.lit(_SENTINEL_K).cast("bigint").alias("_lg_k"), *vnames)
+    rows = rows.unionByName(summaries, allowMissingColumns=True)
 
     w = Window.partitionBy(*keys, "_lg_b").orderBy("_lg_k")
     upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -159,9 +146,8 @@ def _windowed(df: DataFrame, keys: list[str], ts_col: str, window: str, directio
     results = []
     for (name, _, how), v in zip(measures, vnames):
         agg = F.sum if how == "sum" else F.max
-        parts = [agg(F.when(is_own, c(v))).over(own_frame), agg(F.when(is_carry, c(v))).over(carry_frame)]
-        if m > 1:
-            parts.append(agg(F.when(is_summary, c(v))).over(whole))
+        parts = [agg(F.when(is_own, c(v))).over(own_frame), agg(F.when(is_carry, c(v))).over(carry_frame),
+                 agg(F.when(is_summary, c(v))).over(whole)]
         if how == "sum":
             expr = F.coalesce(parts[0], F.lit(0))
             for p in parts[1:]:

@@ -80,21 +80,20 @@ class RiskContext:
         return self.bank.policy_docs
 
     @property
-    def hot_accounts(self) -> DataFrame:
-        """Heavy-hitter accounts of the transactions (a bounded top list), stored once per context and
-        shared by every range window over the transactions (velocity, bursts, pass-through, rolling
-        structuring)."""
-        return self.stored("derived_hot_accounts")
+    def account_density(self) -> DataFrame:
+        """Each account's rows in its densest velocity window, stored once per context and shared by every
+        range window over the transactions (velocity, bursts, pass-through, rolling structuring)."""
+        return self.stored("derived_account_density")
 
     @cached_property
-    def derived_hot_accounts(self) -> DataFrame:
-        from ledgerguard.operators.timewin import hot_keys
-        return hot_keys(self.bank.transactions, ["account_id"])
+    def derived_account_density(self) -> DataFrame:
+        from ledgerguard.operators.timewin import density
+        return density(self.bank.transactions, ["account_id"], "txn_ts", self.velocity_window)
 
     # ---- derived tables as lazy plans (what the detection operators compute) ----------
     @cached_property
     def derived_transactions(self) -> DataFrame:
-        return classify_fraud(self.bank.transactions, velocity_window=self.velocity_window, hot=self.hot_accounts)
+        return classify_fraud(self.bank.transactions, velocity_window=self.velocity_window, dense=self.account_density)
 
     @cached_property
     def derived_credit_exposures(self) -> DataFrame:

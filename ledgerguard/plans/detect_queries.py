@@ -5,42 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerguard.functions import constants as K
 from ledgerguard.functions.rules import score_band
-from ledgerguard.operators.fraud import classify_fraud, detect_velocity
+from ledgerguard.operators.fraud import (classify_fraud, detect_cross_border, detect_round_number, detect_structuring,
+                                         detect_velocity)
+from ledgerguard.operators.timewin import trailing_count
 
 c = F.col
 
 
 def velocity(ctx) -> DataFrame:
     """O-D1 / O-W3: trailing-window count for every transaction."""
-    v = detect_velocity(ctx.bank.transactions, window=ctx.velocity_window, hot=ctx.hot_accounts)
+    v = detect_velocity(ctx.bank.transactions, window=ctx.velocity_window, dense=ctx.account_density)
     return v.select("txn_id", "account_id", "txn_ts", "velocity_count", "is_velocity")
 
 
 def velocity_burst(ctx) -> DataFrame:
     """O-D1 with mark_burst: every member of a qualifying window."""
-    v = detect_velocity(ctx.bank.transactions, window=ctx.velocity_window, mark_burst=True, hot=ctx.hot_accounts)
+    v = detect_velocity(ctx.bank.transactions, window=ctx.velocity_window, mark_burst=True, dense=ctx.account_density)
     return v.select("txn_id", "account_id", "velocity_count", "is_velocity", "is_velocity_burst")
 
 
-def _rule_hits(ctx, col: str) -> DataFrame:
-    t = ctx.derived_transactions
-    return t.filter(c(col)).select("txn_id", "account_id", "amount", "country_code", c(col).alias("hit"))
+def velocity_dense(ctx) -> DataFrame:
+    """O-W3 with granules of two rows: every account with more in a window is cut, the counts are the same."""
+    v = trailing_count(ctx.bank.transactions, ["account_id"], "txn_ts", ctx.velocity_window, "velocity_count",
+                       dense=ctx.account_density, rows_per_granule=2)
+    return v.select("txn_id", "account_id", "txn_ts", "velocity_count")
+
+
+def velocity_hour(ctx, n: int = 3) -> DataFrame:
+    """O-D1 by the documented window of one hour, with the least count that the fixture reaches."""
+    v = detect_velocity(ctx.bank.transactions, n=n, window=K.VELOCITY_WINDOW, dense=ctx.account_density)
+    return v.filter("is_velocity").select("txn_id", "account_id", "txn_ts", "velocity_count")
+
+
+def _rule_hits(detected: DataFrame, col: str) -> DataFrame:
+    """A single row rule on the scan: its filter reaches the source's own columns, no window is computed."""
+    return detected.filter(c(col)).select("txn_id", "account_id", "amount", "country_code", c(col).alias("hit"))
 
 
 def structuring(ctx) -> DataFrame:
     """O-D2 / O-P2."""
-    return _rule_hits(ctx, "is_structuring")
+    return _rule_hits(detect_structuring(ctx.bank.transactions), "is_structuring")
 
 
 def cross_border(ctx) -> DataFrame:
     """O-D3 / O-P3."""
-    return _rule_hits(ctx, "high_risk_country")
+    return _rule_hits(detect_cross_border(ctx.bank.transactions), "high_risk_country")
 
 
 def round_number(ctx) -> DataFrame:
     """O-D4."""
-    return _rule_hits(ctx, "is_round_number")
+    return _rule_hits(detect_round_number(ctx.bank.transactions), "is_round_number")
 
 
 def classify(ctx) -> DataFrame:
@@ -125,7 +141,8 @@ def score_bands(ctx) -> DataFrame:
 
 
 ENTRIES = {
-    "velocity": velocity, "velocity_burst": velocity_burst, "structuring": structuring,
+    "velocity": velocity, "velocity_dense": velocity_dense, "velocity_hour": velocity_hour,
+    "velocity_burst": velocity_burst, "structuring": structuring,
     "cross_border": cross_border, "round_number": round_number, "classify_fraud": classify,
     "classify_summary": classify_summary, "fraud_flags": fraud_flags, "credit_derive": credit_derive,
     "credit_flags": credit_flags, "liquidity_ratios": liquidity_ratios, "liquidity_flags": liquidity_flags,

@@ -182,11 +182,11 @@ def x8(ctx):
 
 
 def x9(ctx):
-    return X.pass_through(ctx.transactions, hot=ctx.hot_accounts)
+    return X.pass_through(ctx.transactions, dense=ctx.account_density)
 
 
 def x10(ctx):
-    return X.rolling_structuring(ctx.transactions, hot=ctx.hot_accounts)
+    return X.rolling_structuring(ctx.transactions, dense=ctx.account_density)
 
 
 def x11(ctx):

@@ -99,6 +99,12 @@ register("velocity", """
 SELECT txn_id, account_id, txn_ts, velocity_count, velocity_count >= 5 AS is_velocity
 FROM tx_rules""", "tx_rules")
 
+register("velocity_dense", "SELECT txn_id, account_id, txn_ts, velocity_count FROM tx_rules", "tx_rules")
+register("velocity_hour", """
+SELECT txn_id, account_id, txn_ts, velocity_count FROM (
+  SELECT *, COUNT(*) OVER (PARTITION BY account_id ORDER BY txn_ts
+      RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS velocity_count FROM tx_raw)
+WHERE velocity_count >= 3""", "tx_raw")
 register("velocity_burst", """
 SELECT txn_id, account_id, velocity_count, velocity_count >= 5 AS is_velocity,
   MAX(velocity_count) OVER (PARTITION BY account_id ORDER BY txn_ts

@@ -144,28 +144,42 @@ def test_agent_messages_are_one_row_per_turn(spark):
     assert agent_responses(ctx).count() == conv.count()
 
 
-def test_hot_key_granules_match_brute_force(spark):
-    """Hot keys split into granules (all keys hot / one hot key among cold ones / granule count that
-    does not divide the window) give the same trailing counts, sums and forward maxima."""
-    from ledgerguard.operators.timewin import forward_max
+def test_granules_match_brute_force(spark):
+    """Keys cut by their density (all of them, the dense ones among others, with a density table of other buckets, a
+    null key) give the same trailing counts, sums and forward maxima."""
+    from ledgerguard.operators.timewin import density, forward_max
     data = _random_rows(n=500, keys=3, seed=5)
     data += [(1000 + i, 7, dt.datetime(2024, 1, 2) + dt.timedelta(seconds=37 * i), i % 5) for i in range(300)]
+    data += [(2000 + i, None, dt.datetime(2024, 1, 2) + dt.timedelta(seconds=60 * (i // 3)), i % 5) for i in range(60)]
     df = spark.createDataFrame(data, "id long, k long, ts timestamp_ntz, v long")
     w = dt.timedelta(hours=6)
-    given = spark.createDataFrame([(7,), (1,)], "k long")          # a precomputed list (any keys are exact)
-    for split in ({"hot_min_rows": 1, "granules": 4}, {"hot_min_rows": 250, "granules": 64},
-                  {"hot_min_rows": 1, "granules": 7}, {"hot": given, "granules": 16}):
+    given = density(df, ["k"], "ts", "1 hour")
+    want = {}
+    for i, k, t, v in data:
+        same = [(t2, v2) for _, k2, t2, v2 in data if k2 == k]
+        back = [v2 for t2, v2 in same if t - w <= t2 <= t]
+        fwd = [v2 for t2, v2 in same if t <= t2 <= t + w]
+        want[i] = (len(back), sum(back), len(fwd), sum(fwd), max(fwd))
+    for split in ({"rows_per_granule": 1}, {"rows_per_granule": 100}, {"dense": given, "rows_per_granule": 20}, {}):
         tc = {r.id: (r.c, r.s) for r in trailing_count(df, ["k"], "ts", "6 hours", "c", "v", "s", **split).collect()}
         fw = {r.id: (r.n, r.s) for r in range_sums(df, ["k"], "ts", "6 hours", {"n": F.lit(1), "s": F.col("v")},
                                                     "forward", **split).collect()}
         fm = {r.id: r.mx for r in forward_max(df, ["k"], "ts", "6 hours", "v", "mx", **split).collect()}
-        for i, k, t, v in data:
-            same = [(t2, v2) for _, k2, t2, v2 in data if k2 == k]
-            back = [v2 for t2, v2 in same if t - w <= t2 <= t]
-            fwd = [v2 for t2, v2 in same if t <= t2 <= t + w]
-            assert tc[i] == (len(back), sum(back)), (split, i)
-            assert fw[i] == (len(fwd), sum(fwd)), (split, i)
-            assert fm[i] == max(fwd), (split, i)
+        assert {i: (*tc[i], *fw[i], fm[i]) for i in tc} == want, split
+
+
+def test_density_decides_the_granules(spark):
+    """A dense key is cut, a long one with few rows a window is not."""
+    from ledgerguard.operators.timewin import _granules, density, duration_micros
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1, start + dt.timedelta(seconds=i)) for i in range(2000)]          # 2,000 rows in one hour
+    rows += [(2, start + dt.timedelta(hours=i)) for i in range(5000)]           # more rows, one an hour
+    df = spark.createDataFrame(rows, "k long, ts timestamp_ntz")
+    d = density(df, ["k"], "ts", "1 hour")
+    assert {r.k: r.peak for r in d.collect()} == {1: 2000, 2: 1}
+    cut = lambda window: {r._lg_key_k: r._lg_m for r in _granules(d, ["k"], duration_micros(window), 100).collect()}
+    assert cut("1 hour") == {1: 32}
+    assert cut("21 days") == {1: 1024, 2: 8}
 
 
 def test_bm25_pruning_is_exact(spark):
