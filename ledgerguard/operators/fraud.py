@@ -142,11 +142,16 @@ def fraud_flag_id(txn_id: Column) -> Column:
 
 def build_fraud_flags(classified: DataFrame, accounts: DataFrame, as_of: str = "2024-01-31 00:00:00") -> DataFrame:
     """O-D9: one FRAUD flag per flagged transaction, enriched with the account's customer."""
+    return conform(timed_fraud_flags(classified, accounts, as_of), RISK_FLAGS_SCHEMA)
+
+
+def timed_fraud_flags(classified: DataFrame, accounts: DataFrame, as_of: str = "2024-01-31 00:00:00") -> DataFrame:
+    """The fraud flags with their transaction's time (``txn_ts``), for sinks that are partitioned by it."""
     acc = accounts.select("account_id", "customer_id")
     t = classified.filter(F.col("is_flagged"))
     j = t.join(acc, "account_id", "inner")
     now = ts_lit(as_of)
-    out = j.select(
+    return j.select(
         fraud_flag_id(F.col("txn_id")).alias("flag_id"),
         F.lit("FRAUD").alias("flag_domain"),
         F.col("fraud_pattern").alias("flag_type"),
@@ -160,6 +165,5 @@ def build_fraud_flags(classified: DataFrame, accounts: DataFrame, as_of: str = "
         rationale(F.col("fraud_pattern")).alias("threshold_rationale"),
         fraud_payload().alias("evidence_payload"),
         "flag_score",
-        now.alias("created_at"), now.alias("updated_at"),
+        now.alias("created_at"), now.alias("updated_at"), "txn_ts",
     )
-    return conform(out, RISK_FLAGS_SCHEMA)

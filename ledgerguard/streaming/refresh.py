@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerguard.functions import constants as K
-from ledgerguard.operators.fraud import (_pick_score, build_fraud_flags, default_score_seed,
-                                         detect_cross_border, detect_round_number, detect_structuring)
+from ledgerguard.operators.fraud import (_pick_score, default_score_seed,
+                                         detect_cross_border, detect_round_number, detect_structuring,
+                                         timed_fraud_flags)
 from ledgerguard.operators.timewin import duration_micros, trailing_count
 from ledgerguard.session import checkpoint_dir, ts_lit
 from ledgerguard.sources.adapters import adapter_sql
@@ -93,20 +94,27 @@ def classify_rows(txns: DataFrame, n: int = K.VELOCITY_MIN_TXNS) -> DataFrame:
                            .when(F.col("is_flagged"), "PENDING")))
 
 
-def existing_flags(spark: SparkSession, sink: str) -> DataFrame:
+SINK_SCHEMA = T.StructType([*RISK_FLAGS_SCHEMA.fields, T.StructField("txn_date", T.DateType())])
+
+
+def existing_flags(spark: SparkSession, sink: str, lo=None, hi=None) -> DataFrame:
+    """The sink's flags; with time bounds only those of transactions on the days between (partitions pruned)."""
     if not path_exists(spark, sink):    # first run
         return spark.createDataFrame([], RISK_FLAGS_SCHEMA)
-    return spark.read.schema(RISK_FLAGS_SCHEMA).parquet(sink)
+    flags = spark.read.schema(SINK_SCHEMA).parquet(sink)
+    if lo is not None:
+        flags = flags.filter(F.col("txn_date").between(F.lit(lo.date()), F.lit(hi.date())))
+    return flags.drop("txn_date")
 
 
-def append_new_flags(flags: DataFrame, sink: str) -> int:
-    """O-ST2 + O-S6: append only flags whose txn_id is not in the sink yet (idempotent)."""
-    spark = flags.sparkSession
-    have = existing_flags(spark, sink).select("txn_id").filter(F.col("txn_id").isNotNull())
-    new = flags.join(have, "txn_id", "left_anti")
-    new = conform(new, RISK_FLAGS_SCHEMA)
-    new.write.mode("append").parquet(sink)
-    return 0
+def append_new_flags(flags: DataFrame, sink: str, lo, hi) -> None:
+    """O-ST2 + O-S6: append only flags whose txn_id is not in the sink yet (idempotent).  ``lo``/``hi`` bound the
+    transactions' times, so that of the sink only their days are read.  The flags are gathered by day before they
+    are written, a large day in several files."""
+    have = existing_flags(flags.sparkSession, sink, lo, hi).select("txn_id").filter(F.col("txn_id").isNotNull())
+    new = flags.withColumn("txn_date", F.to_date("txn_ts")).join(have, "txn_id", "left_anti")
+    new = conform(new, SINK_SCHEMA)
+    new.hint("rebalance", "txn_date").write.mode("append").partitionBy("txn_date").parquet(sink)
 
 
 # ---- velocity of a micro-batch from the stream's own history -----------------------------
@@ -144,7 +152,8 @@ def record_history(batch: DataFrame, history: str, lo, hi) -> None:
     spark = batch.sparkSession
     have = read_history(spark, history, lo, hi).select("txn_id")
     rows = batch.select("account_id", "txn_ts", "txn_id", F.to_date("txn_ts").alias("txn_date"))
-    rows.join(have, "txn_id", "left_anti").write.mode("append").partitionBy("txn_date").parquet(history)
+    new = rows.join(have, "txn_id", "left_anti")
+    new.hint("rebalance", "txn_date").write.mode("append").partitionBy("txn_date").parquet(history)
 
 
 def start_flag_refresh(spark: SparkSession, source: str, accounts: DataFrame, sink: str, checkpoint: str,
@@ -169,7 +178,7 @@ def start_flag_refresh(spark: SparkSession, source: str, accounts: DataFrame, si
             if lo is None:
                 return
             classified = classify_rows(batch_velocity(b, history, velocity_window, lo, hi))
-            append_new_flags(build_fraud_flags(classified, accounts_snapshot, as_of), sink)
+            append_new_flags(timed_fraud_flags(classified, accounts_snapshot, as_of), sink, lo, hi)
             record_history(b, history, lo, hi)
         finally:
             b.unpersist()

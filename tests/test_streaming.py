@@ -176,3 +176,21 @@ def test_history_read_is_partition_pruned(spark):
     assert "PartitionFilters: [isnotnull(txn_date" in buf.getvalue() and "2024-01-10" in buf.getvalue()
     want = t.filter((F.col("txn_ts") >= "2024-01-10") & (F.col("txn_ts") <= "2024-01-11 12:00:00")).count()
     assert h.count() == want > 0
+
+
+def test_sink_reads_are_partition_pruned(spark):
+    """A micro-batch reads only the days of its transactions from the flags written so far, and writes few files a day."""
+    import contextlib
+    import datetime as dt
+    import io
+    ctx = RiskContext(spark, SF001)
+    sink = ST.run_flag_refresh(spark, f"{SF001}/event[s].parquet", ctx.accounts, velocity_window="24 hours")
+    some = ST.existing_flags(spark, sink, dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 11))
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        some.explain("formatted")
+    assert "PartitionFilters: [isnotnull(txn_date" in buf.getvalue() and "2024-01-10" in buf.getvalue()
+    days = ctx.transactions.filter("is_flagged").select("txn_id", F.to_date("txn_ts").alias("d")).filter("d BETWEEN '2024-01-10' AND '2024-01-11'")
+    assert some.count() == days.count() > 0
+    files = spark.read.parquet(sink).select("txn_date", "_metadata.file_path").groupBy("txn_date").agg(F.countDistinct("file_path").alias("n"))
+    assert files.agg(F.max("n")).first()[0] == 1
