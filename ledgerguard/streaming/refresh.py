@@ -55,6 +55,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def transactions_stream(spark: SparkSession, source: str, max_files_per_trigger: int | None = None,
                         max_bytes_per_trigger: str | None = None) -> DataFrame:
     """Streaming bank view of the raw event files (same projection as the batch view).
@@ -172,16 +177,16 @@ def start_flag_refresh(spark: SparkSession, source: str, accounts: DataFrame, si
     accounts_snapshot = accounts.select("account_id", "customer_id")
 
     def process(batch: DataFrame, epoch_id: int):
-        b = batch.persist()
-        try:
-            lo, hi = b.agg(F.min("txn_ts"), F.max("txn_ts")).first()    # two scalars
-            if lo is None:
-                return
+        # the batch is written once and read by the caller's session: adaptive execution is off in a stream's own
+        staged = f"{sink.rstrip('/')}-staged-{epoch_id}"
+        batch.write.mode("overwrite").parquet(staged)
+        b = spark.read.schema(batch.schema).parquet(staged)
+        lo, hi = b.agg(F.min("txn_ts"), F.max("txn_ts")).first()    # two scalars
+        if lo is not None:
             classified = classify_rows(batch_velocity(b, history, velocity_window, lo, hi))
             append_new_flags(timed_fraud_flags(classified, accounts_snapshot, as_of), sink, lo, hi)
             record_history(b, history, lo, hi)
-        finally:
-            b.unpersist()
+        remove_path(spark, staged)
 
     writer = txns.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"processingTime": "15 minutes"}))
