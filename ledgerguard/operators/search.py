@@ -4,7 +4,9 @@ The reference delegates ranking to a managed search service; here it is
 rebuilt as Spark jobs:
 
 * an inverted index of whole documents (tokenize, explode, group by (doc, term));
-* BM25 as a join of query terms with postings, summed per (query, doc);
+* per term and range of documents the document count and the largest impact, written with the index;
+* BM25 as a join of query terms with the postings of the ranges that can reach a query's k-th score, summed per
+  (query, doc);
 * cosine similarity over embedding arrays with higher-order functions;
 * top-k per query in two exact stages: top-k inside (query, hash bucket of
   the candidate), then top-k over the survivors.  A single query never sends
@@ -13,12 +15,17 @@ rebuilt as Spark jobs:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ledgerguard.session import cut_lineage
+
 c = F.col
 TOKEN_SPLIT = "[^a-z0-9]+"
 K1, B = 1.2, 0.75
+RANGE_DOCS = 1024    # document ids of one range of the index
 
 
 def tokenize(text: Column) -> Column:
@@ -30,21 +37,22 @@ def tokenize(text: Column) -> Column:
 _RUN = r"(\b[a-z0-9]+)(?: \1\b)*"
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", first: bool = False) -> DataFrame:
     """O-R1: postings (doc_id, term, tf, doc_len) over the whole text of every document.
 
     A document is one row, so its term frequencies are counted inside the row: the tokens are
     sorted and space-joined, each run of one repeated token is extracted by a regular expression,
     and the run's length gives the frequency.  Built-in expressions only; the index is a map-only
-    job with no shuffle of the (large) posting list."""
+    job with no shuffle of the (large) posting list.  ``first`` adds a mark of each document's first row."""
     s = F.array_sort(tokenize(c(text_col)))
     runs = (docs.select(c(id_col).alias("doc_id"), s.alias("_lg_s"))
                 .select("doc_id", F.size("_lg_s").alias("doc_len"),
-                        F.explode(F.regexp_extract_all(F.array_join("_lg_s", " "), F.lit(_RUN), 0)).alias("_lg_run")))
+                        F.posexplode(F.regexp_extract_all(F.array_join("_lg_s", " "), F.lit(_RUN), 0)).alias("_lg_at", "_lg_run")))
     term = F.substring_index(c("_lg_run"), " ", 1)
     # a run is the term repeated tf times with single spaces: length + 1 = tf * (len(term) + 1)
     tf = F.expr("(length(_lg_run) + 1) div (length(substring_index(_lg_run, ' ', 1)) + 1)")
-    return runs.select("doc_id", term.alias("term"), tf.cast("bigint").alias("tf"), "doc_len")
+    mark = [(c("_lg_at") == 0).alias("first")] if first else []
+    return runs.select("doc_id", term.alias("term"), tf.cast("bigint").alias("tf"), "doc_len", *mark)
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], score_col: str, tie_col: str, k: int,
@@ -60,61 +68,72 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], score_col: str, tie_co
                   .filter(c("rank") <= k))
 
 
-def bm25(postings: DataFrame, queries: DataFrame, k: int = 10, docs: DataFrame | None = None,
-         k1: float = K1, b: float = B, rare_fraction: float = 0.2) -> DataFrame:
+class SearchIndex(NamedTuple):
+    """A stored index.  ``postings``: doc_id, term, tf, doc_len, doc_range; ``blocks``: for each term and range of
+    documents the number of documents (``n``) and the largest impact, the part of a score that the term's weight is
+    multiplied by; ``n_docs``, ``total_len``: the corpus."""
+    postings: DataFrame
+    blocks: DataFrame
+    n_docs: int
+    total_len: int
+
+
+def write_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", range_docs: int = RANGE_DOCS) -> SearchIndex:
+    """O-R1: writes the postings, and from them the blocks.  The corpus figures are observed while the postings
+    are written, so that the texts are read once.  Documents are put in ranges of ``range_docs`` ids."""
+    seen = Observation()
+    p = (build_index(docs, id_col, text_col, first=True)
+         .observe(seen, F.count_if(c("first")).alias("n_docs"), F.coalesce(F.sum("tf"), F.lit(0)).alias("total_len"))
+         .select("doc_id", "term", "tf", "doc_len", F.floor(c("doc_id") / range_docs).alias("doc_range")))
+    postings = cut_lineage(p)
+    n_docs, total_len = seen.get["n_docs"], seen.get["total_len"]
+    blocks = postings.groupBy("term", "doc_range").agg(
+        F.count(F.lit(1)).alias("n"), F.max(_impact(total_len / max(n_docs, 1))).alias("impact"))
+    return SearchIndex(postings, cut_lineage(blocks), n_docs, total_len)
+
+
+def _impact(avg_len: float) -> Column:
+    return c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("doc_len") / F.lit(avg_len)))
+
+
+def bm25(index: SearchIndex, queries: DataFrame, k: int = 10, docs: DataFrame | None = None, probe: int = 4) -> DataFrame:
     """O-R2 / O-R4: BM25 top-k per query.  ``queries`` = (query_id, text); ``docs`` optionally
     restricts candidates (attribute filters) by doc_id.
 
-    Exact top-k with pruning (MaxScore-style), so common terms never pair every query with every
-    document that contains them:
-
-    * candidates of a query = documents holding one of its *rare* terms (document frequency at most
-      ``rare_fraction`` of the corpus); their full scores come from a (doc, term)
-      lookup of every query term - work bounded by candidates x query terms;
-    * a document outside the candidates holds only common terms, so its score is at most the sum of
-      those terms' maximum impacts (one aggregation per term);
-    * a query keeps its pruned top-k when that bound, rounded like the scores, lies below its k-th
-      score (or it has no common terms).  Every other query is scored in full (the exact fallback).
-
-    The path is the same for every corpus size, and exact for every ``rare_fraction``."""
-    stats = (postings.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
-                     .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len")))
-    qterms = (queries.select("query_id", F.explode(F.array_distinct(tokenize(c("text")))).alias("term")))
-    # document frequencies are only needed for the query vocabulary: filter the postings to it first
-    # (a broadcast semi join when the vocabulary is small, decided by AQE from its runtime size)
-    postings = postings.join(qterms.select("term").distinct(), "term", "left_semi")
-    df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    one = stats.select(F.struct("n_docs", "avg_len")).scalar()      # one row, a scalar subquery
-    idf = (df_t.select("term", "df", one["n_docs"].alias("n_docs"), one["avg_len"].alias("avg_len"))
-               .select("term", "df", "n_docs", "avg_len",
-                       F.ln(F.lit(1.0) + (c("n_docs") - c("df") + 0.5) / (c("df") + 0.5)).alias("idf")))
-    p = postings if docs is None else postings.join(docs.select("doc_id"), "doc_id", "left_semi")
-    part = c("idf") * c("tf") * (k1 + 1) / (c("tf") + k1 * (1 - b + b * c("doc_len") / c("avg_len")))
-
-    def full(qt: DataFrame) -> DataFrame:
-        hits = qt.join(p, "term").join(idf.select("term", "idf", "avg_len"), "term")
-        scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 5).alias("score"))
-        return top_k_per_group(scored, ["query_id"], "score", "doc_id", k)
-
-    rare = c("df") <= c("n_docs") * F.lit(rare_fraction)
-    qt = qterms.join(idf, "term").select("query_id", "term", "idf", "avg_len", rare.alias("rare"))
-    cand = (qt.filter(c("rare")).select("query_id", "term").join(p.select("term", "doc_id"), "term")
-              .select("query_id", "doc_id").distinct())
-    looked_up = (cand.join(qt.select("query_id", "term", "idf", "avg_len"), "query_id")
-                     .join(p.select("doc_id", "term", "tf", "doc_len"), ["doc_id", "term"]))
-    top = top_k_per_group(looked_up.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 5).alias("score")),
-                          ["query_id"], "score", "doc_id", k)
-    impact = (p.join(qt.filter(~c("rare")).select("term", "idf", "avg_len").distinct(), "term")
-               .groupBy("term").agg(F.max(part).alias("max_impact")))
-    bound = (qt.filter(~c("rare")).select("query_id", "term").join(impact, "term")
-               .groupBy("query_id").agg(F.sum("max_impact").alias("ub")))
-    kth = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
-    verdict = qterms.select("query_id").distinct().join(kth, "query_id", "left").join(bound, "query_id", "left")
-    # 1e-9 absorbs summation-order differences; ties on the rounded k-th score go to the fallback
-    settled = verdict.filter(c("ub").isNull() | ((c("n") >= k) & (F.round(c("ub") + 1e-9, 5) < c("kth")))) \
-                     .select("query_id")
-    return (top.join(settled, "query_id", "left_semi")
-               .unionByName(full(qterms.join(settled, "query_id", "left_anti"))))
+    Exact, with two reads of the postings however many documents match:
+
+    * a range of documents can score at most the sum of its blocks' impacts, each times its term's weight;
+    * each query's ``probe`` best ranges by that bound are scored in full, which gives a k-th score to beat;
+    * of the other ranges those whose bound, rounded like the scores, reaches it are scored too (all of them, where
+      the probed ones held fewer than k documents).
+
+    The path is the same for every corpus size, and exact for every ``probe``."""
+    avg_len = index.total_len / max(index.n_docs, 1)
+    # small tables are written before they are joined, so that Spark knows their size and broadcasts them if it may
+    qterms = cut_lineage(queries.select("query_id", F.explode(F.array_distinct(tokenize(c("text")))).alias("term")))
+    hits = cut_lineage(index.blocks.join(qterms, "term"))
+    df = c("df")
+    weights = (hits.groupBy("query_id", "term").agg(F.sum("n").alias("df"))
+               .select("query_id", "term", F.ln(F.lit(1.0) + (F.lit(index.n_docs) - df + 0.5) / (df + 0.5)).alias("idf")))
+    asked = hits.join(weights, ["query_id", "term"]).select("query_id", "term", "doc_range", "idf", "impact")
+    reach = asked.groupBy("query_id", "doc_range").agg(F.sum(c("idf") * c("impact")).alias("bound"))
+    postings = index.postings if docs is None else index.postings.join(docs.select("doc_id"), "doc_id", "left_semi")
+    part = c("idf") * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("doc_len") / F.lit(avg_len)))
+
+    def scored(ranges: DataFrame) -> DataFrame:
+        wanted = cut_lineage(asked.join(ranges, ["query_id", "doc_range"]).select("query_id", "term", "doc_range", "idf"))
+        scores = (postings.join(wanted, ["term", "doc_range"]).groupBy("query_id", "doc_id")
+                  .agg(F.round(F.sum(part), 5).alias("score")))
+        return top_k_per_group(scores, ["query_id"], "score", "doc_id", k)
+
+    probes = top_k_per_group(reach, ["query_id"], "bound", "doc_range", probe).select("query_id", "doc_range")
+    probed = cut_lineage(scored(probes))
+    kth = probed.filter(c("rank") == k).select(c("query_id").alias("_q"), c("score").alias("_kth"))
+    # 1e-9 absorbs summation-order differences; a bound equal to the k-th score may hold a tie
+    others = (reach.join(probes, ["query_id", "doc_range"], "left_anti").join(kth, c("query_id") == c("_q"), "left")
+              .filter(c("_kth").isNull() | (F.round(c("bound") + 1e-9, 5) >= c("_kth"))).select("query_id", "doc_range"))
+    both = probed.drop("rank").unionByName(scored(others).drop("rank"))
+    return top_k_per_group(both, ["query_id"], "score", "doc_id", k)
 
 
 def _dot(a: Column, b: Column) -> Column:

@@ -152,6 +152,12 @@ class RiskContext:
     def risk_flags(self) -> DataFrame:
         return self._table("risk_flags")
 
+    @cached_property
+    def search_index(self):
+        """The stored index over the policy documents: postings, blocks and corpus figures."""
+        from ledgerguard.operators.search import write_index
+        return write_index(self.policy_docs)
+
     @property
     def postings(self) -> DataFrame:
-        return self._table("postings")
+        return self.search_index.postings if self.materialize else self.derived_postings

@@ -46,19 +46,19 @@ def index_stats(ctx):
 
 def bm25_top_k(ctx):
     """O-R2 / O-R4: eight questions x all documents, top 10 each."""
-    return R.bm25(_postings(ctx), _questions(ctx), k=10)
+    return R.bm25(ctx.search_index, _questions(ctx), k=10)
 
 
 def bm25_filtered(ctx):
     """O-R2 with attribute filters: regulations and internal policies only."""
     docs = ctx.policy_docs.filter(c("doc_type").isin("REGULATION", "INTERNAL_POLICY"))
-    return R.bm25(_postings(ctx), _questions(ctx), k=5, docs=docs)
+    return R.bm25(ctx.search_index, _questions(ctx), k=5, docs=docs)
 
 
 def bm25_benchmark(ctx):
     """Every benchmark passage (whole text) as a query: where does it occur?"""
     qs = ctx.bank.raw("benchmark").select(c("item_id").alias("query_id"), "text")
-    return R.bm25(_postings(ctx), qs, k=3)
+    return R.bm25(ctx.search_index, qs, k=3)
 
 
 def vector_top_k(ctx):

@@ -61,7 +61,7 @@ def test_index_bm25_and_pairs(spark):
     assert sorted((r.doc_id, r.term, r.tf, r.doc_len) for r in post.filter("doc_id = 2").collect()) == [
         (2, "cash", 2, 4), (2, "deposits", 1, 4), (2, "structuring", 1, 4)]
     q = spark.createDataFrame([(0, "cash LCR")], "query_id long, text string")
-    res = R.bm25(post, q, k=5).collect()
+    res = R.bm25(R.write_index(docs), q, k=5).collect()
     assert {r.doc_id for r in res} == {1, 2}
     conv = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q1"), (1, 2, "assistant", "a1"),
                                   (1, 3, "user", "q2"), (1, 4, "user", "q3"), (1, 5, "assistant", "a3")],
@@ -182,20 +182,72 @@ def test_density_decides_the_granules(spark):
     assert cut("21 days") == {1: 1024, 2: 8}
 
 
-def test_bm25_pruning_is_exact(spark):
-    """Pruned top-k (rare-term candidates + common-term bound + full fallback) equals full scoring on
-    the driver texts, with passages and questions as queries, at several rare-term thresholds."""
+def brute_bm25(texts, queries, k, allowed=None):
+    """(query_id, doc_id, score, rank) by scoring every document."""
+    import collections
+    import math
+    import re
+    toks = lambda t: [x for x in re.split("[^a-z0-9]+", t.lower()) if x]
+    docs = {i: t for i, t in ((i, toks(t)) for i, t in texts) if t}
+    avg = sum(map(len, docs.values())) / len(docs)
+    tfs = {i: collections.Counter(t) for i, t in docs.items()}
+    df = collections.Counter(x for t in tfs.values() for x in t)
+    out = []
+    for q, text in queries:
+        scores = []
+        for i, tf in tfs.items():
+            hits = [x for x in set(toks(text)) if x in tf]
+            if hits and (allowed is None or i in allowed):
+                scores.append((-round(sum(math.log(1 + (len(docs) - df[x] + .5) / (df[x] + .5)) * tf[x] * 2.2
+                                          / (tf[x] + 1.2 * (.25 + .75 * len(docs[i]) / avg)) for x in hits), 4), i))
+        out += [(q, -s, r) for r, (s, _) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+def test_bm25_is_exact_however_it_is_pruned(spark):
+    """Passages and questions as queries against scoring every document, with ranges of several sizes and more or fewer
+    of them probed, with and without a filter of the documents."""
     from ledgerguard.plans.search_queries import QUESTIONS
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.col("text")
-                                                                                  .alias("content"))
-    post = R.build_index(docs).cache()
-    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(
-        F.col("item_id").alias("query_id"), "text")
-    qs = bench.unionByName(spark.createDataFrame([(10_000 + i, q) for i, q in enumerate(QUESTIONS)],
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.col("text").alias("content"))
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    qs = bench.unionByName(spark.createDataFrame([(10_000 + i, q) for i, q in enumerate(QUESTIONS)] + [(20_000, "zzz qqq"), (20_001, "")],
                                                  "query_id long, text string"))
-    want = sorted(tuple(r) for r in R.bm25(post, qs, k=5, rare_fraction=1.0).collect())    # every document with any term is a candidate
-    assert want
-    for frac in (0.01, 0.05, 0.2, 0.3):
-        got = sorted(tuple(r) for r in R.bm25(post, qs, k=5, rare_fraction=frac).collect())
-        assert got == want, frac
-    post.unpersist()
+    texts, asked = ([tuple(r) for r in x.collect()] for x in (docs, qs))
+    texts = [(i, t or "") for i, t in texts]
+    half = docs.filter("doc_id < 100")
+    want, want_half = brute_bm25(texts, asked, 5), brute_bm25(texts, asked, 5, set(range(100)))
+    short = lambda df: sorted((r.query_id, round(r.score, 4), r["rank"]) for r in df.collect())
+
+    def near(a, b):
+        return len(a) == len(b) and all(x[0] == y[0] and x[2] == y[2] and abs(x[1] - y[1]) < 2e-4 for x, y in zip(a, b))
+    for range_docs, probe in ((16, 1), (16, 4), (64, 2), (1000, 1)):
+        index = R.write_index(docs, range_docs=range_docs)
+        assert near(short(R.bm25(index, qs, k=5, probe=probe)), want), (range_docs, probe)
+    assert near(short(R.bm25(R.write_index(docs, range_docs=16), qs, k=5, docs=half, probe=1)), want_half)
+
+
+def test_bm25_reads_two_times_and_prunes(spark):
+    """The ranges that can't reach the k-th score are not scored; statistics come from the blocks."""
+    rows = [(i, "common words here " + ("rare " * 5 if i < 12 else "") + f"own{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, content string")
+    index = R.write_index(docs, range_docs=100)
+    q = spark.createDataFrame([(1, "rare common words")], "query_id long, text string")
+    got = R.bm25(index, q, k=10, probe=1)
+    assert [r.doc_id for r in got.orderBy("rank").collect()] == list(range(10))
+    assert (index.n_docs, index.total_len) == (3000, sum(len(t.split()) for _, t in rows))
+    block = index.blocks.filter("term = 'rare'").collect()
+    assert [(r.doc_range, r.n) for r in block] == [(0, 12)]
+    path = index.postings.inputFiles()[0].rsplit("/", 1)[0].split(":", 1)[1].lstrip("/")
+    # the probe is stored; what is left of the plan reads the postings once more
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("doc_len#") and path
+    scans = got._jdf.queryExecution().optimizedPlan().collectLeaves().toString()
+    assert scans.count("tf#") <= 1
+
+
+def test_index_of_nothing(spark):
+    none = spark.createDataFrame([(1, None), (2, "")], "doc_id long, content string")
+    index = R.write_index(none)
+    q = spark.createDataFrame([(1, "rare")], "query_id long, text string")
+    assert index.n_docs == 0 and R.bm25(index, q).count() == 0
+
+
