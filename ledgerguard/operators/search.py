@@ -7,7 +7,7 @@ rebuilt as Spark jobs:
 * per term and range of documents the document count and the largest impact, written with the index;
 * BM25 as a join of query terms with the postings of the ranges that can reach a query's k-th score, summed per
   (query, doc);
-* cosine similarity over embedding arrays with higher-order functions;
+* cosine similarity over embedding arrays with higher-order functions, clusters left out by their radius;
 * top-k per query in two exact stages: top-k inside (query, hash bucket of
   the candidate), then top-k over the survivors.  A single query never sends
   all candidates to one task.
@@ -150,31 +150,82 @@ def cosine(a: Column, b: Column) -> Column:
     return _dot(a, b) / (_norm(a) * _norm(b))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
-                  vec_col: str = "embedding", block: int = 1_000) -> DataFrame:
-    """O-R3: exact cosine top-k per query.  ``queries`` = (query_id, qvec).
+class VectorIndex(NamedTuple):
+    """Stored vectors by cluster.  ``vectors``: vec_id, cluster, vec, norm; ``clusters``: cluster, n, unit (its pivot) and
+    least_cos, the smallest cosine of a member and the pivot (the cluster's radius is its angle)."""
+    vectors: DataFrame
+    clusters: DataFrame
 
-    Queries of any number are dealt into blocks of about ``block``.  A block enters the plan as a scalar
-    subquery (an array of (query_id, qvec)): every vector row scores itself against the block in one
-    projection inside the scan stage - no join, no pairs shuffled.  The per-query top-k is cut per
-    partition (partial window group limit) before anything is shuffled.
-    """
-    blocks = queries.count() // block + 1
-    dealt = queries.withColumn("_lg_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
-    for i in range(blocks):
-        batch = (dealt.filter(c("_lg_block") == i)
-                 .agg(F.collect_list(F.struct("query_id", "qvec", _norm(c("qvec")).alias("norm")))).scalar())
-        v = vectors.select(c(id_col).alias("vec_id"), c(vec_col).alias("vec"), _norm(c(vec_col)).alias("norm"),
-                           batch.alias("_lg_qs"))
-        scored = (v.select("vec_id", F.explode(F.transform("_lg_qs", lambda q: F.struct(
-                      q["query_id"].alias("query_id"),
-                      F.round(_dot(c("vec"), q["qvec"]) / (c("norm") * q["norm"]), 5).alias("score"))))
-                      .alias("_lg_s"))
-                   .select("_lg_s.query_id", "vec_id", "_lg_s.score"))
-        top = top_k_per_group(scored, ["query_id"], "score", "vec_id", k)
-        out = top if out is None else out.unionByName(top)
-    return out
+
+CLUSTERS, QUERY_BLOCK = 32, 64
+
+
+def _units(df: DataFrame, vec: str) -> DataFrame:
+    """``vec`` as doubles with ``norm`` and ``unit``; vectors that are null, empty or zero have no direction and go."""
+    d = df.withColumn(vec, F.transform(vec, lambda x: x.cast("double"))).withColumn("norm", _norm(c(vec)))
+    return d.filter(c("norm") > 0).withColumn("unit", F.transform(vec, lambda x: x / c("norm")))
+
+
+def write_vector_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", clusters: int = CLUSTERS) -> VectorIndex:
+    """Puts every vector in the cluster of its nearest pivot.  The pivots are ``clusters`` vectors, those with the
+    smallest hashes of their ids: a bounded sample, which decides how much a search can leave out, never its result."""
+    v = _units(vectors.select(c(id_col).alias("vec_id"), c(vec_col).alias("vec")), "vec")
+    pivots = cut_lineage(v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(clusters)
+                         .select(F.row_number().over(Window.orderBy("vec_id")).alias("cluster"), "unit"))
+    # at most ``clusters`` vectors: a scalar subquery
+    every = pivots.agg(F.sort_array(F.collect_list(F.struct("cluster", "unit")))).scalar()
+    near = F.array_max(F.transform(c("_lg_p"), lambda p: F.struct(_dot(c("unit"), p["unit"]).alias("cos"), (-p["cluster"]).alias("c"))))
+    placed = cut_lineage(v.withColumn("_lg_p", every).withColumn("_lg_n", near)
+                         .select("vec_id", (-c("_lg_n.c")).alias("cluster"), "vec", "norm", c("_lg_n.cos").alias("cos")))
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("least_cos"))
+    return VectorIndex(placed.drop("cos"), cut_lineage(pivots.join(sizes, "cluster")))
+
+
+def _angle(cos: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))
+
+
+def _bounds(index: VectorIndex, queries: DataFrame) -> DataFrame:
+    """query_id, cluster, n, bound: the largest cosine that a query can have with a cluster's vectors, as angles
+    obey the triangle inequality."""
+    all_clusters = index.clusters.agg(F.collect_list(F.struct("cluster", "n", "unit", "least_cos"))).scalar()
+    apart = _angle(_dot(c("unit"), c("_lg_x.unit"))) - _angle(c("_lg_x.least_cos"))
+    return (queries.select("query_id", "unit", F.explode(all_clusters).alias("_lg_x"))
+            .select("query_id", "_lg_x.cluster", "_lg_x.n", F.cos(F.greatest(apart, F.lit(0.0))).alias("bound")))
+
+
+def _scored(index: VectorIndex, queries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The top k of each query among the clusters of its pairs.  Queries meet a cluster's vectors in blocks of at
+    most ``QUERY_BLOCK``."""
+    blocks = cut_lineage(pairs.join(queries, "query_id").groupBy("cluster", "block")
+                         .agg(F.collect_list(F.struct("query_id", "qvec", c("norm").alias("qnorm"))).alias("_lg_qs")))
+    met = index.vectors.join(blocks, "cluster")
+    scores = (met.select("vec_id", F.explode(F.transform("_lg_qs", lambda q: F.struct(
+                  q["query_id"].alias("query_id"), F.round(_dot(c("vec"), q["qvec"]) / (c("norm") * q["qnorm"]), 5).alias("score")))).alias("_lg_s"))
+              .select("_lg_s.query_id", "vec_id", "_lg_s.score"))
+    return top_k_per_group(scores, ["query_id"], "score", "vec_id", k)
+
+
+def vector_search(index: VectorIndex, queries: DataFrame, k: int = 10, probe: int = 2, pairs: list | None = None) -> DataFrame:
+    """O-R3: exact cosine top-k per query.  ``queries`` = (query_id, qvec), any number; the plan is the same for all.
+
+    Each query's ``probe`` nearest clusters are scored first, which gives a k-th score to beat; of the other clusters
+    only those are scored whose bound, rounded like the scores, reaches it (all, where the probed ones held fewer than k
+    vectors).  Exact for every ``probe`` and every clustering.  ``pairs``, if given, gets the two frames
+    (query_id, cluster, n) of what is scored."""
+    block = F.shiftright(F.monotonically_increasing_id(), QUERY_BLOCK.bit_length() - 1)
+    q = cut_lineage(_units(queries.select("query_id", "qvec"), "qvec").withColumn("block", block))
+    reach = cut_lineage(_bounds(index, q))
+    probes = top_k_per_group(reach, ["query_id"], "bound", "cluster", probe).select("query_id", "cluster", "n")
+    probed = cut_lineage(_scored(index, q, probes.drop("n"), k))
+    kth = probed.filter(c("rank") == k).select(c("query_id").alias("_q"), c("score").alias("_kth"))
+    # 1e-7 absorbs the rounding of the angles; a bound equal to the k-th score may hold a tie
+    others = (reach.join(probes, ["query_id", "cluster"], "left_anti").join(kth, c("query_id") == c("_q"), "left")
+              .filter(c("_kth").isNull() | (F.round(c("bound") + 1e-7, 5) >= c("_kth"))).select("query_id", "cluster", "n"))
+    if pairs is not None:
+        pairs += [probes, others]
+    both = probed.drop("rank").unionByName(_scored(index, q, others.drop("n"), k).drop("rank"))
+    return top_k_per_group(both, ["query_id"], "score", "vec_id", k)
 
 
 def label_centroids(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:

@@ -158,6 +158,12 @@ class RiskContext:
         from ledgerguard.operators.search import write_index
         return write_index(self.policy_docs)
 
+    @cached_property
+    def vector_index(self):
+        """The stored embeddings by cluster."""
+        from ledgerguard.operators.search import write_vector_index
+        return write_vector_index(self.bank.raw("embeddings"))
+
     @property
     def postings(self) -> DataFrame:
         return self.search_index.postings if self.materialize else self.derived_postings

@@ -64,7 +64,13 @@ def bm25_benchmark(ctx):
 def vector_top_k(ctx):
     """O-R3: label centroids as queries, cosine top 10 over all embeddings."""
     emb = ctx.bank.raw("embeddings")
-    return R.vector_search(emb, R.label_centroids(emb), k=10)
+    return R.vector_search(ctx.vector_index, R.label_centroids(emb), k=10)
+
+
+def vector_neighbours(ctx):
+    """O-R3 with as many queries as there are vectors: each one's five nearest, itself included."""
+    q = ctx.bank.raw("embeddings").select(c("vec_id").alias("query_id"), c("embedding").alias("qvec"))
+    return R.vector_search(ctx.vector_index, q, k=5)
 
 
 def doc_tags(ctx):
@@ -205,7 +211,7 @@ def doc_index_changes(ctx):
 
 ENTRIES = {
     "index_postings": index_postings, "index_stats": index_stats, "bm25_top_k": bm25_top_k,
-    "bm25_filtered": bm25_filtered, "bm25_benchmark": bm25_benchmark, "vector_top_k": vector_top_k,
+    "bm25_filtered": bm25_filtered, "bm25_benchmark": bm25_benchmark, "vector_top_k": vector_top_k, "vector_neighbours": vector_neighbours,
     "doc_tags": doc_tags, "doc_snippets": doc_snippets, "conversation_pairs": conversation_pairs,
     "conversation_summary": conversation_summary, "agent_log_extract": agent_log_extract,
     "run_summary": run_summary,

@@ -802,6 +802,13 @@ SELECT query_id, vec_id, score, rank FROM (
         FROM embeddings e, centroids c) s) r
 WHERE rank <= 10""", "centroids")
 
+register("vector_neighbours", """
+SELECT query_id, vec_id, score, rank FROM (
+  SELECT query_id, vec_id, score, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, e.vec_id,
+               ROUND(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score
+        FROM embeddings e, embeddings q) s) r
+WHERE rank <= 5""")
 register("doc_tags", """
 SELECT tag, COUNT(*) AS n_docs FROM (SELECT unnest(tags) AS tag FROM policy_docs) GROUP BY tag""", "policy_docs")
 register("doc_snippets", """

@@ -119,21 +119,55 @@ def test_index_matches_explode_group_by_on_whole_documents(spark):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_vector_search_matches_brute_force(spark):
+def brute_neighbours(vecs, qs, k):
     import math
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b)))
+    out = []
+    for q, qv in qs:
+        best = sorted((-round(cos(v, qv), 5), i) for i, v in vecs if any(v))[:k] if any(qv) else []
+        out += [(q, i, r, -x) for r, (x, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def found(df):
+    return sorted((r.query_id, r.vec_id, r["rank"], r.score) for r in df.collect())
+
+
+def test_vector_search_matches_brute_force(spark):
+    """Spread vectors, ties, zero vectors, fewer vectors than k, any number of clusters and of probed ones."""
     rnd = random.Random(11)
-    vecs = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(300)]
-    qs = [(q, [rnd.uniform(-1, 1) for _ in range(8)]) for q in range(4)]
+    vecs = [(i, [rnd.randrange(-4, 5) / 4 for _ in range(6)]) for i in range(300)] + [(900, [0.0] * 6), (901, [1.0] * 6), (902, [1.0] * 6)]
+    qs = [(q, [rnd.randrange(-4, 5) / 4 for _ in range(6)]) for q in range(150)] + [(500, [0.0] * 6), (501, [1.0] * 6)]
     v = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
     q = spark.createDataFrame(qs, "query_id long, qvec array<double>")
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in R.vector_search(v, q, k=5).collect()}
-    f32 = {r.vec_id: list(r.embedding) for r in v.collect()}
-    for qid, qv in qs:
-        def cos(a, b):
-            return sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b)))
-        scored = sorted(((round(cos(f32[i], qv), 5), i) for i in f32), key=lambda s: (-s[0], s[1]))[:5]
-        assert [got[(qid, r + 1)][0] for r in range(5)] == [i for _, i in scored]
-        assert all(abs(got[(qid, r + 1)][1] - s) < 1e-5 for r, (s, _) in enumerate(scored))
+    want = brute_neighbours(vecs, qs, 5)
+    for clusters, probe in ((1, 1), (8, 1), (32, 3), (400, 2)):
+        got = found(R.vector_search(R.write_vector_index(v, clusters=clusters), q, k=5, probe=probe))
+        assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(x[3] - y[3]) < 1.1e-5 for x, y in zip(got, want))
+    few = R.write_vector_index(v.limit(3), clusters=2)
+    assert R.vector_search(few, q.filter("query_id < 2"), k=5).count() == 6
+    assert R.vector_search(R.write_vector_index(v.limit(0)), q, k=5).count() == 0
+
+
+def test_vector_search_leaves_clusters_out(spark):
+    """On vectors in bundles far fewer pairs are scored than vectors times queries, and the result is exact; the plan does
+    not grow with the queries."""
+    rnd = random.Random(12)
+    centres = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    vecs = [(i, [x + rnd.gauss(0, 0.03) for x in centres[i % 12]]) for i in range(1200)]
+    qs = [(q, [x + rnd.gauss(0, 0.03) for x in centres[q % 12]]) for q in range(300)]
+    v = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame(qs, "query_id long, qvec array<double>")
+    index = R.write_vector_index(v, clusters=40)
+    pairs = []
+    got = R.vector_search(index, q, k=5, pairs=pairs)
+    assert [x[:3] for x in found(got)] == [x[:3] for x in brute_neighbours(vecs, qs, 5)]
+    scored = sum(p.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for p in pairs)
+    assert scored < 0.25 * 1200 * 300, scored
+    size = lambda df: len(df._jdf.queryExecution().analyzed().toString().split("\n"))
+    assert size(got) == size(R.vector_search(index, q.limit(1), k=5))
 
 
 def test_agent_messages_are_one_row_per_turn(spark):
