@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from ledgerguard.functions import constants as K
 from ledgerguard.functions.rules import fraud_severity, rationale
+from ledgerguard.operators.key_registry import KeyRegistry
 from ledgerguard.operators.timewin import forward_max, trailing_count
 from ledgerguard.session import ts_lit
 from ledgerguard.sources.schemas import RISK_FLAGS_SCHEMA, conform
 
 FRAUD_ID_BASE = 1_000_000_000_000_000
 ID_SPAN = 1_000_000_000_000_000
+TEXT_ID_BASE = 4_000_000_000_000_000
 
 
 def detect_velocity(txns: DataFrame, n: int = K.VELOCITY_MIN_TXNS, window: str = K.VELOCITY_WINDOW,
@@ -131,28 +133,51 @@ def fraud_payload(cols: dict[str, Column] | None = None) -> Column:
         c("counterparty_account"), c("review_status")))
 
 
-def fraud_flag_id(txn_id: Column) -> Column:
-    """A plain number that fits the fraud range keeps its own id there; every other transaction id gets a
-    hash over all negative numbers, which no range of the three domains uses."""
+def own_number(txn_id: Column) -> Column:
+    """The number that a transaction id is, if it fits the fraud range; null for every other id."""
     number = txn_id.try_cast("bigint")
-    own = number.between(F.lit(0), F.lit(ID_SPAN - 1)) & (number.cast("string") == txn_id)
-    hashed = F.xxhash64(F.lit("FRAUD"), txn_id).bitwiseOR(F.lit(-2 ** 63))
-    return F.when(own, F.lit(FRAUD_ID_BASE) + number).otherwise(hashed)
+    return F.when(number.between(F.lit(0), F.lit(ID_SPAN - 1)) & (number.cast("string") == txn_id), number)
 
 
-def build_fraud_flags(classified: DataFrame, accounts: DataFrame, as_of: str = "2024-01-31 00:00:00") -> DataFrame:
-    """O-D9: one FRAUD flag per flagged transaction, enriched with the account's customer."""
-    return conform(timed_fraud_flags(classified, accounts, as_of), RISK_FLAGS_SCHEMA)
+def fraud_flag_id(txn_id: Column, registered: Column | None = None) -> Column:
+    """A plain number that fits the fraud range keeps its own id there; every other transaction id has the number that
+    the registry gave it.  Without a registry it gets a hash over all negative numbers, which no range of the three domains
+    uses, but which two ids can share."""
+    other = registered if registered is not None else F.xxhash64(F.lit("FRAUD"), txn_id).bitwiseOR(F.lit(-2 ** 63))
+    return F.coalesce(F.lit(FRAUD_ID_BASE) + own_number(txn_id), other)
 
 
-def timed_fraud_flags(classified: DataFrame, accounts: DataFrame, as_of: str = "2024-01-31 00:00:00") -> DataFrame:
+def flag_id_registry(spark, path: str) -> KeyRegistry:
+    """The registry of flag ids for text transaction ids, above the ranges of the three domains."""
+    return KeyRegistry(spark, path, TEXT_ID_BASE)
+
+
+def register_flag_ids(classified: DataFrame, registry: KeyRegistry) -> DataFrame:
+    """Registers the flagged transactions whose id is no number of the fraud range; the registry's pairs."""
+    text = F.col("is_flagged") & own_number(F.col("txn_id")).isNull()
+    return registry.register(classified.filter(text).select(F.col("txn_id").alias("key")))
+
+
+def build_fraud_flags(classified: DataFrame, accounts: DataFrame, as_of: str = "2024-01-31 00:00:00",
+                      ids: DataFrame | None = None) -> DataFrame:
+    """O-D9: one FRAUD flag per flagged transaction, enriched with the account's customer.  ``ids``: the pairs of
+    :func:`register_flag_ids`."""
+    return conform(timed_fraud_flags(classified, accounts, as_of, ids), RISK_FLAGS_SCHEMA)
+
+
+def timed_fraud_flags(classified: DataFrame, accounts: DataFrame, as_of: str = "2024-01-31 00:00:00",
+                      ids: DataFrame | None = None) -> DataFrame:
     """The fraud flags with their transaction's time (``txn_ts``), for sinks that are partitioned by it."""
     acc = accounts.select("account_id", "customer_id")
     t = classified.filter(F.col("is_flagged"))
     j = t.join(acc, "account_id", "inner")
+    registered = None
+    if ids is not None:
+        j = j.join(ids.select(F.col("key").alias("_lg_key"), F.col("id").alias("_lg_id")), F.col("txn_id") == F.col("_lg_key"), "left")
+        registered = F.col("_lg_id")
     now = ts_lit(as_of)
     return j.select(
-        fraud_flag_id(F.col("txn_id")).alias("flag_id"),
+        fraud_flag_id(F.col("txn_id"), registered).alias("flag_id"),
         F.lit("FRAUD").alias("flag_domain"),
         F.col("fraud_pattern").alias("flag_type"),
         fraud_severity(F.col("fraud_pattern")).alias("severity"),

@@ -9,7 +9,10 @@ from ledgerguard.functions import constants as K
 from ledgerguard.functions.rules import score_band
 from ledgerguard.operators.fraud import (classify_fraud, detect_cross_border, detect_round_number, detect_structuring,
                                          detect_velocity)
+from ledgerguard.operators import fraud as F_
 from ledgerguard.operators.timewin import trailing_count
+from ledgerguard.session import cut_lineage
+from ledgerguard.streaming.refresh import scratch_path
 
 c = F.col
 
@@ -73,6 +76,23 @@ def classify_summary(ctx) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(18,2)").alias("amount")))
 
 
+def flag_id_registry(ctx) -> DataFrame:
+    """O-A14, O-D28: flags of transactions with text ids.  Ids are registered in two batches, first for the transactions
+    up to the middle of the month, then for all; flags, their ids, ids that two transactions share, and ids that the second batch
+    moved, by pattern."""
+    t = ctx.transactions.withColumn("txn_id", F.concat(F.lit("tx-"), F.md5("txn_id")))
+    registry = F_.flag_id_registry(ctx.spark, scratch_path(ctx.spark, "flag-ids"))
+    first = cut_lineage(F_.register_flag_ids(t.filter("txn_ts < TIMESTAMP_NTZ '2024-01-16 00:00:00'"), registry))
+    ids = F_.register_flag_ids(t, registry)
+    flags = F_.build_fraud_flags(t, ctx.accounts, ctx.as_of, ids)
+    before = first.select(c("key").alias("txn_id"), c("id").alias("before"))
+    shared = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.count(F.lit(1))).scalar()
+    return (flags.join(before, "txn_id", "left").groupBy("flag_type")
+            .agg(F.count(F.lit(1)).alias("n_flags"), F.countDistinct("flag_id").alias("n_ids"),
+                 F.count_if(c("before") != c("flag_id")).alias("moved"))
+            .select("*", shared.alias("shared")))
+
+
 def fraud_flags(ctx) -> DataFrame:
     """O-D8, O-D9."""
     f = ctx.derived_fraud_flags
@@ -141,7 +161,7 @@ def score_bands(ctx) -> DataFrame:
 
 
 ENTRIES = {
-    "velocity": velocity, "velocity_dense": velocity_dense, "velocity_hour": velocity_hour,
+    "flag_id_registry": flag_id_registry, "velocity": velocity, "velocity_dense": velocity_dense, "velocity_hour": velocity_hour,
     "velocity_burst": velocity_burst, "structuring": structuring,
     "cross_border": cross_border, "round_number": round_number, "classify_fraud": classify,
     "classify_summary": classify_summary, "fraud_flags": fraud_flags, "credit_derive": credit_derive,

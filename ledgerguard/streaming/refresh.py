@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from ledgerguard.functions import constants as K
 from ledgerguard.operators.fraud import (_pick_score, default_score_seed,
                                          detect_cross_border, detect_round_number, detect_structuring,
-                                         timed_fraud_flags)
+                                         flag_id_registry, own_number, register_flag_ids, timed_fraud_flags)
 from ledgerguard.operators.timewin import duration_micros, trailing_count
 from ledgerguard.session import checkpoint_dir, ts_lit
 from ledgerguard.sources.adapters import adapter_sql
@@ -165,10 +165,12 @@ def start_flag_refresh(spark: SparkSession, source: str, accounts: DataFrame, si
                        *, lookback: str = "30 minutes", velocity_window: str = K.VELOCITY_WINDOW,
                        as_of: str = "2024-01-31 00:00:00", trigger: dict | None = None,
                        max_files_per_trigger: int | None = None,
-                       max_bytes_per_trigger: str | None = None, history: str | None = None):
+                       max_bytes_per_trigger: str | None = None, history: str | None = None, flag_ids: str | None = None):
     """O-ST1: start the refresh query; ``trigger`` defaults to every 15 minutes.
     ``history`` (default: next to the sink) keeps the (account, time, id) rows the stream has seen;
-    rows older than the watermark plus the velocity window can be dropped from it by date partition."""
+    rows older than the watermark plus the velocity window can be dropped from it by date partition.
+    ``flag_ids`` (default: next to the sink) is the registry of flag ids for text transaction ids."""
+    registry = flag_id_registry(spark, flag_ids or f"{sink.rstrip('/')}-flag-ids")
     history = history or f"{sink.rstrip('/')}-velocity-history"
     txns = transactions_stream(spark, source, max_files_per_trigger, max_bytes_per_trigger)
     # watermarks need a TIMESTAMP (not NTZ) column: keep txn_ts as is and add the event time
@@ -184,7 +186,10 @@ def start_flag_refresh(spark: SparkSession, source: str, accounts: DataFrame, si
         lo, hi = b.agg(F.min("txn_ts"), F.max("txn_ts")).first()    # two scalars
         if lo is not None:
             classified = classify_rows(batch_velocity(b, history, velocity_window, lo, hi))
-            append_new_flags(timed_fraud_flags(classified, accounts_snapshot, as_of), sink, lo, hi)
+            # plain numbers need no registry; it is only asked where a batch holds other ids
+            texts = b.filter(own_number(F.col("txn_id")).isNull()).limit(1).count()     # one number
+            ids = register_flag_ids(classified, registry) if texts else None
+            append_new_flags(timed_fraud_flags(classified, accounts_snapshot, as_of, ids), sink, lo, hi)
             record_history(b, history, lo, hi)
         remove_path(spark, staged)
 

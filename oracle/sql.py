@@ -99,6 +99,8 @@ register("velocity", """
 SELECT txn_id, account_id, txn_ts, velocity_count, velocity_count >= 5 AS is_velocity
 FROM tx_rules""", "tx_rules")
 
+register("flag_id_registry", """
+SELECT flag_type, COUNT(*) AS n_flags, COUNT(DISTINCT txn_id) AS n_ids, 0 AS moved, 0 AS shared FROM fraud_flags GROUP BY 1""", "fraud_flags")
 register("velocity_dense", "SELECT txn_id, account_id, txn_ts, velocity_count FROM tx_rules", "tx_rules")
 register("velocity_hour", """
 SELECT txn_id, account_id, txn_ts, velocity_count FROM (
