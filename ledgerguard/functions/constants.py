@@ -82,3 +82,15 @@ FRAUD_SEVERITY = {
     "ROUND_NUMBER": "MEDIUM",
 }
 REVIEWER = "compliance.officer" + BANK_DOMAIN
+
+# fixed values: texts that callers of the actions get back or store
+ERR_SAR_ROLE = "COMPLIANCE_OFFICER or higher required."
+ERR_CASE_ROLE = "RISK_MANAGER or higher required."
+ERR_DUPLICATE = "Duplicate request in batch"
+ERR_FLAG = "Flag not found or already actioned"
+ERR_NO_CUSTOMER = "no_customer"
+ERR_ACCOUNT = "Account not found"
+ERR_CASE = "Case not found or already resolved/closed"
+MSG_SAR = "SAR draft created."
+MSG_FREEZE = "Account flagged and case opened."
+MSG_ESCALATE = "Case escalated."

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerguard.functions import constants as K
 from ledgerguard.operators.governance import CASE_ROLES, SAR_ROLES, Actor, role_gate
 from ledgerguard.operators.ids import assign_sequential_ids, next_id
 from ledgerguard.session import cut_lineage, ts_lit
@@ -42,7 +43,7 @@ def _dedupe(requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     first = rows.groupBy(key).agg(F.min(F.struct("request_id", "_lg_row")).alias("_lg_first")).select("_lg_first._lg_row")
     winners = rows.join(first, "_lg_row", "left_semi").drop("_lg_row")
     losers = rows.join(first, "_lg_row", "left_anti").drop("_lg_row").withColumn(
-        "error", F.lit("Duplicate request in batch"))
+        "error", F.lit(K.ERR_DUPLICATE))
     return winners, losers
 
 
@@ -61,31 +62,34 @@ def _audit_rows(accepted: DataFrame, audit_log: DataFrame, actor: Actor, as_of:
                        F.concat(F.lit("req-"), c("request_id").cast("string")).alias("request_id"))
 
 
-def _responses(ok: DataFrame, errors: list[DataFrame], key: str, extra: dict[str, Column]) -> DataFrame:
+def _responses(ok: DataFrame, errors: list[DataFrame], key: str, extra: dict[str, Column],
+               body: dict[str, Column]) -> DataFrame:
+    """One row per request; ``response`` is the JSON object that a caller of the single action gets: ``body`` for an
+    accepted request, the error for a refused one."""
     good = ok.select("request_id", key, F.lit("ok").alias("status"), *[v.alias(k) for k, v in extra.items()],
-                     F.lit(None).cast("string").alias("error"))
-    parts = [good] + [e.select("request_id", key, F.lit("error").alias("status"),
-                               *[F.lit(None).cast(good.schema[k].dataType).alias(k) for k in extra],
-                               "error") for e in errors]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    payload = F.to_json(F.struct(*[c(x) for x in out.columns if x != "request_id"]))
-    return out.withColumn("response", payload)
+                     F.lit(None).cast("string").alias("error"),
+                     F.to_json(F.struct(*[v.alias(k) for k, v in body.items()])).alias("response"))
+    out = good
+    for e in errors:
+        out = out.unionByName(e.select(
+            "request_id", key, F.lit("error").alias("status"),
+            *[F.lit(None).cast(good.schema[k].dataType).alias(k) for k in extra],
+            "error", F.to_json(F.struct("error")).alias("response")))
+    return out
 
 
 def file_sar_drafts(flags: DataFrame, filings: DataFrame, audit_log: DataFrame, requests: DataFrame,
                     actor: Actor, as_of: str) -> ActionResult:
     """O-B1: requests (request_id, flag_id, notes) -> SAR drafts, ACTIONED flags, audit rows."""
-    admitted, denied = role_gate(requests, actor, SAR_ROLES, "COMPLIANCE_OFFICER or higher required.")
+    admitted, denied = role_gate(requests, actor, SAR_ROLES, K.ERR_SAR_ROLE)
     winners, dups = _dedupe(admitted, "flag_id")
     f = flags.select("flag_id", "flag_type", "flag_status", "customer_id", "account_id", "threshold_rationale",
                      "flag_score")
     j = winners.join(f, "flag_id", "left")
     missing = j.filter(c("flag_type").isNull() | c("flag_status").isin("ACTIONED", "DISMISSED")) \
-        .withColumn("error", F.lit("Flag not found or already actioned"))
+        .withColumn("error", F.lit(K.ERR_FLAG))
     valid = j.filter(c("flag_type").isNotNull() & ~c("flag_status").isin("ACTIONED", "DISMISSED"))
-    no_cust = valid.filter(c("customer_id").isNull()).withColumn("error", F.lit("no_customer"))
+    no_cust = valid.filter(c("customer_id").isNull()).withColumn("error", F.lit(K.ERR_NO_CUSTOMER))
     ok = valid.filter(c("customer_id").isNotNull())
     # ids are assigned once; every output below reads the same snapshot of the accepted batch
     ok = assign_sequential_ids(ok, "request_id", next_id(filings, "filing_id"), "filing_id")
@@ -117,19 +121,21 @@ def file_sar_drafts(flags: DataFrame, filings: DataFrame, audit_log: DataFrame,
                         F.concat(F.lit("SAR filed from flag_id="), c("flag_id").cast("string"),
                                  F.lit(" filing_id="), c("filing_id").cast("string")))
     responses = _responses(ok, [denied, dups, missing, no_cust], "flag_id",
-                           {"filing_id": c("filing_id"), "message": F.lit("SAR draft created.")})
+                           {"filing_id": c("filing_id"), "message": F.lit(K.MSG_SAR)},
+                           {"filing_id": c("filing_id"), "status": F.lit("DRAFT"), "flag_id": c("flag_id"),
+                            "message": F.lit(K.MSG_SAR)})
     return ActionResult(new_filings, state, audit, responses)
 
 
 def flag_accounts(accounts: DataFrame, cases: DataFrame, audit_log: DataFrame, requests: DataFrame,
                   actor: Actor, as_of: str) -> ActionResult:
     """O-B2: requests (request_id, account_id, reason, linked_flag_id) -> FROZEN accounts + new OPEN cases."""
-    admitted, denied = role_gate(requests, actor, CASE_ROLES, "RISK_MANAGER or higher required.")
+    admitted, denied = role_gate(requests, actor, CASE_ROLES, K.ERR_CASE_ROLE)
     winners, dups = _dedupe(admitted, "account_id")
     a = accounts.select("account_id", c("customer_id").alias("_lg_cust"), c("status").alias("before_status"))
     j = winners.join(a, "account_id", "left")
     missing = j.filter(c("_lg_cust").isNull() & c("before_status").isNull()).withColumn(
-        "error", F.lit("Account not found"))
+        "error", F.lit(K.ERR_ACCOUNT))
     ok = assign_sequential_ids(j.filter(c("before_status").isNotNull()), "request_id",
                                next_id(cases, "case_id"), "case_id")
     now = ts_lit(as_of)
@@ -152,19 +158,21 @@ def flag_accounts(accounts: DataFrame, cases: DataFrame, audit_log: DataFrame, r
                         F.concat(F.lit("Account "), c("account_id").cast("string"), F.lit(" frozen. Case "),
                                  c("case_id").cast("string")))
     responses = _responses(ok, [denied, dups, missing], "account_id",
-                           {"case_id": c("case_id"), "message": F.lit("Account flagged and case opened.")})
+                           {"case_id": c("case_id"), "new_status": F.lit("FROZEN"), "message": F.lit(K.MSG_FREEZE)},
+                           {"account_id": c("account_id"), "new_status": F.lit("FROZEN"), "case_id": c("case_id"),
+                            "message": F.lit(K.MSG_FREEZE)})
     return ActionResult(new_cases, state, audit, responses)
 
 
 def escalate_cases(cases: DataFrame, audit_log: DataFrame, requests: DataFrame, actor: Actor,
                    as_of: str) -> ActionResult:
     """O-B3: requests (request_id, case_id, escalate_to, notes) -> ESCALATED cases with appended notes."""
-    admitted, denied = role_gate(requests, actor, CASE_ROLES, "RISK_MANAGER or higher required.")
+    admitted, denied = role_gate(requests, actor, CASE_ROLES, K.ERR_CASE_ROLE)
     winners, dups = _dedupe(admitted, "case_id")
     k = cases.select("case_id", c("status").alias("before_status"), c("assigned_to").alias("before_assigned"))
     j = winners.join(k, "case_id", "left")
     bad = j.filter(c("before_status").isNull() | c("before_status").isin("RESOLVED", "CLOSED")).withColumn(
-        "error", F.lit("Case not found or already resolved/closed"))
+        "error", F.lit(K.ERR_CASE))
     ok = cut_lineage(j.filter(c("before_status").isNotNull() & ~c("before_status").isin("RESOLVED", "CLOSED")))
     sfx = F.when(c("notes").isNotNull(), F.concat(F.lit(": "), c("notes"))).otherwise(F.lit(""))
     upd = ok.select("case_id", c("escalate_to").alias("_lg_to"),
@@ -184,7 +192,9 @@ def escalate_cases(cases: DataFrame, audit_log: DataFrame, requests: DataFrame,
                         F.concat(F.lit("Case "), c("case_id").cast("string"), F.lit(" escalated to "),
                                  c("escalate_to")))
     responses = _responses(ok, [denied, dups, bad], "case_id",
-                           {"new_status": F.lit("ESCALATED"), "message": F.lit("Case escalated.")})
+                           {"new_status": F.lit("ESCALATED"), "message": F.lit(K.MSG_ESCALATE)},
+                           {"case_id": c("case_id"), "new_status": F.lit("ESCALATED"), "escalated_to": c("escalate_to"),
+                            "message": F.lit(K.MSG_ESCALATE)})
     return ActionResult(None, state, audit, responses)
 
 
@@ -196,12 +206,56 @@ def audit_append(audit_log: DataFrame, *new_audit: DataFrame) -> DataFrame:
     return out
 
 
+def _replayed(audit_log: DataFrame) -> DataFrame:
+    event = F.struct("event_ts", "log_id", "action_type", "after_state")
+    return audit_log.groupBy("object_type", "object_id").agg(
+        F.max(event).alias("last"), F.count(F.lit(1)).alias("events"), F.max("log_id").alias("seen"))
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("object_type", "object_id").agg(
+        F.max("last").alias("last"), F.sum("events").alias("events"), F.max("seen").alias("seen"))
+
+
+def _current(state: DataFrame) -> DataFrame:
+    return state.select("object_type", "object_id", c("last.action_type").alias("last_action"),
+                        c("last.log_id").alias("last_log_id"), c("last.after_state").alias("after_state"),
+                        F.get_json_object(c("last.after_state"), "$.status").alias("current_status"), "events")
+
+
 def replay_state(audit_log: DataFrame) -> DataFrame:
     """O-B6: current state per audited object = the after_state of its latest event
-    (by event_ts, log_id as tiebreak); ``max_by`` aggregates partially, so it is skew-safe."""
-    g = audit_log.groupBy("object_type", "object_id").agg(
-        F.max_by(F.struct("after_state", "action_type", "log_id"), F.struct("event_ts", "log_id")).alias("x"),
-        F.count(F.lit(1)).alias("events"))
-    return g.select("object_type", "object_id", c("x.action_type").alias("last_action"),
-                    c("x.log_id").alias("last_log_id"), c("x.after_state").alias("after_state"),
-                    F.get_json_object(c("x.after_state"), "$.status").alias("current_status"), "events")
+    (by event_ts, log_id as tiebreak); the maximum aggregates partially, so it is skew-safe."""
+    return _current(_replayed(audit_log))
+
+
+class ReplaySnapshot:
+    """O-B6 without reading the whole log again: the last event, event count and highest log id of every object, stored,
+    and merged with the log's tail.  The log only grows, with rising ids, so the tail is what lies above the highest id
+    seen (``high_water``), a filter that reaches the scan."""
+
+    def __init__(self, state: DataFrame, high_water: int):
+        self.state, self.high_water = state, high_water
+
+    @classmethod
+    def of(cls, audit_log: DataFrame) -> ReplaySnapshot:
+        return cls._stored(_replayed(audit_log), 0)
+
+    @classmethod
+    def _stored(cls, state: DataFrame, floor: int) -> ReplaySnapshot:
+        state = cut_lineage(state)
+        seen = state.agg(F.max("seen")).first()[0]     # one number
+        return cls(state, floor if seen is None else max(floor, seen))
+
+    def tail(self, audit_log: DataFrame) -> DataFrame:
+        return audit_log.filter(c("log_id") > self.high_water)
+
+    def advanced(self, audit_log: DataFrame) -> ReplaySnapshot:
+        """The snapshot after the log's new rows."""
+        return self._stored(_merged(self.state.unionByName(_replayed(self.tail(audit_log)))), self.high_water)
+
+    def current(self, audit_log: DataFrame | None = None) -> DataFrame:
+        """The state of every object, with the log's new rows if a log is given."""
+        if audit_log is None:
+            return _current(self.state)
+        return _current(_merged(self.state.unionByName(_replayed(self.tail(audit_log)))))

@@ -13,7 +13,7 @@ from ledgerguard.plans.dashboard import filter_flags
 from ledgerguard.plans.search_queries import bm25_top_k
 from ledgerguard.sources import generate as GEN
 from ledgerguard.sources import sinks as SK
-from ledgerguard.sources.schemas import RISK_FLAGS_SCHEMA
+from ledgerguard.sources.schemas import RISK_FLAGS_SCHEMA, conform
 from ledgerguard.streaming.refresh import scratch_path
 from ledgerguard.session import ts_lit
 
@@ -52,6 +52,21 @@ def flags_append(ctx) -> DataFrame:
     return back.groupBy("flag_domain", "flag_status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def backfill_positions(ctx, cut: str = "2024-01-16") -> DataFrame:
+    """O-S7: positions are appended by date without their ratios, which are filled in later: first up to a date, then from it
+    on; each run replaces only the dates it touches.  Positions, filled ratios and breaches by date."""
+    path = scratch_path(ctx.spark, "positions")
+    cols = ["position_id", "position_date", "lcr_ratio", "lcr_breach"]
+    raw = ctx.bank.liquidity_positions
+    schema = ctx.derived_liquidity_positions.select(*cols).schema
+    SK.append_table(conform(raw.select("position_id", "position_date"), schema), path, ["position_date"])
+    for part in (c("position_date") < F.lit(cut).cast("date"), c("position_date") >= F.lit(cut).cast("date")):
+        SK.backfill_table(ctx.derived_liquidity_positions.filter(part).select(*cols), path, ["position_date"])
+    back = ctx.spark.read.schema(schema).parquet(path)
+    return back.groupBy("position_date").agg(F.count(F.lit(1)).alias("n"), F.count("lcr_ratio").alias("filled"),
+                                             F.count_if("lcr_breach").alias("breaches"))
+
+
 def export_flags_csv(ctx) -> DataFrame:
     """O-S8: CSV export of the filtered flag queue (capped at 500 rows), read back."""
     path = scratch_path(ctx.spark, "flags-csv")
@@ -211,7 +226,7 @@ def x15(ctx):
 
 ENTRIES = {
     "gen_labels": gen_labels, "bucket_index": bucket_index, "rule_catalog_usage": rule_catalog_usage,
-    "flags_append": flags_append, "export_flags_csv": export_flags_csv, "export_audit_csv": export_audit_csv, "export_results_json": export_results_json,
+    "flags_append": flags_append, "backfill_positions": backfill_positions, "export_flags_csv": export_flags_csv, "export_audit_csv": export_audit_csv, "export_results_json": export_results_json,
     "fn_string": fn_string, "fn_math": fn_math, "fn_null": fn_null, "fn_random": fn_random, "fn_date": fn_date,
     "fn_array": fn_array, "fn_json": fn_json, "fn_context": fn_context,
 }

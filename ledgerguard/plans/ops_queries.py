@@ -91,8 +91,22 @@ def sar_requests(ctx) -> DataFrame:
     return first.unionByName(again)
 
 
+def _once(ctx, name: str, run) -> A.ActionResult:
+    """A batch is run once per context; every entry about it reads the same run."""
+    runs = ctx.__dict__.setdefault("_action_runs", {})
+    if name not in runs:
+        runs[name] = run()
+    return runs[name]
+
+
 def _sar(ctx) -> A.ActionResult:
-    return A.file_sar_drafts(ctx.risk_flags, ctx.filings, ctx.audit_log, sar_requests(ctx), OFFICER, ctx.as_of)
+    return _once(ctx, "sar", lambda: A.file_sar_drafts(
+        ctx.risk_flags, ctx.filings, ctx.audit_log, sar_requests(ctx), OFFICER, ctx.as_of))
+
+
+def sar_responses(ctx):
+    """O-B5: the JSON object that answers each request."""
+    return _sar(ctx).responses.select("request_id", "response")
 
 
 def sar_batch(ctx):
@@ -122,7 +136,13 @@ def freeze_requests(ctx) -> DataFrame:
 
 
 def _freeze(ctx) -> A.ActionResult:
-    return A.flag_accounts(ctx.accounts, ctx.cases, ctx.audit_log, freeze_requests(ctx), OFFICER, ctx.as_of)
+    return _once(ctx, "freeze", lambda: A.flag_accounts(
+        ctx.accounts, ctx.cases, ctx.audit_log, freeze_requests(ctx), OFFICER, ctx.as_of))
+
+
+def freeze_responses(ctx):
+    """O-B5: the JSON object that answers each request."""
+    return _freeze(ctx).responses.select("request_id", "response")
 
 
 def freeze_batch(ctx):
@@ -141,7 +161,13 @@ def escalate_requests(ctx) -> DataFrame:
 
 
 def _escalate(ctx) -> A.ActionResult:
-    return A.escalate_cases(ctx.cases, ctx.audit_log, escalate_requests(ctx), OFFICER, ctx.as_of)
+    return _once(ctx, "escalate", lambda: A.escalate_cases(
+        ctx.cases, ctx.audit_log, escalate_requests(ctx), OFFICER, ctx.as_of))
+
+
+def escalate_responses(ctx):
+    """O-B5: the JSON object that answers each request."""
+    return _escalate(ctx).responses.select("request_id", "response")
 
 
 def escalate_batch(ctx):
@@ -156,6 +182,16 @@ def audit_replay(ctx):
     return A.replay_state(ctx.audit_log).drop("after_state")
 
 
+def audit_replay_tail(ctx):
+    """O-B6 from a snapshot: the log comes in three parts by its ids; the first is replayed whole, the others advance
+    the stored state, each reading only its own rows."""
+    log = ctx.audit_log
+    low, high = log.agg(F.min("log_id"), F.max("log_id")).first()     # two numbers
+    first, second = (low + (high - low) * x // 3 for x in (1, 2))
+    snapshot = A.ReplaySnapshot.of(log.filter(c("log_id") <= first)).advanced(log.filter(c("log_id") <= second))
+    return snapshot.current(log).drop("after_state")
+
+
 def _chain(ctx) -> tuple[A.ActionResult, A.ActionResult, A.ActionResult]:
     """SAR, then freezing the SAR'd accounts, then escalating the cases the freeze opened; each step numbers its
     audit rows from the log that the one before left."""
@@ -175,9 +211,13 @@ def _chain(ctx) -> tuple[A.ActionResult, A.ActionResult, A.ActionResult]:
     return sar, frz, esc
 
 
+def _chain_once(ctx):
+    return _once(ctx, "chain", lambda: _chain(ctx))
+
+
 def action_chain(ctx):
     """O-B7: accepted and rejected requests of the chain."""
-    sar, frz, esc = _chain(ctx)
+    sar, frz, esc = _chain_once(ctx)
 
     def tally(step: str, res: A.ActionResult) -> DataFrame:
         return res.responses.agg(F.count_if(c("status") == "ok").alias("accepted"),
@@ -190,7 +230,7 @@ def action_chain(ctx):
 def action_chain_audit(ctx):
     """O-B4, O-B7: the appended log after the chain: rows and id range of each action's new rows, and how many
     ids of the whole log occur more than once."""
-    log = A.audit_append(ctx.audit_log, *[step.audit for step in _chain(ctx)])
+    log = A.audit_append(ctx.audit_log, *[step.audit for step in _chain_once(ctx)])
     last = ctx.audit_log.agg(F.max("log_id")).scalar()
     repeated = log.groupBy("log_id").count().filter(c("count") > 1).agg(F.count(F.lit(1))).scalar()
     return (log.filter(c("log_id") > last).groupBy("action_type")
@@ -219,5 +259,6 @@ ENTRIES.update({
     "sar_batch": sar_batch, "sar_filings": sar_filings, "sar_flag_state": sar_flag_state,
     "sar_audit_rows": sar_audit_rows, "freeze_batch": freeze_batch, "freeze_cases": freeze_cases,
     "escalate_batch": escalate_batch, "escalate_state": escalate_state, "audit_replay": audit_replay,
-    "action_chain": action_chain, "action_chain_audit": action_chain_audit, "sar_denied": sar_denied,
+    "sar_responses": sar_responses, "freeze_responses": freeze_responses, "escalate_responses": escalate_responses,
+    "audit_replay_tail": audit_replay_tail, "action_chain": action_chain, "action_chain_audit": action_chain_audit, "sar_denied": sar_denied,
 })

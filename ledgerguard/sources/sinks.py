@@ -14,12 +14,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _gathered(df: DataFrame, partition_by: list[str]) -> DataFrame:
+    """Rows gathered by the partition columns before they are written, so that a partition gets few files (a large one
+    several, as Spark splits what exceeds its advisory size) instead of one from every task."""
+    return df.hint("rebalance", *partition_by)
+
+
 def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """O-S6: append a query result to a parquet table (optionally partitioned, e.g. by flag_domain)."""
-    w = df.write.mode("append")
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+        _gathered(df, partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("append").parquet(path)
+
+
+def backfill_table(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """O-S7 as a table: replaces the partitions that ``df`` has rows of, whole, and leaves every other file alone."""
+    (_gathered(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(path))
 
 
 def export_csv(df: DataFrame, path: str, limit: int | None = None) -> None:
@@ -60,7 +72,3 @@ class CachedTable:
         if self._df is not None:
             self._df.unpersist()
             self._df = None
-
-
-def partition_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))

@@ -658,6 +658,10 @@ FROM sar_ok
 UNION ALL
 SELECT request_id, flag_id, 'error', NULL, NULL, error FROM sar_eval WHERE error IS NOT NULL""",
          "sar_ok", "sar_eval")
+register("sar_responses", """
+SELECT request_id, '{"filing_id":' || CAST(filing_id AS VARCHAR) || ',"status":"DRAFT","flag_id":' || CAST(flag_id AS VARCHAR)
+  || ',"message":"SAR draft created."}' AS response FROM sar_ok
+UNION ALL SELECT request_id, '{"error":"' || error || '"}' FROM sar_eval WHERE error IS NOT NULL""", "sar_ok", "sar_eval")
 register("sar_filings", f"""
 SELECT filing_id, customer_id, account_id, 'DRAFT' AS filing_status,
   'SAR drafted from risk flag ' || CAST(flag_id AS VARCHAR) || '. Flag: ' || flag_type || '. Regulatory basis: '
@@ -686,8 +690,11 @@ FROM (SELECT account_id, MIN(flag_id) AS request_id FROM risk_flags
       WHERE flag_domain = 'FRAUD' AND flag_status = 'CONFIRMED_FRAUD' GROUP BY account_id) q
 JOIN accounts a ON a.account_id = q.account_id""", ["risk_flags", "accounts", "case_escalations"])
 register("freeze_batch", """
-SELECT request_id, account_id, 'ok' AS status, case_id, 'Account flagged and case opened.' AS message,
+SELECT request_id, account_id, 'ok' AS status, case_id, 'FROZEN' AS new_status, 'Account flagged and case opened.' AS message,
   CAST(NULL AS VARCHAR) AS error FROM freeze_ok""", "freeze_ok")
+register("freeze_responses", """
+SELECT request_id, '{"account_id":' || CAST(account_id AS VARCHAR) || ',"new_status":"FROZEN","case_id":' || CAST(case_id AS VARCHAR)
+  || ',"message":"Account flagged and case opened."}' AS response FROM freeze_ok""", "freeze_ok")
 register("freeze_cases", """
 SELECT case_id, customer_id, account_id, linked_flag_id, CAST(NULL AS BIGINT) AS linked_filing_id, 'OPEN' AS status,
   'Account frozen. Reason: Confirmed fraud under review' AS resolution_notes FROM freeze_ok""", "freeze_ok")
@@ -701,6 +708,10 @@ SELECT request_id, case_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END A
   CASE WHEN error IS NULL THEN 'ESCALATED' END AS new_status,
   CASE WHEN error IS NULL THEN 'Case escalated.' END AS message, error
 FROM esc_eval""", "esc_eval")
+register("escalate_responses", f"""
+SELECT request_id, CASE WHEN error IS NOT NULL THEN '{{"error":"' || error || '"}}' ELSE '{{"case_id":' || CAST(case_id AS VARCHAR)
+  || ',"new_status":"ESCALATED","escalated_to":"{COMMITTEE}","message":"Case escalated."}}' END AS response
+FROM esc_eval""", "esc_eval")
 register("escalate_state", f"""
 SELECT k.case_id, CASE WHEN e.case_id IS NOT NULL THEN 'ESCALATED' ELSE k.status END AS status,
   CASE WHEN e.case_id IS NOT NULL THEN '{COMMITTEE}' ELSE k.escalated_to END AS escalated_to,
@@ -717,6 +728,10 @@ SELECT object_type, object_id,
   json_extract_string(arg_max(after_state, struct_pack(event_ts, log_id)), '$.status') AS current_status,
   COUNT(*) AS events
 FROM audit_log GROUP BY object_type, object_id""", "audit_log")
+ORACLE["audit_replay_tail"] = ORACLE["audit_replay"]
+register("backfill_positions", """
+SELECT position_date, COUNT(*) AS n, COUNT(lcr_ratio) AS filled, COUNT(*) FILTER (lcr_breach) AS breaches
+FROM positions GROUP BY 1""", "positions")
 
 register("action_chain", """
 SELECT '1_FILE_SAR' AS step, (SELECT COUNT(*) FROM sar_ok) AS accepted,
