@@ -94,3 +94,6 @@ ERR_CASE = "Case not found or already resolved/closed"
 MSG_SAR = "SAR draft created."
 MSG_FREEZE = "Account flagged and case opened."
 MSG_ESCALATE = "Case escalated."
+
+# fixed values: countries of the generated transactions
+GENERATED_COUNTRIES = ["USA", "GBR", "CAN", "AUS", "DEU", "FRA", "SGP", "JPN", "NLD", "CHE"]

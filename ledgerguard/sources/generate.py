@@ -56,7 +56,7 @@ def generate_transactions(spark: SparkSession, n: int, accounts: int = 800,
         lookup(K.CHANNELS, rn % len(K.CHANNELS)).alias("channel"),
         lookup(K.TXN_CATEGORIES, rn % len(K.TXN_CATEGORIES)).alias("txn_category"),
         F.when(rn % CROSS_BORDER_EVERY == 0, lookup(K.HIGH_RISK_COUNTRIES, rn % 10))
-         .otherwise(lookup(["USA", "GBR", "CAN", "AUS", "DEU", "FRA", "SGP", "JPN", "NLD", "CHE"], rn % 10))
+         .otherwise(lookup(K.GENERATED_COUNTRIES, rn % len(K.GENERATED_COUNTRIES)))
          .alias("country_code"),
         F.when(rn % 3 == 0, "CREDIT").otherwise("DEBIT").alias("txn_type"),
         labels["fraud_pattern"].alias("fraud_pattern"),

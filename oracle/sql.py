@@ -17,6 +17,7 @@ def avg_dec(expr: str, scale: int) -> str:
 
 
 # ---- verified queries -------------------------------------------------------
+# fixed values: the output columns, limits and orders of q1 to q8 are the documented ones
 register("q1", f"""
 SELECT t.account_id, a.account_type, c.segment,
   COUNT(*) AS flagged_txn_count,
