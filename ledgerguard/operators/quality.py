@@ -47,14 +47,40 @@ FOREIGN_KEYS = [
 ]
 
 
-def row_counts(tables: dict[str, DataFrame], expected: dict[str, int] = EXPECTED_MIN_ROWS) -> DataFrame:
-    """O-DQ1: one row per table: count, expected lower bound, pass."""
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
-             for name, df in tables.items()]
-    u = reduce(lambda a, b: a.unionByName(b), parts)
+ROWS = "rows"
+
+
+def profile_columns(name: str) -> list[Column]:
+    """The aggregates of a table's profile: its rows, and for each domain check the rows that violate it.  They can be
+    observed while the table is written, or computed in one scan."""
+    checks = domain_checks().get(name, {})
+    return [F.count(F.lit(1)).alias(ROWS)] + [
+        F.coalesce(F.sum(F.when(F.coalesce(p, F.lit(False)), 0).otherwise(1)), F.lit(0)).cast("bigint").alias(k)
+        for k, p in checks.items()]
+
+
+def profile(tables: dict[str, DataFrame], observed: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """``table_name``, ``check_name``, ``value`` of every table.  Tables whose profile was observed when they were
+    written (``observed``) are not read; each other one is scanned once for its count and all its checks."""
+    parts = []
+    for name, df in tables.items():
+        columns = profile_columns(name)
+        names = [ROWS, *domain_checks().get(name, {})]
+        if observed and name in observed:
+            rows = df.sparkSession.range(1).select(*[F.lit(observed[name][k]).cast("bigint").alias(k) for k in names])
+        else:
+            rows = df.agg(*columns)
+        stack = ", ".join(f"'{k}', `{k}`" for k in names)
+        parts.append(rows.selectExpr(f"'{name}' AS table_name", f"stack({len(names)}, {stack}) AS (check_name, value)"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def row_counts(profiled: DataFrame, expected: dict[str, int] = EXPECTED_MIN_ROWS) -> DataFrame:
+    """O-DQ1: one row per table of a :func:`profile`: count, expected lower bound, pass."""
     exp = F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(v))])
-    return (u.withColumn("min_expected", F.coalesce(F.element_at(exp, c("table_name")), F.lit(0)).cast("bigint"))
-             .withColumn("meets_minimum", c("n") >= c("min_expected")))
+    return (profiled.filter(c("check_name") == ROWS).select("table_name", c("value").alias("n"))
+            .withColumn("min_expected", F.coalesce(F.element_at(exp, c("table_name")), F.lit(0)).cast("bigint"))
+            .withColumn("meets_minimum", c("n") >= c("min_expected")))
 
 
 def duplicate_keys(tables: dict[str, DataFrame]) -> DataFrame:
@@ -90,9 +116,6 @@ def _in(col: str, values) -> Column:
     return c(col).isin(list(values))
 
 
-DOMAIN_CHECKS: dict[str, dict[str, Column]] = {}
-
-
 def domain_checks() -> dict[str, dict[str, Column]]:
     """Per table: check name -> predicate that must hold (NULL counts as a violation)."""
     return {
@@ -118,17 +141,9 @@ def domain_checks() -> dict[str, dict[str, Column]]:
     }
 
 
-def domain_violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """O-DQ4: violations per (table, check), one aggregation pass per table."""
-    parts = []
-    for name, checks in domain_checks().items():
-        if name not in tables:
-            continue
-        agg = tables[name].agg(*[F.sum(F.when(F.coalesce(p, F.lit(False)), 0).otherwise(1)).cast("bigint").alias(k)
-                                 for k, p in checks.items()])
-        stack = ", ".join(f"'{k}', `{k}`" for k in checks)
-        parts.append(agg.selectExpr(f"'{name}' AS table_name", f"stack({len(checks)}, {stack}) AS (check_name, violations)"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def domain_violations(profiled: DataFrame) -> DataFrame:
+    """O-DQ4: violations per (table, check) of a :func:`profile`."""
+    return profiled.filter(c("check_name") != ROWS).select("table_name", "check_name", c("value").alias("violations"))
 
 
 SENSITIVE = {"customers": ["national_id", "full_name"], "accounts": ["account_number"]}

@@ -15,6 +15,7 @@ rebuilt as Spark jobs:
 
 from __future__ import annotations
 
+import time
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -298,3 +299,15 @@ def run_summary(questions: DataFrame, results: DataFrame) -> DataFrame:
     return (questions.select("query_id").distinct().join(found, "query_id", "left")
             .select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), "best_score",
                     F.coalesce(c("hits") > 0, F.lit(False)).alias("passed")))
+
+
+def run_report(index: SearchIndex, questions: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """O-R9: a whole run.  The questions are answered as one batch; (per question: hits, best score, passed and the seconds of
+    the batch that answered it; totals: asked, passed, failed, seconds)."""
+    began = time.perf_counter()
+    results = cut_lineage(bm25(index, questions, k))
+    seconds = F.lit(round(time.perf_counter() - began, 3))
+    each = cut_lineage(run_summary(questions, results).withColumn("latency_seconds", seconds))
+    totals = each.agg(F.count(F.lit(1)).alias("asked"), F.count_if("passed").alias("passed"),
+                      F.count_if(~c("passed")).alias("failed"), F.max("latency_seconds").alias("seconds"))
+    return each, totals

@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from ledgerguard.operators.credit import build_credit_flags, derive_credit
 from ledgerguard.operators.flags import union_flags
 from ledgerguard.operators.fraud import build_fraud_flags, classify_fraud
 from ledgerguard.operators.liquidity import build_liquidity_flags, derive_liquidity
+from ledgerguard.operators.quality import PRIMARY_KEYS, profile_columns
 from ledgerguard.session import AS_OF_DEFAULT, cut_lineage
 from ledgerguard.sources.adapters import BankTables
 
@@ -44,6 +45,7 @@ class RiskContext:
         self.materialize = materialize
         self.bank = BankTables(spark, sf_dir)
         self._stored: dict[str, DataFrame] = {}
+        self.observed: dict[str, dict[str, int]] = {}     # profiles of the stored tables
 
     def stored(self, name: str) -> DataFrame:
         """The table as a stored snapshot (reliable checkpoint in the shared checkpoint folder).
@@ -52,7 +54,13 @@ class RiskContext:
         as they would from the written table in production, instead of re-deriving it.
         """
         if name not in self._stored:
-            self._stored[name] = cut_lineage(getattr(self, name), STORED_SORT.get(name))
+            df, table = getattr(self, name), name.removeprefix("derived_")
+            if table in PRIMARY_KEYS:  # a bank table: its profile is observed while it is written
+                seen = Observation()
+                self._stored[name] = cut_lineage(df.observe(seen, *profile_columns(table)), STORED_SORT.get(name))
+                self.observed[table] = seen.get
+            else:
+                self._stored[name] = cut_lineage(df, STORED_SORT.get(name))
         return self._stored[name]
 
     @property

@@ -15,6 +15,7 @@ from ledgerguard.functions import constants as K
 from ledgerguard.operators import actions as A
 from ledgerguard.operators import governance as G
 from ledgerguard.operators import quality as DQ
+from ledgerguard.session import cut_lineage
 
 c = F.col
 OFFICER = G.Actor("compliance.officer" + K.BANK_DOMAIN, K.ROLE_COMPLIANCE)
@@ -56,8 +57,16 @@ def audit_authorization(ctx) -> DataFrame:
 
 
 # ---- data quality ---------------------------------------------------------------
+def _profile(ctx) -> DataFrame:
+    """Counts and domain checks of all tables: observed for those that were stored, one scan each for the others."""
+    if "dq_profile" not in ctx.__dict__:
+        tables = _tables(ctx)
+        ctx.dq_profile = cut_lineage(DQ.profile(tables, ctx.observed))
+    return ctx.dq_profile
+
+
 def dq_counts(ctx):
-    return DQ.row_counts(_tables(ctx))
+    return DQ.row_counts(_profile(ctx))
 
 
 def dq_keys(ctx):
@@ -69,7 +78,7 @@ def dq_orphans(ctx):
 
 
 def dq_domains(ctx):
-    return DQ.domain_violations(_tables(ctx))
+    return DQ.domain_violations(_profile(ctx))
 
 
 def dq_masking(ctx):

@@ -113,6 +113,13 @@ def run_summary(ctx):
     return R.run_summary(_questions(ctx), bm25_top_k(ctx))
 
 
+def run_totals(ctx):
+    """O-R9: the run's totals over the questions and every benchmark passage; seconds only tell that it was timed."""
+    asked = _questions(ctx).unionByName(ctx.bank.raw("benchmark").select((c("item_id") + 1000).alias("query_id"), "text"))
+    _, totals = R.run_report(ctx.search_index, asked.unionByName(ctx.spark.createDataFrame([(-1, "?!")], "query_id long, text string")))
+    return totals.select("asked", "passed", "failed", (c("seconds") > 0).alias("timed"))
+
+
 # ---- streaming ---------------------------------------------------------------
 def _events_glob(ctx) -> str:
     return f"{ctx.sf_dir.rstrip('/')}/event[s].parquet"
@@ -214,7 +221,7 @@ ENTRIES = {
     "bm25_filtered": bm25_filtered, "bm25_benchmark": bm25_benchmark, "vector_top_k": vector_top_k, "vector_neighbours": vector_neighbours,
     "doc_tags": doc_tags, "doc_snippets": doc_snippets, "conversation_pairs": conversation_pairs,
     "conversation_summary": conversation_summary, "agent_log_extract": agent_log_extract,
-    "run_summary": run_summary,
+    "run_summary": run_summary, "run_totals": run_totals,
     "stream_velocity": stream_velocity, "refresh_increment": refresh_increment, "refresh_rerun": refresh_rerun, "missed_flags": missed_flags,
     "sliding_velocity": sliding_velocity, "flag_rate_15min": flag_rate_15min, "doc_index_stream": doc_index_stream,
     "doc_index_changes": doc_index_changes,

@@ -807,6 +807,14 @@ SELECT q.query_id, COUNT(t.score) AS hits, MAX(t.score) AS best_score, COUNT(t.s
 FROM (SELECT DISTINCT query_id FROM questions) q LEFT JOIN ({bm25_sql('questions', 10)}) t ON t.query_id = q.query_id
 GROUP BY q.query_id""", "postings", "idf", "questions")
 
+add_cte("asked", """
+SELECT query_id, text FROM questions UNION ALL SELECT item_id + 1000, text FROM benchmark UNION ALL SELECT -1, '?!'""", ["questions"])
+register("run_totals", """
+SELECT COUNT(*) AS asked, COUNT(*) FILTER (hit) AS passed, COUNT(*) FILTER (NOT hit) AS failed, TRUE AS timed FROM (
+  SELECT a.query_id, bool_or(p.term IS NOT NULL) AS hit
+  FROM (SELECT DISTINCT query_id, unnest(CASE WHEN len(t) = 0 THEN ['?'] ELSE t END) AS term FROM (
+          SELECT query_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 0) AS t FROM asked)) a
+  LEFT JOIN (SELECT DISTINCT term FROM postings) p ON p.term = a.term GROUP BY 1)""", "asked", "postings")
 add_cte("centroids", """
 SELECT label AS query_id, list(m ORDER BY i) AS qvec FROM (
   SELECT label, i, AVG(CAST(x AS DOUBLE)) AS m

@@ -82,6 +82,29 @@ def test_run_summary_counts_questions_without_hits(spark):
     assert sorted(tuple(r) for r in R.run_summary(asked, hits).collect()) == [(1, 2, 3.0, True), (2, 0, None, False)]
 
 
+def test_a_run_reports_failed_questions_and_its_time(spark):
+    docs = spark.createDataFrame([(1, "cash deposit"), (2, "wire")], "doc_id long, content string")
+    asked = spark.createDataFrame([(1, "cash"), (2, "gold"), (3, "")], "query_id long, text string")
+    each, totals = R.run_report(R.write_index(docs), asked, k=3)
+    assert sorted((r.query_id, r.hits, r.passed) for r in each.collect()) == [(1, 1, True), (2, 0, False), (3, 0, False)]
+    t = totals.first()
+    assert (t.asked, t.passed, t.failed) == (3, 1, 2) and t.seconds > 0 and all(r.latency_seconds == t.seconds for r in each.collect())
+
+
+def test_profiles_are_observed_when_tables_are_stored(spark):
+    """The stored tables' counts and domain checks come with the write; what is observed equals a scan."""
+    from ledgerguard.operators import quality as DQ
+    from ledgerguard.plans.context import RiskContext
+    ctx = RiskContext(spark, "/root/testdata/sf0.001")
+    tables = {"transactions": ctx.transactions, "credit_exposures": ctx.credit_exposures, "customers": ctx.customers}
+    assert set(ctx.observed) == {"transactions", "credit_exposures"}
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    observed, scanned = DQ.profile(tables, ctx.observed), DQ.profile(tables)
+    assert rows(observed) == rows(scanned)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().toString().count("parquet")
+    assert scans(scanned) == 4 and scans(observed) == 2     # customers join nation; the two others are one scan each
+
+
 def test_agent_log_extract(spark):
     body = '{"content":[{"type":"text","text":"short"},{"type":"tool_use","name":"search"},' \
            '{"type":"text","text":"the longest part"},{"type":"tool_use","name":"analyst"}]}'
