@@ -13,13 +13,6 @@ from ledgerguard.sources.schemas import RISK_FLAGS_SCHEMA, conform
 CREDIT_ID_BASE = 2_000_000_000_000_000
 
 
-def backfill(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """O-S7: fill a derived column only where it is NULL (parquet has no UPDATE)."""
-    if name in df.columns:
-        return df.withColumn(name, F.coalesce(F.col(name), value))
-    return df.withColumn(name, value)
-
-
 def expected_loss(pd: Column, lgd: Column, ead: Column) -> Column:
     """O-D10: round(PD * LGD * EAD, 2) in exact decimal arithmetic."""
     return F.round(pd * lgd * ead, 2).cast("decimal(18,2)")

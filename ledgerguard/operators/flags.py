@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.functions.rules import score_band
 from ledgerguard.sources.schemas import RISK_FLAGS_SCHEMA, conform
 
 
@@ -18,10 +17,6 @@ def union_flags(*flag_frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def with_score_band(flags: DataFrame) -> DataFrame:
-    return flags.withColumn("score_band", score_band(F.col("flag_score")))
-
-
 PAYLOAD_FIELDS = {
     "FRAUD": ["customer_id", "account_id", "txn_id", "amount", "channel", "country_code",
               "fraud_pattern", "flag_score", "txn_ts", "counterparty_account", "review_status"],

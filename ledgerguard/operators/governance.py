@@ -79,12 +79,6 @@ def secure_view(table: str, df: DataFrame, actor: Actor) -> DataFrame:
     return out
 
 
-def register_secure_views(spark: SparkSession, tables: dict[str, DataFrame], actor: Actor, prefix: str = "secure_"):
-    """One temp view per table for the actor (SQL users see only masked data)."""
-    for name, df in tables.items():
-        secure_view(name, df, actor).createOrReplaceTempView(f"{prefix}{name}")
-
-
 # --- fixed values: grants (role, privilege, object) ---------------------------
 _READ_ALL = ["customers", "accounts", "transactions", "credit_exposures", "liquidity_positions",
              "regulatory_filings", "case_escalations", "audit_log", "risk_flags", "policy_docs"]

@@ -243,10 +243,6 @@ def doc_tags(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def docs_with_tag(docs: DataFrame, tag: str) -> DataFrame:
-    return docs.filter(F.array_contains("tags", tag))
-
-
 def doc_snippets(docs: DataFrame, n: int = 5, chars: int = 200) -> DataFrame:
     """O-R6: title + first characters of the first documents (a bounded preview list)."""
     return (docs.orderBy("doc_id").limit(n)

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.functions import constants as K
-from ledgerguard.functions.rules import rule_catalog_df
+from ledgerguard.functions.rules import rule_catalog_df, short_tip, unactioned
 from ledgerguard.operators import rules_ext as X
 from ledgerguard.operators.governance import Actor
 from ledgerguard.plans.dashboard import filter_flags
 from ledgerguard.plans.search_queries import bm25_top_k
 from ledgerguard.sources import generate as GEN
 from ledgerguard.sources import sinks as SK
-from ledgerguard.sources.schemas import RISK_FLAGS_SCHEMA, conform
+from ledgerguard.sources.schemas import RISK_FLAGS_SCHEMA, conform, load
 from ledgerguard.streaming.refresh import scratch_path
 from ledgerguard.session import ts_lit
 
@@ -44,11 +44,23 @@ def rule_catalog_usage(ctx) -> DataFrame:
         "flag_type", "n", c("threshold_field").alias("catalog_field"), c("threshold_limit").alias("catalog_limit"))
 
 
+def generated_transactions(ctx) -> DataFrame:
+    """O-S2, O-W1: the row generator at the size of the event table: rows and accounts by label and country."""
+    g = GEN.generate_transactions(ctx.spark, ctx.bank.raw("events").count())     # one number
+    return g.groupBy("fraud_pattern", "country_code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("account_id").alias("accounts"))
+
+
+def flag_tips(ctx) -> DataFrame:
+    """O-D26: the short explanation that stands beside each flag type, with its flags."""
+    return (ctx.risk_flags.groupBy("flag_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(unactioned(c("flag_status"))).alias("unactioned"))
+            .select("flag_type", short_tip(c("flag_type")).alias("tip"), "n", "unactioned"))
+
+
 def flags_append(ctx) -> DataFrame:
     """O-S6: append the flag queue to a table partitioned by domain; read it back."""
     path = scratch_path(ctx.spark, "risk_flags")
     SK.append_table(ctx.risk_flags, path, ["flag_domain"])
-    back = ctx.spark.read.parquet(path)
+    back = load(ctx.spark, path, "risk_flags")
     return back.groupBy("flag_domain", "flag_status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -226,7 +238,7 @@ def x15(ctx):
 
 ENTRIES = {
     "gen_labels": gen_labels, "bucket_index": bucket_index, "rule_catalog_usage": rule_catalog_usage,
-    "flags_append": flags_append, "backfill_positions": backfill_positions, "export_flags_csv": export_flags_csv, "export_audit_csv": export_audit_csv, "export_results_json": export_results_json,
+    "flags_append": flags_append, "generated_transactions": generated_transactions, "flag_tips": flag_tips, "backfill_positions": backfill_positions, "export_flags_csv": export_flags_csv, "export_audit_csv": export_audit_csv, "export_results_json": export_results_json,
     "fn_string": fn_string, "fn_math": fn_math, "fn_null": fn_null, "fn_random": fn_random, "fn_date": fn_date,
     "fn_array": fn_array, "fn_json": fn_json, "fn_context": fn_context,
 }

@@ -255,7 +255,7 @@ def sar_denied(ctx):
 
 
 ENTRIES = {}
-for _r in [K.ROLE_ADMIN, K.ROLE_MANAGER, K.ROLE_ANALYST, K.ROLE_AUDITOR]:
+for _r in K.ALL_ROLES:
     ENTRIES[f"masked_customers_{_r.lower()}"] = masked_customers(_r)
     ENTRIES[f"masked_accounts_{_r.lower()}"] = masked_accounts(_r)
 ENTRIES["filings_rowfilter_manager"] = filings_rowfilter(K.ROLE_MANAGER, "reviewer@partner.example")

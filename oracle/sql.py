@@ -527,7 +527,7 @@ def mask_sql(kind: str, col: str, role: str) -> str:
     return f"'XXXX-XXXX-' || right({col}, 4)"
 
 
-for _r in [K.ROLE_ADMIN, K.ROLE_MANAGER, K.ROLE_ANALYST, K.ROLE_AUDITOR]:
+for _r in K.ALL_ROLES:
     register(f"masked_customers_{_r.lower()}", f"""
 SELECT customer_id, {mask_sql('full_name', 'full_name', _r)} AS full_name,
   {mask_sql('national_id', 'national_id', _r)} AS national_id, segment FROM customers""", "customers")
@@ -901,6 +901,13 @@ SELECT fraud_pattern, COUNT(*) AS n FROM (
   SELECT CASE WHEN (event_id + 1) % 33 < 5 THEN 'VELOCITY' WHEN (event_id + 1) % 50 = 0 THEN 'STRUCTURING'
               WHEN (event_id + 1) % 75 = 0 THEN 'CROSS_BORDER' WHEN (event_id + 1) % 120 = 0 THEN 'ROUND_NUMBER'
          END AS fraud_pattern FROM events) WHERE fraud_pattern IS NOT NULL GROUP BY 1""")
+register("generated_transactions", f"""
+SELECT fraud_pattern, country_code, COUNT(*) AS n, COUNT(DISTINCT account_id) AS accounts FROM (
+  SELECT CASE WHEN rn % 33 < 5 THEN 'VELOCITY' WHEN rn % 50 = 0 THEN 'STRUCTURING'
+              WHEN rn % 75 = 0 THEN 'CROSS_BORDER' WHEN rn % 120 = 0 THEN 'ROUND_NUMBER' END AS fraud_pattern,
+    CASE WHEN rn % 75 = 0 THEN {K.HIGH_RISK_COUNTRIES!r}[CAST(rn % 10 AS INT) + 1]
+         ELSE {K.GENERATED_COUNTRIES!r}[CAST(rn % 10 AS INT) + 1] END AS country_code, rn % 800 + 1 AS account_id
+  FROM (SELECT unnest(range(1, (SELECT COUNT(*) FROM events) + 1)) AS rn)) GROUP BY 1, 2""")
 _BUCKETS = ", ".join(f"({i + 1}, '{b}')" for i, b in enumerate(K.TENOR_BUCKETS))
 register("bucket_index", f"""
 SELECT b.idx, b.tenor_bucket, p.positions
@@ -908,6 +915,12 @@ FROM (SELECT tenor_bucket, COUNT(*) AS positions FROM positions GROUP BY 1) p
 JOIN (VALUES {_BUCKETS}) b(idx, tenor_bucket) ON b.tenor_bucket = p.tenor_bucket""", "positions")
 _CATV = ", ".join("('{}', {}, {})".format(t, f"'{f}'" if f else "NULL", "NULL" if lim is None else f"{float(lim)}::DOUBLE")
                   for t, f, lim, _ in _CAT)
+from ledgerguard.functions.rules import SHORT_TIPS as _TIPS  # noqa: E402
+
+_TIPV = ", ".join(f"('{t}', '{tip}')" for t, tip in _TIPS.items())
+register("flag_tips", f"""
+SELECT f.flag_type, t.tip, COUNT(*) AS n, COUNT(*) FILTER (f.flag_status NOT IN ('ACTIONED', 'DISMISSED')) AS unactioned
+FROM risk_flags f LEFT JOIN (VALUES {_TIPV}) t(flag_type, tip) ON t.flag_type = f.flag_type GROUP BY 1, 2""", "risk_flags")
 register("rule_catalog_usage", f"""
 SELECT f.flag_type, f.n, k.fld AS catalog_field, k.lim AS catalog_limit
 FROM (SELECT flag_type, COUNT(*) AS n FROM risk_flags GROUP BY 1) f
