@@ -10,6 +10,7 @@ import gc
 import json
 import time
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,28 @@ def literal_rows(spark, rows: list[dict], fields: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")))
 
 
+def releasing(run):
+    """A function over Arrow batches that gives the memory that Arrow holds for later back when a task's rows are done: the
+    worker stays for other tasks, which may need none of it."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+    return wrapped
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until the frame has no such column (columns are compared without case)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def row_key(doc_id="doc_id", text="text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 

@@ -4,10 +4,11 @@ Texts are cut into lower-cased words and five-word shingles.  A shingle of the b
 1 + floor(log2(items / items that hold it)); any other weighs the most.  Windows have an item's number of
 words (fewer at a text's end) and start at a shingle of that item; one whose benchmark shingles are fewer
 than 0.8 of all cannot reach a weighted similarity of 0.8 and is left out, and moving a window's start to
-the first shingle of its item never lowers its similarity, so no passage is lost.  Fingerprints have 64
+the first shingle of its item never lowers its similarity, so no passage is lost.  So a window only meets items that
+have its first shingle: with blocks of four bits alone, two thirds of all windows and items would meet.  Fingerprints have 64
 bits, one for each sign of the weighted sum over the window's benchmark shingles.  With ``RADIUS`` + 1
-blocks of bits, two fingerprints within ``RADIUS`` agree in one block, so a join on (window size, block,
-bits) finds all of them.  Candidates are verified by the exact weighted Jaccard similarity of the bags of
+blocks of bits, two fingerprints within ``RADIUS`` agree in one block, so a join on (window size, first
+shingle, block, bits) finds all of them.  Candidates are verified by the exact weighted Jaccard similarity of the bags of
 shingles.
 
 Only shingles that the benchmark holds leave a document's row.  The benchmark's shingle table is joined
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import SHINGLE_WORDS, SIMILARITY, SPACES, row_key, stored, texts
+from ledgerguard.llm.common import SHINGLE_WORDS, SIMILARITY, SPACES, fresh, row_key, stored, texts
 
 RADIUS, BITS = 15, 64
 #: A document's row; doc_id is 0 where there is none, so that plain joins keep it.
@@ -65,6 +66,11 @@ def _blocks(d: DataFrame, fp: str) -> DataFrame:
     return d.withColumn("_b", F.explode(F.array(*parts))).select("*", "_b.block", "_b.bits").drop("_b")
 
 
+def met(windows: DataFrame, starts: DataFrame) -> DataFrame:
+    """The windows beside the items that hold their first shingle and agree with them in a block."""
+    return _blocks(windows, "fp").join(_blocks(starts, "item_fp"), ["m", "start", "block", "bits"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, row_key, item_id, start_word, n_words, hamming, similarity: the best window of every
     document and item that reach the similarity."""
@@ -93,21 +99,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     least = f"ceil({similarity} * (least(m, n_words - x.pos) - {SHINGLE_WORDS - 1}))"
     windows = (rows.select("*", F.posexplode("s").alias("i", "x")).select("*", F.explode("x.sizes").alias("m"))
                .filter(F.expr(f"coalesce(get(s, cast(i + {least} - 1 as int)).pos <= x.pos + m - {SHINGLE_WORDS}, false)"))
-               .withColumn("p", F.col("x.pos"))
+               .withColumn("p", F.col("x.pos")).withColumn("start", F.col("x.h"))
                .withColumn("size", F.least(F.col("m"), F.col("n_words") - F.col("p")))
                .withColumn("y", F.explode(F.expr(
                    f"filter(slice(s, i + 1, m), y -> y.pos <= p + m - {SHINGLE_WORDS})"))))
-    held = stored(windows.select(*KEY, "m", "p", "size", "top", "y.h", "y.w")
-                  .groupBy(*KEY, "m", "p", "size", "top", "h", "w").agg(F.count(F.lit(1)).alias("c")))
+    held = stored(windows.select(*KEY, "m", "p", "start", "size", "top", "y.h", "y.w")
+                  .groupBy(*KEY, "m", "p", "start", "size", "top", "h", "w").agg(F.count(F.lit(1)).alias("c")))
     window = [*KEY, "m", "p"]
-    fp = _fingerprint(held.select(*window, "size", "top", "h", "c", (F.col("w") * F.col("c")).alias("w")),
-                      *window, "size", "top")
+    fp = _fingerprint(held.select(*window, "start", "size", "top", "h", "c", (F.col("w") * F.col("c")).alias("w")),
+                      *window, "start", "size", "top")
     places = held.groupBy(*window).agg(F.sum("c").alias("places"))
     fp = stored(fp.join(places, window).withColumn("window_weight", F.col("weight") + F.col("top") * (
         F.col("size") - (SHINGLE_WORDS - 1) - F.col("places"))))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = (_blocks(fp, "fp").join(_blocks(item_fp, "item_fp"), ["m", "block", "bits"])
-            .select(*window, "size", "window_weight", "item_id", "item_weight", distance.alias("hamming"))
+    starts = item_fp.join(bag.select("item_id", "m", F.col("h").alias("start")), ["item_id", "m"])
+    near = (met(fp, starts).select(*window, "size", "window_weight", "item_id", "item_weight", F.bit_count(
+                F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"))
             .filter(F.col("hamming") <= RADIUS).distinct())
     common = (near.join(held.select(*window, "h", "w", "c"), window)
               .join(bag.select("item_id", "m", "h", F.col("c").alias("ic")), ["item_id", "m", "h"])
@@ -122,6 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline form: the documents that hold no benchmark passage."""
-    found = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).distinct())
+    d_, k_ = fresh(docs, "_d", "_k")
+    found = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias(d_), F.col("row_key").alias(k_)).distinct())
     key = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k")), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col(d_)) & (key == F.col(k_)), "left_anti")
