@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import row_key, stored, texts
+from ledgerguard.llm.common import fresh, releasing, row_key, stored, texts
 from ledgerguard.llm.graph import components
 from ledgerguard.llm.shingles import mix, shingle_sets
 
@@ -69,6 +69,7 @@ def signatures(docs: DataFrame, shingle_words: int, rows: bool = False) -> DataF
     """doc_id, row_key (if ``rows``), n_shingles, cls (id of the set; null if empty), sig."""
     own = ["doc_id", "row_key"] if rows else ["doc_id"]
 
+    @releasing
     def run(batches):
         for batch in batches:
             for row, sets in shingle_sets(batch.column("text"), shingle_words):
@@ -87,6 +88,7 @@ def signatures(docs: DataFrame, shingle_words: int, rows: bool = False) -> DataF
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
     """(cls, n, shingles) of the wanted classes: their first documents are read again."""
+    @releasing
     def run(batches):
         for batch in batches:
             for _, sets in shingle_sets(batch.column("text"), shingle_words):
@@ -223,15 +225,16 @@ def one_of_each(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     rows = sig.select("doc_id", "row_key", "cls").join(of, F.col("cls") == F.col("_cls"))
     kept = F.col("doc_id").eqNullSafe(F.col("_best.doc_id")) & (F.col("row_key") == F.col("_best.row_key"))
     # one row for each that goes or is there again
-    decided = stored(rows.groupBy(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"))
-                     .agg(F.bool_and(kept).alias("_kept"), F.count(F.lit(1)).alias("_n")).filter(~F.col("_kept") | (F.col("_n") > 1)))
+    d_, k_, kept_, n_, row_ = fresh(docs, "_d", "_k", "_kept", "_n", "_row")
+    decided = stored(rows.groupBy(F.col("doc_id").alias(d_), F.col("row_key").alias(k_))
+                     .agg(F.bool_and(kept).alias(kept_), F.count(F.lit(1)).alias(n_)).filter(~F.col(kept_) | (F.col(n_) > 1)))
     key = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (key == F.col("_k"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(d_)) & (key == F.col(k_))
     out = docs.join(decided, same, "left_anti")
-    again = decided.filter("_kept")
+    again = decided.filter(F.col(kept_))
     if again.isEmpty():
         return out
     # of repeated rows the first one by a stored number
-    copies = stored(docs.join(again, same).drop("_kept", "_n").withColumn("_row", F.monotonically_increasing_id()))
-    first = copies.groupBy(F.col("_d").alias("_d1"), F.col("_k").alias("_k1")).agg(F.min("_row").alias("_first"))
-    return out.union(copies.join(first, F.col("_row") == F.col("_first"), "left_semi").select(*docs.columns))
+    copies = stored(docs.join(again, same).drop(kept_, n_).withColumn(row_, F.monotonically_increasing_id()))
+    first = copies.groupBy(d_, k_).agg(F.min(row_).alias(row_)).select(row_)
+    return out.union(copies.join(first, row_, "left_semi").select(*docs.columns))
