@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import texts
+from ledgerguard.llm.common import releasing, texts
 
 KINDS = ["email", "ip", "card", "phone"]
 MIN_DIGITS, MIN_NAME = 7, 6
@@ -42,6 +44,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_WORD, _LETTER = re.compile(r"[\w.%+-]+", re.A), re.compile(r"\w", re.A)
 
 
 def luhn(digits: str) -> bool:
@@ -96,8 +99,7 @@ def _shape(text: str, start: int, end: int, digits: str) -> str:
 
 def nodes(text: str, spans, groups) -> list[tuple[int, int, int, str, str]]:
     """(start, end, label or -1, shape, form) of a text's nodes, in order."""
-    out, covered = [], []
-    names = set()
+    out, names = [], set()
     for a, kind, b in spans:
         if kind == 0:
             name = text[a:text.index("@", a)].lower()
@@ -107,18 +109,37 @@ def nodes(text: str, spans, groups) -> list[tuple[int, int, int, str, str]]:
         else:
             digits = _NOT_DIGIT.sub("", text[a:b])
             out.append((a, b, kind, _shape(text, a, b, digits), digits[-7:] if kind != 1 else text[a:b]))
-        covered.append((a, b))
+    starts = [a for a, _, _ in spans]
+    reach = list(accumulate((b for _, _, b in spans), max))  # how far the spans up to each one reach
     for a, b, digits in groups:
-        if not any(x < b and a < y for x, y in covered):
+        before = bisect_left(starts, b)
+        if not before or reach[before - 1] <= a:
             out.append((a, b, -1, _shape(text, a, b, digits), digits[-7:]))
-    if names:
-        word = "|".join(map(re.escape, sorted(names, key=len, reverse=True)))
-        for m in re.finditer(rf"(?<![\w.%+-])(?:{word})(?![\w%+@-]|\.\w)", text, re.I | re.A):
-            out.append((m.start(), m.end(), -1, "@", m.group().lower()))
+    out += [(a, b, -1, "@", text[a:b].lower()) for a, b in repeated_names(text, names)]
     out.sort()
     return out
 
 
+def repeated_names(text: str, names: set[str]):
+    """(start, end) of the words of a text that are one of the names, the longest that fits: neither the start nor the
+    end may go on with a character of a name, but for a full stop at its end, and no @ may follow."""
+    if not names:
+        return
+    heads, sizes = {n[:MIN_NAME] for n in names}, sorted({len(n) for n in names}, reverse=True)
+    for m in _WORD.finditer(text):
+        run = m.group()
+        if run[:MIN_NAME].lower() not in heads:
+            continue
+        for size in sizes:
+            if size < len(run):
+                fits = run[size] == "." and not (size + 1 < len(run) and _LETTER.match(run, size + 1))
+            else:
+                fits = size == len(run) and not text.startswith("@", m.end())
+            if fits and run[:size].lower() in names:
+                yield m.start(), m.start() + size
+                break
+
+
 def _form(node) -> tuple[bool, str]:
     """What skip edges compare: names only with names."""
     return node[3] == "@", node[4]
@@ -171,6 +192,7 @@ def infer(found, potentials: dict[str, list[float]]) -> np.ndarray:
 def fit(docs: DataFrame) -> dict[str, list[float]]:
     """Potentials of shapes: log ratios of label counts to those of none over all digit groups of the corpus,
     at most ``SHAPE_BOUND`` for or against a kind however large the corpus.  To the driver comes one row for each shape and label (at most 21 lengths x 16 marks x 5 labels)."""
+    @releasing
     def count(batches):
         for batch in batches:
             c: dict[tuple[str, int], int] = {}
@@ -218,6 +240,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
+    @releasing
     def run(batches):
         for batch in batches:
             got = [all_spans(t, sent.value) for t in batch.column("text").to_pylist()]
@@ -245,6 +268,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     """Pipeline form: the documents with all spans masked in ``text`` (and n_chars, if there, renewed)."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
+    @releasing
     def run(batches):
         for batch in batches:
             new = [t and masked(t, all_spans(t, sent.value)[1]) for t in batch.column("text").to_pylist()]
