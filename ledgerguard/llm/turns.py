@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ledgerguard.llm.common import stored
 
-PIECE = 64
+PIECE, FAN = 64, 16
 START, SYSTEM, USER, ASSISTANT = range(4)  # the state is the last role that stands
 FINAL = (START, ASSISTANT)
 ROLE = {USER: "user", ASSISTANT: "assistant"}
@@ -118,9 +118,23 @@ def search(entries, begin: int, ends, edges=steps) -> tuple[int, str]:
     return best
 
 
+def _ways(table, state: int):
+    """What a piece's table {(from, to): (cost, audit)} offers as edits."""
+    return [(c, a, to, 1) for (s, to), (c, a) in table.items() if s == state]
+
+
+def table_of(entries, starts=range(4), edges=steps) -> dict[tuple[int, int], tuple[int, str]]:
+    """The least (cost, audit) from each state to each state where there is a way."""
+    found = {(s, to): search(entries, s, (to,), edges) for s in starts for to in range(4)}
+    return {k: v for k, v in found.items() if v != NONE}
+
+
 def joined(tables) -> tuple[int, str]:
-    """The least (cost, audit) of a conversation from the tables {(from, to): (cost, audit)} of its pieces."""
-    return search(tables, START, FINAL, lambda table, state: [(c, a, to, 1) for (s, to), (c, a) in table.items() if s == state])
+    """The least (cost, audit) of a conversation from its pieces' tables.  Many pieces become fewer, larger ones first, so
+    that audits are copied a few times only."""
+    while len(tables) > FAN:
+        tables = [table_of(tables[i:i + FAN], edges=_ways) for i in range(0, len(tables), FAN)]
+    return search(tables, START, FINAL, _ways)
 
 
 def repaired(entries, part: str, after: int):
@@ -216,9 +230,11 @@ def _piece(conv, rows, whole: bool, first: bool) -> dict:
             out["last_turn"] = turn
         entries.append((initial, flags, n))
         out["entries"].append(dict(turn=turn, role=role, h=h, n=n))
-    ways = [(START, FINAL)] if whole else [(s, (to,)) for s in ((START,) if first else range(4)) for to in range(4)]
-    found = [(s, ends, search(entries, s, ends)) for s, ends in ways]
-    out["edges"] = [dict(s=s, to=ends[-1], cost=got[0], audit=got[1]) for s, ends, got in found if got != NONE]
+    if whole:
+        found = {(START, ASSISTANT): search(entries, START, FINAL)}
+    else:
+        found = table_of(entries, (START,) if first else range(4))
+    out["edges"] = [dict(s=s, to=to, cost=cost, audit=audit) for (s, to), (cost, audit) in found.items()]
     return out
 
 
