@@ -269,6 +269,19 @@ def conversation_pairs(conv: DataFrame, rows_per_range: int = 1024) -> DataFrame
             .select("conv_id", c("turn").alias("user_turn"), c("text").alias("question"), nxt["text"].alias("answer")))
 
 
+def newest_first(pairs: DataFrame, rows_per_range: int = 1024) -> DataFrame:
+    """O-R7: the exchanges with ``nth``, their place in the conversation when the newest comes first (equal turns by
+    question and answer).  Exchanges are numbered inside ranges of turn numbers and moved by the sizes of the later
+    ranges, so a very long conversation is not one task's window."""
+    t = pairs.withColumn("_r", F.floor(c("user_turn") / rows_per_range))
+    inside = F.row_number().over(Window.partitionBy("conv_id", "_r").orderBy(c("user_turn").desc(), "question", "answer"))
+    later = Window.partitionBy("conv_id").orderBy(c("_r").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (t.groupBy("conv_id", "_r").agg(F.count(F.lit(1)).alias("_n"))
+             .select(c("conv_id").alias("_c"), c("_r").alias("_q"), F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later")))
+    return (t.withColumn("_i", inside).join(sizes, c("conv_id").eqNullSafe(c("_c")) & c("_r").eqNullSafe(c("_q")))
+            .select("conv_id", "user_turn", "question", "answer", (c("_i") + c("_later")).cast("bigint").alias("nth")))
+
+
 def conversation_summary(pairs: DataFrame) -> DataFrame:
     """Exchange count and newest exchange per conversation."""
     return pairs.groupBy("conv_id").agg(F.count(F.lit(1)).alias("exchanges"),

@@ -85,6 +85,11 @@ def conversation_pairs(ctx):
     return R.conversation_pairs(ctx.bank.raw("conversations"))
 
 
+def conversation_newest(ctx):
+    """O-R7: every exchange with its place, the newest of its conversation first."""
+    return R.newest_first(R.conversation_pairs(ctx.bank.raw("conversations"))).select("conv_id", "user_turn", "question", "nth")
+
+
 def conversation_summary(ctx):
     return R.conversation_summary(R.conversation_pairs(ctx.bank.raw("conversations")))
 
@@ -220,7 +225,7 @@ ENTRIES = {
     "index_postings": index_postings, "index_stats": index_stats, "bm25_top_k": bm25_top_k,
     "bm25_filtered": bm25_filtered, "bm25_benchmark": bm25_benchmark, "vector_top_k": vector_top_k, "vector_neighbours": vector_neighbours,
     "doc_tags": doc_tags, "doc_snippets": doc_snippets, "conversation_pairs": conversation_pairs,
-    "conversation_summary": conversation_summary, "agent_log_extract": agent_log_extract,
+    "conversation_summary": conversation_summary, "conversation_newest": conversation_newest, "agent_log_extract": agent_log_extract,
     "run_summary": run_summary, "run_totals": run_totals,
     "stream_velocity": stream_velocity, "refresh_increment": refresh_increment, "refresh_rerun": refresh_rerun, "missed_flags": missed_flags,
     "sliding_velocity": sliding_velocity, "flag_rate_15min": flag_rate_15min, "doc_index_stream": doc_index_stream,

@@ -847,6 +847,9 @@ SELECT conv_id, turn AS user_turn, text AS question, next_text AS answer FROM (
             lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_text
   FROM conversations) WHERE role = 'user' AND next_role = 'assistant'""", [])
 register("conversation_pairs", "SELECT * FROM conv_pairs", "conv_pairs")
+register("conversation_newest", """
+SELECT conv_id, user_turn, question, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY user_turn DESC, question, answer) AS nth
+FROM conv_pairs""", "conv_pairs")
 register("conversation_summary", """
 SELECT conv_id, COUNT(*) AS exchanges, MAX(user_turn) AS newest_turn FROM conv_pairs GROUP BY conv_id""",
          "conv_pairs")

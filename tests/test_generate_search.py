@@ -76,6 +76,18 @@ def test_index_bm25_and_pairs(spark):
         assert got == [("q1", "a1"), ("q2", "a2")]
 
 
+def test_exchanges_newest_first(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, None]), rng.randrange(300), f"q{i}", "a") for i in range(200)]
+    pairs = spark.createDataFrame(rows, "conv_id long, user_turn long, question string, answer string")
+    want = set()
+    for conv in (1, 2, None):
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (-r[1], r[2]))
+        want |= {(*r, n) for n, r in enumerate(mine, 1)}
+    for size in (1, 7, 1024):
+        assert {tuple(r) for r in R.newest_first(pairs, size).collect()} == want
+
+
 def test_run_summary_counts_questions_without_hits(spark):
     asked = spark.createDataFrame([(1, "x"), (2, "y")], "query_id long, text string")
     hits = spark.createDataFrame([(1, 5, 2.0), (1, 6, 3.0)], "query_id long, doc_id long, score double")
