@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import release, row_key, same_row, stored, texts
-from ledgerguard.llm.words_bpe import (batch_words, from_bytes, is_frequent, most_first, n_words, row_slices, specials,
+from ledgerguard.llm.common import release, releasing, row_key, same_row, stored, texts
+from ledgerguard.llm.words_bpe import (batch_words, from_bytes, is_frequent, most_first, n_words, row_slices, source, specials,
                                        to_bytes, with_words, word_table)
 
 
@@ -34,7 +34,7 @@ def pieces(tokenizer: str) -> list[bytes]:
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte = {chr(b): b for b in printable}
     byte |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    vocab = json.load(open(tokenizer, encoding="utf-8"))["model"]["vocab"]
+    vocab = json.loads(tokenizer)["model"]["vocab"]
     marks = specials(tokenizer)
     out = [b""] * (max([*vocab.values(), *marks.values()]) + 1)
     for token, i in [*vocab.items(), *marks.items()]:
@@ -82,6 +82,7 @@ def _unpacked(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _rare(d: DataFrame, tokenizer: str, sent) -> DataFrame:
     """(doc_id, row_key, i, word): a row's words that are not in the dictionary, numbered in order."""
+    @releasing
     def rare_words(batches):
         known, _ = from_bytes(sent.value)
         for batch in row_slices(batches, n_words):
@@ -99,6 +100,7 @@ def _rare(d: DataFrame, tokenizer: str, sent) -> DataFrame:
 
 def _coded(d: DataFrame, tokenizer: str, sent) -> DataFrame:
     """(doc_id, row_key, codes): a row's words as places in the dictionary, counted from 1, 0 for any other word."""
+    @releasing
     def code_words(batches):
         known, _ = from_bytes(sent.value)
         for batch in row_slices(batches, n_words):
@@ -112,8 +114,9 @@ def _coded(d: DataFrame, tokenizer: str, sent) -> DataFrame:
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; also its ids if asked for."""
-    d = texts(docs)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; also its ids if asked for.  tokenizer: the
+    path of its file, which only the driver reads."""
+    d, tokenizer = texts(docs), source(tokenizer)
     table = word_table(d, tokenizer)
     sc = docs.sparkSession.sparkContext
     often = is_frequent(table)
@@ -127,6 +130,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> Da
     joined = coded.join(found, same_row(coded, found), "left").select(coded["doc_id"], "codes", "found")
     of_id = sc.broadcast(pieces(tokenizer))
 
+    @releasing
     def run(batches):
         known, known_ids = from_bytes(sent.value)
         piece = pa.array(of_id.value, pa.large_binary())

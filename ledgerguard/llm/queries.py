@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import string
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from ledgerguard.llm import (bpe, decontaminate, hard_negatives, html_text, licenses, near_dedup, passages, pii, quality,
                              repeats, sharding, token_counts, turns)
 from ledgerguard.llm.common import documents
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-BYTE_BPE = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -78,6 +77,8 @@ QUERIES = {f.__name__: f for f in (
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
@@ -119,5 +120,39 @@ FROM p JOIN s USING (anchor_id)
 WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other)
 QUALIFY row_number() OVER w <= 10
+""",
+    "op2_minhash_near_dedup": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS sh FROM d),
+k AS (SELECT doc_id, len(sh) AS n, CASE WHEN len(sh) > 0 THEN md5(array_to_string(sh, chr(10))) END AS cls FROM s),
+c AS (SELECT cls, any_value(n) AS n, min(doc_id) AS first FROM k WHERE cls IS NOT NULL GROUP BY cls),
+u AS (SELECT c.cls, c.n, unnest(s.sh) AS x FROM c JOIN s ON s.doc_id = c.first),
+p AS (SELECT a.cls AS a, b.cls AS b FROM u a JOIN u b ON a.x = b.x AND a.cls < b.cls
+      GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, root) AS (SELECT cls, cls FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+m AS (SELECT r.node AS cls, min(c.first) AS component_id FROM r JOIN c ON c.cls = r.root GROUP BY 1)
+SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id,
+  k.doc_id = coalesce(m.component_id, k.doc_id) AS kept
+FROM k LEFT JOIN m ON m.cls = k.cls
+""",
+    "op10_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 200)) AS x
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d WHERE length(h) >= 200)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY x ORDER BY doc_id, p) AS n FROM s) WHERE n > 1),
+edge AS (SELECT doc_id, p, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 AS new FROM again),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b
+         FROM (SELECT doc_id, p, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM edge) GROUP BY doc_id, run),
+gaps AS (SELECT r.doc_id, r.a, r.b, coalesce(lag(r.b) OVER (PARTITION BY r.doc_id ORDER BY r.a), 0) AS before FROM runs r),
+kept AS (SELECT g.doc_id, sum(g.b - g.a) AS n_removed, count(*) AS n_spans, max(g.b) AS tail,
+           string_agg(substr(d.h, 2 * g.before + 1, 2 * (g.a - g.before)), '' ORDER BY g.a) AS front
+         FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN d.h ELSE k.front || substr(d.h, 2 * k.tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """,
 }

@@ -17,16 +17,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import stored, texts
-from ledgerguard.llm.words_bpe import batch_words, frequent, from_bytes, n_words, row_slices, to_bytes, with_words, word_table
+from ledgerguard.llm.common import releasing, stored, texts
+from ledgerguard.llm.words_bpe import batch_words, frequent, from_bytes, n_words, row_slices, source, to_bytes, with_words, word_table
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every document."""
-    d = texts(docs)
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every document.  tokenizer: the path of its file,
+    which only the driver reads."""
+    d, tokenizer = texts(docs), source(tokenizer)
     table = word_table(d, tokenizer)
     sent = docs.sparkSession.sparkContext.broadcast(to_bytes(frequent(table)))
 
+    @releasing
     def count(batches):
         known, ids = from_bytes(sent.value)
         pieces = np.append(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), 0)

@@ -3,8 +3,8 @@
 Texts are split by Spark with the pattern of the tokenizer file family (fixed value below).  Texts that
 hold a special token or a character that the JVM's Unicode tables do not know are split by the tokenizer
 library's own pre-tokenizer instead.  Each distinct word of the corpus is encoded once.  Words that occur
-often (at most ``DICTIONARY`` of them, of at most ``WORD_BYTES`` bytes: the proven bound) are sent to the
-tasks; all other words are joined by shuffle.
+often (at most ``DICTIONARY`` of them, together of at most ``DICTIONARY * WORD_BYTES`` bytes: the proven bound) are
+sent to the tasks; all other words are joined by shuffle.  A tokenizer is given by its file's text (``source``).
 """
 
 from __future__ import annotations
@@ -19,44 +19,50 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerguard.llm.common import release, stored
+from ledgerguard.llm.common import release, releasing, stored
 
 #: Fixed value: the pattern of byte-level BPE pre-tokenizers; S stands for the Unicode white space.
 _S = r"\s\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|[" + _S + r"]+(?![^" + _S
            + r"])|[" + _S + r"]+")
-DICTIONARY, WORD_BYTES = 1 << 19, 64
+DICTIONARY, WORD_BYTES = 1 << 18, 64
 #: Words that a task looks up at a time, unless one document has more.
-WORDS_AT_ONCE = 1 << 19
+WORDS_AT_ONCE = 1 << 17
 
 _loaded: dict[str, object] = {}  # filled in tasks only: what a task runs is sent with it
 
 
-def load(path: str):
-    """The tokenizer of a file, once per task."""
-    if path not in _loaded:
+def source(path: str) -> str:
+    """The text of a tokenizer file, read by the driver; tasks get the text, as they may not see the file."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def load(text: str):
+    """The tokenizer of a file's text, once per task."""
+    if text not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+        _loaded[text] = Tokenizer.from_str(text)
+    return _loaded[text]
 
 
-def specials(path: str) -> dict[str, int]:
-    """The special tokens of a file and their ids."""
-    return {t["content"]: t["id"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]}
+def specials(text: str) -> dict[str, int]:
+    """The special tokens of a file's text and their ids."""
+    return {t["content"]: t["id"] for t in json.loads(text)["added_tokens"]}
 
 
-def with_words(d: DataFrame, path: str) -> DataFrame:
+def with_words(d: DataFrame, tokenizer: str) -> DataFrame:
     """Columns words (null where the library splits the text) and odd (that text, else null)."""
     odd = F.col("text").rlike(r"\p{Cn}")
-    for s in specials(path):
+    for s in specials(tokenizer):
         odd = odd | F.col("text").contains(s)
     return d.withColumn("odd", F.when(odd, F.col("text"))).withColumn(
         "words", F.when(F.col("odd").isNull(), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
 
 
-def _library_words(text: str, path: str) -> list[str]:
-    tok = load(path)
+def _library_words(text: str, tokenizer: str) -> list[str]:
+    tok = load(tokenizer)
     marks = {t.content for t in tok.get_added_tokens_decoder().values()}
     out: list[str] = []
     for part in re.split("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")", text):
@@ -84,33 +90,35 @@ def n_words(batch: pa.RecordBatch) -> pa.Array:
     return pc.coalesce(pc.list_value_length(batch.column("words")), pc.binary_length(batch.column("odd")))
 
 
-def batch_words(batch: pa.RecordBatch, path: str) -> tuple[pa.Array, np.ndarray]:
+def batch_words(batch: pa.RecordBatch, tokenizer: str) -> tuple[pa.Array, np.ndarray]:
     """(all words of a batch, offsets of its rows in them)."""
     words = batch.column("words")
     odd = batch.column("odd")
     if odd.null_count < len(odd):
         w, o = words.to_pylist(), odd.to_pylist()
-        words = pa.array([a if b is None else _library_words(b, path) for a, b in zip(w, o)], pa.list_(pa.string()))
+        words = pa.array([a if b is None else _library_words(b, tokenizer) for a, b in zip(w, o)], pa.list_(pa.string()))
     at = np.asarray(words.offsets)
     return words.values.slice(at[0], at[-1] - at[0]), at.astype(np.int64) - at[0]
 
 
-def word_table(d: DataFrame, path: str) -> DataFrame:
+def word_table(d: DataFrame, tokenizer: str) -> DataFrame:
     """(word, n, ids) of every distinct word: its number in the corpus and its piece ids; stored."""
+    @releasing
     def count(batches):
-        for batch in batches:
-            words, _ = batch_words(batch, path)
+        for batch in row_slices(batches, n_words):
+            words, _ = batch_words(batch, tokenizer)
             c = pc.value_counts(words)
             yield pa.record_batch([c.field("values"), c.field("counts")], names=["word", "n"])
 
+    @releasing
     def encode(batches):
-        tok = load(path)
+        tok = load(tokenizer)
         for batch in batches:
             found = tok.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)
             ids = pa.array([e.ids for e in found], pa.list_(pa.int32()))
             yield pa.record_batch([batch.column("word"), batch.column("n"), ids], names=["word", "n", "ids"])
 
-    counted = (with_words(d, path).select("words", "odd").mapInArrow(count, "word string, n long")
+    counted = (with_words(d, tokenizer).select("words", "odd").mapInArrow(count, "word string, n long")
                .groupBy("word").agg(F.sum("n").alias("n")))
     table = stored(counted.mapInArrow(encode, "word string, n long, ids array<int>"))
     del counted
@@ -119,18 +127,20 @@ def word_table(d: DataFrame, path: str) -> DataFrame:
 
 
 def is_frequent(table: DataFrame, size: int = DICTIONARY) -> Column:
-    """Whether a row is one of at most ``size`` most frequent words: all above a count that is read off a
-    histogram of the logarithm of the counts."""
+    """Whether a row is one of at most ``size`` most frequent words, together of at most ``size * WORD_BYTES`` bytes:
+    all above a count that is read off a histogram of the logarithm of the counts.  A frequent word of any length is
+    one of them while there is room."""
     level = F.floor(F.log2("n") * 16).cast("int")
-    short = F.octet_length("word") <= WORD_BYTES
-    room, limit = size, None
-    counts = table.filter(short).groupBy(level.alias("level")).count().collect()
+    room, bytes_, limit = size, size * WORD_BYTES, None
+    counts = table.groupBy(level.alias("level")).agg(
+        F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word").cast("long")).alias("bytes")).collect()
     for r in sorted(counts, key=lambda r: -r["level"]):
-        room -= r["count"]
-        if room < 0:
+        room -= r["words"]
+        bytes_ -= r["bytes"]
+        if room < 0 or bytes_ < 0:
             break
         limit = r["level"]
-    return short & (level >= limit) if limit is not None else F.lit(False)
+    return level >= limit if limit is not None else F.lit(False)
 
 
 def most_first(chosen: DataFrame) -> pa.Table:
