@@ -2,6 +2,12 @@
 
 Every stage gets all documents that the one before kept, its result is written as Parquet to the shared
 checkpoint folder and read back as the next one's input.  All but the last return the columns of documents.
+
+The stages that run in Python set the session's Arrow batches to ``BATCH_ROWS`` documents.
+
+Defined cases, stage by stage as the operators have them: documents without text or with few words go with the quality
+rules; of near copies and repeated rows one row stays, null ids last; a contaminated row goes alone, also without an
+id; columns other than ``text`` pass as they are, unmasked, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,6 +19,15 @@ from ledgerguard.llm.common import SHINGLE_WORDS, SIMILARITY, documents, stored
 from ledgerguard.llm.queries import BYTE_BPE
 
 
+#: Documents of an Arrow batch.  A task holds a batch in the JVM, one in Python, and what it makes of them (a text's
+#: words take several times its bytes).
+BATCH_ROWS = 1000
+
+
+def _batched(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose host does, go."""
     return quality.drop_rejected(docs)
@@ -20,6 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
+    _batched(spark)
     return near_dedup.one_of_each(docs, SHINGLE_WORDS, round(100 * SIMILARITY))
 
 
@@ -30,11 +46,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked."""
+    _batched(spark)
     return pii.mask_pii(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of what is left, with digests of the ids and of the decoded text."""
+    _batched(spark)
     return bpe.encode_decode(docs, BYTE_BPE, with_ids=True)
 
 
