@@ -179,13 +179,16 @@ def test_search_visits_few_nodes():
 def test_pieces_give_the_whole():
     rng = random.Random(4)
     for _ in range(40):
-        rows = [(i, f, 0 if f else c) for i, f, c in random_rows(rng, rng.randrange(1, 40))]
-        cuts = sorted(rng.sample(range(1, len(rows)), min(3, len(rows) - 1)))
-        tables = []
-        for a, b in zip([0, *cuts], [*cuts, len(rows)]):
-            found = {(s, t): turns.search(flagged(rows[a:b]), s, (t,)) for s in range(4) for t in range(4)}
-            tables.append({k: v for k, v in found.items() if v != turns.NONE})
-        assert turns.joined(tables) == cheapest(rows)
+        rows = [(i, f, 0 if f else c) for i, f, c in random_rows(rng, rng.randrange(1, 150))]
+        cuts = sorted(rng.sample(range(1, len(rows)), min(rng.choice([3, 60]), len(rows) - 1)))
+        assert turns.joined([turns.table_of(flagged(rows[a:b])) for a, b in zip([0, *cuts], [*cuts, len(rows)])]) == cheapest(rows)
+
+
+def test_a_very_long_conversation():
+    rows = flagged([(i, f, 0 if f else c) for i, f, c in random_rows(random.Random(6), 60000)])
+    began = time.time()
+    cost, audit = turns.joined([turns.table_of(rows[a:a + turns.PIECE]) for a in range(0, len(rows), turns.PIECE)])
+    assert len(audit) - audit.count("I") == 60000 and time.time() - began < 120
 
 
 def plain_repair(rows, damage=True):
@@ -342,11 +345,13 @@ def test_scores_too_large(spark):
         hn.hard_negatives(hn.vectors(rows)).count()
 
 
-def test_negatives_sql(spark):
+@pytest.mark.parametrize("name, table", [("op2_minhash_near_dedup", "documents"), ("op10_suffix_dedup", "documents"),
+                                         ("op13_hard_negatives", "embeddings")])
+def test_sql(spark, name, table):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF001}/embeddings.parquet'")
-    cur = con.execute(queries.ORACLE["op13_hard_negatives"])
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF001}/{table}.parquet'")
+    cur = con.execute(queries.ORACLE[name])
     cols = [d[0] for d in cur.description]
-    got = queries.op13_hard_negatives(spark, SF001)
+    got = queries.QUERIES[name](spark, SF001)
     assert sorted(cols) == sorted(got.columns)
     assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=str) == sorted(map(tuple, cur.fetchall()), key=str)

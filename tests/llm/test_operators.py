@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 from math import floor, log2
 
@@ -191,9 +192,70 @@ def test_chain_against_all_predecessors():
 
 def test_passages_edges(edges):
     out = passages.repeated_passages(edges).collect()
-    # 6 copies 5, which repeats itself every 4001 words: each period (and the 48 words after it) is found
+    # 6 copies 5, which repeats itself every 4001 words: each period, and what the margin shows of the next, is found
     # at the seeds' first places; 8 has the words of 7, which are too few
-    assert sorted((r["doc_id"], r["src_doc_id"], r["n_words"]) for r in out) == [(6, 5, 1993)] + [(6, 5, 4051)] * 7
+    found = sorted((r["doc_id"], r["src_doc_id"], r["start_word"], r["n_words"]) for r in out)
+    assert [f[:3] for f in found] == [(6, 5, 4001 * i) for i in range(8)]
+    assert found[-1][3] == 30000 - 7 * 4001 and all(4001 <= f[3] <= 4001 + passages.MARGIN + passages.K for f in found[:-1])
+
+
+def test_passages_recall(spark):
+    """Planted passages against all pairs that hold them: every exact copy, also where its pieces stand in earlier or in
+    later documents; nine of ten fuzzy ones; nothing else."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    rows, want = [], {}
+
+    def add(w):
+        rows.append((len(rows), " ".join(w)))
+        return len(rows) - 1
+
+    def pair(kind, p, q, before=(), after=()):
+        for piece in before:
+            add(words(30) + piece + words(30))
+        a, b = add(words(40) + p + words(40)), add(words(40) + q + words(40))
+        for piece in after:
+            add(words(30) + piece + words(30))
+        want.setdefault(kind, set()).add((b, a))
+    for n in (50, 60, 80, 100):
+        for identity in (1.0, 0.95, 0.9, 0.85):
+            for _ in range(40 if n > 50 or identity == 1 else 0):
+                p = words(n)
+                q = list(p)
+                for k in rng.sample(range(n), round(n * (1 - identity))):
+                    q[k] = f"x{rng.randrange(100000)}"
+                pair((n, identity), p, q)
+    for _ in range(30):
+        p = words(60)
+        pair("lines earlier", p, p, before=[p[k:k + 15] for k in (0, 15, 30, 45)])
+        p = words(60)
+        pair("a start earlier", p, p, before=[p[:49]])
+        p = words(60)
+        pair("a start later", p, p, after=[p[:49], p[11:]])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = {(r["doc_id"], r["src_doc_id"]) for r in passages.repeated_passages(docs).collect()}
+    share = {k: len(v & found) / len(v) for k, v in want.items()}
+    assert not found - set().union(*want.values())
+    assert all(x == 1 for k, x in share.items() if isinstance(k, str) or k[1] == 1), share
+    assert all(x >= 0.9 for x in share.values()), share
+
+
+def test_seed_places():
+    """Every run of K + WINDOW - 1 words has a seed, and a shingle that is chosen by its hash is chosen everywhere."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for sizes in ([], [0], [3], [5], [20], [400], [7, 0, 300, 19, 20, 21, 4]):
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        words = rng.integers(0, 1 << 63, at[-1]).astype(np.uint64)
+        h, place, text = passages.seed_places(words, at)
+        chosen = set(place.tolist())
+        assert all(at[t] <= p and p + passages.K <= at[t + 1] for p, t in zip(place, text))
+        every = passages.combine(words, passages.K) if len(words) >= passages.K else []
+        for t in range(len(sizes)):
+            for p in range(at[t], at[t + 1] - passages.K + 1):
+                assert every[p] % passages.SAMPLE or p in chosen
+            for p in range(at[t], at[t + 1] - passages.K - passages.WINDOW + 2):
+                assert any(x in chosen for x in range(p, p + passages.WINDOW))
 
 
 # ---- 4 personal data ------------------------------------------------------------------------------------------
@@ -330,6 +392,29 @@ def test_shards(docs, request):
         assert slots == list(range(len(slots)))
 
 
+def test_pii_nodes_of_random_texts():
+    """Nodes against testing every group against every span and one pattern over all names."""
+    rng = random.Random(1)
+    pieces = ["john.smith", "John.Smith", "@example.com", " ", ".", "..", "-", "%", "a", "é", "\n", "mary_jones99", "MARY_JONES99",
+              "+1 (275) 555-7228", "275 555 7228", "2755557228", "4111 1111 1111 1111", "10.0.0.1", "_", "x@y.zz", ", ", "john.smit"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        spans, groups = pii.scan(text)
+        names = {n for a, k, b in spans if k == 0 and len(n := text[a:text.index("@", a)].lower()) >= pii.MIN_NAME}
+        want = [(a, b) for a, b, _ in groups if not any(x < b and a < y for x, _, y in spans)]
+        if names:
+            word = "|".join(map(re.escape, sorted(names, key=len, reverse=True)))
+            want += [m.span() for m in re.finditer(rf"(?<![\w.%+-])(?:{word})(?![\w%+@-]|\.\w)", text, re.I | re.A)]
+        assert sorted(f[:2] for f in pii.nodes(text, spans, groups) if f[2] < 0) == sorted(want), text
+
+
+def test_pii_long_texts_take_linear_time():
+    text = " ".join(f"+1 275 555 {1000 + i % 9000} call 99{i % 1000:03d}88 7{i % 10} user{i}name@mail.example.com user{i}name" for i in range(50000))
+    began = time.time()
+    spans, groups = pii.scan(text)
+    assert len(pii.nodes(text, spans, groups)) == 200000 and time.time() - began < 20
+
+
 # ---- 7 decontamination ----------------------------------------------------------------------------------------
 def leaks(rows, items, similarity=0.8):
     cut = lambda t: WORD.findall((t or "").lower())
@@ -372,6 +457,27 @@ def test_decontamination(spark, small, edges, none):
     assert decontaminate.contaminated(small, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_meets_few_items(spark, monkeypatch):
+    """Unrelated items of the same length add no candidates to the windows, and no passage is lost by that."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    items = [(i, text(60)) for i in range(200)]
+    docs = [(i, f"{text(30)} {items[i][1]} {text(30)}") for i in range(20)]
+    rows = []
+    met = decontaminate.met
+
+    def counted(windows, starts):
+        out = met(windows, starts)
+        rows.append(out.count())
+        return out
+    monkeypatch.setattr(decontaminate, "met", counted)
+    frames = [spark.createDataFrame(x, f"{name} long, text string") for name, x in (("doc_id", docs), ("item_id", items), ("item_id", items[:20]))]
+    for benchmark in frames[1:]:
+        found = decontaminate.contaminated(frames[0], benchmark)
+        assert got(found, "doc_id", "item_id") == sorted(((i, i) for i in range(20)), key=KEY)
+    assert rows[0] <= 1.05 * rows[1] + 50
+
+
 def test_decontamination_without_ids(spark, edges):
     """A null doc_id, beside a document 0 with the same text, and a null item_id."""
     benchmark = spark.read.parquet(f"{SF001}/benchmark.parquet")

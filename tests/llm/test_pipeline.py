@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from llm_fixtures import SF001
+from llm_fixtures import SF001, edges, none  # noqa: F401
 from ledgerguard.llm import pii, queries
 from ledgerguard.llm.common import stored
 from test_operators import components_of, leaks, pairs, quality_of
@@ -42,3 +42,21 @@ def test_last_stage(spark, stages):
     tok = Tokenizer.from_file(queries.BYTE_BPE)
     ids = {r["doc_id"]: r["ids"] for r in stages["tokens"].collect()}
     assert ids == {i: tok.encode(t, add_special_tokens=False).ids for i, t in pairs(stages["personal_data"])}
+
+
+@pytest.mark.parametrize("docs", ["edges", "none"])
+def test_each_stage_on_edges(spark, docs, request):
+    """Every stage takes null and long texts, repeated rows, null ids and clashing columns; an empty table stays empty."""
+    docs = request.getfixturevalue(docs)
+    rows = {"quality_rules": 0, "near_duplicates": 8, "decontamination": 11, "personal_data": 11, "tokens": 11}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, docs, SF001))
+        assert name == "tokens" or out.columns == docs.columns
+        assert out.count() == (0 if docs.isEmpty() else rows[name]), name
+
+
+def test_near_duplicates_on_clashing_columns(spark, edges):
+    """Copies, repeated rows and a null id, with columns that are named like the operator's own."""
+    out = corpus_pipeline.near_duplicates(spark, edges, SF001)
+    assert out.columns == edges.columns
+    assert sorted((str(r["doc_id"]) for r in out.select("doc_id").collect())) == ["1", "2", "3", "4", "5", "7", "9", "None"]
