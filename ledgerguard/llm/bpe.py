@@ -8,7 +8,8 @@ shuffled as its words' places in the dictionary, with gaps for the other words.
 their pieces (a table as large as the vocabulary) and joins the pieces' bytes; bytes that are no UTF-8
 become replacement characters, as the library has it.
 
-Defined cases: a null text counts as empty (no tokens); special strings inside a text are one token;
+Defined cases: a null text counts as empty (no tokens); a text of any length is encoded whole, in one task's memory;
+equally frequent words may stand in the dictionary or not, which changes no id; special strings inside a text are one token;
 repeated rows each give their row; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.llm.common import release, releasing, row_key, same_row, stored, texts
-from ledgerguard.llm.words_bpe import (batch_words, from_bytes, is_frequent, most_first, n_words, row_slices, source, specials,
-                                       to_bytes, with_words, word_table)
+from ledgerguard.llm.words_bpe import (DICTIONARY, WORDS_AT_ONCE, batch_words, from_bytes, is_frequent, most_first, n_words,
+                                       row_slices, source, specials, to_bytes, with_words, word_table)
 
 
 def pieces(tokenizer: str) -> list[bytes]:
@@ -85,7 +86,7 @@ def _rare(d: DataFrame, tokenizer: str, sent) -> DataFrame:
     @releasing
     def rare_words(batches):
         known, _ = from_bytes(sent.value)
-        for batch in row_slices(batches, n_words):
+        for batch in row_slices(batches, n_words, max(len(known), WORDS_AT_ONCE)):
             words, at = batch_words(batch, tokenizer)
             other = np.flatnonzero(pc.is_in(words, known).to_numpy(zero_copy_only=False) == 0)
             row = np.searchsorted(at, other, "right") - 1
@@ -103,7 +104,7 @@ def _coded(d: DataFrame, tokenizer: str, sent) -> DataFrame:
     @releasing
     def code_words(batches):
         known, _ = from_bytes(sent.value)
-        for batch in row_slices(batches, n_words):
+        for batch in row_slices(batches, n_words, max(len(known), WORDS_AT_ONCE)):
             words, at = batch_words(batch, tokenizer)
             code = pc.index_in(words, known).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) + 1
             yield pa.record_batch([batch.column("doc_id"), batch.column("row_key"), _packed(code, at).cast(pa.binary())],
@@ -113,13 +114,13 @@ def _coded(d: DataFrame, tokenizer: str, sent) -> DataFrame:
             .mapInArrow(code_words, "doc_id long, row_key long, codes binary"))
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; also its ids if asked for.  tokenizer: the
-    path of its file, which only the driver reads."""
+    path of its file, which only the driver reads; dictionary: words that are sent to the tasks, at most."""
     d, tokenizer = texts(docs), source(tokenizer)
     table = word_table(d, tokenizer)
     sc = docs.sparkSession.sparkContext
-    often = is_frequent(table)
+    often = is_frequent(table, dictionary)
     sent = sc.broadcast(to_bytes(most_first(table.filter(often))))
     # repeated rows have the same words at the same places, so a set holds each place once
     found = stored(_rare(d, tokenizer, sent).join(table.filter(~often).select("word", "ids"), "word")
@@ -135,7 +136,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> Da
         known, known_ids = from_bytes(sent.value)
         piece = pa.array(of_id.value, pa.large_binary())
         decimal = pa.array([b"%d," % i for i in range(len(piece))], pa.large_binary())
-        for batch in row_slices(batches, lambda b: pc.binary_length(b.column("codes"))):
+        for batch in row_slices(batches, lambda b: pc.binary_length(b.column("codes")), max(len(known), WORDS_AT_ONCE)):
             code, at = _unpacked(batch.column("codes"))
             found = batch.column("found")
             r = np.asarray(found.offsets).astype(np.int64)

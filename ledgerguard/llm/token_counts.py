@@ -4,7 +4,8 @@ Every distinct pre-token of the corpus is encoded once and its pieces are counte
 the sum over its pre-tokens of frequency times pieces: frequent words from the bounded dictionary inside
 the task, all others as (document, word, frequency) rows joined to the word table and summed.
 
-Defined cases: a null text counts as empty (0 tokens); special strings inside a text are one token, as the
+Defined cases: a null text counts as empty (0 tokens); a text of any length is counted whole; equally frequent words may
+stand in the dictionary or not, which changes no count; special strings inside a text are one token, as the
 library has it; repeated rows are counted each; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -18,21 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.llm.common import releasing, stored, texts
-from ledgerguard.llm.words_bpe import batch_words, frequent, from_bytes, n_words, row_slices, source, to_bytes, with_words, word_table
+from ledgerguard.llm.words_bpe import (DICTIONARY, WORDS_AT_ONCE, batch_words, frequent, from_bytes, n_words, row_slices, source,
+                                       to_bytes, with_words, word_table)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, limit: int, dictionary: int = DICTIONARY // 2) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every document.  tokenizer: the path of its file,
-    which only the driver reads."""
+    which only the driver reads; dictionary: words that are sent to the tasks, at most."""
     d, tokenizer = texts(docs), source(tokenizer)
     table = word_table(d, tokenizer)
-    sent = docs.sparkSession.sparkContext.broadcast(to_bytes(frequent(table)))
+    sent = docs.sparkSession.sparkContext.broadcast(to_bytes(frequent(table, dictionary)))
 
     @releasing
     def count(batches):
         known, ids = from_bytes(sent.value)
         pieces = np.append(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), 0)
-        for batch in row_slices(batches, n_words):
+        for batch in row_slices(batches, n_words, max(len(known), WORDS_AT_ONCE)):
             words, at = batch_words(batch, tokenizer)
             code = pc.index_in(words, known).fill_null(len(known)).to_numpy(zero_copy_only=False)
             total = np.concatenate([[0], np.cumsum(pieces[code])])

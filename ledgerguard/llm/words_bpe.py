@@ -3,8 +3,8 @@
 Texts are split by Spark with the pattern of the tokenizer file family (fixed value below).  Texts that
 hold a special token or a character that the JVM's Unicode tables do not know are split by the tokenizer
 library's own pre-tokenizer instead.  Each distinct word of the corpus is encoded once.  Words that occur
-often (at most ``DICTIONARY`` of them, together of at most ``DICTIONARY * WORD_BYTES`` bytes: the proven bound) are
-sent to the tasks; all other words are joined by shuffle.  A tokenizer is given by its file's text (``source``).
+often (at most ``DICTIONARY`` of them or as many as asked for, together of at most ``WORD_BYTES`` times as many bytes: the
+proven bound) are sent to the tasks; all other words are joined by shuffle.  More of them take memory, fewer disk.  A tokenizer is given by its file's text (``source``).
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from ledgerguard.llm.common import release, releasing, stored
 _S = r"\s\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|[" + _S + r"]+(?![^" + _S
            + r"])|[" + _S + r"]+")
-DICTIONARY, WORD_BYTES = 1 << 18, 64
-#: Words that a task looks up at a time, unless one document has more.
+DICTIONARY, WORD_BYTES = 1 << 19, 64
+#: Words that a task counts at a time, unless one document has more.
 WORDS_AT_ONCE = 1 << 17
 
 _loaded: dict[str, object] = {}  # filled in tasks only: what a task runs is sent with it
@@ -73,14 +73,15 @@ def _library_words(text: str, tokenizer: str) -> list[str]:
     return out
 
 
-def row_slices(batches, weigh):
-    """The batches in slices of whole rows that weigh at most ``WORDS_AT_ONCE`` (a single row may weigh more)."""
+def row_slices(batches, weigh, most: int = WORDS_AT_ONCE):
+    """The batches in slices of whole rows that weigh at most ``most`` (a single row may weigh more).  Words that are looked
+    up in a dictionary come in slices of its size, as each look-up makes its table anew."""
     for batch in batches:
         weight = np.cumsum(weigh(batch).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < len(weight):
             before = weight[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(weight, before + WORDS_AT_ONCE, "right")))
+            b = max(a + 1, int(np.searchsorted(weight, before + most, "right")))
             yield batch.slice(a, b - a)
             a = b
 
