@@ -22,6 +22,8 @@ from ledgerguard.llm.queries import BYTE_BPE
 #: Documents of an Arrow batch.  A task holds a batch in the JVM, one in Python, and what it makes of them (a text's
 #: words take several times its bytes).
 BATCH_ROWS = 1000
+#: Words of the last stage's dictionary: it runs beside what the other stages have left in the JVM.
+WORDS = 1 << 18
 
 
 def _batched(spark: SparkSession) -> None:
@@ -53,7 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of what is left, with digests of the ids and of the decoded text."""
     _batched(spark)
-    return bpe.encode_decode(docs, BYTE_BPE, with_ids=True)
+    return bpe.encode_decode(docs, BYTE_BPE, with_ids=True, dictionary=WORDS)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
