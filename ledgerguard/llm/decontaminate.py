@@ -15,7 +15,8 @@ Only shingles that the benchmark holds leave a document's row.  The benchmark's
 without a hint: Spark broadcasts it if it is small and shuffles otherwise.
 
 Defined cases: null or empty texts have no words; items of fewer than five words are too short to be
-evidence and match nothing; rows repeated with id and text are reported once; a null id, of a document or an
+evidence and match nothing; a text of any length is read whole; of a document's windows that are equally similar to
+an item the one of smaller distance is reported, then the earlier; rows repeated with id and text are reported once; a null id, of a document or an
 item, is one like any other; an empty table on either side gives an empty result; other columns are ignored.
 """
 

@@ -10,7 +10,8 @@ positional filter: the words before, at and after the common word leave room for
 verified by intersecting the sets.  Only the longest run from each line is looked at, as it holds the shorter
 ones, and only in texts and near lines with a prefix word.  The index over the templates' prefixes is bounded by the templates.
 
-Defined cases: a null or empty text has no words, no labels and score 0; repeated rows each give their
+Defined cases: a null or empty text has no words, no labels and score 0; a text of any length is read whole;
+of equal labels one stands, sorted; repeated rows each give their
 row; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -11,7 +11,8 @@ are bounded against label none so that one edge to a base node outweighs them.
 gets a span if its probability of being personal data reaches ``THRESHOLD``, of the likeliest kind that its
 form has.
 
-Defined cases: a null or empty text has no spans; repeated rows each give their row; an empty table gives
+Defined cases: a null or empty text has no spans; a text of any length is read whole, in time linear in it;
+overlapping spans of different kinds all stay, equal starts in the order of the kinds; repeated rows each give their row; an empty table gives
 an empty result; other columns are ignored by the query and kept by the pipeline form.
 """
 

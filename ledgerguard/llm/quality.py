@@ -9,7 +9,8 @@ Work per document stays inside its row (no shuffle of words).  The counts are st
 summed map-side first, and the join back spreads every host over ``SALTS`` keys, so one host with a
 third of all rows is not one task.
 
-Defined cases: a null or empty text has no words (and fails the word rule); a null host is judged by no
+Defined cases: a null or empty text has no words (and fails the word rule); a text of any length is measured
+whole inside its row; hosts with equal counts get equal verdicts; a null host is judged by no
 host verdict; repeated rows are kept as they are and each counts for its host; an empty table gives an
 empty result; other columns are ignored.
 """

@@ -11,7 +11,7 @@ job over the stored sums that reads only the value ranges asked for.  To the dri
 number per value range (``RANGES`` of them) and one per candidate and step.
 
 Defined cases: a null text counts as empty (size 1, crc32 of nothing) and is grouped with empty texts;
-repeated rows each take a slot; null ids come first; an empty table gives an empty result; shards may stay
+a text of any length only matters by its size; repeated rows each take a slot; null ids come first; an empty table gives an empty result; shards may stay
 empty where there are fewer groups; one group larger than a fair share fills a shard alone.
 """
 
