@@ -7,7 +7,7 @@ rebuilt as Spark jobs:
 * per term and range of documents the document count and the largest impact, written with the index;
 * BM25 as a join of query terms with the postings of the ranges that can reach a query's k-th score, summed per
   (query, doc);
-* cosine similarity over embedding arrays with higher-order functions, clusters left out by their radius;
+* cosine similarity of blocks of queries and vectors of a cluster by products of matrices, clusters left out by their radius;
 * top-k per query in two exact stages: top-k inside (query, hash bucket of
   the candidate), then top-k over the survivors.  A single query never sends
   all candidates to one task.
@@ -15,14 +15,20 @@ rebuilt as Spark jobs:
 
 from __future__ import annotations
 
+import sys
 import time
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerguard.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the library
 c = F.col
 TOKEN_SPLIT = "[^a-z0-9]+"
 K1, B = 1.2, 0.75
@@ -152,13 +158,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 class VectorIndex(NamedTuple):
-    """Stored vectors by cluster.  ``vectors``: vec_id, cluster, vec, norm; ``clusters``: cluster, n, unit (its pivot) and
+    """Stored vectors by cluster.  ``vectors``: vec_id, cluster, vec, norm, row (a number of its own); ``clusters``: cluster, n, unit (its pivot) and
     least_cos, the smallest cosine of a member and the pivot (the cluster's radius is its angle)."""
     vectors: DataFrame
     clusters: DataFrame
 
 
-CLUSTERS, QUERY_BLOCK = 32, 64
+CLUSTERS = 32
+BLOCK_ROWS, SCORED_ROWS = 16384, 256     # queries and vectors of a block; queries whose scores are held at once
 
 
 def _units(df: DataFrame, vec: str) -> DataFrame:
@@ -177,7 +184,8 @@ def write_vector_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str
     every = pivots.agg(F.sort_array(F.collect_list(F.struct("cluster", "unit")))).scalar()
     near = F.array_max(F.transform(c("_lg_p"), lambda p: F.struct(_dot(c("unit"), p["unit"]).alias("cos"), (-p["cluster"]).alias("c"))))
     placed = cut_lineage(v.withColumn("_lg_p", every).withColumn("_lg_n", near)
-                         .select("vec_id", (-c("_lg_n.c")).alias("cluster"), "vec", "norm", c("_lg_n.cos").alias("cos")))
+                         .select("vec_id", (-c("_lg_n.c")).alias("cluster"), "vec", "norm", c("_lg_n.cos").alias("cos"),
+                                 F.monotonically_increasing_id().alias("row")))
     sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("least_cos"))
     return VectorIndex(placed.drop("cos"), cut_lineage(pivots.join(sizes, "cluster")))
 
@@ -195,15 +203,84 @@ def _bounds(index: VectorIndex, queries: DataFrame) -> DataFrame:
             .select("query_id", "_lg_x.cluster", "_lg_x.n", F.cos(F.greatest(apart, F.lit(0.0))).alias("bound")))
 
 
+def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows padded with zeros to the longest, lengths) of an array of lists."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    return out, sizes
+
+
+def _best(k: int):
+    """Two tables (queries and vectors of one cluster) -> the k best vectors of each query in it, with the cosine.
+
+    A product of matrices leaves the vectors that may be among the k best once cosines are rounded to 5 digits; theirs
+    are computed anew, component by component, and returned unrounded."""
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        def column(t, name):
+            x = t.column(name).combine_chunks()
+            return x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+
+        rows, cols, cos = [], [], []
+        if queries.num_rows and vectors.num_rows:
+            (q, q_size), (v, v_size) = _matrix(column(queries, "qvec")), _matrix(column(vectors, "vec"))
+            width = max(q.shape[1], v.shape[1])
+            q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
+            q_norm, v_norm = column(queries, "qnorm").to_numpy(), column(vectors, "norm").to_numpy()
+            floor = column(queries, "floor").to_numpy(zero_copy_only=False).astype("float64")
+            floor = np.where(np.isnan(floor), -np.inf, floor)
+            ids = pc.rank(column(vectors, "vec_id"), "ascending", null_placement="at_start").to_numpy().astype(np.int64)
+            for x in range(0, len(q), SCORED_ROWS):
+                part = slice(x, x + SCORED_ROWS)
+                with np.errstate(all="ignore"):
+                    near = (q[part] @ v.T) / (q_norm[part, None] * v_norm)
+                near[np.isnan(near)] = np.inf                                 # NaN is the largest in Spark's order
+                near[q_size[part, None] != v_size] = -np.inf                  # null is the smallest
+                least = floor[part]
+                if (near >= least[:, None] - 2e-5).sum() > 8 * k * len(near) and len(v) > k:
+                    least = np.maximum(least, np.partition(near, len(v) - k, axis=1)[:, len(v) - k])
+                a, b = np.nonzero(near >= least[:, None] - 2e-5)
+                a += x
+                exact = np.zeros(len(a))
+                with np.errstate(all="ignore"):
+                    for i in range(width):
+                        exact += v[b, i] * q[a, i]
+                    exact /= v_norm[b] * q_norm[a]
+                null = q_size[a] != v_size[b]
+                step = np.where(null, -np.inf, np.where(np.isnan(exact), np.inf, exact * 1e5 + 0.5))
+                key = np.floor(step)
+                unsure = np.floor(step - 1e-6) != np.floor(step + 1e-6)       # may be rounded either way
+                order = np.lexsort((ids[b], -key, unsure, a))
+                group = a[order] * 2 + unsure[order]
+                start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(order) else np.zeros(0, np.int64)
+                place = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+                keep = order[(place < k) | unsure[order]]
+                rows.append(a[keep])
+                cols.append(b[keep])
+                cos.append(pa.array(exact[keep], mask=null[keep]))
+        rows, cols = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (rows, cols))
+        return pa.table({"query_id": queries.column("query_id").take(rows), "vec_id": vectors.column("vec_id").take(cols),
+                         "cos": pa.chunked_array(cos, pa.float64())})
+    return run
+
+
 def _scored(index: VectorIndex, queries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The top k of each query among the clusters of its pairs.  Queries meet a cluster's vectors in blocks of at
-    most ``QUERY_BLOCK``."""
-    blocks = cut_lineage(pairs.join(queries, "query_id").groupBy("cluster", "block")
-                         .agg(F.collect_list(F.struct("query_id", "qvec", c("norm").alias("qnorm"))).alias("_lg_qs")))
-    met = index.vectors.join(blocks, "cluster")
-    scores = (met.select("vec_id", F.explode(F.transform("_lg_qs", lambda q: F.struct(
-                  q["query_id"].alias("query_id"), F.round(_dot(c("vec"), q["qvec"]) / (c("norm") * q["qnorm"]), 5).alias("score")))).alias("_lg_s"))
-              .select("_lg_s.query_id", "vec_id", "_lg_s.score"))
+    """The top k of each query among the clusters of its pairs (query_id, cluster, floor: a score to reach, or null).
+    Queries and vectors of a cluster meet in blocks of about ``BLOCK_ROWS``; a block returns the k best of each query."""
+    pairs = cut_lineage(pairs)
+    blocks = (pairs.groupBy("cluster").agg(F.count(F.lit(1)).alias("_lg_n")).join(index.clusters, "cluster")
+              .select("cluster", F.ceil(c("_lg_n") / BLOCK_ROWS).alias("_lg_qs"), F.ceil(c("n") / BLOCK_ROWS).alias("_lg_vs")))
+    dealt = lambda n: F.pmod(F.xxhash64("row"), c(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), c(n) - 1))
+    asked = pairs.join(queries, "query_id").join(blocks, "cluster").select(
+        "cluster", dealt("_lg_qs").alias("_lg_q"), every("_lg_vs").alias("_lg_v"), "query_id", "qvec", c("norm").alias("qnorm"), "floor")
+    given = index.vectors.join(blocks, "cluster").select(
+        "cluster", every("_lg_qs").alias("_lg_q"), dealt("_lg_vs").alias("_lg_v"), "vec_id", "vec", "norm")
+    key = ["cluster", "_lg_q", "_lg_v"]
+    query_type, id_type = (df.schema[x].dataType.simpleString() for df, x in ((queries, "query_id"), (index.vectors, "vec_id")))
+    scores = (asked.groupBy(*key).cogroup(given.groupBy(*key))
+              .applyInArrow(_best(k), f"query_id {query_type}, vec_id {id_type}, cos double")
+              .select("query_id", "vec_id", F.round("cos", 5).alias("score")))
     return top_k_per_group(scores, ["query_id"], "score", "vec_id", k)
 
 
@@ -214,17 +291,16 @@ def vector_search(index: VectorIndex, queries: DataFrame, k: int = 10, probe: in
     only those are scored whose bound, rounded like the scores, reaches it (all, where the probed ones held fewer than k
     vectors).  Exact for every ``probe`` and every clustering.  ``pairs``, if given, gets the two frames
     (query_id, cluster, n) of what is scored."""
-    block = F.shiftright(F.monotonically_increasing_id(), QUERY_BLOCK.bit_length() - 1)
-    q = cut_lineage(_units(queries.select("query_id", "qvec"), "qvec").withColumn("block", block))
+    q = cut_lineage(_units(queries.select("query_id", "qvec"), "qvec").withColumn("row", F.monotonically_increasing_id()))
     reach = cut_lineage(_bounds(index, q))
     probes = top_k_per_group(reach, ["query_id"], "bound", "cluster", probe).select("query_id", "cluster", "n")
-    probed = cut_lineage(_scored(index, q, probes.drop("n"), k))
+    probed = cut_lineage(_scored(index, q, probes.select("query_id", "cluster", F.lit(None).cast("double").alias("floor")), k))
     kth = probed.filter(c("rank") == k).select(c("query_id").alias("_q"), c("score").alias("_kth"))
     # 1e-7 absorbs the rounding of the angles; a bound equal to the k-th score may hold a tie
     others = (reach.join(probes, ["query_id", "cluster"], "left_anti").join(kth, c("query_id") == c("_q"), "left")
-              .filter(c("_kth").isNull() | (F.round(c("bound") + 1e-7, 5) >= c("_kth"))).select("query_id", "cluster", "n"))
+              .filter(c("_kth").isNull() | (F.round(c("bound") + 1e-7, 5) >= c("_kth"))).select("query_id", "cluster", "n", c("_kth").alias("floor")))
     if pairs is not None:
-        pairs += [probes, others]
+        pairs += [probes, others.drop("floor")]
     both = probed.drop("rank").unionByName(_scored(index, q, others.drop("n"), k).drop("rank"))
     return top_k_per_group(both, ["query_id"], "score", "vec_id", k)
 

@@ -320,3 +320,22 @@ def test_index_of_nothing(spark):
     assert index.n_docs == 0 and R.bm25(index, q).count() == 0
 
 
+
+
+def test_blocks_of_vectors_return_the_best_of_each_query():
+    """A block of queries and vectors returns the k best by the rounded cosine, ties by the id, and no other pair."""
+    import pyarrow as pa
+    rnd = random.Random(13)
+    vecs = [[rnd.randrange(-3, 4) / 3 for _ in range(4)] + [1.0] for _ in range(400)]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    queries = pa.table({"query_id": list(range(50)), "qvec": vecs[:50], "qnorm": [norm(v) for v in vecs[:50]],
+                        "floor": pa.array([None] * 50, pa.float64())})
+    ids = rnd.sample(range(1000), 400)
+    vectors = pa.table({"vec_id": ids, "vec": vecs, "norm": [norm(v) for v in vecs]})
+    got = R._best(5)(queries, vectors).to_pylist()
+    for i in range(50):
+        cos = [(-round(sum(a * b for a, b in zip(vecs[i], v)) / (norm(vecs[i]) * norm(v)), 5), n) for v, n in zip(vecs, ids)]
+        assert sorted((-round(r["cos"], 5), r["vec_id"]) for r in got if r["query_id"] == i)[:5] == sorted(cos)[:5]
+    assert len(got) < 6 * 50
+    odd = pa.table({"vec_id": [1, 2], "vec": [[1.0], vecs[0]], "norm": [1.0, norm(vecs[0])]})     # another length: no cosine
+    assert [(r["vec_id"], r["cos"] is None) for r in R._best(5)(queries.slice(0, 1), odd).to_pylist()] == [(2, False), (1, True)]
