@@ -1,4 +1,4 @@
-"""O-ST4: exact velocity on a stream, with state keyed by (account, granule).
+"""O-ST4: exact velocity on a stream, with state keyed by (bucket of accounts, granule).
 
 A stream cannot count the transactions in ``[t - W, t]`` when a row arrives: rows up to the watermark's delay older may
 still come.  So a row waits until the watermark has passed its granule (a piece of W / ``granules``), and is then
@@ -6,9 +6,9 @@ counted once, exactly, over every row that was not dropped as late.
 
 A window reaches over the row's own granule, part of the granule W before it, and all granules between.  Each row
 is therefore sent to its own granule, to the one W later (as an edge), and as part of a count to those between;
-the counts are summed per (account, granule) in the sending task.  A key of the state holds one account's rows of two
-granules, however many the account has in a window or a batch, and an event-time timer at the granule's end counts,
-emits and clears it.
+the counts are summed per (account, granule) in the sending task.  A key of the state holds the rows of two granules of
+one bucket of accounts, however many an account has in a window or a batch, and an event-time timer at the granule's
+end counts, emits and clears it.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ OWN, EDGE, BETWEEN = 0, 1, 2
 SENT = pa.schema([("account_id", pa.string()), ("granule", pa.int64()), ("kind", pa.int32()), ("txn_id", pa.string()),
                   ("t", pa.int64()), ("n", pa.int64())])
 SENT_DDL = "account_id string, granule long, kind int, txn_id string, t long, n long"
+STATE = pa.schema([SENT.field(x) for x in ("account_id", "kind", "txn_id", "t", "n")])
 OUT_DDL = "account_id string, txn_id string, t long, velocity_count long"
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+BUCKETS = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -81,16 +83,16 @@ def _sent(window: int, width: int):
 
 
 class _Granule(StatefulProcessor):
-    """The state of one (account, granule): its rows, the times of the edge W before, the count between."""
+    """The state of one granule and the accounts of one bucket: their rows, the edges W before, the counts between, as
+    they came.  What one call brings is stored as one value, so that calls of the state store grow with the keys and
+    the deliveries, not with the rows or the accounts."""
 
     def __init__(self, window: int, width: int):
         self.window, self.width = window, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "t long, txn_id string")
-        self.edge = handle.getListState("edge", "t long")
-        self.between = handle.getValueState("between", "n long")
+        self.sent = handle.getListState("sent", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
@@ -100,51 +102,60 @@ class _Granule(StatefulProcessor):
         known = False
         for batch in rows:
             known = True
-            kind, t = batch["kind"].to_numpy(), batch["t"]
-            own = batch[(kind == OWN) & (t >= watermark).to_numpy()]
-            if len(own):
-                self.rows.appendList([(int(x), i) for x, i in zip(own["t"], own["txn_id"])])
-            edge = t[(kind == EDGE) & (t >= watermark).to_numpy()]
-            if len(edge):
-                self.edge.appendList([(int(x),) for x in edge])
-            n = int(batch["n"][kind == BETWEEN].sum())
-            if n:
-                before = self.between.get()
-                self.between.update(((before[0] if before else 0) + n,))
+            batch = batch[(batch["kind"] == BETWEEN) | (batch["t"] >= watermark)]
+            if len(batch):
+                table = pa.Table.from_pandas(batch, schema=STATE, preserve_index=False)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, STATE) as out:
+                    out.write_table(table)
+                self.sent.appendValue((sink.getvalue().to_pybytes(),))
         if known:
             self.handle.registerTimer(-(-end // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = list(self.rows.get())
-        if rows:
-            t = np.array([r[0] for r in rows], "int64")
-            own, edge = np.sort(t), np.sort(np.array([r[0] for r in self.edge.get()], "int64"))
-            before = self.between.get()
-            count = ((before[0] if before else 0) + len(edge) - np.searchsorted(edge, t - self.window, side="left")
-                     + np.searchsorted(own, t, side="right"))
-            yield pd.DataFrame({"account_id": key[0], "txn_id": [r[1] for r in rows], "t": t, "velocity_count": count.astype("int64")})
-        self.rows.clear()
-        self.edge.clear()
-        self.between.clear()
+        parts = [pa.ipc.open_stream(bytes(r[0])).read_all() for r in self.sent.get()]
+        if parts:
+            yield from self.counted(pa.concat_tables(parts), key[1] * self.width)
+        self.sent.clear()
+
+    def counted(self, sent: pa.Table, start: int) -> Iterator[pd.DataFrame]:
+        """The counts of the granule's own rows; every time of an account becomes its place in one line of accounts."""
+        code = sent.column("account_id").combine_chunks().dictionary_encode()
+        code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy().astype("int64")
+        kind, t, n = (sent.column(x).to_numpy() for x in ("kind", "t", "n"))
+        own, edge, between = kind == OWN, kind == EDGE, kind == BETWEEN
+        if not own.any():
+            return
+        first = code[own] * self.width          # an account's part of the line
+        at = first + t[own] - start
+        rows, edges = np.sort(at), np.sort(code[edge] * self.width + t[edge] + self.window - start)
+        before = np.zeros(int(code.max()) + 1, "int64")
+        np.add.at(before, code[between], n[between])
+        count = (before[code[own]] + np.searchsorted(edges, first + self.width, side="left") - np.searchsorted(edges, at, side="left")
+                 + np.searchsorted(rows, at, side="right") - np.searchsorted(rows, first, side="left"))
+        yield (sent.select(["account_id", "txn_id", "t"]).filter(pa.array(own))
+               .append_column("velocity_count", pa.array(count.astype("int64"))).to_pandas())
 
     def close(self) -> None:
         pass
 
 
 def streaming_velocity(txns: DataFrame, window: str = K.VELOCITY_WINDOW, granules: int = 4, account_col: str = "account_id",
-                       id_col: str = "txn_id", ts_col: str = "txn_ts") -> DataFrame:
+                       id_col: str = "txn_id", ts_col: str = "txn_ts", buckets: int = BUCKETS) -> DataFrame:
     """account_id, txn_id, txn_ts, velocity_count of a stream with a watermark: each row once, when the watermark
     has passed its granule, with the count of the account's rows in [t - window, t].
 
     Rows older than the watermark are dropped from every count.  A null account is an account of its own; rows without
-    a time take no part.  ``granules`` pieces of the window keep a busy account's keys small."""
+    a time take no part.  ``granules`` pieces of the window keep a busy account's keys small; the accounts of one of
+    ``buckets`` share a key, and a checkpoint is bound to both numbers."""
     w, width = duration_micros(window), granule_micros(window, granules)
     narrow = txns.filter(F.col(ts_col).isNotNull()).select(
         # null keys would not stay together in Python: a null account is the empty text
         F.coalesce(F.col(account_col).cast("string"), F.lit("")).alias("account_id"), F.col(id_col).cast("string").alias("txn_id"),
         F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, `{ts_col}`)").alias("t"))
-    counted = (narrow.mapInArrow(_sent(w, width), SENT_DDL).groupBy("account_id", "granule")
+    sent = narrow.mapInArrow(_sent(w, width), SENT_DDL).withColumn("bucket", F.pmod(F.xxhash64("account_id"), F.lit(buckets)))
+    counted = (sent.groupBy("bucket", "granule")
                .transformWithStateInPandas(_Granule(w, width), OUT_DDL, "Append", "EventTime"))
     account = F.when(F.col("account_id") != "", F.col("account_id").cast(txns.schema[account_col].dataType)).alias("account_id")
     return counted.select(account, "txn_id", F.expr(f"timestampadd(MICROSECOND, t, {EPOCH})").alias("txn_ts"), "velocity_count")

@@ -108,6 +108,24 @@ def test_stream_velocity_with_one_granule(spark, tmp_path):
     assert got == brute_velocity(rows, 3600)
 
 
+def test_one_state_key_counts_many_accounts():
+    """The state's keys do not grow with the accounts: a granule of a bucket counts each of its accounts apart."""
+    import random
+    import pandas as pd
+    import pyarrow as pa
+    from ledgerguard.streaming import velocity as V
+    rng = random.Random(3)
+    window, width = 3600 * 10**6, 1800 * 10**6
+    rows = [(str(i), f"a{rng.randrange(40)}", rng.randrange(0, 6 * width)) for i in range(2000)]
+    sent = pa.RecordBatch.from_pydict({"account_id": [r[1] for r in rows], "txn_id": [r[0] for r in rows], "t": [r[2] for r in rows]})
+    table = pa.Table.from_batches(list(V._sent(window, width)([sent])))
+    state, out = V._Granule(window, width), []
+    for granule in range(6):
+        out += list(state.counted(table.filter(pa.compute.equal(table.column("granule"), granule)).select(V.STATE.names), granule * width))
+    got = pd.concat(out)
+    assert dict(zip(got["txn_id"], got["velocity_count"])) == brute_velocity(rows, window)
+
+
 def test_sliding_counts_of_panes_equal_a_row_by_row_expand(spark):
     ctx = RiskContext(spark, SF001)
     t = ctx.bank.transactions
