@@ -98,6 +98,11 @@ class RiskContext:
         from ledgerguard.operators.timewin import density
         return density(self.bank.transactions, ["account_id"], "txn_ts", self.velocity_window)
 
+    def _source(self, name: str) -> DataFrame:
+        """A derived table for deriving flags from it: the snapshot where one was written already, else the plan, so
+        that a job that reads both the table and its flags derives the table once."""
+        return self._stored.get(f"derived_{name}", getattr(self, f"derived_{name}"))
+
     # ---- derived tables as lazy plans (what the detection operators compute) ----------
     @cached_property
     def derived_transactions(self) -> DataFrame:
@@ -113,15 +118,15 @@ class RiskContext:
 
     @cached_property
     def derived_fraud_flags(self) -> DataFrame:
-        return build_fraud_flags(self.derived_transactions, self.accounts, self.as_of)
+        return build_fraud_flags(self._source("transactions"), self.accounts, self.as_of)
 
     @cached_property
     def derived_credit_flags(self) -> DataFrame:
-        return build_credit_flags(self.derived_credit_exposures, self.accounts, self.as_of)
+        return build_credit_flags(self._source("credit_exposures"), self.accounts, self.as_of)
 
     @cached_property
     def derived_liquidity_flags(self) -> DataFrame:
-        return build_liquidity_flags(self.derived_liquidity_positions, self.as_of)
+        return build_liquidity_flags(self._source("liquidity_positions"), self.as_of)
 
     @cached_property
     def derived_risk_flags(self) -> DataFrame:

@@ -61,3 +61,12 @@ def test_lcr_boundaries(spark):
     assert f[5].flag_type == "LCR_BREACH" and f[5].flag_score == 58
     assert 6 not in f and 7 not in f
     assert f[8].flag_type == "NSFR_BREACH" and f[8].threshold_field == "nsfr_ratio"
+
+
+def test_flags_are_derived_from_the_stored_tables(spark):
+    """A job that reads a table and its flags derives the table once: the flags read the snapshot."""
+    from conftest import SF001
+    from ledgerguard.plans.context import RiskContext
+    ctx = RiskContext(spark, SF001)
+    assert ctx.credit_exposures.count() > 0
+    assert not [f for f in ctx.derived_credit_flags.inputFiles() if "lineitem" in f]
