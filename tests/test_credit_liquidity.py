@@ -70,3 +70,13 @@ def test_flags_are_derived_from_the_stored_tables(spark):
     ctx = RiskContext(spark, SF001)
     assert ctx.credit_exposures.count() > 0
     assert not [f for f in ctx.derived_credit_flags.inputFiles() if "lineitem" in f]
+
+
+def test_metrics_of_flags_and_exposures_derive_the_exposures_once(spark):
+    """The flags come first in the request; the exposures are stored before the flags are derived from them."""
+    from conftest import SF001
+    from ledgerguard.plans.context import RiskContext
+    from ledgerguard.plans.semantic_queries import metric_query_two_facts_filtered
+    ctx = RiskContext(spark, SF001)
+    assert metric_query_two_facts_filtered(ctx).columns == ["segment", "open_flag_count", "total_rwa"]
+    assert not [f for f in ctx.derived_credit_flags.inputFiles() if "lineitem" in f]
