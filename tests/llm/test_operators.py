@@ -240,6 +240,56 @@ def test_passages_recall(spark):
     assert all(x >= (0.75 if k == (60, 0.85) else 0.9) for k, x in share.items()), share
 
 
+def test_passages_recall_of_scattered_edits(spark):
+    """Pairs at identity 0.8 and a little over, and exact copies whose overlapping pieces stand in documents before the first
+    copy and after the last one."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    rows, want = [], {}
+
+    def add(w):
+        rows.append((len(rows), " ".join(w)))
+        return len(rows) - 1
+    for n, identity in ((60, 0.85), (60, 0.82), (80, 0.82), (100, 0.82)):
+        for _ in range(60):
+            p = words(n)
+            q = list(p)
+            for k in rng.sample(range(n), round(n * (1 - identity))):
+                q[k] = f"x{rng.randrange(100000)}"
+            want.setdefault((n, identity), set()).add(tuple(reversed((add(words(40) + p + words(40)), add(words(40) + q + words(40))))))
+    for _ in range(30):
+        p = words(60)
+        pieces = [p[k:k + 24] for k in (0, 12, 24, 36)]
+        for piece in pieces:
+            add(words(30) + piece + words(30))
+        a, b = add(words(40) + p + words(40)), add(words(40) + p + words(40))
+        for piece in pieces:
+            add(words(30) + piece + words(30))
+        want.setdefault("pieces on both sides", set()).add((b, a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = {(r["doc_id"], r["src_doc_id"]) for r in passages.repeated_passages(docs).collect()}
+    share = {k: len(v & found) / len(v) for k, v in want.items()}
+    print(share)
+    assert not found - set().union(*want.values())
+    assert share.pop("pieces on both sides") == 1 and all(x >= 0.9 for x in share.values()), share
+
+
+def test_links_across_batches():
+    """The links of a seed are the same however its sorted places are cut into batches: near documents all meet, later ones
+    the one before and the first."""
+    import pyarrow as pa
+    places = [(s, d, d + 100, p) for s in (1, 2, 3) for d in range(1 + 7 * s) for p in range(1 + (d + s) % 3)]
+    want = []
+    for s, d, k, p in places:
+        for e in range(d) if d < passages.NEAR else (d - 1, 0):
+            want.append((d, k, e, e + 100, p, 0))
+    t = pa.table([pa.array(x, y) for x, y in zip(zip(*places), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
+                 names=["seed", "doc_id", "row_key", "pos"])
+    for size in (1, 2, 5, 1000):
+        out = [tuple(r.values()) for b in passages._links(t.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        assert sorted(out) == sorted(want)
+
+
 def test_seed_places():
     """Every run of K + WINDOW - 1 words has a seed, and a shingle that is chosen by its hash is chosen everywhere."""
     import numpy as np
