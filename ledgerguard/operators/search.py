@@ -5,8 +5,8 @@ rebuilt as Spark jobs:
 
 * an inverted index of whole documents (tokenize, explode, group by (doc, term));
 * per term and range of documents the document count and the largest impact, written with the index;
-* BM25 as a join of query terms with the postings of the ranges that can reach a query's k-th score, summed per
-  (query, doc);
+* BM25 range by range: the postings of a range meet the weights of the queries that it can reach, and a range returns the
+  k best documents of each query, so no row for each query and document is shuffled;
 * cosine similarity of blocks of queries and vectors of a cluster by products of matrices, clusters left out by their radius;
 * top-k per query in two exact stages: top-k inside (query, hash bucket of
   the candidate), then top-k over the survivors.  A single query never sends
@@ -103,6 +103,53 @@ def _impact(avg_len: float) -> Column:
     return c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("doc_len") / F.lit(avg_len)))
 
 
+QUERY_TERMS, CELLS = 1 << 20, 1 << 22     # terms of the queries that meet a range at once; impacts (term, document) held at once
+
+
+def _best_documents(k: int, avg_len: float):
+    """Two tables (weighted terms of queries, and postings, of one range) -> the k best documents of each query, with the
+    score unrounded.  Documents whose score may be rounded either way are returned too."""
+    def run(asked: pa.Table, postings: pa.Table) -> pa.Table:
+        out = [], [], []
+        if asked.num_rows and postings.num_rows:
+            terms = asked.column("term").unique()
+            term = pc.index_in(asked.column("term"), terms).to_numpy()
+            queries = asked.column("query_id").unique()
+            query = pc.index_in(asked.column("query_id"), queries).to_numpy()
+            order = np.argsort(query, kind="stable")
+            cut = np.searchsorted(query[order], np.arange(len(queries) + 1))
+            idf = asked.column("idf").to_numpy()
+            postings = postings.filter(pc.is_in(postings.column("term"), terms))
+            row = pc.index_in(postings.column("term"), terms).to_numpy()
+            tf, doc_len = (postings.column(x).to_numpy().astype("float64") for x in ("tf", "doc_len"))
+            impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avg_len))
+            docs, doc = np.unique(postings.column("doc_id").to_numpy(), return_inverse=True)
+            width = max(1, CELLS // len(terms))
+            for x in range(0, len(docs), width):
+                part = (doc >= x) & (doc < x + width)
+                held = np.zeros((len(terms), min(width, len(docs) - x)))
+                np.add.at(held, (row[part], doc[part] - x), impact[part])
+                for q in range(len(queries)):
+                    mine = order[cut[q]:cut[q + 1]]
+                    score = idf[mine] @ held[term[mine]]
+                    hit = np.flatnonzero(score > 0)
+                    step = score[hit] * 1e5 + 0.5
+                    key = np.floor(step)
+                    if len(hit) > k:
+                        unsure = np.floor(step - 1e-6) != np.floor(step + 1e-6)
+                        best = np.lexsort((hit, -key))[:k]                     # documents are in the order of their ids
+                        unsure[best] = True
+                        hit = hit[unsure]
+                    out[0].append(np.full(len(hit), q))
+                    out[1].append(docs[hit + x])
+                    out[2].append(score[hit])
+        found = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64))]
+        ids = asked.column("query_id").unique() if asked.num_rows else asked.column("query_id").combine_chunks()
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        return pa.table({"query_id": ids.take(pa.array(found[0])), "doc_id": pa.array(found[1]), "score": pa.array(found[2])})
+    return run
+
+
 def bm25(index: SearchIndex, queries: DataFrame, k: int = 10, docs: DataFrame | None = None, probe: int = 4) -> DataFrame:
     """O-R2 / O-R4: BM25 top-k per query.  ``queries`` = (query_id, text); ``docs`` optionally
     restricts candidates (attribute filters) by doc_id.
@@ -125,12 +172,17 @@ def bm25(index: SearchIndex, queries: DataFrame, k: int = 10, docs: DataFrame |
     asked = hits.join(weights, ["query_id", "term"]).select("query_id", "term", "doc_range", "idf", "impact")
     reach = asked.groupBy("query_id", "doc_range").agg(F.sum(c("idf") * c("impact")).alias("bound"))
     postings = index.postings if docs is None else index.postings.join(docs.select("doc_id"), "doc_id", "left_semi")
-    part = c("idf") * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("doc_len") / F.lit(avg_len)))
+    blocks = max(1, -(-qterms.count() // QUERY_TERMS))     # one number, from the stored table
+    types = ", ".join(f"{x} {df.schema[x].dataType.simpleString()}" for df, x in ((qterms, "query_id"), (index.postings, "doc_id")))
 
     def scored(ranges: DataFrame) -> DataFrame:
-        wanted = cut_lineage(asked.join(ranges, ["query_id", "doc_range"]).select("query_id", "term", "doc_range", "idf"))
-        scores = (postings.join(wanted, ["term", "doc_range"]).groupBy("query_id", "doc_id")
-                  .agg(F.round(F.sum(part), 5).alias("score")))
+        wanted = cut_lineage(asked.join(ranges, ["query_id", "doc_range"]).select(
+            "query_id", "term", "doc_range", "idf", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_lg_q")))
+        needed = cut_lineage(wanted.select("term", "doc_range", "_lg_q").distinct())
+        given = postings.join(needed, ["term", "doc_range"]).select("doc_range", "_lg_q", "doc_id", "term", "tf", "doc_len")
+        scores = (wanted.groupBy("doc_range", "_lg_q").cogroup(given.groupBy("doc_range", "_lg_q"))
+                  .applyInArrow(_best_documents(k, avg_len), f"{types}, score double")
+                  .select("query_id", "doc_id", F.round("score", 5).alias("score")))
         return top_k_per_group(scores, ["query_id"], "score", "doc_id", k)
 
     probes = top_k_per_group(reach, ["query_id"], "bound", "doc_range", probe).select("query_id", "doc_range")

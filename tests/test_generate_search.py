@@ -339,3 +339,33 @@ def test_blocks_of_vectors_return_the_best_of_each_query():
     assert len(got) < 6 * 50
     odd = pa.table({"vec_id": [1, 2], "vec": [[1.0], vecs[0]], "norm": [1.0, norm(vecs[0])]})     # another length: no cosine
     assert [(r["vec_id"], r["cos"] is None) for r in R._best(5)(queries.slice(0, 1), odd).to_pylist()] == [(2, False), (1, True)]
+
+
+def test_best_documents_of_a_range():
+    """A range returns the k best documents of each query (by the rounded score, then by id), not a row for each that matches;
+    repeated terms of a query and repeated documents count again."""
+    import pyarrow as pa
+    rng = random.Random(3)
+    asked = [(q, f"t{rng.randrange(12)}", rng.choice([0.5, 1.25, 2.0])) for q in range(20) for _ in range(6)]
+    postings = [(rng.randrange(300), f"t{rng.randrange(15)}", rng.randrange(1, 4), rng.randrange(5, 9)) for _ in range(1500)]
+    a = pa.table({"query_id": [x[0] for x in asked], "term": [x[1] for x in asked], "idf": [x[2] for x in asked]})
+    p = pa.table({"doc_id": [x[0] for x in postings], "term": [x[1] for x in postings], "tf": [x[2] for x in postings],
+                  "doc_len": [x[3] for x in postings]})
+    want = {}
+    for q, t, idf in asked:
+        for d, u, tf, n in postings:
+            if t == u:
+                part = idf * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * n / 6.5))
+                want.setdefault(q, {})[d] = want.get(q, {}).get(d, 0.0) + part
+    cells = R.CELLS
+    try:
+        for R.CELLS in (cells, 40):                        # all documents at once; a few at a time
+            found = R._best_documents(5, 6.5)(a, p).to_pylist()
+            for q in want:
+                best = sorted((-round(s, 5), d) for d, s in want[q].items())[:5]
+                mine = sorted((-round(r["score"], 5), r["doc_id"]) for r in found if r["query_id"] == q)
+                assert mine[:5] == best
+                assert R.CELLS < cells or len(mine) <= 10 < len(want[q])
+        assert R._best_documents(5, 6.5)(a, p.slice(0, 0)).num_rows == R._best_documents(5, 6.5)(a.slice(0, 0), p).num_rows == 0
+    finally:
+        R.CELLS = cells
