@@ -237,6 +237,34 @@ def test_granules_match_brute_force(spark):
         assert {i: (*tc[i], *fw[i], fm[i]) for i in tc} == want, split
 
 
+def test_windows_have_no_frame_that_ends_unbounded(spark):
+    """A frame from the current row to the end is summed anew for every row: rows times rows of a bucket.  Counts and sums
+    (integers, decimals), sums of doubles and maxima do without it, in both directions, also before 1970 and with nulls."""
+    from ledgerguard.operators.timewin import forward_max
+    rnd = random.Random(11)
+    t0 = dt.datetime(1969, 12, 30)
+    data = [(i, rnd.randrange(3), t0 + dt.timedelta(minutes=rnd.randrange(4 * 1440)), rnd.choice([None, -3, 0, 2, 7])) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, k long, ts timestamp_ntz, v long")
+    w = dt.timedelta(hours=6)
+    measures = {"n": F.lit(1), "s": F.col("v"), "m": F.col("v").cast("decimal(18,2)"), "d": F.col("v").cast("double") / 2}
+    for split in ({"rows_per_granule": 5}, {}):
+        for direction in ("trailing", "forward"):
+            out = range_sums(df, ["k"], "ts", "6 hours", measures, direction, **split)
+            got = {r.id: (r.n, r.s, r.m, r.d) for r in out.collect()}
+            plans = [out._jdf.queryExecution().optimizedPlan().toString()]
+            for i, k, t, _ in data:
+                lo, hi = (t - w, t) if direction == "trailing" else (t, t + w)
+                hit = [v2 for _, k2, t2, v2 in data if k2 == k and lo <= t2 <= hi]
+                total = sum(v2 or 0 for v2 in hit)
+                assert got[i] == (len(hit), total, total, total / 2), (direction, split)
+            if direction == "forward":
+                top = forward_max(df, ["k"], "ts", "6 hours", "v", "mx", **split)
+                plans.append(top._jdf.queryExecution().optimizedPlan().toString())
+                for r in top.collect():
+                    assert r.mx == max((v2 for _, k2, t2, v2 in data if k2 == r.k and r.ts <= t2 <= r.ts + w and v2 is not None), default=None)
+            assert all("RangeFrame" in p and "currentrow$(), unboundedfollowing$()" not in p for p in plans)
+
+
 def test_density_decides_the_granules(spark):
     """A dense key is cut, a long one with few rows a window is not."""
     from ledgerguard.operators.timewin import _granules, density, duration_micros
