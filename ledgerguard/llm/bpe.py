@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.llm.common import release, releasing, row_key, same_row, stored, texts
-from ledgerguard.llm.words_bpe import (DICTIONARY, WORDS_AT_ONCE, batch_words, from_bytes, is_frequent, most_first, n_words,
-                                       row_slices, source, specials, to_bytes, with_words, word_table)
+from ledgerguard.llm.words_bpe import (DICTIONARY, batch_words, from_bytes, is_frequent, most_first, n_words, places, row_slices,
+                                       source, specials, to_bytes, with_words, word_table)
+
+#: Words that a task turns into ids at a time (as many as the dictionary has, if that is more), unless one document has more.
+CODES_AT_ONCE = 1 << 17
 
 
 def pieces(tokenizer: str) -> list[bytes]:
@@ -58,12 +61,15 @@ def _hex(data) -> str:
 
 def _packed(code: np.ndarray, at: np.ndarray) -> pa.Array:
     """One binary for each row: its codes, seven bits a byte, low ones first; a set high bit means more follows."""
-    size = 1 + (code >= 1 << 7) + (code >= 1 << 14)
-    parts = np.stack([code & 127, code >> 7 & 127, code >> 14], 1).astype(np.uint8)
-    byte = np.arange(3)
-    parts |= ((byte < size[:, None] - 1) * 128).astype(np.uint8)
-    ends = np.concatenate([[0], np.cumsum(size)])[at].astype(np.int64)
-    data = parts[byte < size[:, None]]
+    parts = np.empty((len(code), 3), np.uint8)
+    used = np.ones((len(code), 3), bool)
+    for k in range(3):
+        parts[:, k] = code >> 7 * k & 127
+        if k:
+            used[:, k] = code >= 1 << 7 * k
+            parts[used[:, k], k - 1] |= 128
+    ends = np.concatenate([[0], np.cumsum(used.sum(1))])[at].astype(np.int64)
+    data = parts[used]
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
@@ -86,9 +92,9 @@ def _rare(d: DataFrame, tokenizer: str, sent) -> DataFrame:
     @releasing
     def rare_words(batches):
         known, _ = from_bytes(sent.value)
-        for batch in row_slices(batches, n_words, max(len(known), WORDS_AT_ONCE)):
+        for batch in row_slices(batches, n_words):
             words, at = batch_words(batch, tokenizer)
-            other = np.flatnonzero(pc.is_in(words, known).to_numpy(zero_copy_only=False) == 0)
+            other = np.flatnonzero(places(words, known) < 0)
             row = np.searchsorted(at, other, "right") - 1
             i = np.arange(len(other)) - np.searchsorted(other, at)[row]
             yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), batch.column("row_key").take(pa.array(row)),
@@ -104,10 +110,10 @@ def _coded(d: DataFrame, tokenizer: str, sent) -> DataFrame:
     @releasing
     def code_words(batches):
         known, _ = from_bytes(sent.value)
-        for batch in row_slices(batches, n_words, max(len(known), WORDS_AT_ONCE)):
+        for batch in row_slices(batches, n_words):
             words, at = batch_words(batch, tokenizer)
-            code = pc.index_in(words, known).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) + 1
-            yield pa.record_batch([batch.column("doc_id"), batch.column("row_key"), _packed(code, at).cast(pa.binary())],
+            codes = _packed(places(words, known) + 1, at)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row_key"), codes.cast(pa.binary())],
                                   names=["doc_id", "row_key", "codes"])
 
     return (with_words(d, tokenizer).select("doc_id", row_key().alias("row_key"), "words", "odd")
@@ -136,17 +142,17 @@ def encode_decode(docs: DataFrame, tokenizer: str, with_ids: bool = False, dicti
         known, known_ids = from_bytes(sent.value)
         piece = pa.array(of_id.value, pa.large_binary())
         decimal = pa.array([b"%d," % i for i in range(len(piece))], pa.large_binary())
-        for batch in row_slices(batches, lambda b: pc.binary_length(b.column("codes")), max(len(known), WORDS_AT_ONCE)):
+        for batch in row_slices(batches, lambda b: pc.binary_length(b.column("codes")), max(len(known), CODES_AT_ONCE)):
             code, at = _unpacked(batch.column("codes"))
             found = batch.column("found")
             r = np.asarray(found.offsets).astype(np.int64)
-            places = found.values.slice(r[0], r[-1] - r[0])
+            rest = found.values.slice(r[0], r[-1] - r[0])
             other = np.flatnonzero(code == 0)
             row_first = np.searchsorted(other, at[:-1])
-            where = other[places.field("i").to_numpy(zero_copy_only=False) + np.repeat(row_first, np.diff(r))]
+            where = other[rest.field("i").to_numpy(zero_copy_only=False) + np.repeat(row_first, np.diff(r))]
             code -= 1
             code[where] = len(known) + np.arange(len(where))
-            every = pa.concat_arrays([known_ids, places.field("ids").cast(pa.list_(pa.int32()))]).take(pa.array(code))
+            every = pa.concat_arrays([known_ids, rest.field("ids").cast(pa.list_(pa.int32()))]).take(pa.array(code))
             end = np.concatenate([[0], np.cumsum(pc.list_value_length(every).to_numpy(zero_copy_only=False))]).astype(np.int64)
             row_at = end[at]
             ids = every.flatten()

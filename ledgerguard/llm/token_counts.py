@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerguard.llm.common import releasing, stored, texts
-from ledgerguard.llm.words_bpe import (DICTIONARY, WORDS_AT_ONCE, batch_words, frequent, from_bytes, n_words, row_slices, source,
-                                       to_bytes, with_words, word_table)
+from ledgerguard.llm.words_bpe import (DICTIONARY, batch_words, frequent, from_bytes, n_words, places, row_slices, source, to_bytes,
+                                       with_words, word_table)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int, dictionary: int = DICTIONARY // 2) -> DataFrame:
@@ -34,11 +34,11 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, dictionary: int =
     def count(batches):
         known, ids = from_bytes(sent.value)
         pieces = np.append(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), 0)
-        for batch in row_slices(batches, n_words, max(len(known), WORDS_AT_ONCE)):
+        for batch in row_slices(batches, n_words):
             words, at = batch_words(batch, tokenizer)
-            code = pc.index_in(words, known).fill_null(len(known)).to_numpy(zero_copy_only=False)
+            code = places(words, known)  # the last entry of pieces, 0, is that of any other word
             total = np.concatenate([[0], np.cumsum(pieces[code])])
-            rare = np.flatnonzero(code == len(known))
+            rare = np.flatnonzero(code < 0)
             coded = words.take(pa.array(rare)).dictionary_encode()
             row = np.searchsorted(at, rare, "right") - 1
             names = max(len(coded.dictionary), 1)

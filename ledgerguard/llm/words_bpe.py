@@ -1,7 +1,8 @@
 """Pre-tokens (words) of byte-level BPE and the table of distinct words; used by operators 5 and 8.
 
-Texts are split by Spark with the pattern of the tokenizer file family (fixed value below).  Texts that
-hold a special token or a character that the JVM's Unicode tables do not know are split by the tokenizer
+Texts are split by Spark with the pattern of the tokenizer file family (fixed value below), which sets a mark after
+each word: one string a text goes to Python, where the marks become the words' offsets.  Texts that hold the mark, a
+special token or a character that the JVM's Unicode tables do not know are split by the tokenizer
 library's own pre-tokenizer instead.  Each distinct word of the corpus is encoded once.  Words that occur
 often (at most ``DICTIONARY`` of them or as many as asked for, together of at most ``WORD_BYTES`` times as many bytes: the
 proven bound) are sent to the tasks; all other words are joined by shuffle.  More of them take memory, fewer disk.  A tokenizer is given by its file's text (``source``).
@@ -23,11 +24,14 @@ from ledgerguard.llm.common import release, releasing, stored
 
 #: Fixed value: the pattern of byte-level BPE pre-tokenizers; S stands for the Unicode white space.
 _S = r"\s\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|[" + _S + r"]+(?![^" + _S
+#: The most frequent kinds of words come first: neither letters nor numbers begin with an apostrophe.
+PATTERN = (r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^" + _S + r"\p{L}\p{N}]+|[" + _S + r"]+(?![^" + _S
            + r"])|[" + _S + r"]+")
+#: Stands after each word of a split text; every character of a text belongs to a word.
+MARK = "\0"
 DICTIONARY, WORD_BYTES = 1 << 19, 64
-#: Words that a task counts at a time, unless one document has more.
-WORDS_AT_ONCE = 1 << 17
+#: Words that a task handles at a time, unless one document has more.
+WORDS_AT_ONCE = 1 << 19
 
 _loaded: dict[str, object] = {}  # filled in tasks only: what a task runs is sent with it
 
@@ -53,12 +57,12 @@ def specials(text: str) -> dict[str, int]:
 
 
 def with_words(d: DataFrame, tokenizer: str) -> DataFrame:
-    """Columns words (null where the library splits the text) and odd (that text, else null)."""
-    odd = F.col("text").rlike(r"\p{Cn}")
+    """Columns words (the text with a mark after each word; null where the library splits it) and odd (that text, else null)."""
+    odd = F.col("text").rlike(r"\p{Cn}") | F.col("text").contains(MARK)
     for s in specials(tokenizer):
         odd = odd | F.col("text").contains(s)
     return d.withColumn("odd", F.when(odd, F.col("text"))).withColumn(
-        "words", F.when(F.col("odd").isNull(), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+        "words", F.when(F.col("odd").isNull(), F.regexp_replace("text", PATTERN, "$0" + MARK)))
 
 
 def _library_words(text: str, tokenizer: str) -> list[str]:
@@ -74,8 +78,7 @@ def _library_words(text: str, tokenizer: str) -> list[str]:
 
 
 def row_slices(batches, weigh, most: int = WORDS_AT_ONCE):
-    """The batches in slices of whole rows that weigh at most ``most`` (a single row may weigh more).  Words that are looked
-    up in a dictionary come in slices of its size, as each look-up makes its table anew."""
+    """The batches in slices of whole rows that weigh at most ``most`` (a single row may weigh more)."""
     for batch in batches:
         weight = np.cumsum(weigh(batch).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
@@ -88,7 +91,7 @@ def row_slices(batches, weigh, most: int = WORDS_AT_ONCE):
 
 def n_words(batch: pa.RecordBatch) -> pa.Array:
     """For each row of ``with_words`` its number of words; where the library splits the text, its bytes."""
-    return pc.coalesce(pc.list_value_length(batch.column("words")), pc.binary_length(batch.column("odd")))
+    return pc.coalesce(pc.count_substring(batch.column("words"), MARK), pc.binary_length(batch.column("odd")))
 
 
 def batch_words(batch: pa.RecordBatch, tokenizer: str) -> tuple[pa.Array, np.ndarray]:
@@ -97,9 +100,29 @@ def batch_words(batch: pa.RecordBatch, tokenizer: str) -> tuple[pa.Array, np.nda
     odd = batch.column("odd")
     if odd.null_count < len(odd):
         w, o = words.to_pylist(), odd.to_pylist()
-        words = pa.array([a if b is None else _library_words(b, tokenizer) for a, b in zip(w, o)], pa.list_(pa.string()))
-    at = np.asarray(words.offsets)
-    return words.values.slice(at[0], at[-1] - at[0]), at.astype(np.int64) - at[0]
+        words = pa.array([a.split(MARK)[:-1] if b is None else _library_words(b, tokenizer) for a, b in zip(w, o)],
+                         pa.list_(pa.string()))
+        at = np.asarray(words.offsets)
+        return words.values.slice(at[0], at[-1] - at[0]), at.astype(np.int64) - at[0]
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    marks = np.flatnonzero(data == 0)
+    # without its marks, the data are the words one after the other
+    first = np.zeros(len(marks) + 1, np.int32)
+    first[1:] = marks - np.arange(len(marks))
+    every = pa.Array.from_buffers(pa.string(), len(marks), [None, pa.py_buffer(first), pa.py_buffer(data[data != 0])])
+    return every, np.searchsorted(marks, ends - ends[0])
+
+
+def places(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The words' places in a dictionary, -1 for any other word.  Each look-up makes its table anew: of the distinct words,
+    which are fewer than those of the dictionary."""
+    coded = words.dictionary_encode()
+    found = pc.index_in(known, coded.dictionary)
+    at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+    place = np.full(len(coded.dictionary), -1, np.int32)
+    place[found.drop_null().to_numpy()] = at
+    return place[coded.indices.to_numpy()]
 
 
 def word_table(d: DataFrame, tokenizer: str) -> DataFrame:

@@ -9,12 +9,13 @@ import zlib
 from math import floor, log2
 
 import duckdb
+import pyarrow as pa
 import pytest
 from llm_fixtures import SF001, edges, none, small  # noqa: F401
 from pyspark.sql import functions as F
 
 from ledgerguard.llm import (bpe, decontaminate, licenses, near_dedup, passages, pii, quality, queries, repeats, sharding,
-                             token_counts)
+                             token_counts, words_bpe)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KEY = str  # rows are compared as sorted lists; None sorts as text
@@ -400,6 +401,37 @@ def test_tokens_of_unusual_characters(spark):
     assert sorted(got(token_counts.token_counts(test, queries.BYTE_BPE, 512), "doc_id", "n_tokens")) == want
 
 
+def test_words_come_as_one_string_and_meet_small_tables(spark, monkeypatch):
+    """A text reaches Python as one string, not as an array of words; words are looked up in tables of a slice's distinct
+    words, never of the whole dictionary; special strings, the mark itself and empty texts included."""
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(queries.BYTE_BPE)
+    rng = random.Random(4)
+    pool = ["don't", " we'll", " you'RE", "'", " 12", "é", "\0", "  ", "\n\n ", "<|endoftext|>", "͸", "...", " the", "日本", "🎉", "\t"]
+    rows = [(i, "".join(rng.choice(pool if i % 2 else pool[:6] + pool[7:8] + pool[11:]) for _ in range(rng.randrange(9))))
+            for i in range(300)] + [(300, ""), (301, "\0"), (302, " "), (303, "a" * 3000)]
+    source = words_bpe.source(queries.BYTE_BPE)
+    split = words_bpe.with_words(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), source).orderBy("doc_id")
+    assert dict(split.dtypes)["words"] == "string"
+    got_ = []
+    for batch in split.toArrow().to_batches():
+        for part in words_bpe.row_slices([batch], words_bpe.n_words, 40):
+            words, at = words_bpe.batch_words(part, source)
+            got_ += [words[a:b].to_pylist() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    assert len(got_) == len(rows) and [(i, "".join(w)) for (i, _), w in zip(rows, got_)] == rows
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    assert all([x for w in ws for x in ids(w)] == ids(t) for (_, t), ws in zip(rows, got_))
+    plain = [(w, t) for w, (_, t) in zip(got_, rows) if "<|" not in t]
+    assert all(w == [t[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(t)] for w, t in plain)
+    sizes = []
+    look_up = words_bpe.pc.index_in
+    monkeypatch.setattr(words_bpe.pc, "index_in", lambda words, value_set: sizes.append(len(value_set)) or look_up(words, value_set))
+    known = pa.array([f" w{i}" for i in range(5000)] + ["é"])
+    words = pa.array(["x", " w7", "é", " w7", "", " w4999", "x"]).slice(1)
+    assert words_bpe.places(words, known).tolist() == [7, 5000, 7, -1, 4999, -1] and sizes == [5]
+    assert words_bpe.places(words, known[:0]).tolist() == [-1] * 6 and words_bpe.places(words[:0], known).tolist() == []
+
+
 # ---- 6 shards -------------------------------------------------------------------------------------------------
 def shards_of(rows, k):
     groups = {}
