@@ -6,7 +6,8 @@ words (fewer at a text's end) and start at a shingle of that item; one whose ben
 than 0.8 of all cannot reach a weighted similarity of 0.8 and is left out, and moving a window's start to
 the first shingle of its item never lowers its similarity, so no passage is lost.  So a window only meets items that
 have its first shingle: with blocks of four bits alone, two thirds of all windows and items would meet.  Fingerprints have 64
-bits, one for each sign of the weighted sum over the window's benchmark shingles.  With ``RADIUS`` + 1
+bits, one for each sign of the weighted sum over the window's benchmark shingles, which is the difference of two running
+sums over the document: no window is written out shingle by shingle before it has met an item.  With ``RADIUS`` + 1
 blocks of bits, two fingerprints within ``RADIUS`` agree in one block, so a join on (window size, first
 shingle, block, bits) finds all of them.  Candidates are verified by the exact weighted Jaccard similarity of the bags of
 shingles.
@@ -22,7 +23,7 @@ item, is one like any other; an empty table on either side gives an empty result
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerguard.llm.common import SHINGLE_WORDS, SIMILARITY, SPACES, fresh, row_key, stored, texts
@@ -43,20 +44,58 @@ def _shingled(d: DataFrame) -> DataFrame:
     return d.drop("_t", "_w", "_x")
 
 
-def _lanes() -> list:
-    """Sums of weights for pairs of bits: two counters of 32 bits in each number."""
+LANES = [f"l{j}" for j in range(BITS // 2)]
+
+
+def _lane(j: int) -> Column:
+    """The weight w of a shingle h at a pair of its bits: two counters of 32 bits in one number."""
     bit = lambda b: F.shiftright("h", b).bitwiseAND(F.lit(1)) * F.col("w")
-    return [F.sum(bit(2 * j) + F.shiftleft(bit(2 * j + 1), 32)).alias(f"l{j}") for j in range(BITS // 2)]
+    return bit(2 * j) + F.shiftleft(bit(2 * j + 1), 32)
 
 
-def _fingerprint(d: DataFrame, *keys) -> DataFrame:
-    """(keys, weight, fp): the sign bits of the weighted sums over the rows (h, w) of a key."""
-    s = d.groupBy(*keys).agg(F.sum("w").alias("weight"), *_lanes())
+def _signs() -> Column:
+    """The sign bits of weighted sums: ``LANES`` and their ``weight``."""
     fp = F.lit(0).cast("long")
-    for j in range(BITS // 2):
-        for b, lane in ((2 * j, F.col(f"l{j}").bitwiseAND(F.lit(0xFFFFFFFF))), (2 * j + 1, F.shiftright(f"l{j}", 32))):
+    for j, name in enumerate(LANES):
+        for b, lane in ((2 * j, F.col(name).bitwiseAND(F.lit(0xFFFFFFFF))), (2 * j + 1, F.shiftright(name, 32))):
             fp = fp.bitwiseOR(F.when(2 * lane > F.col("weight"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return s.select(*keys, "weight", fp.alias("fp"))
+    return fp
+
+
+def _fingerprint(d: DataFrame, *keys) -> DataFrame:
+    """(keys, weight, fp): the sign bits of the weighted sums over the rows (h, w) of a key."""
+    s = d.groupBy(*keys).agg(F.sum("w").alias("weight"), *[F.sum(_lane(j)).alias(name) for j, name in enumerate(LANES)])
+    return s.select(*keys, "weight", _signs().alias("fp"))
+
+
+def _windows(seeds: DataFrame, similarity: float) -> DataFrame:
+    """(KEY, m, p, start, size, window_weight, fp): the windows that begin at a benchmark shingle and have enough of them.
+
+    Sums run over a document's shingles in order, and a window's sum is what they have grown by between its ends: a window
+    is two rows, however many words it has.  The rows are dealt by document to the session's number of partitions, as few bytes
+    of them give many windows, and stay so."""
+    n = max(1, int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    seeds, own = seeds.repartition(n, *KEY), Window.partitionBy(*KEY)
+    last = F.expr(f"p + m - {SHINGLE_WORDS}")
+    # a row of m = 0 for each shingle, and one for each window at the place of its last possible shingle
+    ends = (seeds.withColumn("before", F.row_number().over(own.orderBy("pos")) - 1).withColumnRenamed("pos", "p")
+            .withColumn("m", F.explode(F.concat(F.array(F.lit(0)), "sizes")))
+            .withColumn("at", F.when(F.col("m") > 0, last).otherwise(F.col("p"))))
+    ends = (ends.withColumn("places", F.sum(F.when(F.col("m") == 0, 1).otherwise(0)).over(own.orderBy("at", "m").rowsBetween(
+                Window.unboundedPreceding, Window.currentRow)) - F.col("before"))
+            .withColumn("size", F.expr("least(m, n_words - p)"))
+            .filter(F.expr(f"m = 0 or places >= ceil({similarity} * (size - {SHINGLE_WORDS - 1}))")))
+    # side: -1 before a window's first shingle, 1 after its last one, 0 a shingle
+    sides = ends.withColumn("side", F.explode(F.when(F.col("m") > 0, F.array(F.lit(-1), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    sides = sides.withColumn("at", F.when(F.col("side") < 0, F.col("p")).otherwise(F.col("at")))
+    run = own.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grown = lambda x: F.sum(F.when(F.col("side") == 0, x).otherwise(0)).over(run)
+    sides = sides.select(*KEY, "m", "p", F.col("h").alias("start"), "size", "top", "places", "side", grown(F.col("w")).alias("weight"),
+                         *[grown(_lane(j)).alias(name) for j, name in enumerate(LANES)]).filter("side <> 0")
+    sums = sides.groupBy(*KEY, "m", "p", "start", "size", "top", "places").agg(
+        *[F.sum(F.col("side") * F.col(c)).alias(c) for c in ("weight", *LANES)])
+    return sums.select(*KEY, "m", "p", "start", "size", _signs().alias("fp"), (F.col("weight") + F.col("top") * (
+        F.col("size") - (SHINGLE_WORDS - 1) - F.col("places"))).alias("window_weight"))
 
 
 def _blocks(d: DataFrame, fp: str) -> DataFrame:
@@ -92,34 +131,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     d = texts(docs).withColumn("row_key", row_key()).withColumn("no_id", F.col("doc_id").isNull())
     d = _shingled(d.withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long"))))
     # outer: the filter that Spark infers for an inner one would compute h a second time, in each place
-    seeds = (d.select(*KEY, "n_words", F.posexplode_outer("h").alias("pos", "h")).join(known, F.col("h") == F.col("bh"))
-             .select(*KEY, "n_words", "pos", "h", "w", "sizes", "top").distinct())
-    # a document's benchmark shingles in order; windows (start, size) with enough of them
-    rows = stored(seeds.groupBy(*KEY, "n_words", "top").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "h", "w", "sizes"))).alias("s")))
-    least = f"ceil({similarity} * (least(m, n_words - x.pos) - {SHINGLE_WORDS - 1}))"
-    windows = (rows.select("*", F.posexplode("s").alias("i", "x")).select("*", F.explode("x.sizes").alias("m"))
-               .filter(F.expr(f"coalesce(get(s, cast(i + {least} - 1 as int)).pos <= x.pos + m - {SHINGLE_WORDS}, false)"))
-               .withColumn("p", F.col("x.pos")).withColumn("start", F.col("x.h"))
-               .withColumn("size", F.least(F.col("m"), F.col("n_words") - F.col("p")))
-               .withColumn("y", F.explode(F.expr(
-                   f"filter(slice(s, i + 1, m), y -> y.pos <= p + m - {SHINGLE_WORDS})"))))
-    held = stored(windows.select(*KEY, "m", "p", "start", "size", "top", "y.h", "y.w")
-                  .groupBy(*KEY, "m", "p", "start", "size", "top", "h", "w").agg(F.count(F.lit(1)).alias("c")))
-    window = [*KEY, "m", "p"]
-    fp = _fingerprint(held.select(*window, "start", "size", "top", "h", "c", (F.col("w") * F.col("c")).alias("w")),
-                      *window, "start", "size", "top")
-    places = held.groupBy(*window).agg(F.sum("c").alias("places"))
-    fp = stored(fp.join(places, window).withColumn("window_weight", F.col("weight") + F.col("top") * (
-        F.col("size") - (SHINGLE_WORDS - 1) - F.col("places"))))
+    seeds = stored(d.select(*KEY, "n_words", F.posexplode_outer("h").alias("pos", "h")).join(known, F.col("h") == F.col("bh"))
+                   .select(*KEY, "n_words", "pos", "h", "w", "sizes", "top").distinct())
+    fp, window = _windows(seeds, similarity), [*KEY, "m", "p"]
     starts = item_fp.join(bag.select("item_id", "m", F.col("h").alias("start")), ["item_id", "m"])
     near = (met(fp, starts).select(*window, "size", "window_weight", "item_id", "item_weight", F.bit_count(
                 F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"))
             .filter(F.col("hamming") <= RADIUS).distinct())
-    common = (near.join(held.select(*window, "h", "w", "c"), window)
+    pair = ["item_id", *window, "size", "window_weight", "item_weight", "hamming"]
+    common = (near.select(*pair, F.explode(F.expr(f"sequence(p, p + size - {SHINGLE_WORDS})")).alias("pos"))
+              .join(seeds.select(*KEY, "pos", "h", "w"), [*KEY, "pos"])
               .join(bag.select("item_id", "m", "h", F.col("c").alias("ic")), ["item_id", "m", "h"])
-              .groupBy("item_id", *window, "size", "window_weight", "item_weight", "hamming")
-              .agg(F.sum(F.col("w") * F.least("c", "ic")).alias("common")))
+              .groupBy(*pair, "h", "w", "ic").agg(F.count(F.lit(1)).alias("c"))
+              .groupBy(*pair).agg(F.sum(F.col("w") * F.least("c", "ic")).alias("common")))
     found = common.withColumn("similarity", F.col("common") / (F.col("window_weight") + F.col("item_weight") - F.col("common")))
     best = (found.filter(F.col("similarity") >= similarity).groupBy(*KEY, "item_id")
             .agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("d"), (-F.col("p")).alias("p"), "size")).alias("b")))

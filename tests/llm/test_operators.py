@@ -556,6 +556,29 @@ def test_decontamination_meets_few_items(spark, monkeypatch):
     assert rows[0] <= 1.05 * rows[1] + 50
 
 
+def test_decontamination_of_a_long_item(spark, monkeypatch):
+    """A copied item of many words, with edits and at its document's end, where every window is long enough: what is written and
+    what the windows are made of grows with the words, not with their square."""
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    long = text(300)
+    edited = [w if i % 40 else "edit" for i, w in enumerate(long)]
+    items = [(1, " ".join(long)), (2, " ".join(text(60))), (3, " ".join(long[100:160] + text(20))), (4, "")]
+    docs = [(1, " ".join(text(50) + edited)), (2, " ".join(long + long)), (3, " ".join(text(200))), (4, items[1][1] + " " + items[2][1])]
+    rows = []
+    stored = decontaminate.stored
+
+    def counted(df):
+        out = stored(df)
+        rows.append(out.count())
+        return out
+    monkeypatch.setattr(decontaminate, "stored", counted)
+    frames = [spark.createDataFrame(x, f"{name} long, text string") for name, x in (("doc_id", docs), ("item_id", items))]
+    found = decontaminate.contaminated(*frames)
+    assert {(r["doc_id"], r["item_id"]): pytest.approx(r["similarity"]) for r in found.collect()} == leaks(docs, items)
+    assert max(rows) <= sum(len(t.split()) for _, t in docs)
+
+
 def test_decontamination_without_ids(spark, edges):
     """A null doc_id, beside a document 0 with the same text, and a null item_id."""
     benchmark = spark.read.parquet(f"{SF001}/benchmark.parquet")
