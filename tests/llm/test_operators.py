@@ -275,6 +275,33 @@ def test_passages_recall_of_scattered_edits(spark):
     assert share.pop("pieces on both sides") == 1 and all(x >= 0.9 for x in share.values()), share
 
 
+def test_passages_of_all_pairs(spark):
+    """Every document meets every earlier one that has a passage of its, however many have it, also where all of its seeds stand
+    in other documents too; passages that are near each other or near a common line are told apart from what is between them."""
+    rng = random.Random(17)
+    words = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    rows, want = [], set()
+
+    def add(*parts):
+        rows.append((len(rows), " ".join(w for part in parts for w in part)))
+        return len(rows) - 1
+    line, p, q, r = words(12), words(60), words(60), words(80)
+    many = [add(words(40), line, words(30), p, words(40)) for _ in range(25)]
+    for _ in range(12):
+        add(words(20), line, words(20), q[:24], words(20), q[12:36], words(20))
+        add(words(20), q[24:48], words(20), line, words(20), q[36:], words(20))
+    ends = [add(words(40), q, words(40))]
+    for _ in range(12):
+        add(words(20), q[:36], words(20), q[24:], words(20))
+    ends.append(add(words(40), q, words(40)))
+    apart = [add(words(20), r, words(25), line, words(30), r[::-1], words(20)) for _ in range(2)]
+    for group in (many, ends, apart):
+        want |= {(y, x) for x in group for y in group if x < y}
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert {(x["doc_id"], x["src_doc_id"]) for x in out} == want
+    assert sorted((x["start_word"], x["n_words"]) for x in out if x["doc_id"] == apart[1]) == [(20, 80), (167, 80)]
+
+
 def test_links_across_batches():
     """The links of a seed are the same however its sorted places are cut into batches: near documents all meet, later ones
     the one before and the first."""
