@@ -302,6 +302,18 @@ def test_passages_of_all_pairs(spark):
     assert sorted((x["start_word"], x["n_words"]) for x in out if x["doc_id"] == apart[1]) == [(20, 80), (167, 80)]
 
 
+def test_passages_of_a_block_that_repeats(spark):
+    """Two copies of a text that goes on with one block again and again: every word is in a passage."""
+    rng = random.Random(23)
+    words = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    for _ in range(3):
+        text = words(8) + words(30) * 5 + words(12)
+        rows = [(1, " ".join(text)), (2, " ".join(text)), (3, " ".join(words(100)))]
+        out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {(r["doc_id"], r["src_doc_id"]) for r in out} == {(2, 1)}
+        assert set().union(*(range(r["start_word"], r["start_word"] + r["n_words"]) for r in out)) == set(range(len(text)))
+
+
 def test_links_across_batches():
     """The links of a seed are the same however its sorted places are cut into batches: near documents all meet, later ones
     the one before and the first."""
